@@ -11,6 +11,7 @@ are packed each; an empty table gives an empty result; further columns are ignor
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 
@@ -34,30 +35,80 @@ def binary_lengths(n: int, limit: int) -> list[int]:
     return [limit] * (n // limit) + [1 << k for k in range(limit.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-class ChunkTokens(dict):
-    """White-space-delimited chunk -> its ids as bytes.
+#: Chunks that Python's regex splits as the tokenizer's pattern does, once they are lower case.
+_PLAIN = re.compile(r"[!-~\u00c0-\u00ff\u2010-\u2027]*")
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for letters from U+0100 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own]
+    return {b: 256 + i for i, b in enumerate(others)} | {32: 32}
+
+
+class ChunkTokens:
+    """Ids of texts, by white-space-delimited chunks and the words in them.
 
     The tokenizer's pattern never spans white space, so a text's ids are those of its
-    chunks, one after the other; frequent chunks are looked up, not encoded again.
+    chunks, one after the other, and a plain chunk's are those of its words.  Frequent chunks and
+    words are looked up; new words go to the tokenizer's own model, joined by spaces and cut
+    again at its word ends, which spares the normalizer.  All other chunks go to the tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 600_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.letters = _byte_letters()
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.chunks) > self.most:
+            self.chunks = {}
+        if len(self.words) > self.most:
+            self.words = {}
+        split = {c: _WORDS.findall(c.lower()) for c in new if "<|" not in c and _PLAIN.fullmatch(c)}
+        words = list({w for ws in split.values() for w in ws if w not in self.words})
+        for at in range(0, len(words), 500):
+            part = words[at : at + 500]
+            ids = np.array(self.model.encode_batch_fast([" ".join(part).encode().decode("latin-1").translate(self.letters)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer's model does not end words as expected")
+            data, ends = ids.tobytes(), (ends * 4).tolist()
+            self.words.update(zip(part, (data[a:b] for a, b in zip([0, *ends], ends))))
+        look = self.words.__getitem__
+        for c in new:
+            self.chunks[c] = b"".join(map(look, split[c])) if c in split else self._whole(c)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
-        new = list({c for chunks in split if chunks for c in chunks if c not in self})
-        extra = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            got = {c: np.array(e.ids, dtype="<u4").tobytes() for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False))}
-            (self if len(self) < self.most else extra).update(got)
-        look = (lambda c: self[c] if c in self else extra[c]) if extra else self.__getitem__
-        return [b"".join(map(look, chunks)) if chunks is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t, chunks in zip(texts, split)]
+        gc.disable()  # millions of strings without cycles: collections only cost time
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(texts), 50):
+            split = [None if _ODD_SPACE.search(t) else t.split() for t in texts[at : at + 50]]
+            seen = set().union(*(s for s in split if s))
+            if new := {c for c in seen if c not in self.chunks}:
+                self._learn(new if len(self.chunks) <= self.most else seen)
+            look = self.chunks.__getitem__
+            out += [self._whole(t) if s is None else b"".join(map(look, s)) for t, s in zip(texts[at : at + 50], split)]
+        return out
 
 
 _TOKENS: dict[str, ChunkTokens] = {}
