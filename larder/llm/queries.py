@@ -42,6 +42,33 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as 8-bit audio, read back from the stored bytes, with their features."""
+    from larder.llm.audio import media_features, store_media
+
+    return media_features(store_media(_read(spark, sf_dir, "documents")))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their near-duplicate class and number of links."""
+    from larder.llm.jaccard import jaccard_classes
+
+    return jaccard_classes(_read(spark, sf_dir, "documents").select("doc_id", "text"), n=5, threshold=0.8).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives in the shared folder and read back by byte ranges."""
+    import uuid
+
+    from larder.llm.common import checkpoint_root
+    from larder.llm.warc import mark_revisits, read_archives, write_archives
+
+    folder = f"{checkpoint_root(spark)}/larder/warc-{uuid.uuid4().hex}"
+    archives = write_archives(mark_revisits(_read(spark, sf_dir, "pages"), least=100), folder)
+    back = read_archives(spark, archives, folder, split_bytes=2 << 20, with_payload=False)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_pack_powers_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in pieces of power-of-two lengths, a sequence each."""
     from larder.llm.packing import pack
@@ -54,6 +81,9 @@ QUERIES = {
     "op2_shard_by_bytes": op2_shard_by_bytes,
     "op3_chat_format": op3_chat_format,
     "op4_line_dedup": op4_line_dedup,
+    "op5_audio_media": op5_audio_media,
+    "op7_jaccard_join": op7_jaccard_join,
+    "op9_warc_round_trip": op9_warc_round_trip,
     "op10_pack_powers_of_two": op10_pack_powers_of_two,
 }
 
@@ -68,4 +98,11 @@ ORACLES = {
         SELECT keyed.doc_id AS doc_id, count(*) AS n_lines, count(hot.k) AS n_dropped,
                sha256(coalesce(string_agg(CASE WHEN hot.k IS NULL THEN line END, chr(10) ORDER BY pos), '')) AS kept_sha256
         FROM keyed LEFT JOIN hot ON keyed.k = hot.k GROUP BY keyed.doc_id""",
+    "op9_warc_round_trip": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT p.page_id AS page_id, payload_bytes, p.payload_digest AS payload_digest,
+               CASE WHEN first_id IS NULL OR p.page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN p.page_id <> first_id THEN first_id END AS refers_to
+        FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest""",
 }
