@@ -66,21 +66,21 @@ def _lengths(column: pa.Array) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Word -> eight bytes of its 64-bit hash, kept up to a number of words, computed beyond it.
+    """Word -> eight bytes of its 64-bit hash; begins anew when it holds ``most`` words.
 
     ``normal`` maps a white-space-delimited chunk to the word that counts; an empty result
     makes the chunk vanish.
     """
 
-    def __init__(self, normal=None, most: int = 300_000):
+    def __init__(self, normal=None, most: int = 500_000):
         super().__init__()
         self.normal, self.most = normal, most
 
     def __missing__(self, chunk: str) -> bytes:
         word = self.normal(chunk) if self.normal else chunk
-        out = xxhash.xxh3_64_digest(word.encode("utf-8", "surrogatepass"))[::-1] if word else b""
-        if len(self) < self.most and len(chunk) <= 40:
-            self[chunk] = out
+        if len(self) >= self.most:
+            self.clear()
+        out = self[chunk] = xxhash.xxh3_64_digest(word.encode("utf-8", "surrogatepass"))[::-1] if word else b""
         return out
 
     def of(self, chunks: list[str]) -> np.ndarray:

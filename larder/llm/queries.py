@@ -16,6 +16,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with a toxicity score, learned from rows that are not held out."""
+    from larder.llm.common import held_out
+    from larder.llm.toxicity import score, train
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, _read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op2_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 contiguous shards of nearly equal bytes."""
     from larder.llm.sharding import shard_by_bytes
@@ -49,6 +59,13 @@ def op5_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(store_media(_read(spark, sf_dir, "documents")))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and test item that share an aligned passage."""
+    from larder.llm.decontaminate import find_leaks
+
+    return find_leaks(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their near-duplicate class and number of links."""
     from larder.llm.jaccard import jaccard_classes
@@ -56,6 +73,17 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_read(spark, sf_dir, "documents").select("doc_id", "text"), n=5, threshold=0.8).select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the licence families found in their paragraphs."""
+    from larder.llm.licences import UNKNOWN, scan, train
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan(docs, train(docs))
+    families = F.filter(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["family"]))), lambda x: x != UNKNOWN)
+    unknown = F.size(F.filter("found", lambda x: x["family"] == UNKNOWN))
+    return found.select("doc_id", "n_paragraphs", F.size("found").alias("n_licence_paragraphs"), F.array_join(families, ",").alias("families"), unknown.alias("n_unknown"), F.round(F.array_max(F.transform("found", lambda x: x["probability"])), 6).alias("probability"))
+
+
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC archives in the shared folder and read back by byte ranges."""
     import uuid
@@ -78,11 +106,14 @@ def op10_pack_powers_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_shard_by_bytes": op2_shard_by_bytes,
     "op3_chat_format": op3_chat_format,
     "op4_line_dedup": op4_line_dedup,
     "op5_audio_media": op5_audio_media,
+    "op6_decontaminate": op6_decontaminate,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_licences": op8_licences,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_pack_powers_of_two": op10_pack_powers_of_two,
 }
