@@ -1 +1 @@
-
+"""Structured Streaming: ingest, sliding meters, the rate limiter."""
