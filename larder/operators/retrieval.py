@@ -66,25 +66,16 @@ def _phrase_counts(tokens: Column, term: str, prefix: bool) -> Column:
     if len(words) == 1:
         w = words[0]
         return F.size(F.filter(tokens, lambda t: t.startswith(w) if prefix else t == w))
-    n = len(words)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1)))
-
-    def here(i):
-        at = [F.try_element_at(tokens, i + k) for k in range(n)]
-        ok = [a == w for a, w in zip(at, words)]
-        if prefix:
-            ok[-1] = at[-1].startswith(words[-1])
-        out = ok[0]
-        for x in ok[1:]:
-            out = out & x
-        return F.coalesce(out, F.lit(False))
-
-    return F.size(F.filter(starts, here))
+    run = F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))
+    wanted = " " + "  ".join(words) + ("" if prefix else " ")
+    return ((F.length(run) - F.length(F.replace(run, F.lit(wanted), F.lit("")))) / len(wanted)).cast("int")
 
 
 def term_frequencies(docs: DataFrame, key: str, fields: dict[str, float], terms: list[tuple[str, bool]]) -> DataFrame:
     """One row a document: key, dl (tokens in all fields), f0.. (weighted frequency) and n0.. (has the term)."""
-    out = docs.select(key, *[index_tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"_{c}") for c in fields])
+    # a generator row keeps the optimizer from copying the tokenizing into every count
+    made = F.struct(*[index_tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"_{c}") for c in fields])
+    out = docs.select(key, F.inline(F.array(made)))
     counts = [[_phrase_counts(F.col(f"_{c}"), t, p) for c in fields] for t, p in terms]
     dl = sum((F.size(f"_{c}") for c in fields), F.lit(0)).cast("double").alias("dl")
     freq = [sum((x * w for x, w in zip(row, fields.values())), F.lit(0.0)).alias(f"f{i}") for i, row in enumerate(counts)]
@@ -130,7 +121,7 @@ def similarities(vectors: DataFrame, query: list[float], column: str = "embeddin
 
     q = np.asarray(query, dtype=np.float64)
     q = q / (np.linalg.norm(q) or 1.0)
-    at = vectors.columns.index(column)
+    at, rest = vectors.columns.index(column), [n for n in vectors.columns if n != column]
 
     def run(batches):
         for batch in batches:
@@ -144,7 +135,7 @@ def similarities(vectors: DataFrame, query: list[float], column: str = "embeddin
                 norm = np.linalg.norm(rows, axis=1)
                 sim[ok] = rows @ q / np.where(norm == 0, 1, norm)
             out = [c for i, c in enumerate(batch.columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(sim, mask=sizes != len(q))], names=[n for n in vectors.columns if n != column] + ["sim"])
+            yield pa.RecordBatch.from_arrays([*out, pa.array(sim, mask=sizes != len(q))], names=[*rest, "sim"])
 
     kinds = ", ".join(f"`{k}` {v}" for k, v in vectors.dtypes if k != column)
     return vectors.mapInArrow(run, f"{kinds}, sim double")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from larder.plans import retrieval
+
+ALL = [q for module in (retrieval,) for q in module.QUERIES]
+
 
 def queries() -> dict:
-    return {}
+    return {q.name: q.run for q in ALL}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {q.name: q.sql for q in ALL if q.sql}
