@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larder.plans import retrieval
+from larder.plans import retrieval, telemetry
 
-ALL = [q for module in (retrieval,) for q in module.QUERIES]
+ALL = [q for module in (retrieval, telemetry) for q in module.QUERIES]
 
 
 def queries() -> dict:
