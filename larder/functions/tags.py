@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larder.functions.text import strip
+from larder.functions.text import let, strip
 
 # Fixed values -----------------------------------------------------------------------
 CATEGORIES = """
@@ -48,10 +48,7 @@ def _alias(slug: Column) -> Column:
     return F.coalesce(F.try_element_at(table, slug), slug)
 
 
-def singular(slug: Column) -> Column:
-    """The slug with its last word in the singular, by a few cautious rules."""
-    word = F.regexp_extract(slug, "([^-]*)$", 1)
-    head = F.left(slug, F.length(slug) - F.length(word))
+def _one(word: Column) -> Column:
     keep = (F.length(word) < 4) | ~word.endswith("s") | word.isin(NOT_PLURAL)
     for ending in NOT_PLURAL_ENDINGS:
         keep = keep | word.endswith(ending)
@@ -61,7 +58,13 @@ def singular(slug: Column) -> Column:
         .when(word.rlike("(sses|ches|shes|xes|zes|oes)$"), without(2))
         .otherwise(without(1))
     )
-    return F.when(keep, slug).otherwise(F.concat(head, one))
+    return F.when(keep, word).otherwise(one)
+
+
+def singular(slug: Column) -> Column:
+    """The slug with its last word in the singular, by a few cautious rules."""
+    word = F.regexp_extract(slug, "([^-]*)$", 1)
+    return F.concat(F.left(slug, F.length(slug) - F.length(word)), let(word, _one))
 
 
 def slug(raw: Column) -> Column:
@@ -70,11 +73,12 @@ def slug(raw: Column) -> Column:
     t = F.regexp_replace(t, r"(?U)[^a-z0-9\s\-+#]+", " ")
     t = F.regexp_replace(F.regexp_replace(t, r"(?U)[\s_]+", "-"), "^-+|-+$", "")
     t = F.regexp_replace(t, "-{2,}", "-")
-    t = F.when((t != "") & (F.length(t) <= 40), t)
-    known = t.isin(list(ALIASES))
-    usable = (F.length(t) > 2) | ((F.length(t) == 2) & t.isin(SHORT))
-    t = _alias(F.when(known, _alias(t)).when(usable, _alias(singular(t))))
-    return F.when(~t.isin(NOISE) & ~t.rlike(r"^\d+$"), t)
+
+    def known_or_singular(x):
+        usable = (F.length(x) > 2) | ((F.length(x) == 2) & x.isin(SHORT))
+        return F.when((x == "") | (F.length(x) > 40), F.lit(None)).when(x.isin(list(ALIASES)), _alias(x)).when(usable, let(singular(x), _alias))
+
+    return let(let(let(t, known_or_singular), _alias), lambda x: F.when(~x.isin(NOISE) & ~x.rlike(r"^\d+$"), x))
 
 
 def normalize(tags: Column, limit: int = 15) -> Column:
@@ -84,9 +88,9 @@ def normalize(tags: Column, limit: int = 15) -> Column:
 
 
 def _coerce(value: Column, allowed: list[str]) -> Column:
-    s = slug(value)
     compact = F.create_map(*[F.lit(x) for a in dict.fromkeys(allowed) for x in (a.replace("-", ""), a)])
-    return F.when(s.isin(allowed), s).otherwise(F.coalesce(F.try_element_at(compact, F.replace(s, F.lit("-"), F.lit(""))), F.lit("other")))
+    pick = lambda s: F.when(s.isin(allowed), s).otherwise(F.coalesce(F.try_element_at(compact, F.replace(s, F.lit("-"), F.lit(""))), F.lit("other")))
+    return let(slug(value), pick)
 
 
 def category(value: Column) -> Column:

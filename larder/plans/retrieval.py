@@ -69,7 +69,7 @@ def bm25_phrase(spark, d):
 
 def postings_stats(spark, d):
     p = R.postings(_docs(spark, d), "doc_id", BODY)
-    return p.groupBy("token").agg(F.count("*").alias("occurrences"), F.count_distinct("doc_id").alias("docs")).filter("docs >= 20")
+    return p.groupBy("token").agg(F.count("*").alias("occurrences"), F.count_distinct("doc_id").alias("docs"))
 
 
 def vector_topk(spark, d):
@@ -174,7 +174,7 @@ QUERIES = [
         """ + _TOP(20)),
     Query("postings_stats", postings_stats, r"""
         WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+')) AS token FROM documents)
-        SELECT token, count(*) AS occurrences, count(DISTINCT doc_id) AS docs FROM t WHERE token <> '' GROUP BY token HAVING count(DISTINCT doc_id) >= 20"""),
+        SELECT token, count(*) AS occurrences, count(DISTINCT doc_id) AS docs FROM t WHERE token <> '' GROUP BY token"""),
     Query("vector_topk", vector_topk, f"WITH {_SIMS} SELECT doc_id, round(sim, 6) AS sim, row_number() OVER (ORDER BY sim DESC, doc_id) AS rank FROM sims QUALIFY rank <= 10"),
     Query("vector_max_over_chunks", vector_max_over_chunks, f"""
         WITH {_SIMS}, b AS (SELECT chunk // 5 AS doc_id, sim, chunk, row_number() OVER (PARTITION BY chunk // 5 ORDER BY sim DESC, chunk) AS r FROM sims)
