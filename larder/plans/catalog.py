@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larder.plans import retrieval, telemetry, text
+from larder.plans import extract, retrieval, store, telemetry, text
 
-ALL = [q for module in (retrieval, telemetry, text) for q in module.QUERIES]
+ALL = [q for module in (retrieval, telemetry, text, store, extract) for q in module.QUERIES]
 
 
 def queries() -> dict:

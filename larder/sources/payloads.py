@@ -191,7 +191,7 @@ def subtitle_text(body: Column, ext: Column) -> Column:
 
 
 def flatten_value(value, depth: int = 6, most: int = 5) -> dict[str, str]:
-    """Lower-case key -> first scalar or list of strings anywhere in a nested value, nearer ones first."""
+    """Lower-case key -> first scalar or list of strings anywhere in a nested value, in the order they stand."""
     if depth < 0:
         return {}
     out: dict[str, str] = {}

@@ -16,13 +16,14 @@ def windowed_counts(events: DataFrame, ts: str, key: str, value: str, width: str
     return out.groupBy(w.alias("w"), key).agg(F.count("*").alias("requests"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), key, "requests", "total")
 
 
-def rate_limiter(events: DataFrame, caller: str, ts: str, order: str, limit: int, window_s: int = 3600) -> DataFrame:
+def rate_limiter(events: DataFrame, caller: str, ts: str, order: str, limit: int, window_s: int = 3600, late: str = "1 hour") -> DataFrame:
     """(caller, order, allowed) of a stream: refused calls do not count.  The state of a caller is the times
-    of its passed calls within the window, ``limit`` at most; it ends when the last has left the window."""
+    of its passed calls within the window, ``limit`` at most; it ends when the watermark has left them behind."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    rows = events.select(F.col(caller).alias("caller"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(order).cast("long").alias("ord"))
+    rows = events.select(F.col(caller).alias("caller"), F.col(ts).cast("timestamp").alias("ts"), F.col(order).cast("long").alias("ord")).withWatermark("ts", late)
+    rows = rows.select("caller", "ts", F.unix_micros("ts").alias("at"), "ord")
 
     def run(key, batches, state: GroupState):
         if state.hasTimedOut:
@@ -37,11 +38,12 @@ def rate_limiter(events: DataFrame, caller: str, ts: str, order: str, limit: int
             if out[-1]:
                 passed.append(at)
         state.update((json.dumps(passed),))
-        state.setTimeoutDuration(2 * window_s * 1000)
+        ends = (passed[-1] if passed else 0) // 1000 + window_s * 1000
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"caller": key[0], "ord": frame["ord"].to_numpy(), "allowed": out})
 
     kind = dict(rows.dtypes)["caller"]
-    return rows.groupBy("caller").applyInPandasWithState(run, f"caller {kind}, ord long, allowed boolean", "passed string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("caller").applyInPandasWithState(run, f"caller {kind}, ord long, allowed boolean", "passed string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ingest(requests: DataFrame, extract: Callable[[DataFrame], DataFrame], index: Callable[[DataFrame], None], status_path: str, checkpoint: str, key: str = "url"):
