@@ -23,10 +23,6 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import cut, small_batches
 
-#: Python's split() also splits at these, the tokenizer does not.
-_ODD_SPACE = re.compile(r"[\x1c-\x1f]")
-
-
 def binary_lengths(n: int, limit: int) -> list[int]:
     """Lengths of the pieces of n tokens: full ones, then falling powers of two."""
     if limit < 1 or limit & (limit - 1):
@@ -35,8 +31,10 @@ def binary_lengths(n: int, limit: int) -> list[int]:
     return [limit] * (n // limit) + [1 << k for k in range(limit.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-#: Chunks that Python's regex splits as the tokenizer's pattern does, once they are lower case.
-_PLAIN = re.compile(r"[!-~\u00c0-\u00ff\u2010-\u2027]*")
+#: Anything but Latin letters, white space and lone full stops and commas.
+_NOT_SIMPLE = re.compile(r"[^A-Za-zÀ-ÖØ-öø-ÿ \n\t\r.,]|[.,][.,]")
+#: Anything that Python's regex may take apart in another way than the tokenizer's pattern.
+_NOT_PLAIN = re.compile(r"[^ \n\t\r!-~À-ÿ‐-‧]|<\|")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
 
 
@@ -47,16 +45,16 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(others)} | {32: 32}
 
 
-class ChunkTokens:
-    """Ids of texts, by white-space-delimited chunks and the words in them.
+class WordTokens:
+    """Ids of texts, word by word.
 
-    The tokenizer's pattern never spans white space, so a text's ids are those of its
-    chunks, one after the other, and a plain chunk's are those of its words.  Frequent chunks and
-    words are looked up; new words go to the tokenizer's own model, joined by spaces and cut
-    again at its word ends, which spares the normalizer.  All other chunks go to the tokenizer.
+    The tokenizer's pattern cuts a plain text into words and runs of signs, each encoded by itself;
+    known ones are looked up.  New ones go to the tokenizer's own model, joined by spaces and cut
+    again at its word ends, which spares the normalizer.  Texts with signs that Python's regex may see in
+    another way go to the tokenizer as they are.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -66,58 +64,59 @@ class ChunkTokens:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.letters = _byte_letters()
-        self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, new: set[str]) -> None:
-        if len(self.chunks) > self.most:
-            self.chunks = {}
-        if len(self.words) > self.most:
-            self.words = {}
-        split = {c: _WORDS.findall(c.lower()) for c in new if "<|" not in c and _PLAIN.fullmatch(c)}
-        words = list({w for ws in split.values() for w in ws if w not in self.words})
+    def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 500):
             part = words[at : at + 500]
-            ids = np.array(self.model.encode_batch_fast([" ".join(part).encode().decode("latin-1").translate(self.letters)], add_special_tokens=False)[0].ids, dtype="<u4")
+            text = " ".join(part)
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(part):
                 raise ValueError("the tokenizer's model does not end words as expected")
             data, ends = ids.tobytes(), (ends * 4).tolist()
-            self.words.update(zip(part, (data[a:b] for a, b in zip([0, *ends], ends))))
-        look = self.words.__getitem__
-        for c in new:
-            self.chunks[c] = b"".join(map(look, split[c])) if c in split else self._whole(c)
+            self.words.update(zip(part, [data[a:b] for a, b in zip([0, *ends], ends)]))
+
+    @staticmethod
+    def _split(text: str) -> list[str] | None:
+        if not _NOT_SIMPLE.search(text):
+            return text.lower().replace(".", " . ").replace(",", " , ").split()
+        return None if _NOT_PLAIN.search(text) else _WORDS.findall(text.lower())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         gc.disable()  # millions of strings without cycles: collections only cost time
         try:
-            return self._encode(texts)
+            out = []
+            for at in range(0, len(texts), 200):
+                split = [self._split(t) for t in texts[at : at + 200]]
+                if len(self.words) > self.most:
+                    self.words = {}
+                seen = set().union(*(s for s in split if s))
+                new = seen.difference(self.words)
+                plain = [w for w in new if w.isascii()]
+                self._learn(plain)
+                if len(plain) < len(new):
+                    self._learn([w for w in new if not w.isascii()])
+                look = self.words.__getitem__
+                out += [self._whole(t) if s is None else b"".join(map(look, s)) for t, s in zip(texts[at : at + 200], split)]
+            return out
         finally:
             gc.enable()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 50):
-            split = [None if _ODD_SPACE.search(t) else t.split() for t in texts[at : at + 50]]
-            seen = set().union(*(s for s in split if s))
-            if new := {c for c in seen if c not in self.chunks}:
-                self._learn(new if len(self.chunks) <= self.most else seen)
-            look = self.chunks.__getitem__
-            out += [self._whole(t) if s is None else b"".join(map(look, s)) for t, s in zip(texts[at : at + 50], split)]
-        return out
-
 
-_TOKENS: dict[str, ChunkTokens] = {}
+_TOKENS: dict[str, WordTokens] = {}
 
 
 def decompose(docs: DataFrame, tokenizer: str, limit: int = 4096, end_id: int = 2, keep_ids: bool = True) -> DataFrame:
     """Pieces of every document: doc_id, start, length, ids_crc32, doc_tokens and, with keep_ids, ids.
 
-    No shuffle; memory is bounded by a batch of texts and the table of frequent chunks.
+    No shuffle; memory is bounded by a batch of texts and the table of known words.
     """
     binary_lengths(0, limit)
     small_batches(docs.sparkSession)
@@ -129,7 +128,7 @@ def decompose(docs: DataFrame, tokenizer: str, limit: int = 4096, end_id: int =
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokens = _TOKENS.get(tokenizer) or _TOKENS.setdefault(tokenizer, ChunkTokens(tokenizer))
+        tokens = _TOKENS.get(tokenizer) or _TOKENS.setdefault(tokenizer, WordTokens(tokenizer))
         for batch in batches:
             out = {k: [] for k, _ in fields}
             ids = batch.column(0).to_pylist()
