@@ -210,5 +210,5 @@ def _hash():
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without those that hold a passage of a test item."""
-    leaks = find_leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("_leak"), F.col("text_hash").alias("_text")).distinct()
-    return docs.join(leaks, F.col("doc_id").cast("long").eqNullSafe(F.col("_leak")) & (_hash() == F.col("_text")), "left_anti")
+    leaks = find_leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("__leak_id"), F.col("text_hash").alias("__leak_hash")).distinct()
+    return docs.join(leaks, F.col("doc_id").cast("long").eqNullSafe(F.col("__leak_id")) & (_hash() == F.col("__leak_hash")), "left_anti")

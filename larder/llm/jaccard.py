@@ -274,10 +274,10 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     names = docs.columns
     classes = jaccard_classes(docs, n, threshold).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
     chosen = classes.groupBy("class_node").agg(F.min(F.struct("node", "class_id")).alias("best"), F.count("*").alias("rows"))
-    chosen = table(chosen.select(F.col("best.node").alias("_node2"), F.col("best.class_id").alias("_id2"), F.col("rows").alias("_rows")), "chosen")
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_node": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    out = keyed.join(chosen, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_node") == F.col("_node2")))
-    if chosen.filter("_rows > 1").isEmpty():
+    chosen = table(chosen.select(F.col("best.node").alias("__near_node2"), F.col("best.class_id").alias("__near_id2"), F.col("rows").alias("__near_rows")), "chosen")
+    keyed = docs.withColumns({"__near_id": F.col("doc_id").cast("long"), "__near_node": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    out = keyed.join(chosen, F.col("__near_id").eqNullSafe(F.col("__near_id2")) & (F.col("__near_node") == F.col("__near_node2")))
+    if chosen.filter("__near_rows > 1").isEmpty():
         return out.select(*names)
-    many = out.filter("_rows > 1").dropDuplicates(["_id", "_node"])
-    return out.filter("_rows = 1").select(*names).unionByName(many.select(*names))
+    many = out.filter("__near_rows > 1").dropDuplicates(["__near_id", "__near_node"])
+    return out.filter("__near_rows = 1").select(*names).unionByName(many.select(*names))

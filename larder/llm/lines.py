@@ -159,13 +159,14 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep: s
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with their kept text, and the columns n_lines and n_dropped."""
+    """docs with their kept text, and the columns n_lines and n_dropped (in place of any of these names)."""
     small_batches(docs.sparkSession)
+    docs = docs.drop("n_lines", "n_dropped")
     names = docs.columns
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64(text)})
-    maps = bitmaps.select(F.col("doc_id").alias("_id2"), F.col("text_hash").alias("_hash2"), F.col("keep").alias("_keep"))
-    joined = keyed.join(maps, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left").select(*names, "_keep")
+    keyed = docs.withColumns({"__lines_id": F.col("doc_id").cast("long"), "__lines_hash": F.xxhash64(text)})
+    maps = bitmaps.select(F.col("doc_id").alias("__lines_id2"), F.col("text_hash").alias("__lines_hash2"), F.col("keep").alias("__lines_keep"))
+    joined = keyed.join(maps, F.col("__lines_id").eqNullSafe(F.col("__lines_id2")) & (F.col("__lines_hash") == F.col("__lines_hash2")), "left").select(*names, "__lines_keep")
 
     def run(batches):
         for batch in batches:
