@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from larder.functions.text import let
+
 # Fixed values -----------------------------------------------------------------------
 TRACKING = """
     fbclid gclid dclid msclkid twclid ttclid yclid mc_cid mc_eid _ga _gl icid ncid cmpid campaign_id spm scm trk
@@ -85,11 +87,17 @@ def is_shortener(url: Column) -> Column:
 
 def looks_like_url(text: Column) -> Column:
     """A plausible web address: no white space, http or https, a host name with a top-level domain."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
-    full = F.when(F.instr(t, "://") > 0, t).otherwise(F.concat(F.lit("https://"), F.regexp_replace(t, "^/+", "")))
-    host = hostname(full)
-    named = (host == "localhost") | (host.rlike(HOSTNAME) & ~host.rlike(r"^\d+\.\d+\.\d+\.\d+$"))
-    return (t != "") & ~t.rlike(r"(?U)\s") & scheme(full).isin("http", "https") & named
+
+    def full(t):
+        return F.when(F.instr(t, "://") > 0, t).otherwise(F.concat(F.lit("https://"), F.regexp_replace(t, "^/+", "")))
+
+    def named(host):
+        return (host == "localhost") | (host.rlike(HOSTNAME) & ~host.rlike(r"^\d+\.\d+\.\d+\.\d+$"))
+
+    def plausible(t):
+        return (t != "") & ~t.rlike(r"(?U)\s") & let(full(t), lambda u: scheme(u).isin("http", "https") & let(hostname(u), named))
+
+    return let(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", ""), plausible)
 
 
 def _pairs(q: Column) -> Column:
@@ -121,18 +129,25 @@ def clean_query(q: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(kept), lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
 
 
-def unwrap(url: Column, levels: int = 3) -> Column:
+def unwrap(url: Column) -> Column:
     """A redirect wrapper's destination, where its query carries a plausible absolute address."""
-    for _ in range(levels):
-        host, p, q = plain_host(netloc(url)), F.coalesce(F.nullif(path(url), F.lit("")), F.lit("/")), query(url)
-        target = (
+
+    def target(u):
+        host, p, q = u["host"], u["path"], u["query"]
+        return (
             F.when(((host == "google.com") | host.startswith("google.")) & p.startswith("/url"), F.coalesce(parameter(q, "url"), parameter(q, "q")))
             .when(on_host(host, "youtube.com") & p.startswith("/redirect"), parameter(q, "q"))
             .when(on_host(host, "facebook.com", "messenger.com") & p.startswith("/l."), parameter(q, "u"))
             .when(host == "out.reddit.com", parameter(q, "url"))
         )
-        url = F.when((F.instr(target, "://") > 0) & looks_like_url(target), target).otherwise(url)
-    return url
+
+    found = let(parts(url), target)
+    return let(found, lambda t: F.when((F.instr(t, "://") > 0) & looks_like_url(t), t).otherwise(url))
+
+
+def parts(url: Column) -> Column:
+    """struct<host, path, query> of a URL."""
+    return F.struct(plain_host(netloc(url)).alias("host"), path(url).alias("path"), query(url).alias("query"))
 
 
 def absolute(text: Column) -> Column:
@@ -150,41 +165,50 @@ def resolve(url: Column, follow: bool = True) -> Column:
 
 def canonical(url: Column) -> Column:
     """The canonical form of an absolute, unwrapped and resolved URL: a function of its parts."""
-    host, raw, q, kind = plain_host(netloc(url)), path(url), query(url), platform(url)
-    p = F.when(raw == "", F.lit("/")).otherwise(raw)
-    take = lambda pattern, i: F.regexp_extract(p, pattern, i)
     ig, tt, tw, rd = r"^/(?:[^/]+/)?(reels?|p|tv)/([A-Za-z0-9_-]+)", r"^/@([^/]+)/video/(\d+)", r"^/([^/]+)/status(?:es)?/(\d+)", r"^/r/([^/]+)/comments/([A-Za-z0-9]+)"
     clip, embed = r"^/shorts/([A-Za-z0-9_-]{6,})", r"^/(?:embed|v|live)/([A-Za-z0-9_-]{6,})"
-    video = F.coalesce(F.nullif(take(clip, 1), F.lit("")), F.nullif(take(embed, 1), F.lit("")), F.when(p.rlike("^/watch/*$"), parameter(q, "v")))
     fixed_host = {"youtube": "youtube.com", "tiktok": "tiktok.com", "twitter": "x.com", "reddit": "reddit.com"}
-    new_host = F.when((kind == "instagram") & p.rlike(ig), F.lit("instagram.com"))
-    for name, value in fixed_host.items():
-        new_host = new_host.when(kind == name, F.lit(value))
-    new_path = (
-        F.when((kind == "instagram") & p.rlike(ig), F.concat(F.lit("/"), F.when(take(ig, 1).startswith("reel"), F.lit("reel")).otherwise(take(ig, 1)), F.lit("/"), take(ig, 2), F.lit("/")))
-        .when((kind == "youtube") & video.isNotNull(), F.lit("/watch"))
-        .when((kind == "tiktok") & p.rlike(tt), F.concat(F.lit("/@"), F.lower(take(tt, 1)), F.lit("/video/"), take(tt, 2)))
-        .when((kind == "twitter") & p.rlike(tw), F.concat(F.lit("/"), F.lower(take(tw, 1)), F.lit("/status/"), take(tw, 2)))
-        .when((kind == "reddit") & p.rlike(rd), F.concat(F.lit("/r/"), take(rd, 1), F.lit("/comments/"), take(rd, 2), F.lit("/")))
-        .otherwise(p)
-    )
-    plain = (kind == "instagram") | ((kind == "tiktok") & p.rlike(tt)) | ((kind == "twitter") & p.rlike(tw)) | ((kind == "reddit") & p.rlike(rd))
-    new_query = F.when(plain, F.lit("")).when((kind == "youtube") & video.isNotNull(), F.concat(F.lit("v="), _encoded(video))).otherwise(clean_query(q))
-    trimmed = F.when((new_path != "/") & new_path.endswith("/") & ~kind.isin("instagram", "reddit"), F.regexp_replace(new_path, "/+$", "")).otherwise(new_path)
-    trimmed = F.when(trimmed == "", F.lit("/")).otherwise(trimmed)
-    return F.concat(F.lit("https://"), F.coalesce(new_host, host), trimmed, F.when(new_query != "", F.concat(F.lit("?"), new_query)).otherwise(""))
+    text = lambda *cs: F.concat(*[F.lit(c) if isinstance(c, str) else c for c in cs])
+
+    def with_kind(u):
+        p = F.when(u["path"] == "", F.lit("/")).otherwise(u["path"])
+        kind = platform_of_host(u["host"])
+        take = lambda pattern, i: F.nullif(F.regexp_extract(p, pattern, i), F.lit(""))
+        video = F.when(kind == "youtube", F.coalesce(take(clip, 1), take(embed, 1), F.when(p.rlike("^/watch/*$"), parameter(u["query"], "v"))))
+        item = (
+            F.when((kind == "instagram") & p.rlike(ig), text("/", F.when(take(ig, 1).startswith("reel"), "reel").otherwise(take(ig, 1)), "/", take(ig, 2), "/"))
+            .when((kind == "tiktok") & p.rlike(tt), text("/@", F.lower(take(tt, 1)), "/video/", take(tt, 2)))
+            .when((kind == "twitter") & p.rlike(tw), text("/", F.lower(take(tw, 1)), "/status/", take(tw, 2)))
+            .when((kind == "reddit") & p.rlike(rd), text("/r/", take(rd, 1), "/comments/", take(rd, 2), "/"))
+        )
+        return F.struct(u["host"].alias("host"), p.alias("path"), u["query"].alias("query"), kind.alias("kind"), video.alias("video"), item.alias("item"))
 
+    def put_together(u):
+        kind, item, video = u["kind"], u["item"], u["video"]
+        host = F.when((kind == "instagram") & item.isNotNull(), F.lit("instagram.com"))
+        for name, value in fixed_host.items():
+            host = host.when(kind == name, F.lit(value))
+        p = F.coalesce(item, F.when(video.isNotNull(), F.lit("/watch")), u["path"])
+        cut = F.when(kind.isin("instagram", "reddit") | (p == "/"), p).otherwise(F.regexp_replace(p, "/+$", ""))
+        q = F.when(item.isNotNull() | (kind == "instagram"), F.lit("")).when(video.isNotNull(), text("v=", _encoded(video))).otherwise(clean_query(u["query"]))
+        return F.struct(text("https://", F.coalesce(host, u["host"]), F.when(cut == "", "/").otherwise(cut)).alias("front"), q.alias("query"))
+
+    whole = let(let(let(parts(url), with_kind), put_together), lambda x: text(x["front"], F.when(x["query"] != "", text("?", x["query"])).otherwise("")))
+    return F.when(url.isNotNull(), whole)
 
-def with_canonical(df, column: str = "url", follow: bool = True):
-    """df with canonical_url, url_hash and platform; all null where the column holds no address.
 
-    The steps are columns of their own, so that no expression is evaluated more often than it is
-    written: the optimizer may not copy a step that a later one uses many times.
-    """
-    out = df.withColumn("_u0", absolute(F.col(column)))
+def _step(df, name: str, value: Column):
+    """df with a column made by a generator: the optimizer neither copies it into later steps nor
+    pushes a filter on it below, so that it is computed once a row."""
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+
+def with_canonical(df, column: str = "url", follow: bool = True):
+    """df with canonical_url, url_hash and platform; all null where the column holds no address."""
+    out = _step(df, "_u0", absolute(F.col(column)))
     for i in range(3):
-        out = out.withColumn(f"_u{i + 1}", unwrap(F.col(f"_u{i}"), 1))
-    out = out.withColumn("canonical_url", canonical(resolve(F.col("_u3"), follow)))
+        out = _step(out, f"_u{i + 1}", unwrap(F.col(f"_u{i}")))
+    out = _step(out, "canonical_url", canonical(resolve(F.col("_u3"), follow)))
     out = out.withColumns({"url_hash": F.sha2("canonical_url", 256), "platform": F.when(F.col("canonical_url").isNotNull(), platform(F.col("canonical_url")))})
     return out.drop("_u0", "_u1", "_u2", "_u3")
 
