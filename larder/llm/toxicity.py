@@ -10,7 +10,8 @@ id; every text is scored whole, by one pass without a shuffle.
 
 Defined results: a null or empty text has no words and gets the intercept's score; without a positive
 training label all scores are the prior; repeated labels of an id count once (toxic if any says so);
-rows with a null id are scored and not trained on; an empty table gives an empty result.
+rows with a null id are scored and not trained on; an empty table gives an empty result; further columns
+are kept.
 """
 
 from __future__ import annotations
@@ -87,20 +88,27 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, vocabulary:
     if not n_pos or not n_unl or not 0 < prior < 1:
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), float(np.log(p / (1 - p))))
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     values = np.concatenate(rows)
-    of_pos = np.bincount(values[positive[owner]], minlength=1 << _BITS)
-    of_unl = np.bincount(values[~positive[owner]], minlength=1 << _BITS)
+    in_pos = positive[owner]
+    of_pos = np.bincount(values[in_pos], minlength=1 << _BITS)
+    seen = np.flatnonzero(of_pos >= max(5, 0.01 * n_pos))  # only these can be chosen
+    column = np.full(1 << _BITS, -1, dtype=np.int32)
+    column[seen] = np.arange(len(seen))
+    ok = column[values] >= 0
+    owner, in_pos, values = owner[ok], in_pos[ok], column[values[ok]]
+    of_pos, of_unl = (np.bincount(values[w], minlength=len(seen)) for w in (in_pos, ~in_pos))
     groups = _groups(rows, positive)  # copies of a text speak once for a feature
-    pairs = np.unique(values[positive[owner]].astype(np.int64) * len(rows) + groups[owner[positive[owner]]])
-    support = np.bincount(pairs // len(rows), minlength=1 << _BITS)
+    pairs = np.unique(values[in_pos].astype(np.int64) * len(rows) + groups[owner[in_pos]])
+    support = np.bincount(pairs // len(rows), minlength=len(seen))
     p, u = (of_pos + 0.5) / (n_pos + 1), (of_unl + 0.5) / (n_unl + 1)
     z = np.abs(p - u) / np.sqrt(p * (1 - p) / n_pos + u * (1 - u) / n_unl)
     z[(support < max(5, 0.01 * n_pos)) | (prior * p < 0.8 * u)] = 0  # at least four in five texts with the feature are toxic
-    words = np.sort(np.argsort(-z, kind="stable")[:vocabulary])
-    words = words[z[words] > 3]
-    column = np.full(1 << _BITS, -1, dtype=np.int32)
-    column[words] = np.arange(len(words))
+    best = np.sort(np.argsort(-z, kind="stable")[:vocabulary])
+    best = best[z[best] > 3]
+    words = seen[best]
+    column = np.full(len(seen) + 1, -1, dtype=np.int32)
+    column[best] = np.arange(len(best))
     x = np.zeros((len(rows), len(words) + 1), dtype=np.float32)
     x[:, -1] = 1
     ok = column[values] >= 0
@@ -150,8 +158,9 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_p
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 from 0.5 on)."""
+    """docs with score (0 to 1) and predicted (1 from 0.5 on); columns that had these names are replaced."""
     small_batches(docs.sparkSession)
+    docs = docs.drop("score", "predicted")
     names = docs.columns
 
     def run(batches):
