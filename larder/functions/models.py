@@ -17,7 +17,8 @@ def answer(body: Column, platform_tags: Column) -> Column:
     some = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     details = F.slice(F.filter(F.transform(some(a["details"]), squeeze), lambda d: d != ""), 1, 30)
     people = F.struct(*[F.slice(some(a[k]), 1, n).alias(k) for k, n in (("people", 8), ("organizations", 8), ("places", 8), ("products", 10))])
-    return F.when(a.isNotNull(), F.struct(
+    whole = F.coalesce(F.get_json_object(body, "$").startswith("{"), F.lit(False))
+    return F.when(whole, F.struct(
         squeeze(F.coalesce(a["summary"], F.lit(""))).alias("summary"), squeeze(F.coalesce(a["description"], F.lit(""))).alias("description"), details.alias("details"),
         tags.normalize(F.concat(some(a["tags"]), some(platform_tags)), 15).alias("tags"), tags.category(a["category"]).alias("category"), tags.content_type(a["content_type"]).alias("content_type"),
         people.alias("entities"), filled(a["language"]).alias("language"),
