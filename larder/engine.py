@@ -43,6 +43,8 @@ class Library:
         self.documents = at("documents", DOCUMENTS)
         self.chunks = at("chunks", schema.CHUNKS)
         self.vectors = at("vectors", schema.VECTORS)
+        self.postings = at("postings", "token string, url_hash string, field string, positions array<int>")
+        self.lengths = at("lengths", "url_hash string, dl double")
 
     # -- writing -----------------------------------------------------------------------
 
@@ -105,23 +107,25 @@ class Library:
         docs = todo.select("url_hash", "platform", "category", "content_type", *[c.alias(k) for k, c in fields.items()], "source_hash", "enriched", F.current_timestamp().alias("indexed_at"))
         before = self.documents.read().count()
         stored = self.documents.overwrite(S.replace_children(self.documents.read(), docs, "url_hash"))
+        words, lengths = R.build_index(docs, "url_hash")
+        self.postings.overwrite(S.replace_children(self.postings.read(), words, "url_hash").repartitionByRange("token").sortWithinPartitions("token"))
+        self.lengths.overwrite(S.replace_children(self.lengths.read(), lengths, "url_hash"))
         people = F.flatten(F.array(*[F.coalesce(F.col(f"entities.{k}"), F.array()) for k in ("people", "organizations", "places", "products")]))
         kind = F.when(F.col("enriched"), F.concat(F.col("category"), F.lit("; type: "), F.col("content_type")))
         head = C.digest(F.col("title"), F.col("summary"), F.col("description"), F.coalesce("tags", "platform_tags"), people, kind, F.col("author"), F.col("platform"), F.col("caption"))
         text = C.body(F.col("caption"), F.col("visual_description"), F.col("ocr_text"), F.col("transcript"), F.col("article_text"))
-        fresh = docs.select("url_hash").distinct()
         made = C.chunks(todo.select("url_hash", head.alias("head"), "details", text.alias("text")), "url_hash", "head", "details", "text")
         chunks = self.chunks.overwrite(S.replace_children(self.chunks.read(), made, "url_hash"))
         vectors = self.vectors.read()
         if embed_chunks:
             new = embed(chunks.join(stored.select("url_hash"), "url_hash", "left_semi").join(vectors.filter(F.col("model") == self.model).select("url_hash"), "url_hash", "left_anti"), ["url_hash", "ordinal"], "text", self.model, self.dim, self.provider)
             vectors = self.vectors.overwrite(vectors.unionByName(new))
-        return {"documents": stored.count(), "added": stored.count() - before, "chunks": chunks.count(), "vectors": vectors.count(), "fresh": fresh.count() if force else 0}
+        return {"documents": stored.count(), "added": stored.count() - before, "chunks": chunks.count(), "vectors": vectors.count()}
 
     def forget(self, urls: DataFrame) -> None:
         """Removes urls(url) from every table."""
         gone = U.with_canonical(urls).select("url_hash").filter("url_hash IS NOT NULL")
-        for t in (self.envelopes, self.enrichments, self.documents, self.chunks, self.vectors):
+        for t in (self.envelopes, self.enrichments, self.documents, self.chunks, self.vectors, self.postings, self.lengths):
             t.forget(gone, "url_hash")
 
     # -- reading -----------------------------------------------------------------------
@@ -134,7 +138,7 @@ class Library:
             query = [float(x) for x in one.first()["embedding"]]
         vectors = self.vectors.read().filter((F.col("model") == self.model) & (F.col("dim") == self.dim)).withColumn("chunk", F.col("ordinal"))
         tagged = S.tag_rows(self.enrichments.read(), "url_hash")
-        hits = R.search(docs, vectors, "url_hash", "chunk", text, query, mode, None, limit, docs, tagged, tag, **equal)
+        hits = R.search(docs, vectors, "url_hash", "chunk", text, query, mode, None, limit, docs, tagged, tag, (self.postings.read(), self.lengths.read()), **equal)
         out = R.hydrate(hits, docs.select("url_hash", "title", "summary", "tags", "platform", "category"), "url_hash")
         best = self.chunks.read().select("url_hash", F.col("ordinal").alias("chunk"), X.excerpt(F.col("text")).alias("excerpt"))
         return out.join(best, ["url_hash", "chunk"], "left").orderBy("position")

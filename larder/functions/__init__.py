@@ -1 +1 @@
-
+"""Column functions: URLs, text, tags, envelopes, pricing, model calls."""

@@ -55,12 +55,17 @@ def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
     return out
 
 
-def _phrase_counts(tokens: Column, term: str, prefix: bool) -> Column:
-    """Occurrences of a term in a token array; a term that the index splits is a run of tokens."""
+def index_words(term: str) -> list[str]:
+    """A query term as the index tokenizer splits and folds it."""
     from unicodedata import category, combining, normalize
 
     folded = "".join(c for c in normalize("NFD", term.lower()) if not combining(c))
-    words = [w for w in "".join(c if category(c)[0] in "LN" or category(c) == "Co" else " " for c in folded).split()]
+    return "".join(c if category(c)[0] in "LN" or category(c) == "Co" else " " for c in folded).split()
+
+
+def _phrase_counts(tokens: Column, term: str, prefix: bool) -> Column:
+    """Occurrences of a term in a token array; a term that the index splits is a run of tokens."""
+    words = index_words(term)
     if not words:
         return F.lit(0)
     if len(words) == 1:
@@ -107,6 +112,59 @@ def bm25(docs: DataFrame, key: str, terms: list[tuple[str, bool]], fields: dict[
     return out if limit is None else out.orderBy(F.desc("score"), F.asc(key)).limit(limit)
 
 
+def build_index(docs: DataFrame, key: str, fields: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The stored form of the keyword index: postings(token, key, field, positions) and lengths(key, dl).
+
+    Written sorted by token, a query reads the row groups of its tokens alone; texts are tokenized
+    when they are indexed and never again.
+    """
+    fields = fields or FIELD_WEIGHTS
+    grouped = postings(docs, key, fields).groupBy("token", key, "field").agg(F.sort_array(F.collect_list("pos")).alias("positions"))  # one token of one field of one document
+    made = F.struct(*[F.size(index_tokens(F.coalesce(F.col(c), F.lit("")))).alias(f"_{i}") for i, c in enumerate(fields)])
+    lengths = docs.select(key, F.inline(F.array(made))).select(key, sum((F.col(f"_{i}") for i in range(len(fields))), F.lit(0)).cast("double").alias("dl"))
+    return grouped, lengths
+
+
+def bm25_from_index(index: tuple[DataFrame, DataFrame], key: str, terms: list[tuple[str, bool]], fields: dict[str, float] | None = None, limit: int | None = DEPTH, allowed: DataFrame | None = None) -> DataFrame:
+    """The same (key, score) as bm25, from a stored index: reads the terms' postings only.
+
+    A phrase meets the postings of its words by document and field.  Document frequencies are a row a term,
+    the length statistics one row.
+    """
+    fields = fields or FIELD_WEIGHTS
+    stored, lengths = index
+    weight = F.create_map(*[F.lit(x) for p in fields.items() for x in p])[F.col("field")]
+    found = []
+    for i, (term, prefix) in enumerate(terms):
+        words = index_words(term)
+        if not words:
+            continue
+        of = lambda w, p: stored.filter(F.col("token").startswith(w) if p else F.col("token") == w).select(key, "field", "positions")
+        rows = of(words[0], prefix and len(words) == 1)
+        for n, w in enumerate(words[1:], 1):
+            after = of(w, prefix and n == len(words) - 1).groupBy(key, "field").agg(F.flatten(F.collect_list("positions")).alias("_after"))
+            here = F.array_intersect("positions", F.transform("_after", _back(n)))
+            rows = rows.join(after, [key, "field"]).withColumn("positions", here).drop("_after").filter(F.size("positions") > 0)
+        found.append(rows.groupBy(key).agg(F.sum(F.size("positions") * weight).alias("f")).withColumn("term", F.lit(i)))
+    if not found:
+        return lengths.select(key, F.lit(0.0).alias("score")).limit(0)
+    hits = found[0]
+    for f in found[1:]:
+        hits = hits.unionByName(f)
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    scored = hits if allowed is None else hits.join(allowed.select(key), key, "left_semi")
+    scored = scored.join(F.broadcast(df), "term").join(lengths, key).crossJoin(F.broadcast(stats))  # a row a term, one row
+    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    one = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    out = scored.groupBy(key).agg(F.sum(one).alias("score"))
+    return out if limit is None else out.orderBy(F.desc("score"), F.asc(key)).limit(limit)
+
+
+def _back(n: int):
+    return lambda p: p - n
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Dot product of L2-normalized arrays; a zero vector stays as it is."""
     d = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -190,12 +248,12 @@ def keys_with_tag(tags: DataFrame, key: str, tag: str) -> DataFrame:
     return tags.filter(F.col("tag") == tag).select(key).distinct()
 
 
-def search(docs: DataFrame, vectors: DataFrame | None, key: str, chunk: str, text: str, query: list[float] | None = None, mode: str = "hybrid", fields: dict[str, float] | None = None, limit: int = 10, meta: DataFrame | None = None, tags: DataFrame | None = None, tag: str | None = None, **equal) -> DataFrame:
+def search(docs: DataFrame, vectors: DataFrame | None, key: str, chunk: str, text: str, query: list[float] | None = None, mode: str = "hybrid", fields: dict[str, float] | None = None, limit: int = 10, meta: DataFrame | None = None, tags: DataFrame | None = None, tag: str | None = None, index: tuple[DataFrame, DataFrame] | None = None, **equal) -> DataFrame:
     """(key, position, score, keyword_rank, vector_rank, sim, chunk): the whole search.
 
     Metadata filters act before each leg's depth.  A tag filter acts before the vector leg, and
     after the keyword leg's depth, which is observable.  Without vectors or a query vector hybrid search is
-    keyword search.
+    keyword search.  With a stored index the documents are not tokenized again.
     """
     if mode not in ("hybrid", "keyword", "vector"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -205,7 +263,8 @@ def search(docs: DataFrame, vectors: DataFrame | None, key: str, chunk: str, tex
     legs = {}
     sims = None
     if mode != "vector":
-        hits = bm25(docs, key, compile_query(text), fields, depth, by_meta)
+        terms = compile_query(text)
+        hits = bm25(docs, key, terms, fields, depth, by_meta) if index is None else bm25_from_index(index, key, terms, fields, depth, by_meta)
         hits = hits if by_tag is None else hits.join(by_tag, key, "left_semi")
         legs["keyword"] = (ranked(hits, key, "score"), KEYWORD_WEIGHT if mode == "hybrid" else 1.0)
     if mode != "keyword" and vectors is not None and query is not None:

@@ -54,6 +54,17 @@ def bm25_prefix(spark, d):
     return _ranked(R.bm25(_docs(spark, d), "doc_id", R.compile_query("erst thn"), BODY, 20), "score")
 
 
+def bm25_indexed(spark, d):
+    """The weighted search from a stored index instead of the texts."""
+    index = R.build_index(_docs(spark, d), "doc_id", TWO)
+    return _ranked(R.bm25_from_index(index, "doc_id", TERMS, TWO, 20), "score")
+
+
+def bm25_indexed_phrase(spark, d):
+    index = R.build_index(_docs(spark, d), "doc_id", BODY)
+    return _ranked(R.bm25_from_index(index, "doc_id", [("of_the", False)], BODY, 20), "score")
+
+
 def _good(spark, d):
     return read(spark, d, "labels").filter("quality = 1").select("doc_id").distinct()
 
@@ -158,20 +169,23 @@ _HYBRID = f"""WITH {bm25_sql('documents', 'doc_id', BODY_SQL, TERMS)}, {_SIMS},
     f AS (SELECT doc_id, sum(w / (60 + r)) AS score, min(r) AS best, min(r) FILTER (leg = 'k') AS keyword_rank, min(r) FILTER (leg = 'v') AS vector_rank FROM u GROUP BY doc_id),
     p AS (SELECT *, row_number() OVER (ORDER BY score DESC, best, doc_id) AS position FROM f)"""
 
+_PHRASE = r"""
+        WITH t AS (SELECT doc_id, ' ' || array_to_string([x FOR x IN regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+') IF x <> ''], '  ') || ' ' AS s,
+                          len([x FOR x IN regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+') IF x <> ''])::DOUBLE AS dl FROM documents),
+        tf AS (SELECT doc_id, dl, ((length(s) - length(replace(s, ' of  the ', ''))) / 9)::DOUBLE AS f FROM t),
+        st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl, count(*) FILTER (f > 0)::DOUBLE AS d FROM tf),
+        scored AS (SELECT doc_id, (CASE WHEN ln((n - d + 0.5) / (d + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - d + 0.5) / (d + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score FROM tf, st WHERE f > 0)
+        """ + _TOP(20)
 _ENGLISH = "WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"
 
 QUERIES = [
     Query("bm25_topk", bm25_topk, f"WITH {bm25_sql('documents', 'doc_id', BODY_SQL, TERMS)} {_TOP(10)}"),
     Query("bm25_weighted_columns", bm25_weighted_columns, f"WITH {bm25_sql('documents', 'doc_id', TWO_SQL, TERMS)} {_TOP(20)}"),
+    Query("bm25_indexed", bm25_indexed, f"WITH {bm25_sql('documents', 'doc_id', TWO_SQL, TERMS)} {_TOP(20)}"),
     Query("bm25_prefix", bm25_prefix, f"WITH {bm25_sql('documents', 'doc_id', BODY_SQL, R.compile_query('erst thn'))} {_TOP(20)}"),
     Query("bm25_filtered", bm25_filtered, f"WITH {bm25_sql('documents', 'doc_id', BODY_SQL, TERMS)} {_TOP(20, 'WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)')}"),
-    Query("bm25_phrase", bm25_phrase, r"""
-        WITH t AS (SELECT doc_id, ' ' || array_to_string([x FOR x IN regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+') IF x <> ''], '  ') || ' ' AS s,
-                          len([x FOR x IN regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+') IF x <> ''])::DOUBLE AS dl FROM documents),
-        tf AS (SELECT doc_id, dl, ((length(s) - length(replace(s, ' of  the ', ''))) / 9)::DOUBLE AS f FROM t),
-        st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl, count(*) FILTER (f > 0)::DOUBLE AS d FROM tf),
-        scored AS (SELECT doc_id, (CASE WHEN ln((n - d + 0.5) / (d + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - d + 0.5) / (d + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score FROM tf, st WHERE f > 0)
-        """ + _TOP(20)),
+    Query("bm25_phrase", bm25_phrase, _PHRASE),
+    Query("bm25_indexed_phrase", bm25_indexed_phrase, _PHRASE),
     Query("postings_stats", postings_stats, r"""
         WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+')) AS token FROM documents)
         SELECT token, count(*) AS occurrences, count(DISTINCT doc_id) AS docs FROM t WHERE token <> '' GROUP BY token"""),
