@@ -38,7 +38,7 @@ def seconds_to_free(events: DataFrame, service: str, ts: str, needed: int = 1) -
     """events with free_s: seconds until ``needed`` requests of the last minute have left the window."""
     out = events.withColumn("_at", micros(ts))
     w = Window.partitionBy(service).orderBy("_at").rangeBetween(-MINUTE, 0)
-    at = F.try_element_at(F.array_sort(F.collect_list("_at").over(w)), F.lit(needed))
+    at = F.nth_value("_at", needed).over(w)
     return out.withColumn("free_s", F.coalesce((at + MINUTE - F.col("_at")) / 1e6, F.lit(0.0))).drop("_at")
 
 

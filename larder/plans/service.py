@@ -112,6 +112,10 @@ QUERIES = [
     Query("late_tokens", late_tokens, """
         WITH g AS (SELECT *, sum((event_type <> 'view')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS request FROM events)
         SELECT user_id, request, arg_min(event_id, (ts, event_id)) AS event_id, sum(floor(value))::BIGINT AS tokens FROM g WHERE request > 0 GROUP BY user_id, request"""),
-    Query("run_ledger", run_ledger),
+    Query("run_ledger", run_ledger, """
+        WITH b AS (SELECT 'run-' || (event_id % 3) AS run, event_type <> 'error' AS success, CASE WHEN event_id % 4 <> 0 THEN value END AS total_ms FROM events),
+        s AS (SELECT run, round(count(*) FILTER (success) * 100.0 / count(*), 4) AS pct, round(coalesce(sum(total_ms), 0) / count(*), 4) AS ms FROM b GROUP BY run), f AS (SELECT ms AS m FROM s ORDER BY run LIMIT 1),
+        d AS (SELECT run, pct, round(ms - m, 4) AS diff, round((ms - m) * 100 / m, 4) AS rel, CASE WHEN round(ms - m, 4) > 0 THEN '+' ELSE '' END AS sign FROM s, f)
+        SELECT run, printf('%.1f%%', round(pct, 1)) AS success, CASE WHEN run = 'run-0' THEN 'BASELINE' ELSE sign || printf('%.1f', round(diff, 1)) || 'ms (' || sign || printf('%.1f', round(rel, 1)) || '%)' END AS delta FROM d"""),
     Query("host_dimension", host_dimension, "SELECT CASE WHEN regexp_extract(url, '([^./]+\\.[^./]+)/', 1) = 'example.com' THEN 'com' WHEN regexp_extract(url, '([^./]+\\.[^./]+)/', 1) = 'example.net' THEN 'net' ELSE 'other' END AS platform, count(*) AS pages FROM pages GROUP BY 1"),
 ]

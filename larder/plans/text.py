@@ -165,7 +165,7 @@ def number_cases(spark, d):
 
 def hashtags(spark, d):
     df = read(spark, d, "documents").select("doc_id", F.concat(F.lit("#Git #git #x "), F.regexp_replace("text", r" (\w{5})", " #$1")).alias("t"))
-    return df.select("doc_id", F.size(X.hashtags(F.col("t"))).alias("tags"), F.array_join(F.slice(X.hashtags(F.col("t")), 1, 3), ",").alias("first"))
+    return df.select("doc_id", F.size(X.hashtags(F.col("t"))).alias("tags"), F.sha2(F.array_join(F.array_sort(X.hashtags(F.col("t"))), ","), 256).alias("tag_hash"))
 
 
 # -- Tags ------------------------------------------------------------------------------
@@ -307,7 +307,9 @@ QUERIES = [
     Query("date_cases", date_cases, f"SELECT * FROM (VALUES {_values(_DATES)}) v(raw, parsed)"),
     Query("duration_cases", duration_cases, f"SELECT raw, seconds::DOUBLE AS seconds FROM (VALUES {_values(_SPANS)}) v(raw, seconds)"),
     Query("number_cases", number_cases, "SELECT * FROM (VALUES ('12.9', 12), ('1e3', 1000), ('nan', NULL), ('', NULL), ('x', NULL), ('-3.7', -3)) v(raw, whole)"),
-    Query("hashtags", hashtags),
+    Query("hashtags", hashtags, r"""
+        WITH t AS (SELECT doc_id, list_sort(list_distinct([lower(x) FOR x IN regexp_extract_all('#Git #git #x ' || regexp_replace(text, ' (\w{5})', ' #\1', 'g'), '#([A-Za-z0-9_]{2,60})', 1)])) AS l FROM documents)
+        SELECT doc_id, len(l)::INTEGER AS tags, sha256(array_to_string(l, ',')) AS tag_hash FROM t"""),
     Query("tag_slugs", tag_slugs, f"SELECT * FROM (VALUES {_values(_SLUGS)}) v(raw, slug)"),
     Query("tag_normalize", tag_normalize, "SELECT * FROM (VALUES (1, 'javascript,recipe,3d'), (2, ''), (3, '')) v(id, tags)"),
     Query("category_coerce", category_coerce, "SELECT * FROM (VALUES ('Food Cooking', 'food-cooking', 'other'), ('foodcooking', 'food-cooking', 'case-study'), ('AI ML', 'ai-ml', 'case-study'), ('nonsense', 'other', 'meme'), (NULL, 'other', 'other')) v(a, category, content_type)"),
