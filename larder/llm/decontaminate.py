@@ -22,17 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import WordHashes, bare, shingles, small_batches
+from larder.llm.common import shingles, small_batches
+from larder.llm.wordhash import WordArrays
 
 SEED = 4
 MATCH, MISS, GAP = 2, -1, -1
 _FILTER = 20
 
 
-def _words(text, words: WordHashes) -> np.ndarray:
-    return words.of((text or "").lower().split())
-
-
 class Seeds:
     """The seeds of a block of items: hashes, and the (item, position) of each."""
 
@@ -131,11 +128,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, co
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _hash().alias("text_hash"), "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.length(F.coalesce("text", F.lit(""))) > 0)
     n_docs, out = docs.count(), None
-    hasher = WordHashes(bare)
+    hasher = WordArrays(signs=False)
     held = []
 
     def block():
-        return _leaks_of(docs, [r["item_id"] for r in held], [_words(r["text"], hasher) for r in held], threshold, max(3, common * n_docs))
+        return _leaks_of(docs, [r["item_id"] for r in held], hasher.of([r["text"] for r in held]), threshold, max(3, common * n_docs))
 
     for r in items.toLocalIterator(prefetchPartitions=False):
         held.append(r)
@@ -155,10 +152,10 @@ def _leaks_of(docs: DataFrame, ids: list, items: list[np.ndarray], threshold: fl
         return docs.sparkSession.createDataFrame([], _LEAK)
 
     def count(batches):
-        words, total = WordHashes(bare), np.zeros(len(seeds.hashes), dtype=np.int64)
+        words, total = WordArrays(signs=False), np.zeros(len(seeds.hashes), dtype=np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                total[np.unique(seeds.hits(shingles(_words(t, words), SEED))[1])] += 1
+            for text in words.of(batch.column(0).to_pylist()):
+                total[np.unique(seeds.hits(shingles(text, SEED))[1])] += 1
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["seed", "docs"])
 
@@ -168,11 +165,11 @@ def _leaks_of(docs: DataFrame, ids: list, items: list[np.ndarray], threshold: fl
     seeds.use(seeds.rare(counts, common))
 
     def run(batches):
-        words = WordHashes(bare)
+        words = WordArrays(signs=False)
         for batch in batches:
             todo = []
-            for row, (doc, key, t) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
-                text = _words(t, words)
+            docs_in, keys_in, texts = (c.to_pylist() for c in batch.columns)
+            for row, (doc, key, text) in enumerate(zip(docs_in, keys_in, words.of(texts))):
                 at, seed = seeds.hits(shingles(text, SEED))
                 if len(at):
                     todo += [((doc, key), row, i, a, text[a:b]) for i, a, b in _windows(at, seed, seeds, len(text))]
