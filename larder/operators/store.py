@@ -81,6 +81,24 @@ def with_defaults(df: DataFrame, schema: dict[str, tuple[str, object]]) -> DataF
     return df
 
 
+def partial_update(old: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+    """old with the non-null columns of updates put in: a null leaves a value, it never clears one."""
+    mine = updates.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in updates.columns if c != key])
+    joined = old.join(mine, key, "left")
+    return joined.select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c != key and c in updates.columns else F.col(c) for c in old.columns])
+
+
+def open_jobs(jobs: DataFrame, done: tuple[str, ...] = ("ready", "failed")) -> DataFrame:
+    """Jobs that are still under way; the finished ones are cleared."""
+    return jobs.filter(~F.col("status").isin(*done))
+
+
+def interrupted(jobs: DataFrame, reason: str = "interrupted") -> DataFrame:
+    """Jobs as a restart finds them: what was queued or running has failed."""
+    cut = F.col("status").isin("queued", "running")
+    return jobs.withColumns({"error": F.when(cut, F.lit(reason)).otherwise(F.col("error")), "status": F.when(cut, "failed").otherwise(F.col("status"))})
+
+
 def first_per_group(df: DataFrame, group: str, order: list, n: int) -> DataFrame:
     """The first n rows of each group (the window is pruned by WindowGroupLimit before the shuffle)."""
     w = Window.partitionBy(group).orderBy(*order)

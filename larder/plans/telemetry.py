@@ -163,8 +163,24 @@ def job_states(spark, d):
 
 def interrupted_jobs(spark, d):
     """Jobs that were still running when the service stopped count as failed."""
-    j = job_states(spark, d)
-    return j.select("user_id", F.when(F.col("status").isin("queued", "running"), "failed").otherwise(F.col("status")).alias("status"), F.when(F.col("status").isin("queued", "running"), "interrupted").alias("error"))
+    from larder.operators.store import interrupted
+
+    return interrupted(job_states(spark, d).withColumn("error", F.lit(None).cast("string"))).select("user_id", "status", "error")
+
+
+def job_updates(spark, d):
+    """Jobs with a stage and an error put in where an update has one, and the open ones left."""
+    from larder.operators.store import open_jobs, partial_update
+
+    jobs = job_states(spark, d).select("user_id", "status", F.lit("extracting").alias("stage"), F.lit("old").alias("error"))
+    u = jobs.select("user_id", F.when(F.col("user_id") % 2 == 0, "indexing").alias("stage"), F.when(F.col("user_id") % 3 == 0, "slow").alias("error"))
+    return open_jobs(partial_update(jobs, u, "user_id"))
+
+
+def recent_jobs(spark, d):
+    from larder.operators.store import page
+
+    return page(job_states(spark, d).filter("status = 'failed'").select("user_id", "event_id"), [F.desc("event_id")], 20)
 
 
 def video_cost(spark, d):
@@ -237,6 +253,12 @@ QUERIES = [
     Query("interrupted_jobs", interrupted_jobs, """
         WITH j AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'ready' ELSE 'running' END AS status FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
         SELECT user_id, CASE status WHEN 'running' THEN 'failed' ELSE status END AS status, CASE status WHEN 'running' THEN 'interrupted' END AS error FROM j"""),
+    Query("job_updates", job_updates, """
+        WITH j AS (SELECT user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+        SELECT user_id, 'running' AS status, CASE WHEN user_id % 2 = 0 THEN 'indexing' ELSE 'extracting' END AS stage, CASE WHEN user_id % 3 = 0 THEN 'slow' ELSE 'old' END AS error FROM j WHERE event_type NOT IN ('error', 'purchase')"""),
+    Query("recent_jobs", recent_jobs, """
+        WITH j AS (SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+        SELECT user_id, event_id FROM j WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 20"""),
     Query("video_cost", video_cost, f"SELECT event_id, {_TOK(70)} AS tokens, {_TOK(280)} AS high_tokens, round((({_TOK(70)}) * 0.3 + 500 * 2.5) / 1000000, 8) AS cost_usd FROM events"),
     Query("mode_decision", mode_decision, """
         WITH m AS (SELECT event_id, value * 20 AS s, CASE WHEN event_id % 3 <> 0 AND (event_type = 'view' OR user_id % 2 = 0) AND value * 20 <= 1800 THEN 'media' ELSE 'metadata' END AS mode FROM events)
