@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,28 +64,6 @@ def _lengths(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-class WordHashes(dict):
-    """Word -> eight bytes of its 64-bit hash; begins anew when it holds ``most`` words.
-
-    ``normal`` maps a white-space-delimited chunk to the word that counts; an empty result
-    makes the chunk vanish.
-    """
-
-    def __init__(self, normal=None, most: int = 500_000):
-        super().__init__()
-        self.normal, self.most = normal, most
-
-    def __missing__(self, chunk: str) -> bytes:
-        word = self.normal(chunk) if self.normal else chunk
-        if len(self) >= self.most:
-            self.clear()
-        out = self[chunk] = xxhash.xxh3_64_digest(word.encode("utf-8", "surrogatepass"))[::-1] if word else b""
-        return out
-
-    def of(self, chunks: list[str]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, chunks)), dtype="<u8")
-
-
 _NOT_WORD = re.compile(r"[\W_]+")
 
 

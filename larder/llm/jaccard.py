@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import WordHashes, shingles, small_batches, table
+from larder.llm.common import shingles, small_batches, table
 from larder.llm.components import components
+from larder.llm.wordhash import WordArrays
 
 TREES, DEPTH = 16, 8
 #: Texts in a block, and shingles in a block.
@@ -72,21 +73,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
 
 
-def text_shingles(text: str, words: WordHashes, n: int) -> np.ndarray:
-    """The distinct shingles of a text, sorted."""
-    return np.unique(shingles(words.of(text.lower().split()), n))
-
-
 def signatures(docs: DataFrame, n: int, depth: int) -> DataFrame:
     """doc_id, node (the text's hash), keys (a prefix of each tree) and sketch of every row; no shuffle."""
     small_batches(docs.sparkSession)
 
     def run(batches):
-        words = WordHashes()
+        words = WordArrays()
         for batch in batches:
             keys, sketches = [], []
-            for t in batch.column(2).to_pylist():
-                sig = signature(shingles(words.of(t.lower().split()), n))
+            for found in words.of(batch.column(2).to_pylist()):
+                sig = signature(shingles(found, n))
                 keys.append(prefixes(sig, depth).view(np.int64))
                 sketches.append(sketch(sig))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "node", "keys", "sketch"])
@@ -190,9 +186,9 @@ def verified(texts: DataFrame, n: int, threshold: float) -> DataFrame:
     small_batches(texts.sparkSession)
 
     def make(batches):
-        words = WordHashes()
+        words = WordArrays()
         for batch in batches:
-            sets = [text_shingles(t, words, n) for t in batch.column(2).to_pylist()]
+            sets = [np.unique(shingles(found, n)) for found in words.of(batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["root", "node", "size", "shingles"])
 
     made = table(texts.select("root", "node", "text").mapInArrow(make, "root long, node long, size long, shingles binary"), "shingles")

@@ -12,7 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from larder.llm import audio, chat, components, decontaminate, jaccard, licences, lines, packing, queries, sharding, toxicity, warc
-from larder.llm.common import WordHashes, bare, checkpoint_root
+from larder.llm.common import bare, checkpoint_root
+from larder.llm.wordhash import WordArrays
 from tests.conftest import SF
 from tests.oracle import connection, same
 
@@ -366,9 +367,18 @@ def test_packing_is_whole(spark):
     assert sorted(r["sequence_id"] for r in rows) == list(range(len(rows)))
 
 
-def test_words_without_signs():
-    w = WordHashes(bare)
-    assert list(w.of(["Hi,", "--", "hi"])) != [] and len(w.of(["--"])) == 0
+@pytest.mark.parametrize("signs", [True, False])
+def test_word_arrays(spark, signs):
+    """As many words as Python sees, equal hashes for equal words alone."""
+    odd = ["", " ", "Hi, -- hi", "a\xa0b \u00abc\u00bb \u00bfqu\u00e9? \u0130 \u03a3\u0391\u03a3 x\u00b2", "a\x1cb\u2003c\u3000d", "\u201cq\u201d w\u2014v", None, "\u00e9 \u00c9 e-e _x_ 3.5", "x" * 100_000]
+    texts = odd + [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    hash_of, word_of = {}, {}
+    for text, found in zip(texts, WordArrays(signs, block=5000).of(texts)):
+        words = (text or "").lower().split()
+        words = words if signs else [w for w in map(bare, words) if w]
+        assert len(words) == len(found)
+        for w, h in zip(words, found.tolist()):
+            assert hash_of.setdefault(w, h) == h and word_of.setdefault(h, w) == w
 
 
 def test_pipeline(spark):
