@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Every run of four words of a test item is a possible seed.  One pass over the corpus counts the documents
-that hold each; seeds that are common in the corpus are left out, but an item always keeps the rarer half
-of its own.  A second pass finds seeds, opens a window of the document around the diagonal of
-each hit, and aligns item and window word by word.  Scores are parts of the item's best
+Every run of four words of a test item is a seed.  One pass over the corpus counts the documents
+that hold each.  A second pass finds seeds and opens a window of the document around the diagonal of
+each hit.  Windows with a rare seed are aligned with the item word by word; windows with common seeds
+alone are so too unless they hold too few words of the item for any alignment to reach the threshold, so no
+passage is lost however many documents repeat it.  Scores are parts of the item's best
 possible score, so edited and paraphrased copies stay above the threshold and chance does not.
 
 Benchmark items go to the tasks in blocks of at most ``block_items`` (a pass of the corpus each),
@@ -42,36 +43,26 @@ class Seeds:
         self.item = np.repeat(np.arange(len(items)), [len(g) for g in grams])[order]
         self.position = np.concatenate([np.arange(len(g)) for g in grams] or [np.zeros(0, int)]).astype(np.int64)[order]
         self.begins = np.searchsorted(where[order], np.arange(len(self.hashes) + 1))
-        self.use()
-
-    def use(self, kept: np.ndarray | None = None) -> None:
-        """Only these seeds are looked for from now on."""
-        self.kept = np.ones(len(self.hashes), bool) if kept is None else kept
+        self.rare = np.ones(len(self.hashes), bool)
         self.filter = np.zeros(1 << _FILTER, dtype=bool)
-        self.filter[self._low(self.hashes[self.kept])] = True
+        self.filter[self._low(self.hashes)] = True
 
     @staticmethod
     def _low(h: np.ndarray) -> np.ndarray:
         return (h & np.uint64((1 << _FILTER) - 1)).astype(np.int64)
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of grams that are kept seeds, and which."""
+        """Positions of grams that are seeds, and which."""
         at = np.flatnonzero(self.filter[self._low(grams)])
         if not len(at):
             return at, at
         seed = np.minimum(np.searchsorted(self.hashes, grams[at]), len(self.hashes) - 1)
-        ok = (self.hashes[seed] == grams[at]) & self.kept[seed]
+        ok = self.hashes[seed] == grams[at]
         return at[ok], seed[ok]
 
-    def rare(self, counts: np.ndarray, common: float) -> np.ndarray:
-        """Seeds in at most ``common`` documents, and the rarer half of each item's."""
-        kept = counts <= common
-        seed_of = np.repeat(np.arange(len(self.hashes)), np.diff(self.begins))
-        for i in range(len(self.items)):
-            mine = seed_of[self.item == i]
-            if len(mine):
-                kept[mine[counts[mine] <= np.median(counts[mine])]] = True
-        return kept
+    def may_reach(self, item: int, window: np.ndarray, threshold: float) -> bool:
+        """Whether the window has so many of the item's words that an alignment could reach the threshold."""
+        return MATCH * np.isin(self.items[item], window).sum() >= threshold * MATCH * len(self.items[item])
 
 
 def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,29 +90,32 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return best, end
 
 
-def _windows(at: np.ndarray, seed: np.ndarray, seeds: Seeds, n_words: int) -> list[tuple[int, int, int]]:
-    """(item, first, last) windows of a document that hits ask for, each once."""
+def _windows(at: np.ndarray, seed: np.ndarray, seeds: Seeds, n_words: int) -> list[tuple[int, int, int, bool]]:
+    """(item, first, last, whether a rare seed is in it) windows of a document that hits ask for, each once."""
     reps = np.diff(seeds.begins)[seed]
     rows = np.repeat(seeds.begins[seed] - np.cumsum(reps) + reps, reps) + np.arange(int(reps.sum()))
     item, diagonal = seeds.item[rows], np.repeat(at, reps) - seeds.position[rows]
     order = np.lexsort((diagonal, item))
-    out: list[list[int]] = []
-    for i, d in zip(item[order].tolist(), diagonal[order].tolist()):
+    rare = np.repeat(seeds.rare[seed], reps)
+    out: list[list] = []
+    for i, d, sure in zip(item[order].tolist(), diagonal[order].tolist(), rare[order].tolist()):
         m = len(seeds.items[i])
         slack = m // 2 + 8
         first, last = max(0, d - slack), min(n_words, d + m + slack)
         if out and out[-1][0] == i and d - out[-1][3] <= slack:
             out[-1][2] = max(out[-1][2], last)
             out[-1][3] = d if last - out[-1][1] > 4 * m + 64 else out[-1][3]
+            out[-1][4] |= sure
         else:
-            out.append([i, first, last, d])
-    return [(i, a, b) for i, a, b, _ in out]
+            out.append([i, first, last, d, sure])
+    return [(i, a, b, sure) for i, a, b, _, sure in out]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, common: float = 0.001, block_items: int = 2000) -> DataFrame:
     """doc_id, text_hash, item_id, score, first_word and last_word (exclusive) of every aligned passage.
 
-    One row for each document and item: the best alignment.
+    One row for each document and item: the best alignment.  Seeds in at most ``common`` (a share) of the documents, or
+    in three, are rare; that changes the work alone, never the rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -162,7 +156,7 @@ def _leaks_of(docs: DataFrame, ids: list, items: list[np.ndarray], threshold: fl
     found = docs.select("text").mapInArrow(count, "seed int, docs long").groupBy("seed").agg(F.sum("docs").alias("docs")).toArrow()
     counts = np.zeros(len(seeds.hashes), dtype=np.int64)
     counts[found["seed"].to_numpy()] = found["docs"].to_numpy()
-    seeds.use(seeds.rare(counts, common))
+    seeds.rare = counts <= common
 
     def run(batches):
         words = WordArrays(signs=False)
@@ -172,7 +166,7 @@ def _leaks_of(docs: DataFrame, ids: list, items: list[np.ndarray], threshold: fl
             for row, (doc, key, text) in enumerate(zip(docs_in, keys_in, words.of(texts))):
                 at, seed = seeds.hits(shingles(text, SEED))
                 if len(at):
-                    todo += [((doc, key), row, i, a, text[a:b]) for i, a, b in _windows(at, seed, seeds, len(text))]
+                    todo += [((doc, key), row, i, a, text[a:b]) for i, a, b, sure in _windows(at, seed, seeds, len(text)) if sure or seeds.may_reach(i, text[a:b], threshold)]
             yield _aligned(todo, seeds.items, ids, threshold)
 
     return docs.mapInArrow(run, _LEAK)

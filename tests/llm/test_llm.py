@@ -229,6 +229,25 @@ def test_decontamination_finds_edited_copies(spark):
         assert got == want
 
 
+def test_decontamination_finds_passages_that_many_documents_repeat(spark):
+    rng = random.Random(8)
+    words = [f"t{i}" for i in range(3000)]
+    items = [rng.choices(words, k=40) for _ in range(4)]
+    every_seventh = [w if k % 7 else "edited" for k, w in enumerate(items[0])]
+    every_sixth = [w if k % 6 else "edited" for k, w in enumerate(items[3])]
+    # Item 0 edited only, item 1 in part only, item 2 whole and in part, item 3 whole and edited: each in far more documents than a rare seed.
+    kinds = [(0, every_seventh), (1, items[1][:21]), (2, items[2]), (2, items[2][:24]), (3, items[3]), (3, every_sixth), (None, [])]
+    docs, want = [], set()
+    for i in range(210):
+        j, passage = kinds[i % 7]
+        text = rng.choices(words, k=100)
+        text[50:50] = passage
+        want |= {(i, j)} if passage else set()
+        docs.append((i, " ".join(text)))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(d, b).collect()} == want
+
+
 def test_alignment_against_plain_dynamic_program():
     rng = np.random.default_rng(2)
     for _ in range(30):
