@@ -8,7 +8,8 @@ that training has not seen; a family counts only if its calibrated probability r
 and a template of that family is close to the paragraph, otherwise the paragraph is unknown.
 
 A paragraph is a line.  Every line of every text is classified: features hold a word of the
-licence vocabulary, so a line without such a word has no feature and is background.
+licence vocabulary (all words of the templates but plain ones, however frequent in the corpus), so a line
+without such a word has no feature and is background.  Lines close to a template are never background to learn from.
 
 Defined results: a null or empty text is one empty paragraph without a licence; repeated rows give a row
 each; an empty table gives an empty result; further columns are ignored.
@@ -136,17 +137,19 @@ def closeness(words: list[str], family: str) -> float:
     return best
 
 
+def licence_like(words: list[str], least: float = 0.5) -> bool:
+    """Whether a template of any family is so close: no background to learn from."""
+    return any(closeness(words, family) >= least for family in TEMPLATES)
+
+
 def fit(background: list[str], each: int = 60, steps: int = 400, seed: int = 3) -> Model:
     """Trains on altered templates; fits the temperature on others."""
     rng = np.random.default_rng(seed)
     classes = [BACKGROUND, UNKNOWN, *TEMPLATES]
-    common = Counter(w for p in background for w in set(words_of(p)))
-    limit = max(2, len(background) // 200)
-    rare = {w for texts in TEMPLATES.values() for t in texts for w in words_of(t) if common[w] <= limit} | {"licence"}
     plain = {"in", "of", "the", "to", "or", "for", "is", "a", "any", "by", "this", "at", "that", "as", "are", "an", "no", "you", "may", "not", "with", "and", "be", "from", "it", "was", "part", "met"}
-    rare = frozenset(rare - plain)
+    rare = frozenset({w for texts in TEMPLATES.values() for t in texts for w in words_of(t)} - plain | {"licence"})
     templates = {t for texts in TEMPLATES.values() for t in texts}
-    background = [p for p in background if rare.isdisjoint(words_of(p)) or not any(closeness(words_of(p), f) >= 0.5 for f in TEMPLATES)]
+    background = [p for p in background if not licence_like(words_of(p))]
 
     def made(n):
         rows = [(BACKGROUND, p) for p in [*background[: 20 * n], *NEAR_MISSES * (n // 4)] if p not in templates]

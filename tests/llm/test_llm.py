@@ -335,6 +335,17 @@ def test_licences_by_family(spark):
     assert model.classify("plain words")[0] == licences.BACKGROUND
 
 
+def test_licence_lines_that_a_third_of_the_documents_carry(spark):
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(400)]
+    prose = lambda: " ".join(rng.choices(words, k=12))
+    frequent, seldom = "Licensed under the Apache License, Version 2.0.", "Licensed under the MIT license."
+    docs = [(i, "\n".join([*([frequent] if i % 3 == 0 else [seldom] if i == 100 else []), prose(), prose()])) for i in range(300)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: [(x["paragraph"], x["family"]) for x in r["found"]] for r in licences.scan(d, licences.train(d)).collect()}
+    assert got == {i: [(0, "apache-2.0")] if i % 3 == 0 else [(0, "mit")] if i == 100 else [] for i in range(300)}
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "<p>" + "same " * 40
     rows = [(1, "http://a", long), (2, "http://b\r\nX: y", long), (3, None, long), (None, "http://n", long), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (7, "é", "\x1f\x8b\x08 " + "é" * 90), (1, "http://a", long)]
