@@ -7,7 +7,10 @@ paragraphs of made-up licences, the unknown class.  Its temperature is fitted on
 that training has not seen; a family counts only if its calibrated probability reaches ``sure``
 and a template of that family is close to the paragraph, otherwise the paragraph is unknown.
 
-A paragraph is a line.  Every line of every text is classified: features hold a word of the
+Every line of every text is classified, and so is every run of consecutive lines without a blank one between them
+(a line without words is blank, so comment marks are no matter) of at most ``MOST_WORDS`` words that comes close to a template:
+hard-wrapped notices are judged whole.  Of results that share lines the closest to its template
+is reported, at its first line; a run must gain ``GAIN`` over what its lines say alone.  Features hold a word of the
 licence vocabulary (all words of the templates but plain ones, however frequent in the corpus), so a line
 without such a word has no feature and is background.  Lines close to a template are never background to learn from.
 
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,6 +62,12 @@ NEAR_MISSES = [
     "The mozilla logo was redrawn, and the binary star was photographed again.",
 ]
 BACKGROUND, UNKNOWN = "background", "unknown"
+#: Words of the templates that tell nothing.
+PLAIN = {"in", "of", "the", "to", "or", "for", "is", "a", "any", "by", "this", "at", "that", "as", "are", "an", "no", "you", "may", "not", "with", "and", "be", "from", "it", "was", "part", "met"}
+#: The longest run of lines, in words (the longest template has half as many), and what it must gain in closeness.
+MOST_WORDS, GAIN = 80, 0.1
+#: So many lines after the sampled ones are read to tell a wrapped notice from background.
+MOST_LINES = 16
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
@@ -125,29 +135,93 @@ class Model:
             name = UNKNOWN
         return name, float(p[best]), near
 
+    def classify_lines(self, lines: list[str], known: dict[str, tuple] | None = None) -> list[tuple[int, str, float, float]]:
+        """First line, class, probability and closeness of the lines and runs of lines that are not background."""
+        known = {} if known is None else known
+
+        def cached(paragraph):
+            if paragraph not in known:
+                if len(known) > 50_000:
+                    known.clear()
+                known[paragraph] = self.classify(paragraph)
+            return known[paragraph]
+
+        alone = [cached(line) for line in lines]
+        found = [(i, i + 1, *x) for i, x in enumerate(alone) if x[0] != BACKGROUND]
+        for i, j, _ in runs([words_of(line) for line in lines], self.close):
+            name, p, near = cached(" ".join(lines[i:j]))
+            quiet = all(x[0] == BACKGROUND for x in alone[i:j])
+            if name not in (BACKGROUND, UNKNOWN) or name == UNKNOWN and quiet and p >= self.sure and near == 0:
+                found.append((i, j, name, p, near))
+        # The closest first, short runs before long ones.
+        found.sort(key=lambda x: (x[2] == UNKNOWN, -round(x[4] - (GAIN if x[1] - x[0] > 1 else 0), 9), x[1] - x[0], x[0]))
+        taken, out = np.zeros(len(lines), bool), []
+        for i, j, name, p, near in found:
+            if not taken[i:j].any():
+                taken[i:j] = True
+                out.append((i, name, p, near))
+        return sorted(out)
+
+
+def _parts(words: list[str]) -> set[tuple]:
+    return set(zip(words, words[1:])) | {(w,) for w in words}
+
+
+_TEMPLATE_PARTS = {family: [_parts(words_of(t)) for t in texts] for family, texts in TEMPLATES.items()}
+
+
+#: Only lines with such a word can be other than background.
+GATE = frozenset({w for texts in TEMPLATES.values() for t in texts for w in words_of(t)} - PLAIN | {"licence"})
+
+
+def runs(words: list[list[str]], least: float) -> Iterator[tuple[int, int, list[str]]]:
+    """First line, end and words of the runs of two or more lines that are so close to a template."""
+    marked = np.concatenate([[0], np.cumsum([not GATE.isdisjoint(w) for w in words])]).tolist()
+    stop, n = 0, 0
+    for i in range(len(words)):
+        if stop < i:
+            stop, n = i, 0
+        while stop < len(words) and words[stop] and n + len(words[stop]) <= MOST_WORDS:
+            n += len(words[stop])
+            stop += 1
+        # What is not close in the longest run is not in a shorter one.
+        if stop - i > 1 and marked[stop] > marked[i] and licence_like([w for x in words[i:stop] for w in x], least):
+            for j in range(i + 2, stop + 1):
+                run = [w for x in words[i:j] for w in x]
+                if marked[j] > marked[i] and licence_like(run, least):
+                    yield i, j, run
+        n -= len(words[i]) if stop > i else 0
+
+
+def not_licences(lines: list[str], least: float = 0.5) -> list[int]:
+    """The lines in no passage close to a template; of passages that share lines the closest counts."""
+    words = [words_of(line) for line in lines]
+    close = [(i, i + 1, w) for i, w in enumerate(words) if licence_like(w, least)] + list(runs(words, least))
+    close.sort(key=lambda x: (-max(closeness(x[2], f) for f in TEMPLATES), x[1] - x[0], x[0]))
+    taken = np.zeros(len(lines), bool)
+    for i, j, _ in close:
+        if not taken[i:j].any():
+            taken[i:j] = True
+    return np.flatnonzero(~taken).tolist()
+
 
 def closeness(words: list[str], family: str) -> float:
-    """The largest share of a template's word pairs that the paragraph has."""
-    mine = set(zip(words, words[1:])) | {(w,) for w in words}
-    best = 0.0
-    for t in TEMPLATES[family]:
-        w = words_of(t)
-        theirs = set(zip(w, w[1:])) | {(x,) for x in w}
-        best = max(best, len(mine & theirs) / len(theirs))
-    return best
+    """The largest share of a template's words and word pairs that the paragraph has."""
+    mine = _parts(words)
+    return max(len(mine & theirs) / len(theirs) for theirs in _TEMPLATE_PARTS[family])
 
 
 def licence_like(words: list[str], least: float = 0.5) -> bool:
     """Whether a template of any family is so close: no background to learn from."""
-    return any(closeness(words, family) >= least for family in TEMPLATES)
+    mine = _parts(words)
+    return any(len(mine & theirs) >= least * len(theirs) for family in _TEMPLATE_PARTS.values() for theirs in family)
 
 
 def fit(background: list[str], each: int = 60, steps: int = 400, seed: int = 3) -> Model:
     """Trains on altered templates; fits the temperature on others."""
     rng = np.random.default_rng(seed)
     classes = [BACKGROUND, UNKNOWN, *TEMPLATES]
-    plain = {"in", "of", "the", "to", "or", "for", "is", "a", "any", "by", "this", "at", "that", "as", "are", "an", "no", "you", "may", "not", "with", "and", "be", "from", "it", "was", "part", "met"}
-    rare = frozenset({w for texts in TEMPLATES.values() for t in texts for w in words_of(t)} - plain | {"licence"})
+    rare = GATE
     templates = {t for texts in TEMPLATES.values() for t in texts}
     background = [p for p in background if not licence_like(words_of(p))]
 
@@ -199,8 +273,10 @@ def fit(background: list[str], each: int = 60, steps: int = 400, seed: int = 3)
 def train(docs: DataFrame, most_background: int = 2000) -> Model:
     """A model whose background comes from the texts with the smallest hashes of their ids (a bounded sample)."""
     ids = docs.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_background // 4)
-    some = docs.select("doc_id", F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, 4).alias("lines")).join(F.broadcast(ids), "doc_id")
-    lines = [line[:500] for r in some.select("lines").collect() for line in r["lines"]]
+    some = docs.select("doc_id", F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, 4 + MOST_LINES).alias("lines")).join(F.broadcast(ids), "doc_id")
+    heads = some.select(F.transform("lines", lambda x: F.substring(x, 1, 500)).alias("lines")).collect()
+    # The lines after the fourth only show whether the first ones belong to a wrapped notice.
+    lines = [r["lines"][i] for r in heads for i in not_licences(r["lines"]) if i < 4]
     return fit(sorted(lines)[:most_background])
 
 
@@ -217,14 +293,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                 lines = (t or "").split("\n")
                 mine = []
                 if not model.rare.isdisjoint(_WORD.findall((t or "").lower())):
-                    for i, line in enumerate(lines):
-                        if line not in known:
-                            if len(known) > 50_000:
-                                known.clear()
-                            known[line] = model.classify(line)
-                        name, p, near = known[line]
-                        if name != BACKGROUND:
-                            mine.append({"paragraph": i, "family": name, "probability": p, "closeness": near})
+                    mine = [{"paragraph": i, "family": name, "probability": p, "closeness": near} for i, name, p, near in model.classify_lines(lines, known)]
                 counts.append(len(lines))
                 found.append(mine)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(found, kind)], names=["doc_id", "n_paragraphs", "found"])

@@ -346,6 +346,36 @@ def test_licence_lines_that_a_third_of_the_documents_carry(spark):
     assert got == {i: [(0, "apache-2.0")] if i % 3 == 0 else [(0, "mit")] if i == 100 else [] for i in range(300)}
 
 
+GPL_3 = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+WRAPPED = {
+    "gpl-3.0": GPL_3,
+    "bsd-3-clause": ["Redistribution and use in source and binary", "forms, with or without modification, are", "permitted provided that the following", "conditions are met:"],
+    "mit": ["Permission is hereby granted, free of charge, to any", "person obtaining a copy of this software and", "associated documentation files (the Software), to deal"],
+    "apache-2.0": ["Licensed under the", "Apache License,", "Version 2.0."],
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_hard_wrapped_licences(spark, mark):
+    prose = ["the house is green and old", "a story of two rivers"]
+    model = licences.fit(prose * 40)
+    docs = [(i, "\n".join([prose[0], mark, *(mark + x for x in lines), mark, prose[1]])) for i, lines in enumerate(WRAPPED.values())]
+    docs.append((9, "\n".join(["Licensed under the MIT license.", "Licensed under the Apache License, Version 2.0.", *prose])))
+    got = {r["doc_id"]: [(x["paragraph"], x["family"]) for x in r["found"] if x["family"] != licences.UNKNOWN] for r in licences.scan(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    assert got.pop(9) == [(0, "mit"), (1, "apache-2.0")]
+    assert {k: [f for _, f in v] for k, v in got.items()} == {i: [family] for i, family in enumerate(WRAPPED)}
+
+
+def test_wrapped_licence_that_a_third_of_the_documents_carry(spark):
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(400)]
+    prose = lambda: " ".join(rng.choices(words, k=12))
+    docs = [(i, "\n".join([*(GPL_3 if i % 3 == 0 else []), prose(), prose()])) for i in range(300)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: [(x["paragraph"], x["family"]) for x in r["found"]] for r in licences.scan(d, licences.train(d)).collect()}
+    assert got == {i: [(0, "gpl-3.0")] if i % 3 == 0 else [] for i in range(300)}
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "<p>" + "same " * 40
     rows = [(1, "http://a", long), (2, "http://b\r\nX: y", long), (3, None, long), (None, "http://n", long), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (7, "é", "\x1f\x8b\x08 " + "é" * 90), (1, "http://a", long)]
