@@ -12,7 +12,7 @@ so what a task holds has a fixed bound however large the benchmark is.  Nothing
 seed counts.
 
 Defined results: null and empty texts and items have no words and never meet; items of fewer than four
-words are a seed as a whole; repeated rows give a row each, repeated items too; an empty table on
+words are a seed as a whole, found anywhere in a text; repeated rows give a row each, repeated items too; an empty table on
 either side gives an empty result; further columns are ignored.
 """
 
@@ -38,6 +38,7 @@ class Seeds:
         grams = [shingles(w, SEED) for w in items]
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         self.items = items
+        self.sizes = sorted({min(SEED, len(w)) for w in items if len(w)})
         self.hashes, where = np.unique(flat, return_inverse=True)
         order = np.argsort(where, kind="stable")
         self.item = np.repeat(np.arange(len(items)), [len(g) for g in grams])[order]
@@ -51,6 +52,13 @@ class Seeds:
     def _low(h: np.ndarray) -> np.ndarray:
         return (h & np.uint64((1 << _FILTER) - 1)).astype(np.int64)
 
+    def find(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of a text's runs that are seeds, and which; items shorter than a seed are looked for at their own length."""
+        found = [self.hits(shingles(text, n)) for n in self.sizes if n <= len(text)]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*found))
+
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of grams that are seeds, and which."""
         at = np.flatnonzero(self.filter[self._low(grams)])
@@ -149,7 +157,7 @@ def _leaks_of(docs: DataFrame, ids: list, items: list[np.ndarray], threshold: fl
         words, total = WordArrays(signs=False), np.zeros(len(seeds.hashes), dtype=np.int64)
         for batch in batches:
             for text in words.of(batch.column(0).to_pylist()):
-                total[np.unique(seeds.hits(shingles(text, SEED))[1])] += 1
+                total[np.unique(seeds.find(text)[1])] += 1
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["seed", "docs"])
 
@@ -164,7 +172,7 @@ def _leaks_of(docs: DataFrame, ids: list, items: list[np.ndarray], threshold: fl
             todo = []
             docs_in, keys_in, texts = (c.to_pylist() for c in batch.columns)
             for row, (doc, key, text) in enumerate(zip(docs_in, keys_in, words.of(texts))):
-                at, seed = seeds.hits(shingles(text, SEED))
+                at, seed = seeds.find(text)
                 if len(at):
                     todo += [((doc, key), row, i, a, text[a:b]) for i, a, b, sure in _windows(at, seed, seeds, len(text)) if sure or seeds.may_reach(i, text[a:b], threshold)]
             yield _aligned(todo, seeds.items, ids, threshold)

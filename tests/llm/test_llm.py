@@ -248,6 +248,13 @@ def test_decontamination_finds_passages_that_many_documents_repeat(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(d, b).collect()} == want
 
 
+def test_decontamination_finds_short_items_inside_longer_texts(spark):
+    d = spark.createDataFrame([(1, "one two three four five six"), (2, "Two, three!"), (3, "three two one"), (4, "six"), (5, "seven eight nine ten"), (6, "")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "two three"), (2, "six"), (3, "four five six"), (4, "seven eight nine ten")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["first_word"], r["last_word"]) for r in decontaminate.find_leaks(d, b).collect() if r["score"] == 1)
+    assert got == [(1, 1, 1, 3), (1, 2, 5, 6), (1, 3, 3, 6), (2, 1, 0, 2), (4, 2, 0, 1), (5, 4, 0, 4)]
+
+
 def test_alignment_against_plain_dynamic_program():
     rng = np.random.default_rng(2)
     for _ in range(30):
