@@ -1,12 +1,17 @@
 """Contiguous shards of nearly equal bytes, from global prefix sums.
 
-Rows are range-partitioned by id and sorted; each partition reports its bytes and rows;
-prefix sums over those totals place every row on one line, which is cut at equal targets.
+Rows are range-partitioned by id and sorted; each partition numbers its rows and sums up their bytes;
+prefix sums over the partitions' totals place every row on one line, which is cut at equal targets.
 A row goes where its middle lies, so a shard misses its target by a row's size at most.
 
+Texts are measured once and never moved: what is shuffled and stored has three numbers a row.  One pass
+through Python adds up sizes within a partition; all else is plain expressions.  What is broadcast has a row
+for each partition (their number is a setting) and a row for each shard.
+
 Defined results: null texts count as no bytes, null ids come first, ties and repeated
-rows are ordered by checksum and size; more shards than rows leave shards empty; an empty table
-gives an empty result; further columns are ignored.
+rows are ordered by checksum and size; very long texts are rows like others (a shard holds at least one row's
+middle or none); more shards than rows leave shards empty; an empty table gives an empty result; further
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,63 +24,46 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut
+from larder.llm.common import table
 
+_ROW = "doc_id long, size long, text_crc32 long"
 
-def shard_by_bytes(docs: DataFrame, shards: int, overhead: int = 16) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot (gapless in a shard) for every row of docs.
 
-    Texts are only measured, never moved: what is shuffled and checkpointed has three
-    numbers a row.  The driver gets two small tables with a row for each partition, and for
-    each partition and shard that meet.
-    """
+def _numbered(batches):
+    """Rows of a sorted partition with its number, their position in it and the bytes up to their end."""
+    pid, rows, end = TaskContext.get().partitionId(), 0, 0
+    for batch in batches:
+        n = batch.num_rows
+        ends = end + np.cumsum(batch.column("size").to_numpy())
+        columns = [pa.array(np.full(n, pid, dtype=np.int32)), pa.array(rows + np.arange(n)), pa.array(ends)]
+        rows, end = rows + n, int(ends[-1]) if n else end
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "pid", "row", "ends"])
+
+
+def shard_by_bytes(docs: DataFrame, shards: int, overhead: int = 16) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot (gapless in a shard) for every row of docs."""
+    spark = docs.sparkSession
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + overhead).alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sized = table(sized, "sizes")  # range partitioning reads its input twice: that shall not be the texts
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["doc_id", "text_crc32", "size"]
-    rows = cut(sized.repartitionByRange(n, *order).sortWithinPartitions(*order))
-    totals = {r["pid"]: r["bytes"] for r in rows.groupBy(F.spark_partition_id().alias("pid")).agg(F.sum("size").alias("bytes")).collect()}
-    total = sum(totals.values())
-    pids = sorted(totals)
-    begins = dict(zip(pids, accumulate([0, *(totals[p] for p in pids)])))
-
-    def place(batches):
-        at = begins.get(TaskContext.get().partitionId(), 0)
-        for batch in batches:
-            size = batch.column("size").to_numpy()
-            ends = at + np.cumsum(size)
-            middle = ends - (size + 1) // 2
-            shard = np.minimum(_share(middle, shards, total), shards - 1)
-            at = int(ends[-1]) if len(ends) else at
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard.astype(np.int32))], names=[*batch.schema.names, "shard"])
-
-    placed = rows.mapInArrow(place, "doc_id long, size long, text_crc32 long, shard int")
-    met = sorted((r["shard"], r["pid"], r["count"]) for r in placed.groupBy(F.spark_partition_id().alias("pid"), "shard").count().collect())
-    base, at, last = {}, 0, None
-    for shard, pid, count in met:
-        at = at if shard == last else 0
-        base[pid, shard], at, last = at, at + count, shard
-
-    def number(batches):
-        pid = TaskContext.get().partitionId()
-        upto = {s: at for (p, s), at in base.items() if p == pid}
-        for batch in batches:
-            shard = batch.column("shard").to_numpy()
-            slot = np.empty(len(shard), dtype=np.int64)
-            for s in np.unique(shard):
-                here = np.flatnonzero(shard == s)
-                slot[here] = upto[int(s)] + np.arange(len(here))
-                upto[int(s)] += len(here)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slot)], names=[*batch.schema.names, "slot"])
-
-    return placed.mapInArrow(number, "doc_id long, size long, text_crc32 long, shard int, slot long")
+    ranged = sized.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = table(ranged.mapInArrow(_numbered, f"{_ROW}, pid int, row long, ends long"), "ranges")
 
+    totals = sorted(tuple(r) for r in rows.groupBy("pid").agg(F.max("ends"), F.max("row") + 1).collect())
+    total = sum(bytes_ for _, bytes_, _ in totals)
+    begins = accumulate((b for _, b, _ in totals), initial=0)
+    first_rows = accumulate((r for _, _, r in totals), initial=0)
+    bases = spark.createDataFrame([(p, b, r) for (p, *_), b, r in zip(totals, begins, first_rows)], "pid int, begin long, first_row long")
 
-def _share(at: np.ndarray, shards: int, total: int) -> np.ndarray:
-    """floor(at * shards / total) without overflow."""
-    if total * shards < 1 << 62:
-        return at * shards // max(total, 1)
-    return np.array([int(x) * shards // total for x in at], dtype=np.int64)
+    middle = F.col("begin") + F.col("ends") - F.expr("(size + 1) div 2")
+    wide = "long" if total * shards < 1 << 62 else "decimal(38,0)"
+    share = F.expr(f"cast(middle as {wide}) * {shards} div {max(total, 1)}")
+    placed = rows.join(F.broadcast(bases), "pid").withColumns({"middle": middle, "number": F.col("first_row") + F.col("row")})
+    placed = placed.withColumn("shard", F.least(share, F.lit(shards - 1)).cast("int"))
+    heads = placed.groupBy("shard").agg(F.min("number").alias("head"))
+    return placed.join(F.broadcast(heads), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("number") - F.col("head")).alias("slot"))
