@@ -93,7 +93,7 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = f"{checkpoint_root(spark)}/larder/warc-{uuid.uuid4().hex}"
     archives = write_archives(mark_revisits(_read(spark, sf_dir, "pages"), least=100), folder)
-    back = read_archives(spark, archives, folder, split_bytes=2 << 20, with_payload=False)
+    back = read_archives(archives, folder, split_bytes=2 << 20, with_payload=False)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -1,6 +1,7 @@
 """The training-data operators on small inputs: brute force, round trips, held-out accuracy, awkward rows."""
 
 import hashlib
+import io
 import itertools
 import random
 import zlib
@@ -390,7 +391,7 @@ def test_warc_round_trip(spark, tmp_path):
     folder = f"{checkpoint_root(spark)}/warc-test"
     archives = warc.write_archives(warc.mark_revisits(df), folder)
     for split in (37, 1 << 20):
-        got = warc.read_archives(spark, archives, folder, split_bytes=split).collect()
+        got = warc.read_archives(archives, folder, split_bytes=split).collect()
         assert len(got) == len(rows)
         by = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in got)
         assert by[1, "response", None] == 2 and by[2, "revisit", 1] == by[3, "revisit", 1] == by[None, "revisit", 1] == 1
@@ -400,8 +401,79 @@ def test_warc_round_trip(spark, tmp_path):
             assert (r["payload_bytes"], r["payload_digest"]) == (len(text.encode()), hashlib.sha256(text.encode()).hexdigest())
             if r["record_type"] == "response":
                 assert bytes(r["payload"]) == text.encode()
-    assert warc.write_archives(warc.mark_revisits(df.limit(0)), folder + "-none") == []
-    assert warc.read_archives(spark, [], folder).count() == 0
+    none = warc.write_archives(warc.mark_revisits(df.limit(0)), folder + "-none")
+    assert none.count() == 0
+    assert warc.read_archives(none, folder).count() == 0
+
+
+class _Counted(io.BytesIO):
+    """A file that counts the bytes read."""
+
+    total = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.total += len(out)
+        return out
+
+
+def _archive(n: int, seed: int = 3) -> tuple[bytes, list[int]]:
+    rng, out, begins = random.Random(seed), b"", []
+    for i in range(n):
+        payload = rng.randbytes(rng.randrange(2000)).hex().encode()
+        z = zlib.compressobj(6, zlib.DEFLATED, 31)
+        begins.append(len(out))
+        out += z.compress(warc.record(i, f"http://{i}", payload, hashlib.sha256(payload).hexdigest(), None, "2024-01-01T00:00:00Z")) + z.flush()
+    return out, begins
+
+
+@pytest.mark.parametrize("split", [1, 1000, 100_000, 1 << 22])
+def test_ranges_own_every_record_once_and_read_little(split):
+    data, begins = _archive(60 if split == 1 else 1500)
+    found, read = [], 0
+    for start in range(0, len(data), split):
+        with _Counted(data) as file:
+            found += warc.members(file, start, min(start + split, len(data)), len(data))
+            read += file.total
+    assert [x[0] for x in found] == begins and all(x[2].startswith(b"WARC/") for x in found)
+    assert sum(x[1] for x in found) == len(data)
+    if split >= 100_000:
+        assert read <= 1.2 * len(data)
+
+
+@pytest.mark.parametrize("split", [500, 1 << 20])
+@pytest.mark.parametrize("harm", ["flip", "cut", "junk", "head"])
+def test_damaged_archives_are_reported(split, harm):
+    data, begins = _archive(50)
+    ends = [*begins[1:], len(data)]
+    lost = set()
+    if harm == "flip":
+        at = begins[20] + 40
+        data, lost = data[:at] + bytes([data[at] ^ 0xFF]) + data[at + 1 :], {20}
+    elif harm == "cut":
+        data, lost = data[: begins[49] + 9], {49}
+    elif harm == "junk":
+        data = data[: begins[10]] + b"\x1f\x8b\x08junk" + data[begins[10] :]
+    else:
+        data, lost = b"x" * 30 + data[30:], {0}
+    found = [x for start in range(0, len(data), split) for x in warc.members(io.BytesIO(data), start, min(start + split, len(data)), len(data))]
+    gaps = [x[:2] for x in found if x[2] is None]
+    want = {"flip": (begins[20], ends[20] - begins[20]), "cut": (begins[49], 9), "junk": (begins[10], 7), "head": (0, ends[0])}[harm]
+    assert gaps == [want]
+    assert sum(x[2] is not None for x in found) == 50 - len(lost)
+
+
+def test_damaged_payloads_fail_or_give_rows(spark, tmp_path):
+    data, begins = _archive(30)
+    wrong = warc.record(7, None, b"changed", "0" * 64, None, "2024-01-01T00:00:00Z")
+    data += zlib.compress(wrong, wbits=31) + b"tail"
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    table = spark.createDataFrame([(str(tmp_path / "a.warc.gz"), len(data))], "path string, bytes long")
+    rows = warc.read_archives(table, str(tmp_path), 4000, damage="report").collect()
+    assert Counter(r["record_type"] for r in rows) == {"response": 30, "damaged": 2}
+    assert sum(r["length"] for r in rows) == len(data)
+    with pytest.raises(Exception, match="is damaged at byte"):
+        warc.read_archives(table, str(tmp_path), 4000).count()
 
 
 @settings(max_examples=100, deadline=None)
