@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import small_batches
+from larder.llm.common import slices
 
 
 @dataclass(frozen=True)
@@ -74,7 +74,6 @@ def format_turns(conversations: DataFrame, template: Template | None = None) ->
     """
     t = template or Template()
     spark = conversations.sparkSession
-    small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
@@ -82,7 +81,7 @@ def format_turns(conversations: DataFrame, template: Template | None = None) ->
 
     def run(batches):
         conv, no, state, valid = object(), 0, t.start, True
-        for batch in batches:
+        for batch in slices(batches):
             out = [[] for _ in _SEGMENT]
             for c, _, role, text in zip(*(x.to_pylist() for x in batch.columns)):
                 if c != conv:
@@ -137,7 +136,7 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
 
     def run(batches):
         conv = None
-        for batch in batches:
+        for batch in slices(batches, "segment"):
             rows = []
             for c, _, _, segment, loss, state, valid in zip(*(x.to_pylist() for x in batch.columns)):
                 if conv is None or c != conv.conv:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,22 +40,16 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts may be long: hand them to Python in batches of few rows, for bounded memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
-
-
-def pieces_of(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of batch whose texts have about ``most`` bytes together (one row at least)."""
-    total = np.cumsum(_lengths(batch.column(column)))
-    start = 0
-    while start < batch.num_rows:
-        base = total[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(total, base + most, side="right")))
-        yield batch.slice(start, stop - start)
-        start = stop
+def slices(batches: Iterable[pa.RecordBatch], column: str | int = "text", most: int = 2 << 20, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts have about ``most`` bytes together (one row at least), for bounded memory."""
+    for batch in batches:
+        total = np.cumsum(_lengths(batch.column(column)))
+        start = 0
+        while start < batch.num_rows:
+            base = total[start - 1] if start else 0
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(total, base + most, side="right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def _lengths(column: pa.Array) -> np.ndarray:

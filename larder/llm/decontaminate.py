@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import shingles, small_batches
+from larder.llm.common import shingles, slices
 from larder.llm.wordhash import WordArrays
 
 SEED = 4
@@ -125,8 +125,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, co
     One row for each document and item: the best alignment.  Seeds in at most ``common`` (a share) of the documents, or
     in three, are rare; that changes the work alone, never the rows.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _hash().alias("text_hash"), "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.length(F.coalesce("text", F.lit(""))) > 0)
     n_docs, out = docs.count(), None
@@ -155,7 +153,7 @@ def _leaks_of(docs: DataFrame, ids: list, items: list[np.ndarray], threshold: fl
 
     def count(batches):
         words, total = WordArrays(signs=False), np.zeros(len(seeds.hashes), dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text in words.of(batch.column(0).to_pylist()):
                 total[np.unique(seeds.find(text)[1])] += 1
         some = np.flatnonzero(total)
@@ -168,7 +166,7 @@ def _leaks_of(docs: DataFrame, ids: list, items: list[np.ndarray], threshold: fl
 
     def run(batches):
         words = WordArrays(signs=False)
-        for batch in batches:
+        for batch in slices(batches):
             todo = []
             docs_in, keys_in, texts = (c.to_pylist() for c in batch.columns)
             for row, (doc, key, text) in enumerate(zip(docs_in, keys_in, words.of(texts))):

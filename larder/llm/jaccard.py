@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import shingles, small_batches, table
+from larder.llm.common import shingles, slices, table
 from larder.llm.components import components
 from larder.llm.wordhash import WordArrays
 
@@ -75,11 +75,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def signatures(docs: DataFrame, n: int, depth: int) -> DataFrame:
     """doc_id, node (the text's hash), keys (a prefix of each tree) and sketch of every row; no shuffle."""
-    small_batches(docs.sparkSession)
-
     def run(batches):
         words = WordArrays()
-        for batch in batches:
+        for batch in slices(batches):
             keys, sketches = [], []
             for found in words.of(batch.column(2).to_pylist()):
                 sig = signature(shingles(found, n))
@@ -183,11 +181,9 @@ def verified(texts: DataFrame, n: int, threshold: float) -> DataFrame:
     """For the rows (root, node, text) of candidate classes: node, links, near (the least text reached in a
     block) and whole (all of its class was in one block).  Every pair of a class is compared exactly once.
     """
-    small_batches(texts.sparkSession)
-
     def make(batches):
         words = WordArrays()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [np.unique(shingles(found, n)) for found in words.of(batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["root", "node", "size", "shingles"])
 

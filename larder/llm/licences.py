@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import small_batches
+from larder.llm.common import slices
 
 #: Short statements of each family, as they stand in files and pages.
 TEMPLATES = {
@@ -282,12 +282,11 @@ def train(docs: DataFrame, most_background: int = 2000) -> Model:
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_paragraphs and found (an array of paragraph, family, probability and closeness) of every document."""
-    small_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("closeness", pa.float64())]))
 
     def run(batches):
         known: dict[str, tuple] = {}
-        for batch in batches:
+        for batch in slices(batches):
             counts, found = [], []
             for t in batch.column(1).to_pylist():
                 lines = (t or "").split("\n")

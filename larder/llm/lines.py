@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut, small_batches
+from larder.llm.common import cut, slices
 
 #: Stripped at both ends of a line.
 SPACE = " \t\n\x0b\x0c\r"
@@ -160,7 +160,6 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep: s
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs with their kept text, and the columns n_lines and n_dropped (in place of any of these names)."""
-    small_batches(docs.sparkSession)
     docs = docs.drop("n_lines", "n_dropped")
     names = docs.columns
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -169,7 +168,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     joined = keyed.join(maps, F.col("__lines_id").eqNullSafe(F.col("__lines_id2")) & (F.col("__lines_hash") == F.col("__lines_hash2")), "left").select(*names, "__lines_keep")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index("text")
             texts, total, gone = [], [], []
             for t, keep in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut, small_batches
+from larder.llm.common import cut, slices
 
 def binary_lengths(n: int, limit: int) -> list[int]:
     """Lengths of the pieces of n tokens: full ones, then falling powers of two."""
@@ -119,7 +119,6 @@ def decompose(docs: DataFrame, tokenizer: str, limit: int = 4096, end_id: int =
     No shuffle; memory is bounded by a batch of texts and the table of known words.
     """
     binary_lengths(0, limit)
-    small_batches(docs.sparkSession)
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())] + [("ids", pa.list_(pa.int32()))] * keep_ids
     schema = pa.schema(fields)
     end = int(end_id).to_bytes(4, "little")
@@ -129,7 +128,7 @@ def decompose(docs: DataFrame, tokenizer: str, limit: int = 4096, end_id: int =
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokens = _TOKENS.get(tokenizer) or _TOKENS.setdefault(tokenizer, WordTokens(tokenizer))
-        for batch in batches:
+        for batch in slices(batches):
             out = {k: [] for k, _ in fields}
             ids = batch.column(0).to_pylist()
             for doc, data in zip(ids, tokens.encode([t or "" for t in batch.column(1).to_pylist()])):

@@ -54,9 +54,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as 8-bit audio, read back from the stored bytes, with their features."""
-    from larder.llm.audio import media_features, store_media
+    import uuid
+
+    from larder.llm.audio import media_features
+    from larder.llm.common import checkpoint_root
 
-    return media_features(store_media(_read(spark, sf_dir, "documents")))
+    return media_features(_read(spark, sf_dir, "documents"), f"{checkpoint_root(spark)}/larder/tensors-{uuid.uuid4().hex}")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

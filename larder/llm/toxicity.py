@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import bare, held_out, small_batches
+from larder.llm.common import bare, held_out, slices
 
 _BITS = 22
 
@@ -133,7 +133,6 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, vocabulary:
 
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_positive: int = 2000, most_unlabelled: int = 6000) -> Model:
     """A model of the training rows (those that are not held out)."""
-    small_batches(docs.sparkSession)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     if prior is None:
         prior = known.agg(F.avg("toxic")).first()[0] or 0.0
@@ -145,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_p
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("positive", "text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [_buckets(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["positive", "buckets"])
 
@@ -159,13 +158,12 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_p
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from 0.5 on); columns that had these names are replaced."""
-    small_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     names = docs.columns
 
     def run(batches):
         columns = Columns(model)
-        for batch in batches:
+        for batch in slices(batches):
             scores = []
             for t in batch.column(names.index("text")).to_pylist():
                 at = np.unique(np.frombuffer(b"".join(map(columns.__getitem__, (t or "").lower().split())), dtype="<i4"))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import small_batches, table
+from larder.llm.common import slices, table
 
 _MAGIC = b"\x1f\x8b\x08"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -82,8 +82,6 @@ def write_archives(marked: DataFrame, folder: str, date: str = "2024-01-01T00:00
 
     Every record is a gzip member of its own.  The result is a stored table: archives are written once.
     """
-    small_batches(marked.sparkSession)
-
     def run(batches):
         fs, root = _store(folder)
         task = TaskContext.get()
@@ -91,7 +89,7 @@ def write_archives(marked: DataFrame, folder: str, date: str = "2024-01-01T00:00
         name = f"{root}/part-{task.partitionId():06d}.warc.gz"
         part, n, size = f"{name}.{task.taskAttemptId()}.tmp", 0, 0
         with fs.open_output_stream(part, compression=None) as out:
-            for batch in batches:
+            for batch in slices(batches, "payload"):
                 for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                     z = zlib.compressobj(level, zlib.DEFLATED, 31)
                     data = z.compress(record(page_id, url, payload.encode("utf-8", "surrogatepass"), digest, refers_to, date)) + z.flush()

@@ -4,6 +4,7 @@ import hashlib
 import io
 import itertools
 import random
+import uuid
 import zlib
 from collections import Counter
 
@@ -55,7 +56,7 @@ def test_awkward_rows_and_empty_tables(spark, awkward, empty):
     model = toxicity.train(awkward, labels)
     runs = {
         "toxicity": lambda d: toxicity.score(d, model), "shards": lambda d: sharding.shard_by_bytes(d, 5), "lines": lambda d: lines.dedup_lines(d, 2), "lines none": lambda d: lines.dedup_lines(d, 2, 1, "none"),
-        "media": lambda d: audio.media_features(audio.store_media(d)), "classes": lambda d: jaccard.jaccard_classes(d), "licences": lambda d: licences.scan(d, licences.fit(["plain text"], each=8, steps=5)),
+        "media": lambda d: audio.media_features(d, f"{checkpoint_root(spark)}/tensors-{uuid.uuid4().hex}"), "classes": lambda d: jaccard.jaccard_classes(d), "licences": lambda d: licences.scan(d, licences.fit(["plain text"], each=8, steps=5)),
     }
     for name, run in runs.items():
         assert run(awkward).count() == n, name
@@ -197,12 +198,83 @@ def test_hysteresis():
     assert audio.segments(e, high=3.0, low=-0.5).tolist() == [[1, 4], [6, 8]]
 
 
-def test_mel_windows_and_tensors(spark, awkward):
-    w = audio.mel_windows(audio.store_media(awkward))
-    table = audio.as_tensors(w.toArrow().combine_chunks())
-    kind = table.schema.field("logmel").type
-    assert tuple(kind.shape) == (audio.WINDOW, audio.MELS)
-    assert all(r["end_ms"] > r["start_ms"] for r in w.select("start_ms", "end_ms").collect())
+def test_resampling_against_a_plain_filter():
+    """Zeros put in, one long low pass, samples left out; whole and in parts."""
+    x = np.random.default_rng(1).normal(size=700).astype(np.float32)
+    up, down, taps = audio.UP, audio.DOWN, audio.TAPS
+    t = np.arange(up * taps) - (up * taps - 1) / 2
+    low_pass = np.sinc(t / max(up, down)) * np.hanning(up * taps + 2)[1:-1] / max(up, down) * up
+    stuffed = np.zeros(len(x) * up)
+    stuffed[::up] = x
+    full = np.convolve(stuffed, low_pass)
+    lead = up * (taps - 1 - taps // 2)
+    want = [full[i * down + lead] for i in range(audio.resampled_length(len(x)))]
+    assert np.allclose(audio.resample(x), want, atol=1e-5)
+    for a, b in ((0, 1), (5, 9), (100, 400), (517, 525)):
+        assert np.allclose(audio.resample(x, a, b), want[a:b], atol=1e-5)
+
+
+def _plain_log_mel(y, rate):
+    """Frame by frame, with a transform and triangles written out."""
+    n, hop, bands = audio.FRAME, audio.HOP, audio.MELS
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(mel(40.0), mel(rate / 2), bands + 2)]
+    window = [0.5 - 0.5 * np.cos(2 * np.pi * i / (n - 1)) for i in range(n)]
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(n // 2 + 1), np.arange(n)) / n)
+    out = []
+    for at in range(0, max(1, len(y) - n + hop), hop):
+        frame = np.zeros(n)
+        frame[: len(y[at : at + n])] = y[at : at + n]
+        power = np.abs(turn @ (frame * window)) ** 2
+        row = []
+        for low, middle, high in zip(edges, edges[1:], edges[2:]):
+            weight = [max(0.0, min((k * rate / n - low) / (middle - low), (high - k * rate / n) / (high - middle))) for k in range(n // 2 + 1)]
+            row.append(np.log10(power @ weight + 1e-3))
+        out.append([*row, 10 * np.log10(power.sum() + 1e-3)])
+    return np.array(out)
+
+
+@pytest.mark.parametrize("size", [576, 40_000, 200_000])
+def test_analysis_against_plain_code(size):
+    payload = np.random.default_rng(size).integers(0, 256, size, dtype=np.uint8).tobytes()
+    y = audio.resample(np.frombuffer(payload, np.uint8).astype(np.float32) / 128 - 1)
+    want = _plain_log_mel(y, audio.RATE * audio.UP / audio.DOWN)
+    bands, spans = audio.analyze(payload)
+    assert np.allclose(bands, want[:, :-1], atol=1e-3)
+    assert spans.tolist() == audio.segments(want[:, -1].astype(np.float32)).tolist() or np.allclose(audio.log_mel(y)[:, -1], want[:, -1], atol=1e-2)
+
+
+def test_query_media_against_plain_code(spark):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.op5_audio_media(spark, SF).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    for r in rows:
+        text = docs[r["doc_id"]].encode()
+        payload = text + b"\xff" * ((-len(text)) % 576 or (0 if text else 576))
+        media = audio.encode(payload)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(text), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest())
+        bands, spans = audio.analyze(payload)
+        said = dict(x.split("=") for x in r["feature"].split(";"))
+        assert (int(said["frames"]), int(said["spans"])) == (len(bands), len(spans))
+        assert abs(int(said["voiced_ms"]) - (spans[:, 1] - spans[:, 0]).sum() * audio.STEP_MS) <= 1
+        assert np.abs(np.array(said["mel"].split(","), float) - bands.mean(axis=0) * 10).max() <= 0.51
+
+
+def test_stored_tensors_and_spans(spark, awkward):
+    folder = f"{checkpoint_root(spark)}/tensors-test"
+    files = audio.store_features(audio.store_media(awkward.coalesce(2)), folder, group=7).collect()
+    assert sum(r["documents"] for r in files) == len(AWKWARD)
+    seen = Counter()
+    for r in files:
+        with open(r["path"], "rb") as file:
+            for batch in audio.read_windows(file):
+                assert tuple(batch.schema.field("logmel").type.shape) == (audio.WINDOW, audio.MELS)
+                for row in batch.drop_columns(["logmel"]).to_pylist():
+                    assert row["end_ms"] - row["start_ms"] == pytest.approx(row["frames"] * audio.STEP_MS)
+                    assert all(row["start_ms"] <= a < row["end_ms"] and a < b for a, b in row["spans_ms"])
+                    seen[row["window"]] += 1
+    assert seen[0] == len(AWKWARD) and max(seen) > 10
 
 
 def test_decontamination_finds_edited_copies(spark):
