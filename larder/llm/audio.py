@@ -22,6 +22,7 @@ import hashlib
 import io
 import wave
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -163,10 +164,11 @@ def store_media(docs: DataFrame) -> DataFrame:
             media = [encode(payload_of(t)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media")
+    return table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media", "zstd")
 
 
-TENSOR = pa.fixed_shape_tensor(pa.float32(), (WINDOW, MELS), dim_names=("frame", "band"))
+#: Half floats: a log-mel value keeps three digits.
+TENSOR = pa.fixed_shape_tensor(pa.float16(), (WINDOW, MELS), dim_names=("frame", "band"))
 #: What is known of a document, in its first window; null in the others.
 _ABOUT = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())]
 WINDOWS = pa.schema([("doc_id", pa.int64()), ("window", pa.int32()), ("start_ms", pa.float64()), ("end_ms", pa.float64()), ("frames", pa.int32()), ("spans_ms", pa.list_(pa.list_(pa.float64()))), ("logmel", TENSOR), *_ABOUT])
@@ -180,7 +182,7 @@ def windows_of(doc, n_bytes: int, media: bytes) -> list[tuple]:
     rows = []
     for k, at in enumerate(range(0, len(bands), WINDOW)):
         part = bands[at : at + WINDOW]
-        full = np.zeros((WINDOW, MELS), dtype=np.float32)
+        full = np.zeros((WINDOW, MELS), dtype=np.float16)
         full[: len(part)] = part
         inside = spans[(spans[:, 0] >= at) & (spans[:, 0] < at + WINDOW)] * STEP_MS
         rows.append((doc, k, at * STEP_MS, (at + len(part)) * STEP_MS, len(part), inside.tolist(), full, *(about if k == 0 else [None] * len(about))))
@@ -205,7 +207,7 @@ def store_features(media: DataFrame, folder: str, group: int = 512) -> DataFrame
         task, n, rows = TaskContext.get(), 0, []
         name = f"{root}/part-{task.partitionId():06d}.parquet"
         part = f"{name}.{task.taskAttemptId()}.tmp"
-        with pq.ParquetWriter(part, WINDOWS, filesystem=fs, compression="zstd") as out:
+        with pq.ParquetWriter(part, WINDOWS, filesystem=fs, compression="zstd", use_dictionary=False, use_byte_stream_split=["logmel.list.element"]) as out:
             for batch in slices(batches, "media"):
                 for doc, n_bytes, stored in zip(*(c.to_pylist() for c in batch.columns)):
                     rows += windows_of(doc, n_bytes, stored)
@@ -224,7 +226,7 @@ def store_features(media: DataFrame, folder: str, group: int = 512) -> DataFrame
     return table(media.select("doc_id", "n_bytes", "media").mapInArrow(run, "path string, documents long"), "features")
 
 
-def read_windows(file) -> "pa.RecordBatch":
+def read_windows(file) -> Iterator[pa.RecordBatch]:
     """The batches of a stored file, with its tensors."""
     with pq.ParquetFile(file) as parquet:
         if parquet.schema_arrow.field("logmel").type != TENSOR:

@@ -33,10 +33,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """df written as Parquet in the shared folder and read again: compact, and the lineage ends."""
     path = f"{checkpoint_root(df.sparkSession)}/larder/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
