@@ -363,8 +363,9 @@ def _brute_classes(docs):
 
 @pytest.mark.parametrize("block", [512, 5])
 def test_classes_against_brute_force(spark, monkeypatch, block):
-    """Also with blocks so small that every group is cut."""
+    """Also with blocks and groups so small that all are cut."""
     monkeypatch.setattr(jaccard, "BLOCK_TEXTS", block)
+    monkeypatch.setattr(jaccard, "GROUP", min(block, jaccard.GROUP))
     rng = random.Random(6)
     docs = []
     for g in range(12):
@@ -394,9 +395,56 @@ def test_query_classes_against_brute_force(spark):
     assert len({r["class_id"] for r in got.values()}) == len({w[0] for w in want.values()})
 
 
-def test_prefix_depth():
-    d = jaccard.depth_for(0.8, 0.999)
-    assert 1 - (1 - 0.8**d) ** jaccard.TREES >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES
+def test_prefixes_are_shortened_by_what_the_probes_say():
+    """The full label is tried first; links that only shorter prefixes find shorten it; without links the formula decides."""
+    by_formula = next(d for d in range(jaccard.DEPTH, 0, -1) if jaccard.found_at(0.8, d) >= 0.9995)
+    assert jaccard.shortened({}, 0.8, 0.9995) == by_formula < jaccard.DEPTH
+    full = {i: {jaccard.DEPTH: 3} for i in range(100_000)}
+    assert jaccard.shortened(full, 0.8, 0.9995) == jaccard.DEPTH
+    for depth in (7, 5, 2):
+        short = {i: {8: 1, depth: 1} if i % 10 == 0 else {8: 2} for i in range(100_000)}
+        assert jaccard.shortened(short, 0.8, 0.9995) == depth
+    assert jaccard.shortened({i: {0: 1} for i in range(1000)}, 0.8, 0.9995) == 1
+
+
+def test_measured_depths_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PROBES", 20)
+    rng = random.Random(2)
+    docs = []
+    for g in range(15):
+        base = [f"g{g}w{i}" for i in range(80)]
+        docs += [" ".join("edit" if rng.random() < 0.01 * k else w for w in base) for k in range(6)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    nodes = spark.createDataFrame(jaccard.signatures(df, 5).toArrow()).withColumnRenamed("doc_id", "node")
+    rows = {r["node"]: (np.frombuffer(r["labels"], ">u2").reshape(16, 8), np.frombuffer(r["sketch"], np.uint8)) for r in nodes.collect()}
+    probes = [r["node"] for r in nodes.selectExpr("node", "xxhash64(node) AS h").orderBy("h", "node").limit(20).collect()]
+    want = {}
+    for i, p in enumerate(probes):
+        for q, (label, sk) in rows.items():
+            if q != p and jaccard.shared(sk, rows[p][1]) >= jaccard.values_for(0.8):
+                same = max(next((d for d in range(8) if a[d] != b[d]), 8) for a, b in zip(label, rows[p][0]))
+                want.setdefault(i, Counter())[same] += 1
+    assert jaccard.measured(nodes, 0.8) == {i: dict(c) for i, c in want.items()}
+
+
+def test_dense_group_over_many_partitions(spark, monkeypatch):
+    """A group of near copies that no task compares whole, beside texts that share its beginning alone."""
+    monkeypatch.setattr(jaccard, "GROUP", 8)
+    monkeypatch.setattr(jaccard, "BLOCK_TEXTS", 16)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    docs = []
+    for i in range(120):
+        copy = list(base)
+        copy[rng.randrange(150)] = f"e{i}"
+        docs.append((i, " ".join(copy)))
+    docs += [(200 + i, " ".join([*base[:60], *(f"x{i}y{k}" for k in range(60))])) for i in range(30)]
+    df = spark.createDataFrame(docs * 2, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_links"], r["class_id"], r["n_copies"]) for r in jaccard.jaccard_classes(df).collect()}
+    want = _brute_classes(docs)
+    assert {i: g[0] for i, g in got.items()} == {i: w[1] for i, w in want.items()}
+    assert {g[1] for i, g in got.items() if i < 200} == {0} and all(g[1] == i for i, g in got.items() if i >= 200)
+    assert all(g[2] == 1 for g in got.values())
 
 
 def test_components_of_a_long_path(spark):
