@@ -2,10 +2,11 @@
 
 A multinomial logistic regression over sparse word n-grams (one to three words) tells licence
 families apart.  It is trained here from templates, altered at random, against background paragraphs (a
-bounded sample of the corpus, ``most_background``, and built-in near misses) and against licence-like
-paragraphs of made-up licences, the unknown class.  Its temperature is fitted on altered templates
-that training has not seen; a family counts only if its calibrated probability reaches ``sure``
-and a template of that family is close to the paragraph, otherwise the paragraph is unknown.
+bounded sample of the corpus's lines, and built-in near misses) and against licence-like
+paragraphs of made-up licences, the unknown class.  Its temperature is fitted on templates held out of
+training; a family counts only if its calibrated probability reaches ``sure``
+and a template of that family is close to the paragraph, otherwise the paragraph is unknown.  Of families that the
+classifier holds possible, such as two versions of one licence, the closest template's is taken.
 
 Every line of every text is classified, and so is every run of consecutive lines without a blank one between them
 (a line without words is blank, so comment marks are no matter) of at most ``MOST_WORDS`` words that comes close to a template:
@@ -15,7 +16,8 @@ licence vocabulary (all words of the templates but plain ones, however frequent
 without such a word has no feature and is background.  Lines close to a template are never background to learn from.
 
 Defined results: a null or empty text is one empty paragraph without a licence; repeated rows give a row
-each; an empty table gives an empty result; further columns are ignored.
+each, and one of them teaches; a null id is scanned and not learned from; very long texts are scanned whole; an empty table gives
+an empty result; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,21 +34,100 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import slices
 
-#: Short statements of each family, as they stand in files and pages.
+#: Statements of each family, as they stand in files and pages.  "bsd" is the paragraph that all BSD licences begin with.
 TEMPLATES = {
-    "agpl-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "This program is free software under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "This project is released under the Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0"],
-    "bsd-3-clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Use of this source code is governed by a BSD-style license.", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "cc-by-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "This article is distributed under the terms of the Creative Commons Attribution License."],
-    "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Creative Commons BY-NC: no commercial use is permitted."],
-    "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License."],
-    "cc0-1.0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work.", "This work is dedicated to the public domain under CC0."],
-    "gpl-2.0": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GPL v2.", "SPDX-License-Identifier: GPL-2.0-only"],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "Licensed under the GPL v3.", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "lgpl-2.1": ["Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software under the terms of the GNU Lesser General Public License.", "SPDX-License-Identifier: LGPL-2.1-only"],
-    "mit": ["Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "SPDX-License-Identifier: MIT"],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "reserved": ["All rights reserved.", "Copyright 2021 Example Inc. All rights reserved.", "No part of this publication may be reproduced without prior written permission of the publisher."],
+    "agpl-3.0": [
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+    ],
+    "apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "This project is released under the Apache 2.0 license.",
+        "SPDX-License-Identifier: Apache-2.0",
+    ],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Use of this source code is governed by a BSD-style license.",
+        "Distributed under the terms of a BSD license.",
+    ],
+    "bsd-2-clause": ["Released under the BSD 2-Clause License.", "Licensed under the simplified BSD license.", "SPDX-License-Identifier: BSD-2-Clause"],
+    "bsd-3-clause": [
+        "Released under the BSD 3-Clause License.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Licensed under the new BSD license, 3-clause.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+    ],
+    "cc-by-4.0": [
+        "Licensed under CC BY 4.0.",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "This article is distributed under the terms of the Creative Commons Attribution License.",
+    ],
+    "cc-by-nc-4.0": [
+        "Licensed under CC BY-NC 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "Creative Commons BY-NC: no commercial use is permitted.",
+    ],
+    "cc-by-sa-4.0": [
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "Text is available under the Creative Commons Attribution-ShareAlike License.",
+    ],
+    "cc0-1.0": [
+        "Released under CC0 1.0.",
+        "To the extent possible under law, the author has waived all copyright and related rights to this work.",
+        "This work is dedicated to the public domain under CC0.",
+    ],
+    "gpl-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "This program is free software under the terms of version 2 of the GNU General Public License.",
+        "Licensed under the GPL v2.",
+        "This file is under GPL version 2.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ],
+    "gpl-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is free software under the terms of version 3 of the GNU General Public License.",
+        "Licensed under the GPL v3.",
+        "Code is released under the GNU GPL v3 license.",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+    ],
+    "isc": [
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "lgpl-2.1": [
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This library is free software under the terms of the GNU Lesser General Public License.",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+    ],
+    "mit": [
+        "Released under the MIT License.",
+        "Licensed under the MIT license.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction.",
+        "SPDX-License-Identifier: MIT",
+    ],
+    "mpl-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "Licensed under the Mozilla Public License, version 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
+    ],
+    "reserved": [
+        "All rights reserved.",
+        "Copyright 2021 Example Inc. All rights reserved.",
+        "No part of this publication may be reproduced without prior written permission of the publisher.",
+    ],
+    "unlicense": [
+        "Released under the Unlicense.",
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, for any purpose, commercial or non-commercial, and by any means.",
+        "SPDX-License-Identifier: Unlicense",
+    ],
 }
 #: Paragraphs that share words with licences and are none.
 NEAR_MISSES = [
@@ -63,11 +144,9 @@ NEAR_MISSES = [
 ]
 BACKGROUND, UNKNOWN = "background", "unknown"
 #: Words of the templates that tell nothing.
-PLAIN = {"in", "of", "the", "to", "or", "for", "is", "a", "any", "by", "this", "at", "that", "as", "are", "an", "no", "you", "may", "not", "with", "and", "be", "from", "it", "was", "part", "met"}
+PLAIN = {"in", "of", "the", "to", "or", "for", "is", "a", "any", "by", "this", "at", "that", "as", "are", "an", "no", "you", "may", "not", "with", "and", "be", "from", "it", "was", "part", "met", "all", "can", "its", "into", "means", "above", "appear", "name", "names", "you", "option", "later", "fee"}
 #: The longest run of lines, in words (the longest template has half as many), and what it must gain in closeness.
 MOST_WORDS, GAIN = 80, 0.1
-#: So many lines after the sampled ones are read to tell a wrapped notice from background.
-MOST_LINES = 16
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
@@ -130,10 +209,15 @@ class Model:
         name = self.classes[best]
         if name == BACKGROUND:
             return name, float(p[best]), 0.0
-        near = closeness(words, name) if name != UNKNOWN else 0.0
-        if name != UNKNOWN and (p[best] < self.sure or near < self.close):
-            name = UNKNOWN
-        return name, float(p[best]), near
+        if name == UNKNOWN:
+            return name, float(p[best]), 0.0
+        # Families that differ in a word or two: the templates must say the same, or decide between likely ones.
+        near = {c: closeness(words, c) for i, c in enumerate(self.classes) if c == name or c in TEMPLATES and p[i] >= 0.05}
+        closest = max(near, key=lambda c: (round(near[c], 9), c == name))
+        both = float(p[best] + p[self.classes.index(closest)]) if closest != name else float(p[best])
+        if both < self.sure or near[closest] < self.close:
+            return UNKNOWN, float(p[best]), near[name]
+        return closest, both, near[closest]
 
     def classify_lines(self, lines: list[str], known: dict[str, tuple] | None = None) -> list[tuple[int, str, float, float]]:
         """First line, class, probability and closeness of the lines and runs of lines that are not background."""
@@ -170,6 +254,15 @@ def _parts(words: list[str]) -> set[tuple]:
 _TEMPLATE_PARTS = {family: [_parts(words_of(t)) for t in texts] for family, texts in TEMPLATES.items()}
 
 
+def _marks(family: str, parts: set[tuple]) -> set[tuple]:
+    """The words that a template has and no half-alike template of another family."""
+    others = [p for f, texts in _TEMPLATE_PARTS.items() if f != family for p in texts if 2 * len(parts & p) >= len(parts)]
+    return {w for w in parts if len(w) == 1} - set().union(*others) if others else set()
+
+
+_TEMPLATE_MARKS = {family: [_marks(family, parts) for parts in texts] for family, texts in _TEMPLATE_PARTS.items()}
+
+
 #: Only lines with such a word can be other than background.
 GATE = frozenset({w for texts in TEMPLATES.values() for t in texts for w in words_of(t)} - PLAIN | {"licence"})
 
@@ -206,9 +299,13 @@ def not_licences(lines: list[str], least: float = 0.5) -> list[int]:
 
 
 def closeness(words: list[str], family: str) -> float:
-    """The largest share of a template's words and word pairs that the paragraph has."""
+    """The largest share of a template's words and word pairs that the paragraph has.
+
+    A template counts only with half of the words that tell it from those of other families.
+    """
     mine = _parts(words)
-    return max(len(mine & theirs) / len(theirs) for theirs in _TEMPLATE_PARTS[family])
+    templates = zip(_TEMPLATE_PARTS[family], _TEMPLATE_MARKS[family])
+    return max((len(mine & theirs) / len(theirs) for theirs, marks in templates if 2 * len(mine & marks) >= len(marks)), default=0.0)
 
 
 def licence_like(words: list[str], least: float = 0.5) -> bool:
@@ -217,35 +314,55 @@ def licence_like(words: list[str], least: float = 0.5) -> bool:
     return any(len(mine & theirs) >= least * len(theirs) for family in _TEMPLATE_PARTS.values() for theirs in family)
 
 
-def fit(background: list[str], each: int = 60, steps: int = 400, seed: int = 3) -> Model:
-    """Trains on altered templates; fits the temperature on others."""
+def fit(background: list[str], each: int = 60, steps: int = 200, seed: int = 3) -> Model:
+    """Trains on altered templates.  The temperature is fitted on altered forms of templates (the last of each family)
+    that a first model has not seen; the second learns from all.
+    """
     rng = np.random.default_rng(seed)
     classes = [BACKGROUND, UNKNOWN, *TEMPLATES]
-    rare = GATE
     templates = {t for texts in TEMPLATES.values() for t in texts}
     background = [p for p in background if not licence_like(words_of(p))]
 
-    def made(n):
+    def made(n, pick):
         rows = [(BACKGROUND, p) for p in [*background[: 20 * n], *NEAR_MISSES * (n // 4)] if p not in templates]
         rows += [(UNKNOWN, _made_up(rng)) for _ in range(4 * n)]
         for family, texts in TEMPLATES.items():
-            rows += [(family, _altered(texts[i % len(texts)], rng)) for i in range(n)]
+            some = pick(texts)
+            rows += [(family, _altered(some[i % len(some)], rng)) for i in range(n)]
         return rows
 
-    train, tune = made(each), made(each // 3)
-    count = Counter(g for _, p in train for g in grams(words_of(p), rare))
-    columns = {g: i for i, g in enumerate(sorted(g for g, c in count.items() if c >= 3))}
+    def learned(rows):
+        count = Counter(g for _, p in rows for g in grams(words_of(p), GATE))
+        columns = {g: i for i, g in enumerate(sorted(g for g, c in count.items() if c >= 3))}
+        return columns, *_regression(*_matrix(rows, columns, classes), len(classes), steps)
+
+    columns, w, b = learned(made(each, lambda texts: texts[:-1]))
+    x, y, times = _matrix(made(each // 3, lambda texts: texts[-1:]), columns, classes)
+    z = x @ w + b
+
+    def cost(t):
+        s = z / t
+        return float((np.logaddexp.reduce(s, axis=1) - s[np.arange(len(y)), y]) @ times)
+
+    temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=cost)
+    columns, w, b = learned(made(each, lambda texts: texts))
+    return Model(classes, columns, GATE, w, b, temperature)
+
 
-    def matrix(rows):
-        x = np.zeros((len(rows), len(columns)), dtype=np.float32)
-        for i, (_, p) in enumerate(rows):
-            x[i, [columns[g] for g in grams(words_of(p), rare) if g in columns]] = 1
-        return x, np.array([classes.index(c) for c, _ in rows])
+def _matrix(rows: list[tuple[str, str]], columns: dict, classes: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, class and number of the different rows; most background has no feature at all."""
+    seen = Counter((classes.index(c), tuple(sorted(columns[g] for g in grams(words_of(p), GATE) if g in columns))) for c, p in rows)
+    x = np.zeros((len(seen), len(columns)), dtype=np.float32)
+    for i, (_, at) in enumerate(seen):
+        x[i, list(at)] = 1
+    return x, np.array([c for c, _ in seen]), np.array(list(seen.values()))
 
-    x, y = matrix(train)
-    share = 1 / np.bincount(y, minlength=len(classes))[y]
+
+def _regression(x: np.ndarray, y: np.ndarray, times: np.ndarray, n_classes: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and intercepts of a multinomial logistic regression in which all classes weigh the same."""
+    share = times / np.bincount(y, weights=times, minlength=n_classes)[y]
     share /= share.sum()
-    w, b = np.zeros((x.shape[1], len(classes)), np.float32), np.zeros(len(classes), np.float32)
+    w, b = np.zeros((x.shape[1], n_classes), np.float32), np.zeros(n_classes, np.float32)
     b[0] = 1.0
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
     for step in range(1, steps + 1):
@@ -259,25 +376,29 @@ def fit(background: list[str], each: int = 60, steps: int = 400, seed: int = 3)
             m += 0.1 * g
             v *= 0.999
             v += 0.001 * g * g
-            value -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    xt, yt = matrix(tune)
-    z = xt @ w + b
+            value -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w, b
 
-    def cost(t):
-        s = z / t
-        return float((np.logaddexp.reduce(s, axis=1) - s[np.arange(len(yt)), yt]).mean())
 
-    return Model(classes, columns, rare, w, b, min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0, 5.6, 8.0), key=cost))
+def train(docs: DataFrame, most_background: int = 2000, most_documents: int = 1000, most_chars: int = 4000) -> Model:
+    """A model whose background is a bounded sample of the corpus's lines.
+
+    Of ``most_documents`` ids with the smallest hashes one row each gives all its lines, but those of passages close to a
+    template; of these the ``most_background`` with the smallest hashes are learned from.  Lines over ``most_chars``
+    characters are not learned from, so what reaches the driver has a bound; they are scanned like all others.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_documents)
+    some = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
+    def run(batches):
+        for batch in slices(batches):
+            for text in batch.column(0).to_pylist():
+                lines = text.split("\n")
+                yield pa.RecordBatch.from_arrays([pa.array([lines[i] for i in not_licences(lines) if len(lines[i]) <= most_chars], pa.string())], names=["line"])
 
-def train(docs: DataFrame, most_background: int = 2000) -> Model:
-    """A model whose background comes from the texts with the smallest hashes of their ids (a bounded sample)."""
-    ids = docs.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_background // 4)
-    some = docs.select("doc_id", F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, 4 + MOST_LINES).alias("lines")).join(F.broadcast(ids), "doc_id")
-    heads = some.select(F.transform("lines", lambda x: F.substring(x, 1, 500)).alias("lines")).collect()
-    # The lines after the fourth only show whether the first ones belong to a wrapped notice.
-    lines = [r["lines"][i] for r in heads for i in not_licences(r["lines"]) if i < 4]
-    return fit(sorted(lines)[:most_background])
+    lines = some.select("text").mapInArrow(run, "line string").distinct().orderBy(F.xxhash64("line"), "line").limit(most_background)
+    return fit([r["line"] for r in lines.collect()])
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
