@@ -6,12 +6,14 @@ unlabelled texts alone.  The risk of the unlabelled texts is corrected by the cl
 zero, its gradient is climbed instead, so the risk never goes negative.
 
 Training uses a bounded sample (``most_positive``, ``most_unlabelled``), chosen by a hash of the
-id; every text is scored whole, by one pass without a shuffle.
+id, one row for each id; every text is scored whole, by one pass without a shuffle.  Texts with more than ``most_features``
+features are not trained on, which bounds what reaches the driver in bytes too; they are scored like all others.
 
 Defined results: a null or empty text has no words and gets the intercept's score; without a positive
-training label all scores are the prior; repeated labels of an id count once (toxic if any says so);
+training label all scores are the prior; repeated labels of an id count once (toxic if any says so), and so
+do repeated rows (of rows with one id and different texts one teaches); very long texts are scored whole;
 rows with a null id are scored and not trained on; an empty table gives an empty result; further columns
-are kept.
+are kept, but for score and predicted, which are replaced.
 """
 
 from __future__ import annotations
@@ -131,22 +133,26 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, vocabulary:
     return Model(words.astype(np.int32), w[:-1].astype(np.float32), float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_positive: int = 2000, most_unlabelled: int = 6000) -> Model:
-    """A model of the training rows (those that are not held out)."""
+def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_positive: int = 2000, most_unlabelled: int = 6000, most_features: int = 20_000) -> Model:
+    """A model of the training rows (those that are not held out).
+
+    The sample's sizes are parameters of the fit: so many labelled toxic texts, and so many texts of all kinds.
+    """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     if prior is None:
         prior = known.agg(F.avg("toxic")).first()[0] or 0.0
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     pos = known.filter("toxic = 1").orderBy(*order).limit(most_positive).select("doc_id", F.lit(True).alias("positive"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull() & ~held_out())
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out()).distinct()
     unl = ids.orderBy(*order).limit(most_unlabelled).select("doc_id", F.lit(False).alias("positive"))
     chosen = F.broadcast(pos.unionByName(unl))  # at most most_positive + most_unlabelled ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("positive", "text")
+    texts = docs.join(chosen, "doc_id").groupBy("doc_id", "positive").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("positive", "text")
 
     def run(batches):
         for batch in slices(batches):
-            rows = [_buckets(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["positive", "buckets"])
+            rows = [(sure, found) for sure, t in zip(*(c.to_pylist() for c in batch.columns)) if len(found := _buckets(t)) <= most_features]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], names=["positive", "buckets"])
 
     got = texts.mapInArrow(run, "positive boolean, buckets array<int>").toArrow()
     flat = got["buckets"].combine_chunks()
