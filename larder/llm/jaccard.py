@@ -43,8 +43,8 @@ from larder.llm.components import components
 from larder.llm.wordhash import WordArrays
 
 TREES, DEPTH = 16, 8
-#: Texts in a block, and shingles in a block.
-BLOCK_TEXTS, BLOCK_SHINGLES = 256, 1_000_000
+#: Texts in a block at most, fewest texts for which a group is cut further to keep all tasks busy, and shingles in a block.
+BLOCK_TEXTS, LEAST_TEXTS, BLOCK_SHINGLES = 256, 32, 1_000_000
 #: The largest group of a prefix that is compared at once.
 GROUP = 256
 #: Texts that measure the recall, and made-up links at the threshold that keep it honest.
@@ -272,14 +272,14 @@ def candidates(nodes: DataFrame, depth: int, least: float) -> DataFrame:
 def _across(rest: DataFrame, need: int) -> DataFrame:
     """Edges between the classes (roots) of texts that share a prefix: each group's largest class against the others, and these
     among themselves, in pairs of blocks."""
+    parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     major = F.col("root") == F.col("major")
-    blocks_major, blocks_other = F.ceil(F.col("in_major") / BLOCK_TEXTS), F.ceil((F.col("n") - F.col("in_major")) / BLOCK_TEXTS)
+    blocks_major, blocks_other = _blocks(F.col("in_major"), parts), _blocks(F.col("n") - F.col("in_major"), parts)
     hashed = F.xxhash64("node", F.lit(11))
     block = F.when(major, F.pmod(hashed, blocks_major)).otherwise(blocks_major + F.pmod(hashed, blocks_other)).cast("int")
     first = F.when(major, blocks_major).otherwise(F.lit(0)).cast("int")
     rest = rest.withColumns({"block": block, "other": F.explode(F.sequence(first, (blocks_major + blocks_other - 1).cast("int")))})
     rest = rest.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "root", "sketch")
-    parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = rest.select(F.xxhash64("key").alias("group"), "key", "lo", "hi", "node", "root", "sketch")
     rest = rest.repartition(parts, "group", "lo", "hi").sortWithinPartitions("group", "key", "lo", "hi")
     rest = rest.select("group", "lo", "hi", F.col("key.tree").alias("tree"), F.hex("key.prefix").alias("prefix"), "root", "sketch")
@@ -298,6 +298,12 @@ def _across(rest: DataFrame, need: int) -> DataFrame:
     return rest.mapInArrow(_gathered(run), "a long, b long").distinct()
 
 
+def _blocks(texts, parts: int):
+    """Blocks of a group: one if it is small, else so many that their pairs keep all partitions busy."""
+    busy = F.least(F.ceil(texts / LEAST_TEXTS), F.lit(int(np.ceil((2 * parts) ** 0.5))))
+    return F.when(texts <= BLOCK_TEXTS, F.lit(1)).otherwise(F.greatest(F.ceil(texts / BLOCK_TEXTS), busy))
+
+
 def _block_pairs(rows: DataFrame, blocks) -> DataFrame:
     """Deals each row to the pairs of blocks that its block is part of: columns lo, hi and block."""
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int"))
@@ -361,8 +367,8 @@ def verified(texts: DataFrame, n: int, threshold: float) -> DataFrame:
     if made.select("node").distinct().count() < made.count():  # repeated rows of one id and text
         made = table(made.dropDuplicates(["node"]), "shingles")
     sizes = made.groupBy("root").agg(F.count("*").alias("texts"), F.sum("size").alias("total"))
-    blocks = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("total") / BLOCK_SHINGLES), F.lit(1))
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = F.greatest(_blocks(F.col("texts"), parts), F.ceil(F.col("total") / BLOCK_SHINGLES))
     dealt = _block_pairs(made.join(sizes, "root"), blocks).withColumn("whole", blocks == 1).select("root", "lo", "hi", "block", "node", "shingles", "whole")
     dealt = dealt.repartition(parts, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
 
