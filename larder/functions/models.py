@@ -90,7 +90,7 @@ def has_substance(*fields: Column) -> Column:
 
 def redact_keys(text: Column, key: str | None = None) -> Column:
     """Text without what looks like an API key, and without the given key."""
-    out = F.regexp_replace(text, r"AIza[0-9A-Za-z_\-]{10,}", "AIza...REDACTED")
+    out = F.regexp_replace(text, r"\b(?:AIza[0-9A-Za-z_\-]{10,}|AQ\.[0-9A-Za-z_\-]{10,})", "AIza...REDACTED")
     return F.replace(out, F.lit(key), F.lit("...REDACTED")) if key and len(key) > 6 else out
 
 
@@ -98,3 +98,16 @@ def retry_after(header: Column) -> Column:
     """Seconds that a server asks for, between 1 and 120; null where it is no number."""
     n = F.nullif(header, F.lit("")).try_cast("double")
     return F.when(n.isNotNull(), F.greatest(F.lit(1.0), F.least(n, F.lit(120.0))))
+
+
+def quota_violation(body: Column) -> Column:
+    """What a refused call's body says of the quota that it broke: a message that names the period, else quota and limit."""
+    at = lambda p: F.get_json_object(body, p)
+    message = at("$.error.message")
+    named = F.when(message.contains("per-min") | message.contains("per-day"), F.substring(message, 1, 120))
+    kind = "array<struct<`@type`:string,violations:array<struct<quotaId:string,quotaMetric:string,quotaValue:string>>>>"
+    details = F.filter(F.from_json(at("$.error.details"), kind), lambda x: F.coalesce(x["@type"], F.lit("")).contains("QuotaFailure"))
+    broken = F.flatten(F.transform(details, lambda x: F.coalesce(x["violations"], F.array().cast("array<struct<quotaId:string,quotaMetric:string,quotaValue:string>>"))))
+    limit = lambda v: F.when(F.coalesce(v["quotaValue"], F.lit("")) != "", F.concat(F.lit(" (limit "), v["quotaValue"], F.lit(")"))).otherwise("")
+    told = F.transform(broken, lambda v: F.concat(F.coalesce(F.nullif(v["quotaId"], F.lit("")), F.nullif(v["quotaMetric"], F.lit(""))), limit(v)))
+    return F.coalesce(named, F.get(F.filter(told, lambda t: t.isNotNull()), F.lit(0)))

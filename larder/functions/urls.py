@@ -221,9 +221,29 @@ def resolve_redirects(df, redirects, column: str = "url"):
 
 
 def is_public_address(host: Column) -> Column:
-    """A literal IPv4 host outside the private, loopback, link-local, reserved and multicast ranges; names pass."""
-    octets = [F.try_element_at(F.split(host, r"\."), F.lit(i)).try_cast("int") for i in (1, 2, 3, 4)]
-    a, b = octets[0], octets[1]
-    literal = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    closed = a.isin(0, 10, 127) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127))
-    return F.when(literal, ~closed & (F.greatest(*octets) <= 255)).otherwise(host != "localhost")
+    """An IPv4 or IPv6 address outside the private, loopback, link-local, reserved and multicast ranges; names other than localhost pass.
+
+    A name says nothing of what it resolves to: whoever fetches checks the resolved address too.  What looks like a number
+    and is no address (decimal, octal or hex forms) is not public.
+    """
+    bare = F.lower(F.regexp_replace(F.trim(host), r"^\[|\](:\d+)?$|%.*$", ""))
+
+    def public(h):
+        mapped = F.regexp_extract(h, r"^(?:::ffff:(?:0:)?|64:ff9b::)(\d{1,3}(?:\.\d{1,3}){3})$", 1)
+        v4 = F.when(mapped != "", mapped).otherwise(h)
+        octets = [F.try_element_at(F.split(v4, r"\."), F.lit(i)).try_cast("int") for i in (1, 2, 3, 4)]
+        a, b, c = octets[:3]
+        closed = a.isin(0, 10, 127) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127))
+        closed = closed | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & (b.isin(18, 19) | ((b == 51) & (c == 100)))) | ((a == 203) & (b == 0) & (c == 113))
+        # Of IPv6 only 2000::/3 is public, and of that not the ranges for documents, benchmarks, tunnels and 6to4.
+        v6 = h.rlike(r"^[23][0-9a-f]{3}:") & ~h.rlike(r"^(2001:0?db8:|2001:(0{0,3}[0-9a-f]|0{0,2}[0-9a-f]{2}|0?[01][0-9a-f]{2})?:|2002:|3fff:0?[0-9a-f]{0,3}:)")
+        name = (h != "") & (h != "localhost") & ~h.endswith(".localhost") & ~h.rlike(r"^(0x[0-9a-f]+|\d+)(\.(0x[0-9a-f]+|\d+))*\.?$")
+        return F.when(v4.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), ~closed & (F.greatest(*octets) <= 255) & ~v4.rlike(r"(^|\.)0\d")).when(h.contains(":"), v6).otherwise(name)
+
+    return F.coalesce(let(bare, public), F.lit(False))
+
+
+def is_public_url(url: Column) -> Column:
+    """A web address (http or https) whose host may be fetched on a caller's behalf."""
+    host = F.regexp_extract(url, r"(?i)^https?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
+    return F.coalesce(url.rlike(r"(?i)^https?://") & (host != "") & is_public_address(host), F.lit(False))

@@ -1,185 +1,293 @@
-"""HTML records: metadata, main text, link density, block and single-page tests, by the standard parser.
+"""HTML records: metadata, main text, link density, wall and single-page tests, by the standard parser.
 
-A page is parsed once, in Arrow batches, into all its columns; the tests on raw text are columns.
+A page is parsed once, in Arrow batches, into all its columns; the tests on raw text are column expressions.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from html.parser import HTMLParser
+from itertools import accumulate
 from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Metadata names of each field, in order of preference ------------------------
+# Fixed values -----------------------------------------------------------------------------
+#: Metadata names and the field that each gives; of the names of a field the first on the page counts.
 META_FIELDS = {
-    "title": ["og:title", "twitter:title"], "caption": ["og:description", "twitter:description", "description"],
-    "thumbnail_url": ["og:image", "og:image:url", "twitter:image"], "media_url": ["og:video", "og:video:url", "og:video:secure_url"],
-    "author": ["author", "article:author", "twitter:creator"], "published": ["article:published_time", "og:published_time", "date"],
-    "site": ["og:site_name"], "kind": ["og:type"], "duration": ["og:video:duration", "video:duration"],
-}
-BLOCK_TITLES = ["just a moment...", "access denied", "attention required! | cloudflare", "are you a robot?", "security check", "403 forbidden", "log in", "login"]
-BLOCK_MARKS = ["cf-browser-verification", "checking your browser", "enable javascript and cookies to continue", "captcha-delivery", "px-captcha", "unusual traffic from your computer"]
-APP_MARKS = ['id="__next"', 'id="root"></div>', 'id="app"></div>', "data-reactroot", "ng-app", "window.__initial_state__"]
-# -----------------------------------------------------------------------------------------
-_VOID = {"br", "img", "meta", "link", "hr", "input", "source", "wbr", "col", "area", "base", "embed", "track", "param"}
-_HIDDEN = {"script", "style", "noscript", "template", "svg", "head", "iframe"}
-_APART = {"nav", "aside", "footer", "header", "form"}
-_BLOCK = {"p", "h1", "h2", "h3", "h4", "li", "blockquote", "pre", "td", "dd", "figcaption", "div", "article", "section", "main", "body", "ul", "ol", "table", "tr"}
-_BOX = {"article", "main", "section", "div", "body"}
+    "og:title": "title",
+    "twitter:title": "title",
+    "og:description": "caption",
+    "twitter:description": "caption",
+    "description": "caption",
+    "og:image": "thumbnail_url",
+    "og:image:secure_url": "thumbnail_url",
+    "twitter:image": "thumbnail_url",
+    "twitter:image:src": "thumbnail_url",
+    "og:video": "media_url",
+    "og:video:url": "media_url",
+    "og:video:secure_url": "media_url",
+    "twitter:player:stream": "media_url",
+    "og:video:duration": "duration",
+    "video:duration": "duration",
+    "article:published_time": "published",
+    "og:article:published_time": "published",
+    "article:author": "author",
+    "og:site_name": "site",
+    "og:type": "kind",
+}
+#: Titles of walls, without spaces, full stops, bars and dashes around them.
+JUNK_TITLES = [
+    "reddit", "instagram", "tiktok", "x", "twitter", "linkedin", "facebook",
+    "youtube", "login", "log in", "sign in", "just a moment", "just a moment...",
+    "access denied", "attention required!", "are you a robot?", "robot check",
+    "security check", "page not found", "error", "forbidden", "captcha",
+    "bot verification", "verify you are human", "one moment, please",
+    "one moment, please...",
+]
+#: Marks of walls in a page's first 20,000 characters.
+BLOCK_MARKS = [
+    "cf-browser-verification",
+    "challenge-platform",
+    "captcha-delivery",
+    "px-captcha",
+    "please enable javascript and cookies",
+    "checking if the site connection is secure",
+]
+#: Marks of pages that scripts fill in.
+APP_MARKS = ['id="root"', 'id="app"', 'id="__next"', 'id="render-target"', "data-reactroot", "ng-version", "data-v-", 'class="todoapp"']
+#: Elements that are no main text.
+NOISE_TAGS = {"script", "style", "noscript", "template", "svg", "form", "nav", "footer", "header", "aside", "iframe", "button", "sup"}
+NOISE_ROLES = {"navigation", "banner", "complementary"}
+#: Parts of class names that mark page furniture, and the elements that may be dropped for it.
+NOISE_CLASS = (
+    "navbox|sidebar|side-bar|menu|breadcrumb|toc\\b|table-of-contents|related|recommend|promo|advert|newsletter|subscribe|cookie|banner|"
+    "comment|social|share|footer|masthead|pagination|skip-link|hatnote|metadata|catlinks|mw-editsection|reflist|references|citation|"
+    "navigation|infobox|authority-control"
+)
+DROPPABLE = {"div", "section", "aside", "nav", "ul", "ol", "table", "td", "tr", "tbody", "span", "footer", "header", "form", "figure", "dl", "menu"}
+BLOCKS = {"p", "h1", "h2", "h3", "li", "blockquote"}
+# ------------------------------------------------------------------------------------------
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+_UNSEEN = {"script", "style", "template", "noscript", "head", "title"}
+_FURNITURE = re.compile(NOISE_CLASS, re.IGNORECASE)
+_WALL = " .|-"
 
 
-class _Box:
-    """A container: its blocks of text, each with its characters inside links."""
+class _Element:
+    __slots__ = ("tag", "attrs", "kids")
 
-    __slots__ = ("blocks", "paragraphs")
+    def __init__(self, tag: str, attrs: dict):
+        self.tag, self.attrs, self.kids = tag, attrs, []
 
-    def __init__(self):
-        self.blocks, self.paragraphs = [], 0
+    def texts(self):
+        for kid in self.kids:
+            if isinstance(kid, str):
+                yield kid
+            elif kid.tag not in ("script", "style", "template"):
+                yield from kid.texts()
 
-    def score(self) -> float:
-        chars, linked = sum(len(t) for t, _ in self.blocks), sum(n for _, n in self.blocks)
-        density = linked / chars if chars else 1.0
-        return 0.0 if density > 0.5 else chars * (1 - density) * (1 + 0.02 * self.paragraphs)
+    def walk(self):
+        yield self
+        for kid in self.kids:
+            if not isinstance(kid, str):
+                yield from kid.walk()
 
+    def is_noise(self) -> bool:
+        if self.tag in NOISE_TAGS:
+            return True
+        if self.tag not in DROPPABLE:
+            return False
+        return self.attrs.get("role") in NOISE_ROLES or any(_FURNITURE.search(c) for c in self.attrs.get("class", "").split())
 
-class Page(HTMLParser):
-    """What a page says: its title, metadata, linked data, canonical address and containers of text."""
+
+class _Builder(HTMLParser):
+    """A tree of a page's elements; what is never closed ends with its parent."""
+
+    #: Deeper elements are put beside each other, so that no page exhausts the stack.
+    DEEPEST = 200
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.meta, self.title, self.canonical, self.data = {}, None, None, []
-        self.boxes, self.open, self.hidden, self.apart, self.links = [], [], 0, 0, 0
-        self.text, self.linked, self.raw = [], 0, None
-        self.body_words = self.scripts = self.total = self.in_links = 0
-        self.stack: list[str] = []
+        self.root = _Element("", {})
+        self.open = [self.root]
         try:
             self.feed(html)
             self.close()
         except (AssertionError, ValueError):
             pass
-        self._end_block()
 
     def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
-        if tag == "meta":
-            name = (a.get("property") or a.get("name") or "").lower()
-            if name and a.get("content") and name not in self.meta:
-                self.meta[name] = a["content"].strip()
-        elif tag == "link" and "canonical" in a.get("rel", "").lower().split() and not self.canonical:
-            self.canonical = a.get("href") or None
-        if tag in _VOID:
-            if tag == "br":
-                self.text.append("\n")
-            return
-        if tag in ("title", "script") and self.raw is None:
-            kind = a.get("type", "").lower()
-            self.scripts += tag == "script" and "json" not in kind
-            self.raw = [tag, kind, ""]
-        if tag in _BLOCK:
-            self._end_block()
-        self.stack.append(tag)
-        self.hidden += tag in _HIDDEN
-        self.apart += tag in _APART
-        self.links += tag == "a"
-        if tag in _BOX:
-            self.open.append(_Box())
-            self.boxes.append(self.open[-1])
-        if tag == "p" and self.open:
-            for box in self.open:
-                box.paragraphs += 1
+        element = _Element(tag, {k: v or "" for k, v in reversed(attrs)})
+        self.open[-1].kids.append(element)
+        if tag not in _VOID and len(self.open) < self.DEEPEST:
+            self.open.append(element)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if self.raw and self.raw[0] == tag:
-            _, kind, text = self.raw
-            self.raw = None
-            if tag == "title" and self.title is None:
-                self.title = text.strip() or None
-            elif "ld+json" in kind:
-                try:
-                    self.data.append(json.loads(text))
-                except ValueError:
-                    pass
-        if tag not in self.stack:
-            return
-        if tag in _BLOCK:
-            self._end_block()
-        while self.stack:
-            top = self.stack.pop()
-            self.hidden -= top in _HIDDEN
-            self.apart -= top in _APART
-            self.links -= top == "a"
-            if top in _BOX and self.open:
-                self.open.pop()
-            if top == tag:
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag == tag:
+                del self.open[i:]
                 return
 
     def handle_data(self, data):
-        if self.raw:
-            self.raw[2] += data
-        if self.hidden:
-            return
-        n = len(data.split())
-        self.body_words += n
-        self.total += len(data.strip())
-        if self.links:
-            self.in_links += len(data.strip())
-        if not self.apart:
-            self.text.append(data)
-            self.linked += len(data.strip()) if self.links else 0
-
-    def _end_block(self):
-        text = re.sub(r"[ \t\r\f\v\xa0]+", " ", "".join(self.text)).strip()
-        if text:
-            for box in self.open:
-                box.blocks.append((text, self.linked))
-        self.text, self.linked = [], 0
+        self.open[-1].kids.append(data)
 
-    def main_text(self, least: int = 200, most: int = 20_000) -> str | None:
-        """The best container's blocks of more than thirty characters that are not mostly links."""
-        best = max(self.boxes, key=_Box.score, default=None)
-        if best is None or not best.score():
-            return None
-        kept = [t for t, linked in best.blocks if len(t) > 30 and linked <= 0.5 * len(t)]
-        text = "\n\n".join(dict.fromkeys(kept))
-        return text[:most] if len(text) >= least else None
-
-    def linked_data(self, *names: str):
-        """The first value of any of the names in the page's linked data, however deep."""
-        todo = list(self.data)
-        while todo:
-            x = todo.pop(0)
+
+def _joined(texts) -> str:
+    return " ".join(t for t in map(str.strip, texts) if t)
+
+
+def clean(text: str | None) -> str | None:
+    """Single spaces, stripped lines, one blank line at most; None where nothing is left."""
+    if not text:
+        return None
+    text = re.sub("[ \t\xa0]+", " ", text.replace("\r\n", "\n").replace("\r", "\n"))
+    return re.sub("\n{3,}", "\n\n", "\n".join(line.strip() for line in text.split("\n"))).strip() or None
+
+
+class Page:
+    """What a page says: its title, metadata, linked data, canonical address and main text."""
+
+    def __init__(self, html: str):
+        self.root = _Builder(html).root
+        self.meta, self.title, self.canonical, self.data, self.scripts = {}, None, None, [], 0
+        for e in self.root.walk():
+            if e.tag == "meta":
+                name = (e.attrs.get("property") or e.attrs.get("name") or "").strip().lower()
+                content = e.attrs.get("content", "").strip()
+                if content and name in META_FIELDS:
+                    self.meta.setdefault(META_FIELDS[name], content)
+            elif e.tag == "title" and self.title is None:
+                self.title = "".join(k for k in e.kids if isinstance(k, str)).strip()
+            elif e.tag == "link" and self.canonical is None and "canonical" in e.attrs.get("rel", ""):
+                self.canonical = e.attrs.get("href", "").strip() or None
+            elif e.tag == "script":
+                kind = e.attrs.get("type", "").strip().lower()
+                self.scripts += "json" not in kind
+                if kind == "application/ld+json":
+                    try:
+                        self.data.append(json.loads("".join(k for k in e.kids if isinstance(k, str))))
+                    except ValueError:
+                        pass
+
+    def _nodes(self):
+        """The objects of the linked data, outer ones first."""
+
+        def inside(x):
             if isinstance(x, dict):
-                for n in names:
-                    v = x.get(n)
-                    v = v[0] if isinstance(v, list) and v else v
-                    v = v.get("name") if isinstance(v, dict) else v
-                    if isinstance(v, (str, int, float)) and v != "":
-                        return str(v)
-                todo += list(x.values())
-            elif isinstance(x, list):
-                todo += x
+                yield x
+            for y in x.values() if isinstance(x, dict) else x if isinstance(x, list) else ():
+                yield from inside(y)
+
+        for x in self.data:
+            yield from inside(x)
+
+    def linked_data(self, *names: str) -> str | None:
+        """The first filled value of any of the names; of people and lists the first name."""
+        for node in self._nodes():
+            for name in names:
+                value = node.get(name)
+                value = value[0] if isinstance(value, list) and value else value
+                value = value.get("name") if isinstance(value, dict) else value
+                if value:
+                    return str(value)
         return None
 
+    def main_text(self, least: int = 200, most: int = 20_000) -> str | None:
+        """The text blocks of the container that scores best: long, in paragraphs, with few links.
+
+        Blocks up to 30 characters and blocks that are mostly links do not count.  Blocks and links are numbered in document
+        order, so a container's are a range of theirs, and all containers are scored by sums up to their ends.
+        """
+        blocks, links, boxes, body = [], [], [], None  # (order, text), (order, characters), (order, end, element)
+        order = 0
+
+        def visit(e):
+            nonlocal order, body
+            mine = order
+            order += 1
+            before = len(links)
+            for kid in e.kids:
+                if not isinstance(kid, str) and not kid.is_noise():
+                    visit(kid)
+            if e.tag == "a":
+                links.append((mine, len(_joined(shown(e)))))
+            elif e.tag in BLOCKS:
+                text = _joined(shown(e))
+                linked = sum(n for _, n in links[before:])
+                if len(text) > 30 and linked <= 0.5 * len(text):
+                    blocks.append((mine, text))
+            if e.tag in ("article", "main", "div", "section"):
+                boxes.append((mine, order, e.tag))
+            elif e.tag == "body" and body is None:
+                body = (mine, order, e.tag)
+
+        def shown(e):
+            for kid in e.kids:
+                if isinstance(kid, str):
+                    yield kid
+                elif not kid.is_noise():
+                    yield from shown(kid)
+
+        visit(self.root)
+        blocks.sort()
+        links.sort()
+        at_block, at_link = [o for o, _ in blocks], [o for o, _ in links]
+        chars = [0, *accumulate(len(t) for _, t in blocks)]
+        breaks = [0, *accumulate(t.count("\n\n") for _, t in blocks)]
+        linked = [0, *accumulate(n for _, n in links)]
+        boxes.sort(key=lambda b: ({"article": 0, "main": 1}.get(b[2], 2), b[0]))
+        best, best_score = None, 0.0
+        for start, end, _ in [*boxes, body or (0, order, "")]:
+            a, b = bisect_left(at_block, start + 1), bisect_left(at_block, end)
+            if a == b:
+                continue
+            size = chars[b] - chars[a] + 2 * (b - a - 1)
+            density = min(1.0, (linked[bisect_left(at_link, end)] - linked[bisect_left(at_link, start + 1)]) / size)
+            score = 0.0 if density > 0.5 else size * (1 - density) * (1 + 0.02 * (breaks[b] - breaks[a] + b - a - 1))
+            if score > best_score:
+                best, best_score = (a, b), score
+        text = clean("\n\n".join(t for _, t in blocks[best[0] : best[1]])) if best else None
+        return text[:most] if text and len(text) >= least else None
+
     def record(self, base: str | None) -> dict:
-        first = lambda field: next((self.meta[n] for n in META_FIELDS[field] if self.meta.get(n)), None)
         link = lambda u: urljoin(base or "", u) if u else None
+        get = self.meta.get
+        seen = list(self._visible(self.root))
+        chars = sum(len(t.strip()) for t, _ in seen)
         return {
-            "title": first("title") or self.linked_data("headline") or self.title,
-            "caption": first("caption") or self.linked_data("description"),
-            "author": first("author") or self.linked_data("author", "creator"),
-            "thumbnail_url": link(first("thumbnail_url") or self.linked_data("thumbnailUrl", "image")),
-            "media_url": link(first("media_url") or self.linked_data("contentUrl")),
-            "published": first("published") or self.linked_data("datePublished", "uploadDate"),
-            "duration": first("duration") or self.linked_data("duration"),
-            "site": first("site"), "kind": first("kind"), "canonical": link(self.canonical),
+            "title": clean(get("title") or self.title or self.linked_data("headline")),
+            "caption": clean(get("caption")),
+            "author": clean(get("author") or self.linked_data("author")),
+            "thumbnail_url": link(get("thumbnail_url")),
+            "media_url": link(get("media_url")),
+            "published": get("published") or self.linked_data("datePublished", "uploadDate"),
+            "duration": get("duration") or self.linked_data("duration"),
+            "site": get("site"),
+            "kind": get("kind"),
+            "canonical": link(self.canonical),
             "article_text": self.linked_data("articleBody") or self.main_text(),
-            "body_words": self.body_words, "scripts": self.scripts,
-            "link_density": round(self.in_links / self.total, 6) if self.total else 0.0,
-        }
+            "body_words": sum(len(t.split()) for t, _ in seen),
+            "scripts": self.scripts,
+            "link_density": round(sum(len(t.strip()) for t, linked in seen if linked) / chars, 6) if chars else 0.0,
+        }
+
+    def _visible(self, e: _Element, linked: bool = False):
+        """A page's texts outside scripts, styles and the head, and whether each is in a link."""
+        for kid in e.kids:
+            if isinstance(kid, str):
+                yield kid, linked
+            elif kid.tag not in _UNSEEN:
+                yield from self._visible(kid, linked or kid.tag == "a")
 
 
 _KINDS = {"body_words": ("bigint", pa.int64()), "scripts": ("bigint", pa.int64()), "link_density": ("double", pa.float64())}
@@ -187,29 +295,51 @@ _FIELDS = ["title", "caption", "author", "thumbnail_url", "media_url", "publishe
 
 
 def parse_pages(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:
-    """key and the record of each page; no shuffle."""
+    """key and the record of each page; no shuffle.  A null page gives a record without values."""
 
     def run(batches):
         for batch in batches:
-            rows = [Page(h or "").record(u) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[f] for r in rows], _KINDS.get(f, ("", pa.string()))[1]) for f in _FIELDS)], names=["k", *_FIELDS])
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                rows = [Page(h or "").record(u) for u, h in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                columns = [pa.array([r[f] for r in rows], _KINDS.get(f, ("", pa.string()))[1]) for f in _FIELDS]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["k", *_FIELDS])
 
     kinds = ", ".join(f"{f} {_KINDS.get(f, ('string',))[0]}" for f in _FIELDS)
     return pages.select(key, url, html).mapInArrow(run, f"k {dict(pages.dtypes)[key]}, {kinds}").withColumnRenamed("k", key)
 
 
+def parse_fragments(rows: DataFrame, key: str, html: str) -> DataFrame:
+    """key and article_text of pieces of HTML: their main text, else all their text; no shuffle."""
+
+    def text_of(fragment):
+        page = Page(fragment or "")
+        return page.main_text() or (clean(_joined(page.root.texts())) or "")[:20_000] or None
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(text_of, batch.column(1).to_pylist())), pa.string())], names=["k", "article_text"])
+
+    return rows.select(key, html).mapInArrow(run, f"k {dict(rows.dtypes)[key]}, article_text string").withColumnRenamed("k", key)
+
+
+def _any_of(text: Column, marks: list[str]) -> Column:
+    found = F.lit(False)
+    for m in marks:
+        found = found | text.contains(m)
+    return F.coalesce(found, F.lit(False))
+
+
 def is_block_page(title: Column, html: Column) -> Column:
     """A wall instead of content, by its title or by marks near its beginning."""
-    head = F.lower(F.substring(html, 1, 20_000))
-    marked = F.lit(False)
-    for m in BLOCK_MARKS:
-        marked = marked | head.contains(m)
-    return F.coalesce(F.lower(F.trim(title)).isin(BLOCK_TITLES), F.lit(False)) | F.coalesce(marked, F.lit(False))
-
-
-def is_app_page(html: Column, body_words: Column, scripts: Column) -> Column:
-    """A page that scripts fill in: by marks, or hardly any words beside scripts."""
-    marked = F.lit(False)
-    for m in APP_MARKS:
-        marked = marked | F.lower(html).contains(m)
-    return F.coalesce(marked | ((body_words < 25) & (scripts > 0)), F.lit(False))
+    bare = F.btrim(F.lower(F.btrim(title)), F.lit(_WALL))
+    return F.coalesce(bare.isin(JUNK_TITLES), F.lit(False)) | _any_of(F.lower(F.substring(html, 1, 20_000)), BLOCK_MARKS)
+
+
+def is_app_page(html: Column) -> Column:
+    """A page that scripts fill in: by marks, or fewer than 25 words in its body beside scripts."""
+    body = F.regexp_extract(html, r"(?is)<body[^>]*>(.*?)</body>", 1)
+    bare = F.regexp_replace(F.regexp_replace(body, r"(?is)<(script|style|noscript)[^>]*>.*?</\1>", ""), "<[^>]+>", " ")
+    words = F.size(F.filter(F.split(bare, r"(?U)\s+"), lambda w: w != ""))
+    empty = html.rlike(r"(?is)<body[^>]*>.*</body>") & (words < 25) & html.contains("<script")
+    return _any_of(html, APP_MARKS) | F.coalesce(empty, F.lit(False))

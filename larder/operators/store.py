@@ -6,6 +6,7 @@ hash joins or one aggregate, so the cost is a shuffle of the two sides.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,33 +112,113 @@ def page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
 
 
 class Table:
-    """A table in versioned folders: a change writes a new one, then a pointer row names it."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def _versions(self):
-        return self.spark.read.schema("folder string, at timestamp").json(f"{self.path}/_versions")
-
-    def read(self) -> DataFrame:
-        """The newest version; an empty table before the first."""
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_versions")
-        if not fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs):
-            return self.spark.createDataFrame([], self.schema)
-        newest = self._versions().orderBy(F.desc("at")).first()["folder"]
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{newest}")
-
-    def overwrite(self, df: DataFrame) -> DataFrame:
+    """A table in hash buckets of its key, in versioned folders.
+
+    A change reads and writes the buckets that it touches, nothing else; an append adds a folder to the buckets it
+    has rows for, and many appends are folded into one folder when their bucket is next changed.  A version is a
+    small file that names the folders of every bucket.  It is created and never overwritten: of two writers that
+    begin from one version the second fails.  Folders that no version names any more go with ``vacuum``.
+    The number of buckets is the table's own from its first version on.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "url_hash", buckets: int = 16, order: tuple[str, ...] = ()):
+        self.spark, self.path, self.schema, self.key, self.order = spark, path.rstrip("/"), schema, key, list(order)
+        self._asked, self._last = buckets, ("", {})
+
+    def _at(self, *parts: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _names(self, *parts: str) -> list[str]:
+        fs, path = self._at(*parts)
+        return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _versions(self) -> list[str]:
+        return [n for n in self._names("_versions") if n.endswith(".json")]
+
+    def _state(self, name: str | None = None) -> dict[int, list[str]]:
+        """Bucket -> folders of a version, the newest by default."""
+        return {int(b): folders for b, folders in self._content(name).get("folders", {}).items()}
+
+    def _content(self, name: str | None = None) -> dict:
+        names = [name] if name else self._versions()[-1:]
+        if not names:
+            return {}
+        if self._last[0] != names[0]:  # a version never changes
+            fs, path = self._at("_versions", names[0])
+            stream = fs.open(path)
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            self._last = (names[0], json.loads(text))
+        return self._last[1]
+
+    @property
+    def buckets(self) -> int:
+        return self._content().get("buckets", self._asked)
+
+    def _commit(self, state: dict[int, list[str]], after: int) -> None:
+        fs, path = self._at("_versions", f"{after + 1:08d}.json")
+        content = {"buckets": self.buckets, "folders": {str(b): f for b, f in sorted(state.items()) if f}}
+        out = fs.create(path, False)  # fails if another writer was faster
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def _write(self, df: DataFrame) -> tuple[str, list[int]]:
+        """A new folder with df's rows, and the buckets it has."""
         folder = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{folder}")
-        self.spark.range(1).select(F.lit(folder).alias("folder"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").json(f"{self.path}/_versions")
+        rows = df.withColumn("_b", self._bucket()).hint("rebalance", "_b")
+        rows.sortWithinPartitions("_b", *self.order).write.partitionBy("_b").parquet(f"{self.path}/{folder}")
+        return folder, [int(n[3:]) for n in self._names(folder) if n.startswith("_b=")]
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        """The newest version, or some buckets of it; an empty table before the first."""
+        paths = [f"{self.path}/{f}/_b={b}" for b, folders in self._state().items() if buckets is None or b in buckets for f in folders]
+        reader = self.spark.read.schema(self.schema)
+        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def change(self, keys: DataFrame, make) -> DataFrame:
+        """make(old rows of the buckets that keys touch) in their place."""
+        touched = sorted(r[0] for r in keys.select(self._bucket()).distinct().collect())  # as many as there are buckets
+        if not touched:
+            return self.read()
+        after, state = len(self._versions()), self._state()
+        folder, present = self._write(make(self.read(touched)).select(*self.read().columns))
+        state |= {b: [folder] if b in present else [] for b in touched}
+        self._commit(state, after)
         return self.read()
 
-    def upsert(self, new: DataFrame, key: str, **kw) -> DataFrame:
-        return self.overwrite(upsert(self.read(), new, key, **kw))
+    def append(self, df: DataFrame) -> DataFrame:
+        """More rows; nothing is rewritten."""
+        after, state = len(self._versions()), self._state()
+        folder, present = self._write(df.select(*self.read().columns))
+        for b in present:
+            state[b] = [*state.get(b, []), folder]
+        self._commit(state, after)
+        return self.read()
 
-    def forget(self, gone: DataFrame, key: str) -> DataFrame:
-        return self.overwrite(forget({"t": self.read()}, gone, key)["t"])
+    def upsert(self, new: DataFrame, **kw) -> DataFrame:
+        return self.change(new, lambda old: upsert(old, new, self.key, **kw))
+
+    def replace(self, new: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+        """All rows of keys (by default new's) replaced by new's."""
+        keys = new if keys is None else keys
+        return self.change(keys, lambda old: old.join(keys.select(self.key).distinct(), self.key, "left_anti").unionByName(new.select(*old.columns)))
+
+    def forget(self, gone: DataFrame) -> DataFrame:
+        return self.change(gone, lambda old: old.join(gone.select(self.key), self.key, "left_anti"))
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Deletes the folders that the last versions do not name; how many."""
+        names = self._versions()
+        named = {f for n in names[-keep:] for folders in self._state(n).values() for f in folders}
+        gone = [n for n in self._names() if n.startswith("v-") and n not in named]
+        for name in gone:
+            fs, path = self._at(name)
+            fs.delete(path, True)
+        return len(gone)
 
 
 def write_report_csv(df: DataFrame, path: str, passed: str = "success") -> None:

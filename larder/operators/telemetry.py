@@ -97,3 +97,18 @@ def corpus_quality(pages: DataFrame, kind: str, domain: str, score: Column) -> D
     """By page type: pages, domains, share in percent, mean score."""
     out = pages.groupBy(kind).agg(F.count("*").alias("pages"), F.count_distinct(domain).alias("domains"), F.round(F.avg(score), 4).alias("avg_score"))
     return out.withColumn("share_pct", F.round(F.col("pages") * 100.0 / F.sum("pages").over(Window.partitionBy()), 4))
+
+
+def extracted(title: Column, caption: Column, article: Column) -> Column:
+    """Success of a run's item: any text was found."""
+    return F.coalesce(title != "", F.lit(False)) | F.coalesce(caption != "", F.lit(False)) | F.coalesce(article != "", F.lit(False))
+
+
+def served(status: Column, words: Column, details: Column) -> Column:
+    """Success of a live request: answered, with words or details."""
+    return F.coalesce((status == 200) & ((F.coalesce(words, F.lit(0)) > 0) | (F.coalesce(details, F.lit(0)) > 0)), F.lit(False))
+
+
+def processed(words: Column, title: Column) -> Column:
+    """Success of a local pipeline's item: words or a title."""
+    return (F.coalesce(words, F.lit(0)) > 0) | F.coalesce(title != "", F.lit(False))

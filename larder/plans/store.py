@@ -122,8 +122,7 @@ def cascade_merge(spark, d):
 
 def cascade_attempts(spark, d):
     inputs = read(spark, d, "conversations").select("conv_id")
-    tiers = spark.createDataFrame([(0,), (1,), (2,)], "tier_rank int")
-    a = M.attempts(inputs, _candidates(spark, d), "conv_id", "tier_rank", tiers, F.col("turns") < 3)
+    a = M.attempts(inputs, _candidates(spark, d), "conv_id", "tier_rank", [0, 1, 2], F.col("turns") < 3)
     return a.groupBy("tier_rank").agg(F.count("*").alias("attempts"), F.sum(F.col("ok").cast("long")).alias("ok"), F.sum(F.col("skipped").cast("long")).alias("skipped"))
 
 

@@ -193,31 +193,37 @@ def category_coerce(spark, d):
 
 # -- Heuristics ------------------------------------------------------------------------
 
-#: The corpus is invented words: a stop list and cues of its own make the votes say something.
-_STOP = ["the", "and", "that", "with", "die", "der", "und", "les", "que"]
-_CUES = {"alpha": ["thnd", "erst", "erre"], "beta": ["einach", "verein", "enst"], "gamma": ["eaue", "quement", "lement"]}
+_STOP = H.stopwords(["die", "der", "und", "les", "que"])
+_CUES = sorted({c for names in H.CATEGORY_CUES.values() for c in names})
+_PAIRS = [f"{a} {b}" for names in H.TYPE_CUES.values() for a, b in zip(names, names[1:])]
 
 
-def _toks(c):
-    return H.tokens(F.col(c), _STOP)
+def _at(words: list[str], place) -> F.Column:
+    return F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(place, F.lit(len(words))) + 1).cast("int"))
+
+
+def _cued(spark, d):
+    """The corpus is invented words; each text gets cue words of the real tables, some of them twice."""
+    cue = lambda n: _at(_CUES, F.col("doc_id") * n)
+    text = F.concat_ws(" ", "text", cue(1), cue(1), cue(7), cue(7), cue(11))
+    typed = F.concat_ws(" ", "text", _at(_PAIRS, F.col("doc_id")))
+    return read(spark, d, "documents").select("doc_id", text.alias("text"), F.when(F.col("doc_id") % 3 != 0, typed).otherwise(F.col("text")).alias("typed"), F.split("text", "\n").getItem(0).alias("title"))
 
 
 def term_scores(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", "text", F.split("text", "\n").getItem(0).alias("title"))
-    s = H.term_scores(docs, "doc_id", "text", {"title": 4}, "text", _STOP)
-    return H.top_terms(s, "doc_id", 5)
+    return H.top_terms(_cued(spark, d), "doc_id", "text", {"title": 4}, "text", _STOP, 5)
 
 
 def bigrams(spark, d):
-    return H.bigrams(read(spark, d, "documents"), "doc_id", "text", _STOP).filter("n >= 2")
+    return H.bigrams(read(spark, d, "documents"), "doc_id", "text", _STOP, 2)
 
 
 def category_vote(spark, d):
-    return read(spark, d, "documents").select("doc_id", H.category_vote(_toks("text"), _CUES).alias("category"))
+    return _cued(spark, d).select("doc_id", H.category_vote(H.tokens(F.col("text"), _STOP)).alias("category"))
 
 
 def content_type_vote(spark, d):
-    return read(spark, d, "documents").select("doc_id", H.type_vote(F.lower("text"), F.col("doc_id") % 2 == 0, {"one": ["erre", "thnd"], "two": ["einach", "schst"]}).alias("content_type"))
+    return _cued(spark, d).select("doc_id", H.type_vote(F.lower("typed"), F.col("doc_id") % 2 == 0).alias("content_type"))
 
 
 def heuristic_summary(spark, d):
@@ -277,6 +283,9 @@ def source_fingerprint(spark, d):
 _SQUEEZED = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 _CLIP = lambda t, n: f"CASE WHEN length({t}) <= {n} THEN {t} ELSE rtrim(CASE WHEN {n} - strpos(reverse(left({t}, {n})), ' ') > {n} * 0.6 AND strpos(reverse(left({t}, {n})), ' ') > 0 THEN left({t}, {n} - strpos(reverse(left({t}, {n})), ' ')) ELSE left({t}, {n}) END) || '...' END"
 _TOKS = lambda c: f"[x FOR x IN regexp_extract_all(lower({c}), '[a-z][a-z0-9''\\-]{{1,30}}') IF length(x) > 2 AND x NOT IN ({quoted(_STOP)})]"
+_CUED = f"""c AS (
+    SELECT doc_id, text || ' ' || {' || chr(32) || '.join(f'[{quoted(_CUES)}][(doc_id * {n}) % {len(_CUES)} + 1]' for n in (1, 1, 7, 7, 11))} AS text,
+           CASE WHEN doc_id % 3 <> 0 THEN text || ' ' || [{quoted(_PAIRS)}][doc_id % {len(_PAIRS)} + 1] ELSE text END AS typed, string_split(text, chr(10))[1] AS title FROM documents)"""
 _SENTENCES = "string_split(regexp_replace({0}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
 
 QUERIES = [
@@ -314,18 +323,22 @@ QUERIES = [
     Query("tag_normalize", tag_normalize, "SELECT * FROM (VALUES (1, 'javascript,recipe,3d'), (2, ''), (3, '')) v(id, tags)"),
     Query("category_coerce", category_coerce, "SELECT * FROM (VALUES ('Food Cooking', 'food-cooking', 'other'), ('foodcooking', 'food-cooking', 'case-study'), ('AI ML', 'ai-ml', 'case-study'), ('nonsense', 'other', 'meme'), (NULL, 'other', 'other')) v(a, category, content_type)"),
     Query("term_scores", term_scores, f"""
-        WITH s AS (SELECT doc_id, {_TOKS('text')} AS t, {_TOKS("string_split(text, chr(10))[1]")} AS h FROM documents),
-        b AS (SELECT doc_id, unnest([t[i] || '-' || t[i + 1] FOR i IN range(1, len(t)) IF t[i] <> t[i + 1]]) AS term FROM s),
-        r AS (SELECT doc_id, unnest(t) AS term, 1 AS w FROM s UNION ALL SELECT doc_id, unnest(h), 4 FROM s UNION ALL SELECT doc_id, term, count(*) * 3 FROM b GROUP BY 1, 2 HAVING count(*) >= 2),
-        g AS (SELECT doc_id, term, sum(w)::BIGINT AS score FROM r GROUP BY 1, 2)
-        SELECT doc_id, term, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS position FROM g QUALIFY position <= 5"""),
+        WITH {_CUED}, s AS (SELECT doc_id, {_TOKS('text')} AS t, {_TOKS('title')} AS h FROM c),
+        b AS (SELECT doc_id, unnest([t[i] || '-' || t[i + 1] FOR i IN range(1, len(t)) IF t[i] <> t[i + 1]]) AS term, unnest([i FOR i IN range(1, len(t)) IF t[i] <> t[i + 1]]) AS pos FROM s),
+        r AS (SELECT doc_id, unnest(t) AS term, 1 AS w, unnest(range(len(t))) AS pos FROM s UNION ALL SELECT doc_id, unnest(h), 4, 1000000 + unnest(range(len(h))) FROM s
+              UNION ALL SELECT doc_id, term, count(*) * 3, 2000000 + min(pos) FROM b GROUP BY 1, 2 HAVING count(*) >= 2),
+        g AS (SELECT doc_id, term, sum(w)::BIGINT AS score, min(pos) AS pos FROM r GROUP BY 1, 2)
+        SELECT doc_id, term, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS position FROM g QUALIFY position <= 5"""),
     Query("bigrams", bigrams, f"""
         WITH s AS (SELECT doc_id, {_TOKS('text')} AS t FROM documents), b AS (SELECT doc_id, unnest([t[i] || '-' || t[i + 1] FOR i IN range(1, len(t)) IF t[i] <> t[i + 1]]) AS bigram FROM s)
         SELECT doc_id, bigram, count(*) AS n FROM b GROUP BY 1, 2 HAVING count(*) >= 2"""),
     Query("category_vote", category_vote, f"""
-        WITH s AS (SELECT doc_id, {_TOKS('text')} AS t FROM documents), v AS (SELECT doc_id, {', '.join(f"len([x FOR x IN t IF x IN ({quoted(c)})]) AS {k}" for k, c in _CUES.items())} FROM s)
-        SELECT doc_id, CASE WHEN greatest(alpha, beta, gamma) < 2 THEN 'other' WHEN alpha >= beta AND alpha >= gamma THEN 'alpha' WHEN beta >= gamma THEN 'beta' ELSE 'gamma' END AS category FROM v"""),
-    Query("content_type_vote", content_type_vote, "SELECT doc_id, CASE WHEN contains(lower(text), 'erre') AND contains(lower(text), 'thnd') THEN 'one' WHEN contains(lower(text), 'einach') AND contains(lower(text), 'schst') THEN 'two' WHEN doc_id % 2 = 0 THEN 'article' ELSE 'other' END AS content_type FROM documents"),
+        WITH {_CUED}, s AS (SELECT doc_id, {_TOKS('text')} AS t FROM c), v AS (SELECT doc_id, [{', '.join(f"len([x FOR x IN t IF x IN ({quoted(c)})])" for c in H.CATEGORY_CUES.values())}] AS n FROM s)
+        SELECT doc_id, CASE WHEN list_max(n) < 2 THEN 'other' ELSE [{quoted(H.CATEGORY_CUES)}][list_position(n, list_max(n))] END AS category FROM v"""),
+    Query("content_type_vote", content_type_vote, f"""
+        WITH {_CUED}, l AS (SELECT doc_id, lower(typed) AS t FROM c)
+        SELECT doc_id, CASE {' '.join(f"WHEN {' + '.join(f'contains(t, {quoted([w])})::INT' for w in words)} >= 2 THEN '{name}'" for name, words in H.TYPE_CUES.items())}
+               WHEN doc_id % 2 = 0 THEN 'article' ELSE 'other' END AS content_type FROM l"""),
     Query("heuristic_summary", heuristic_summary, f"""
         WITH a AS (SELECT doc_id, text, trim({_SENTENCES.format("trim(string_split(text, chr(10))[1], ' ' || chr(10))")}[1]) AS h, regexp_replace({_SENTENCES.format("regexp_replace(text, '^\\s+|\\s+$', '', 'g')")}[1], '\\s+$', '') AS f,
                           [x FOR x IN [regexp_replace(y, '^\\s+|\\s+$', '', 'g') FOR y IN {_SENTENCES.format('text')}] IF length(x) > 20] AS long FROM documents),

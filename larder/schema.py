@@ -4,7 +4,7 @@ from __future__ import annotations
 
 PLATFORMS = ["instagram", "youtube", "tiktok", "twitter", "reddit", "linkedin", "web"]
 #: Extraction tiers from the cheapest to the last resort; the position is the rank.
-TIERS = ["client", "yt_dlp", "open_graph", "managed_api", "degraded"]
+TIERS = ["client_payload", "yt_dlp", "managed_api", "open_graph", "degraded"]
 
 ENVELOPES = """
     canonical_url string, url_hash string, original_url string, platform string, title string, author string,

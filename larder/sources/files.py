@@ -11,8 +11,18 @@ RUN = f"tag string, timestamp string, total_items bigint, successful_items bigin
 REJECT = "url string, page_type string, status string, http_code bigint, error string, validated_at string"
 
 
-def read_urls(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of URL objects, with the address to use: final, original, normalized, then url."""
+def first_existing(spark: SparkSession, paths: list[str | None]) -> str:
+    """The first of the paths that is there."""
+    for path in filter(None, paths):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return path
+    raise FileNotFoundError(f"none of {paths} exists")
+
+
+def read_urls(spark: SparkSession, path: str | list[str | None]) -> DataFrame:
+    """A JSON array of URL objects, with the address to use: final, original, normalized, then url.  Of several paths the first that exists."""
+    path = path if isinstance(path, str) else first_existing(spark, path)
     rows = spark.read.schema(URL_FIELDS).json(path, multiLine=True)
     some = [F.nullif(F.trim(c), F.lit("")) for c in ("final_url", "original_url", "normalized_url", "url")]
     return rows.withColumn("url", F.coalesce(*some)).filter("url IS NOT NULL").select("id", "platform", "genre", "url")

@@ -11,7 +11,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.text import clean_text, filled, hashtags, to_double, to_long, to_str, to_tags, to_timestamp
+from larder.functions.text import clean_text, echoes_title, filled, hashtags, iso_duration, to_double, to_long, to_str, to_tags, to_timestamp
 from larder.operators.merge import fold_repeats
 
 # Names that a flat payload may use for each field, in order of preference ----
@@ -33,6 +33,26 @@ ALIASES = {
     "comment_count": "comment_count comments".split(),
     "platform_tags": "platform_tags tags hashtags keywords".split(),
 }
+#: The page itself, as a client rendered it.
+HTML_NAMES = "html dom document outerhtml".split()
+#: Names that a scraping service may use, in order of preference.
+MANAGED_ALIASES = {
+    "title": "title name headline".split(),
+    "caption": "caption description text edge_media_to_caption post_text".split(),
+    "author": "author username owner_username uploader channel user_name".split(),
+    "author_url": "author_url profile_url user_url channel_url".split(),
+    "thumbnail_url": "thumbnail_url thumbnail display_url image_url cover cover_url".split(),
+    "media_url": "media_url video_url play_url download_url src url".split(),
+    "transcript": "transcript captions_text subtitles_text audio_transcript".split(),
+    "ocr_text": "ocr_text ocr text_in_image onscreen_text".split(),
+    "article_text": "article_text content body main_text markdown".split(),
+    "like_count": "like_count likes likes_count edge_liked_by".split(),
+    "view_count": "view_count views play_count video_view_count".split(),
+    "comment_count": "comment_count comments comments_count".split(),
+    "duration_s": "duration_s duration video_duration length".split(),
+    "published_at": "published_at taken_at_timestamp timestamp created_at date".split(),
+    "platform_tags": "platform_tags hashtags tags keywords".split(),
+}
 SUBTITLE_LANGUAGES = ["en", "en-US", "en-GB", "en-orig"]
 SUBTITLE_FORMATS = ["json3", "vtt", "srv1", "ttml"]
 MANIFESTS = ["m3u8", "m3u8_native", "http_dash_segments"]
@@ -62,6 +82,49 @@ def client_payload(df: DataFrame, key: str, payload: str, platform: str = "platf
     return out.withColumn("media_kind", kind_of_client(F.col(platform))).drop("_m", "_tags")
 
 
+def client_records(df: DataFrame, key: str, payload: str, platform: str = "platform", url: str = "canonical_url") -> DataFrame:
+    """Records of client payloads in any shape: a full envelope, the rendered page, flat fields.
+
+    A full envelope is taken as it is; of the other two the flat fields win over what the page says.  The identity of a
+    row is never the client's.
+    """
+    from larder.operators import html as HT
+
+    own = df.select(key, platform, url, payload)
+    flat = client_payload(own, key, payload, platform).drop(platform)
+    names = [c for c in flat.columns if c not in (key, "media_kind")]
+    m = F.from_json(F.col(payload), "map<string,string>")
+    dom = own.select(key, url, to_str(pick(m, *HTML_NAMES)).alias("html")).filter("html IS NOT NULL")
+    parsed = HT.parse_pages(dom, key, url).withColumns({"duration_s": iso_duration(F.col("duration")), "published_at": to_timestamp(F.col("published"))})
+    from_page = ["title", "caption", "author", "thumbnail_url", "media_url", "duration_s", "published_at", "article_text"]
+    parsed = parsed.select(key, *[F.col(c).alias(f"_page_{c}") for c in from_page], F.lit(True).alias("_page"))
+    kinds = dict(flat.dtypes)
+    envelope = F.from_json(F.get_json_object(payload, "$.envelope"), ", ".join(f"{c} {kinds[c]}" for c in [*names, "media_kind"]))
+    out = own.join(flat, key).join(parsed, key, "left").withColumn("_e", envelope)
+    whole = F.col("_e").isNotNull()
+    merged = {c: F.coalesce(F.col(c), F.col(f"_page_{c}")) if c in from_page else F.col(c) for c in names}
+    merged["platform_tags"] = F.array_distinct(F.concat(F.coalesce("platform_tags", F.array()), hashtags(F.coalesce("caption", "_page_caption"))))
+    out = out.withColumns({f"_new_{c}": F.when(whole, F.col(f"_e.{c}")).otherwise(v) for c, v in merged.items()})
+    out = out.select(key, platform, whole.alias("_whole"), F.col("_e.media_kind").alias("_kind"), "_page", *[F.col(f"_new_{c}").alias(c) for c in names])
+    note = F.when(F.col("_whole"), "client-supplied envelope").otherwise(F.concat(F.lit("client payload"), F.when(F.col("_page"), " + parsed DOM").otherwise("")))
+    kind = F.when(F.col("_whole"), F.coalesce("_kind", F.lit("unknown"))).otherwise(kind_of_client(F.col(platform)))
+    return out.withColumns({"media_kind": kind, "extractor_note": note}).drop("_whole", "_kind", "_page", platform)
+
+
+def managed_records(df: DataFrame, key: str, body: str, platform: str = "platform") -> DataFrame:
+    """Records of a scraping service's nested answers, flattened and read by the names such services use."""
+    flat = df.select(key, platform).join(flatten_json(df, key, body), key).filter(F.size("flat") > 0)
+    get = lambda f: pick(F.col("flat"), *MANAGED_ALIASES[f])
+    texts = ["title", "caption", "author", "author_url", "thumbnail_url", "media_url", "transcript", "ocr_text", "article_text"]
+    out = flat.withColumns({
+        **{c: clean_text(to_str(get(c))) for c in texts}, **{c: to_long(get(c)) for c in ("like_count", "view_count", "comment_count")},
+        "duration_s": F.nullif(to_double(get("duration_s")), F.lit(0.0)), "published_at": to_timestamp(get("published_at")), "_tags": F.regexp_replace(get("platform_tags"), r'[\[\]"]', " "),
+    })
+    tags = F.array_distinct(F.concat(to_tags(F.col("_tags")), hashtags(F.col("caption"))))
+    kind = F.when(F.col(platform).isin("instagram", "tiktok", "youtube"), "video").otherwise("unknown")
+    return out.withColumns({"platform_tags": tags, "media_kind": kind, "extractor_note": F.lit("managed api")}).drop("flat", "_tags", platform)
+
+
 def kind_of_client(platform: Column) -> Column:
     some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     return F.when(some("media_url") | some("transcript") | platform.isin("instagram", "tiktok", "youtube"), "video").when(some("article_text"), "article").when(some("thumbnail_url"), "image").otherwise("unknown")
@@ -164,7 +227,14 @@ def video_metadata(df: DataFrame, key: str, body: str) -> DataFrame:
     entry = F.struct(*[use(f).alias(f) for f in ("webpage_url", "url", "formats")])
     moving = (F.coalesce(use("duration"), F.lit(0.0)) != 0) | (F.coalesce(use("fps"), F.lit(0.0)) != 0) | (F.coalesce(use("vcodec"), F.lit("none")) != "none")
     out = out.withColumn("_f", entry)
-    return out.select(key, filled(use("title")).alias("title"), filled(use("uploader")).alias("author"), clean_text(use("description")).alias("caption"), use("thumbnail").alias("thumbnail_url"), best_format(F.col("_f")).alias("media_url"), use("duration").alias("duration_s"), to_timestamp(use("upload_date")).alias("published_at"), use("like_count").alias("like_count"), use("view_count").alias("view_count"), use("comment_count").alias("comment_count"), F.when(moving, "video").otherwise("image").alias("media_kind"))
+    title, caption = clean_text(filled(use("title"))), clean_text(use("description"))
+    own = F.when(F.coalesce(echoes_title(caption, title), F.lit(False)), F.lit(None)).otherwise(title)  # a title that is the caption cut off is none
+    tags = F.array_distinct(F.concat(F.coalesce(F.transform(use("tags"), F.lower), F.array().cast("array<string>")), hashtags(caption), hashtags(title)))
+    return out.select(
+        key, own.alias("title"), filled(use("uploader")).alias("author"), caption.alias("caption"), use("thumbnail").alias("thumbnail_url"), best_format(F.col("_f")).alias("media_url"),
+        use("duration").alias("duration_s"), to_timestamp(use("upload_date")).alias("published_at"), use("like_count").alias("like_count"), use("view_count").alias("view_count"),
+        use("comment_count").alias("comment_count"), tags.alias("platform_tags"), F.when(moving, "video").otherwise("image").alias("media_kind"),
+    )
 
 
 def subtitle_choice(tracks: DataFrame, key: str) -> DataFrame:

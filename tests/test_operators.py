@@ -120,15 +120,33 @@ def test_fold_repeats(spark):
 
 
 def test_versioned_table(spark, tmp_path):
-    t = S.Table(spark, f"file://{tmp_path}/t", "k int, v string, created_at int, updated_at int")
+    t = S.Table(spark, f"file://{tmp_path}/t", "k int, v string, created_at int, updated_at int", "k")
     assert t.read().count() == 0
-    t.upsert(spark.createDataFrame([(1, "a", 1, 1), (2, "b", 1, 1)], t.schema), "k")
-    t.upsert(spark.createDataFrame([(2, "c", 9, 9)], t.schema), "k")
+    t.upsert(spark.createDataFrame([(1, "a", 1, 1), (2, "b", 1, 1)], t.schema))
+    t.upsert(spark.createDataFrame([(2, "c", 9, 9)], t.schema))
     assert sorted(map(tuple, t.read().collect())) == [(1, "a", 1, 1), (2, "c", 1, 9)]
-    t.forget(spark.createDataFrame([(1,)], "k int"), "k")
+    t.forget(spark.createDataFrame([(1,)], "k int"))
     assert [r["k"] for r in t.read().collect()] == [2]
 
 
+def test_a_change_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    t = S.Table(spark, f"file://{tmp_path}/t", "k int, v string", "k", buckets=5)
+    t.append(spark.range(100).selectExpr("cast(id as int) AS k", "'old' AS v"))
+    first = t._state()
+    assert len(first) == 5 and t.buckets == 5
+    again = S.Table(spark, t.path, t.schema, "k", buckets=99)  # what is stored counts
+    assert again.buckets == 5
+    again.replace(spark.createDataFrame([(7, "new"), (7, "two")], t.schema))
+    second = t._state()
+    assert sum(first[b] != second[b] for b in first) == 1
+    assert sorted(r["v"] for r in t.read().filter("k = 7").collect()) == ["new", "two"] and t.read().count() == 101
+    t.append(spark.createDataFrame([(7, "more")], t.schema))
+    assert t.read().count() == 102 and max(map(len, t._state().values())) == 2
+    t.forget(spark.createDataFrame([(7,)], "k int"))
+    assert t.read().count() == 99 and t.vacuum() >= 2 and t.read().count() == 99
+    assert t.read().filter("v = 'old'").count() == 99
+
+
 def test_nearest_rank(spark):
     df = spark.range(1, 26).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("v"))
     assert df.groupBy("g").agg(T.nearest_rank(F.col("v"), 0.95).alias("p")).first()["p"] == 24.0
