@@ -7,13 +7,14 @@ alone are so too unless they hold too few words of the item for any alignment to
 passage is lost however many documents repeat it.  Scores are parts of the item's best
 possible score, so edited and paraphrased copies stay above the threshold and chance does not.
 
-Benchmark items go to the tasks in blocks of at most ``block_items`` (a pass of the corpus each),
-so what a task holds has a fixed bound however large the benchmark is.  Nothing is shuffled but
-seed counts.
+Benchmark items go to the tasks in blocks of at most ``block_words`` words (one item at least; two passes of the corpus each),
+so what a task holds has a bound however large the benchmark is; alignments are made in parts of at most ``CELLS`` cells a
+row.  Nothing is shuffled but seed counts.
 
 Defined results: null and empty texts and items have no words and never meet; items of fewer than four
-words are a seed as a whole, found anywhere in a text; repeated rows give a row each, repeated items too; an empty table on
-either side gives an empty result; further columns are ignored.
+words are a seed as a whole, found anywhere in a text; repeated rows give a row each, repeated items too; null ids stay null; very long
+texts are searched whole; an empty table on either side gives an empty result; further columns, whatever their names, are ignored
+(``drop_leaking`` keeps them).
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from larder.llm.wordhash import WordArrays
 
 SEED = 4
 MATCH, MISS, GAP = 2, -1, -1
-_FILTER = 20
+#: Words of the windows that are aligned at once, padding included.
+CELLS = 1 << 20
 
 
 class Seeds:
@@ -45,12 +47,12 @@ class Seeds:
         self.position = np.concatenate([np.arange(len(g)) for g in grams] or [np.zeros(0, int)]).astype(np.int64)[order]
         self.begins = np.searchsorted(where[order], np.arange(len(self.hashes) + 1))
         self.rare = np.ones(len(self.hashes), bool)
-        self.filter = np.zeros(1 << _FILTER, dtype=bool)
+        self.mask = np.uint64((1 << min(27, max(20, (16 * len(self.hashes)).bit_length()))) - 1)
+        self.filter = np.zeros(int(self.mask) + 1, dtype=bool)
         self.filter[self._low(self.hashes)] = True
 
-    @staticmethod
-    def _low(h: np.ndarray) -> np.ndarray:
-        return (h & np.uint64((1 << _FILTER) - 1)).astype(np.int64)
+    def _low(self, h: np.ndarray) -> np.ndarray:
+        return (h & self.mask).astype(np.int64)
 
     def find(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of a text's runs that are seeds, and which; items shorter than a seed are looked for at their own length."""
@@ -119,7 +121,7 @@ def _windows(at: np.ndarray, seed: np.ndarray, seeds: Seeds, n_words: int) -> li
     return [(i, a, b, sure) for i, a, b, _, sure in out]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, common: float = 0.001, block_items: int = 2000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, common: float = 0.001, block_words: int = 500_000) -> DataFrame:
     """doc_id, text_hash, item_id, score, first_word and last_word (exclusive) of every aligned passage.
 
     One row for each document and item: the best alignment.  Seeds in at most ``common`` (a share) of the documents, or
@@ -129,21 +131,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, co
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.length(F.coalesce("text", F.lit(""))) > 0)
     n_docs, out = docs.count(), None
     hasher = WordArrays(signs=False)
-    held = []
+    ids, held, size = [], [], 0
 
     def block():
-        return _leaks_of(docs, [r["item_id"] for r in held], hasher.of([r["text"] for r in held]), threshold, max(3, common * n_docs))
+        found = _leaks_of(docs, ids, held, threshold, max(3, common * n_docs))
+        return found if out is None else out.unionByName(found)
 
     for r in items.toLocalIterator(prefetchPartitions=False):
-        held.append(r)
-        if len(held) == block_items:
-            out, held = (block() if out is None else out.unionByName(block())), []
-    if held or out is None:
-        out = block() if out is None else out.unionByName(block())
-    return out
+        words = hasher.of([r["text"]])[0]
+        if held and size + len(words) > block_words:
+            out, ids, held, size = block(), [], [], 0
+        ids.append(r["item_id"])
+        held.append(words)
+        size += len(words)
+    return block() if held or out is None else out
 
 
 _LEAK = "doc_id long, text_hash long, item_id long, score double, first_word int, last_word int"
+_LEAK_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
 
 
 def _leaks_of(docs: DataFrame, ids: list, items: list[np.ndarray], threshold: float, common: float) -> DataFrame:
@@ -167,23 +172,38 @@ def _leaks_of(docs: DataFrame, ids: list, items: list[np.ndarray], threshold: fl
     def run(batches):
         words = WordArrays(signs=False)
         for batch in slices(batches):
-            todo = []
+            best: dict = {}
+            todo, size = [], 0
             docs_in, keys_in, texts = (c.to_pylist() for c in batch.columns)
             for row, (doc, key, text) in enumerate(zip(docs_in, keys_in, words.of(texts))):
                 at, seed = seeds.find(text)
-                if len(at):
-                    todo += [((doc, key), row, i, a, text[a:b]) for i, a, b, sure in _windows(at, seed, seeds, len(text)) if sure or seeds.may_reach(i, text[a:b], threshold)]
-            yield _aligned(todo, seeds.items, ids, threshold)
+                for i, a, b, sure in _windows(at, seed, seeds, len(text)) if len(at) else ():
+                    if sure or seeds.may_reach(i, text[a:b], threshold):
+                        todo.append(((doc, key), row, i, a, text[a:b]))
+                        size += b - a
+                        if size > CELLS:
+                            _aligned(best, todo, seeds.items, threshold)
+                            todo, size = [], 0
+            _aligned(best, todo, seeds.items, threshold)
+            rows = [(*doc, ids[item], s, -f, e) for (s, f, e), doc, item in best.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_LEAK_KINDS)], names=[x.split()[0] for x in _LEAK.split(", ")])
 
     return docs.mapInArrow(run, _LEAK)
 
 
-def _aligned(todo, items, ids, threshold) -> pa.RecordBatch:
-    """The windows (doc, row, item, first word, words) that reach the threshold, the best of a document and item."""
-    best: dict = {}
-    todo = sorted(todo, key=lambda x: len(x[4]))
-    for at in range(0, len(todo), 256):
-        part = todo[at : at + 256]
+def _parts(todo: list) -> list[list]:
+    """Windows of like lengths together, at most CELLS words each once padded (one window at least)."""
+    out: list[list] = []
+    for x in sorted(todo, key=lambda x: len(x[4])):
+        if not out or (len(out[-1]) + 1) * len(x[4]) > CELLS or len(out[-1]) == 256:
+            out.append([])
+        out[-1].append(x)
+    return out
+
+
+def _aligned(best: dict, todo: list, items: list[np.ndarray], threshold: float) -> None:
+    """Puts the windows (doc, row, item, first word, words) that reach the threshold into best, the best of a row and item."""
+    for part in _parts(todo):
         a, b = [items[x[2]] for x in part], [x[4] for x in part]
         score, end = align(a, b)
         full = np.array([MATCH * len(x) for x in a])
@@ -196,9 +216,6 @@ def _aligned(todo, items, ids, threshold) -> pa.RecordBatch:
             new = (float(score[k] / full[k]), -int(first + end[k] - far), int(first + end[k]))
             if (row, item) not in best or new > best[row, item][0]:
                 best[row, item] = (new, doc, item)
-    rows = [(*doc, ids[item], s, -f, e) for (s, f, e), doc, item in best.values()]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "text_hash", "item_id", "score", "first_word", "last_word"])
 
 
 def _hash():

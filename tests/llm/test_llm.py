@@ -383,11 +383,35 @@ def test_decontamination_finds_edited_copies(spark):
             want.add((i, j))
         docs.append((i, " ".join(text)))
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
-    for block in (2000, 7):
-        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(d, b, block_items=block).collect()}
+    for block in (500_000, 300):
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(d, b, block_words=block).collect()}
         assert got == want
 
 
+def test_query_leaks_against_brute_force(spark):
+    """Every item aligned with every whole document, without seeds or windows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    words = WordArrays(signs=False)
+    asked = words.of([r["text"] for r in items])
+    want = {}
+    for r, text in zip(docs, words.of([r["text"] for r in docs])):
+        for at in range(0, len(asked), 50):
+            some = asked[at : at + 50]
+            score, _ = decontaminate.align(some, [text if len(text) else np.zeros(1, np.uint64)] * len(some))
+            want |= {(r["doc_id"], items[at + k]["item_id"]): score[k] / (2 * len(some[k])) for k in np.flatnonzero(score >= [len(x) for x in some])}
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in queries.op6_decontaminate(spark, SF).collect()}
+    assert want and got == pytest.approx(want)
+
+
+def test_alignment_parts_are_bounded(monkeypatch):
+    monkeypatch.setattr(decontaminate, "CELLS", 1000)
+    todo = [(("d", 0), 0, 0, 0, np.zeros(n, np.uint64)) for n in (5, 900, 3, 5000, 400, 400, 90)]
+    parts = decontaminate._parts(todo)
+    assert sorted(len(x[4]) for p in parts for x in p) == [3, 5, 90, 400, 400, 900, 5000]
+    assert all(len(p) == 1 or len(p) * max(len(x[4]) for x in p) <= 1000 for p in parts)
+
+
 def test_decontamination_finds_passages_that_many_documents_repeat(spark):
     rng = random.Random(8)
     words = [f"t{i}" for i in range(3000)]
