@@ -36,7 +36,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     mine, names = _apart(docs)
     model = train(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
-    return score(mine, model).filter("predicted = 0").withColumnsRenamed(names).select(*docs.columns)
+    return score(mine, model).filter("predicted = 0").select(*mine.columns).withColumnsRenamed(names)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +48,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from larder.llm.lines import dedup_lines
 
     mine, names = _apart(docs)
-    out = dedup_lines(mine, min_docs=10, min_chars=1, keep="none").withColumnsRenamed(names)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = dedup_lines(mine, min_docs=10, min_chars=1, keep="none")
+    for mark, name in names.items():
+        if name == "n_chars":
+            out = out.withColumn(mark, F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema[name].dataType)).otherwise(F.col(mark)))
+    return out.select(*mine.columns).withColumnsRenamed(names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
