@@ -808,7 +808,7 @@ def test_pipeline(spark):
     kept = docs
     for name, stage in P.STAGES[:-1]:
         out = stage(spark, kept, SF)
-        assert out.columns == P.COLUMNS, name
+        assert out.columns == docs.columns, name
         kept = spark.createDataFrame(out.toArrow(), out.schema)
         assert 0 < kept.count() <= docs.count()
     want = {r["doc_id"] for r in kept.collect()}
@@ -816,3 +816,28 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in P.run(spark, SF).select("doc_id").distinct().collect()} == want
     leaks = decontaminate.find_leaks(kept, spark.read.parquet(f"{SF}/benchmark.parquet"))
     assert leaks.count() == 0
+
+
+def test_pipeline_stages_on_awkward_rows(spark, awkward, empty):
+    """Nulls, repeats, ties, a long text, and columns with the operators' own names."""
+    import corpus_pipeline as P
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    hot = [(i, f"the very same line\nown words of {i}", "p", i, "s", "n", 1, 1) for i in range(20, 31)]
+    leak = [(50, f"before it {item} and after", "q", 1, None, "n", 1, 1)] * 2
+    docs = awkward.unionByName(spark.createDataFrame(hot + leak, DOCS))
+    n = docs.count()
+    kept = {name: stage(spark, docs, SF) for name, stage in P.STAGES[:-1]}
+    assert all(out.columns == docs.columns for out in kept.values())
+    assert kept["toxicity"].count() == n  # no toxic word among them
+    lines_left = {(r["doc_id"], r["text"]) for r in kept["line_dedup"].collect()}
+    assert {(i, f"own words of {i}") for i in range(20, 31)} <= lines_left and kept["line_dedup"].count() == n
+    assert (2, None) in lines_left and (None, None) in lines_left
+    assert kept["near_duplicates"].count() == 6 + 11 + 1
+    assert kept["decontamination"].count() == n - 2 and kept["decontamination"].filter("doc_id = 50").count() == 0
+    assert {r["n_lines"] for r in kept["line_dedup"].filter("doc_id = 20").collect()} == {20}  # a column of that name is left alone
+    assert P.packing(spark, docs, SF).select("doc_id").distinct().count() == 6 + 11 + 1
+    for name, stage in P.STAGES:
+        out = stage(spark, empty, SF)
+        assert out.count() == 0, name
+        assert name == "packing" or out.columns == empty.columns
