@@ -2,6 +2,9 @@
 
 Edges never reach the driver; each step ends in a table in the shared folder.  The steps
 need a number of rounds that grows with the logarithm of the number of nodes.
+
+Defined results: edges of a node to itself and edges with a null end say nothing; repeated edges count once; an empty table
+gives an empty result; nodes are 64-bit integers, further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,12 +21,12 @@ def _neighbours_to_least(edges: DataFrame, keep) -> DataFrame:
     """For each node u of (u, v): (v, least of u and its neighbours) for the kept neighbours v.
 
     The minima come from partial aggregates; they are copied to salts before they meet the edges, so
-    a node with a third of all edges is spread.
+    a node with a third of all edges is spread.  The copies are never broadcast: their number is not in Spark's estimate.
     """
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(_SALTS)).cast("int"))
-    return salted.join(least, ["u", "salt"]).filter(keep)
+    return salted.join(least.hint("merge"), ["u", "salt"]).filter(keep)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

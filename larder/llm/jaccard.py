@@ -49,6 +49,8 @@ BLOCK_TEXTS, LEAST_TEXTS, BLOCK_SHINGLES = 256, 32, 1_000_000
 GROUP = 256
 #: Texts that measure the recall, and made-up links at the threshold that keep it honest.
 PROBES, PRIOR = 256, 50
+#: Parts that the rows of a hot prefix are dealt to.
+SALTS = 32
 #: Bytes of a tree's label, two a value.
 _LABEL = 2 * DEPTH
 
@@ -259,7 +261,9 @@ def candidates(nodes: DataFrame, depth: int, least: float) -> DataFrame:
     rest = rest.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = rest.groupBy("key", "root").agg(F.count("*").alias("n"))
     by_key = by_root.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("in_major"), F.sum("n").alias("n"), F.count("*").alias("roots"))
-    rest = rest.join(by_key.filter("roots > 1"), "key")
+    # A prefix may be hot: its rows meet its one row of counts in many salts.
+    counts = by_key.filter("roots > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rest = rest.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(counts, ["key", "salt"]).drop("salt")
     rest = table(rest, "unjoined")
     if rest.isEmpty():
         return first
