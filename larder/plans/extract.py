@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from larder.operators import html as HT
-from larder.plans.common import Query, read
+from larder.plans.common import Query, quoted, read
 from larder.sources import payloads as P
+from larder.sources import web as W
 from larder.streaming import jobs as ST
 
 
@@ -30,22 +31,74 @@ def link_density(spark, d):
     return _records(spark, d).select("page_id", "link_density", "body_words", "scripts")
 
 
-_META = (
-    '<html><head><title>T</title><meta property="og:title" content="Nice one"><meta name="description" content="About it"><meta property="og:image" content="/a.png">'
-    '<meta property="og:video:duration" content="PT1M30S"><link rel="canonical" href="/c"><script type="application/ld+json">{"@type": "NewsArticle", "author": {"name": "Ann"}, "datePublished": "2026-04-18"}</script></head>'
-    "<body><article><p>" + "A sentence that is long enough to count. " * 8 + "</p></article></body></html>"
-)
+_HEAD = """concat('<head><meta property="og:title" content="T', page_id, '">', CASE WHEN page_id % 2 = 0 THEN concat('<meta name="description" content="About ', page_id, '">') ELSE '' END,
+    '<meta property="og:image:secure_url" content="/i/', page_id, '.png"><meta property="og:image" content="/late.png"><meta property="og:video:duration" content="PT1M', page_id % 60, 'S"><link rel="canonical" href="/c/', page_id,
+    '"><meta name="author" content="not read"><script type="application/ld+json">{"x": [{"author": [{"name": "A', page_id % 7, '"}]}], "datePublished": "2026-04-18"}</script>')"""
 
 
 def html_meta(spark, d):
-    page = spark.createDataFrame([(1, "https://e.org/x/", _META), (2, "https://e.org/", "<p>hi"), (3, None, None)], "page_id long, url string, html string")
-    return HT.parse_pages(page, "page_id").select("page_id", "title", "caption", "author", "thumbnail_url", "published", "duration", "canonical", F.length("article_text").alias("article_chars"))
+    """Metadata put into every page, read back."""
+    pages = read(spark, d, "pages").withColumn("html", F.replace("html", F.lit("<head>"), F.expr(_HEAD)))
+    out = HT.parse_pages(pages, "page_id")
+    return out.select("page_id", "title", "caption", "author", "thumbnail_url", "published", "duration", "canonical")
+
+
+_WALLS = """CASE page_id % 10 WHEN 0 THEN 'Just a moment...' WHEN 1 THEN ' Reddit - ' WHEN 2 THEN NULL ELSE 'A title' END AS title,
+    CASE page_id % 10 WHEN 3 THEN concat('<!-- /cdn-cgi/Challenge-Platform/ -->', html) WHEN 4 THEN replace(html, '<body>', '<body><div id="root"></div>')
+        WHEN 5 THEN '<html><body class="c"><p>few words</p><script>let many = "words that do not count at all, however many of them there are in a script of that length, to be sure of it";</script></body></html>'
+        WHEN 6 THEN '<body><p>few words</p></body>' ELSE html END AS html"""
 
 
 def block_pages(spark, d):
-    pages = read(spark, d, "pages").join(_records(spark, d).select("page_id", "title", "body_words", "scripts"), "page_id")
-    walls = pages.withColumn("title", F.when(F.col("page_id") % 10 == 0, "Just a moment...").otherwise(F.col("title")))
-    return walls.select("page_id", HT.is_block_page(F.col("title"), F.col("html")).alias("blocked"), HT.is_app_page(F.col("html"), F.lit(100), F.col("scripts")).alias("app"))
+    """Walls by title and mark, and pages that scripts fill in, among all pages."""
+    pages = read(spark, d, "pages").selectExpr("page_id", *_split(_WALLS))
+    return pages.select("page_id", HT.is_block_page(F.col("title"), F.col("html")).alias("blocked"), HT.is_app_page(F.col("html")).alias("app"))
+
+
+def _split(columns: str) -> list[str]:
+    """The two columns of _WALLS."""
+    first, second = columns.split(" AS title,")
+    return [f"{first} AS title", second]
+
+
+_BODIES = """CASE WHEN page_id % 3 = 0 THEN concat('{"title": "O', page_id, '", "author_name": "Ann", "thumbnail_url": "https://t.org/', page_id, '.jpg"}') END AS oembed_json,
+    CASE WHEN page_id % 6 = 0 THEN concat('[{"data": {"children": [{"data": {"title": "R', page_id, '", "selftext": "said ', page_id, '", "ups": ', page_id, '}}]}}]') END AS reddit_json,
+    CASE WHEN page_id % 5 = 4 THEN '' ELSE concat(html, '<main><p>', repeat('A sentence that is long enough to count. ', 9), '</p></main>') END AS html, CASE WHEN page_id % 6 = 0 THEN 'reddit' ELSE 'web' END AS platform"""
+
+
+def web_record(spark, d):
+    """Listing, oEmbed answer and page of every address, merged in the order of their word."""
+    pages = read(spark, d, "pages").selectExpr("page_id", "url AS canonical_url", *[c for c in _split_columns(_BODIES)])
+    out = W.web_records(pages, "page_id")
+    return out.select("page_id", "title", "author", "thumbnail_url", "like_count", F.col("caption").alias("caption"), "media_kind", "extractor_note")
+
+
+def _split_columns(text: str) -> list[str]:
+    """Expressions that each end in their name."""
+    import re
+
+    return [x.strip() for x in re.split(r"(?<= oembed_json),|(?<= reddit_json),|(?<= html),", text)]
+
+
+def managed_record(spark, d):
+    """Events as nested answers of a scraping service."""
+    body = F.expr("concat('{\"items\": [{\"data\": {\"Headline\": \"', event_type, '\", \"likes\": ', user_id, ', \"hashtags\": [\"A\", \"b\"], \"duration\": ', value, '}}], \"name\": \"\"}')")
+    rows = read(spark, d, "events").select("event_id", body.alias("body"), F.when(F.col("event_id") % 2 == 0, "tiktok").otherwise("web").alias("platform"))
+    out = P.managed_records(rows, "event_id", "body")
+    return out.select("event_id", "title", "like_count", F.array_join("platform_tags", ",").alias("tags"), F.round("duration_s", 4).alias("duration_s"), "media_kind")
+
+
+def client_shapes(spark, d):
+    """Pages as client payloads of the three shapes: a full envelope, the rendered page, flat fields."""
+    body = (
+        F.when(F.col("page_id") % 3 == 0, F.to_json(F.struct(F.struct(F.concat(F.lit("E"), "page_id").alias("title"), F.lit("own").alias("caption"), F.lit("audio").alias("media_kind")).alias("envelope"))))
+        .when(F.col("page_id") % 3 == 1, F.to_json(F.struct(F.col("html").alias("DOM"), F.lit("flat").alias("Text"))))
+        .otherwise(F.to_json(F.struct(F.concat(F.lit("F"), "page_id").alias("Headline"), F.lit("5").alias("likes"))))
+    )
+    rows = read(spark, d, "pages").select("page_id", F.col("url").alias("canonical_url"), F.lit("web").alias("platform"), body.alias("payload"))
+    out = P.client_records(rows, "page_id", "payload")
+    title = F.when(F.col("page_id") % 3 == 1, F.col("title").isNotNull().cast("string")).otherwise(F.col("title"))
+    return out.select("page_id", title.alias("title"), "caption", "like_count", "media_kind", "extractor_note")
 
 
 _VTT = "WEBVTT\nKind: captions\n\n1\n00:00.000 --> 00:02.000\nhello <b>there</b> friends\nhello there\n\n2\n00:02.000 --> 00:03.000\nhow are you\nhow are you\n"
@@ -136,7 +189,7 @@ def video_metadata(spark, d):
 def public_addresses(spark, d):
     from larder.functions.urls import is_public_address
 
-    hosts = spark.createDataFrame([(h,) for h in ("8.8.8.8", "10.0.0.1", "127.0.0.1", "169.254.1.1", "172.16.0.1", "172.32.0.1", "192.168.1.1", "224.0.0.1", "example.org", "localhost", "300.1.1.1")], "host string")
+    hosts = spark.createDataFrame([(h,) for h in ("::1", "fe80::1", "fc00::1", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "[2606:4700::1111]", "2001:db8::1", "0x7f000001", "2130706433", "8.8.8.8", "10.0.0.1", "127.0.0.1", "169.254.1.1", "172.16.0.1", "172.32.0.1", "192.168.1.1", "224.0.0.1", "example.org", "localhost", "300.1.1.1")], "host string")
     return hosts.select("host", is_public_address(F.col("host")).alias("public"))
 
 
@@ -182,12 +235,32 @@ def stream_rate_limit(spark, d):
     return spark.read.parquet(f"{root}/out").select(F.col("caller").alias("user_id"), F.col("ord").alias("event_id"), "allowed")
 
 
+_TITLE = "trim(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&'))"
+
 QUERIES = [
-    Query("html_title", html_title, "SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')) AS title FROM pages"),
+    Query("html_title", html_title, f"SELECT page_id, {_TITLE} AS title FROM pages"),
     Query("html_article", html_article),
     Query("link_density", link_density),
-    Query("html_meta", html_meta),
-    Query("block_pages", block_pages, "SELECT page_id, page_id % 10 = 0 AS blocked, false AS app FROM pages"),
+    Query("html_meta", html_meta, """
+        WITH p AS (SELECT page_id, html, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS base FROM pages)
+        SELECT page_id, 'T' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN 'About ' || page_id END AS caption, 'A' || page_id % 7 AS author, base || '/i/' || page_id || '.png' AS thumbnail_url,
+               '2026-04-18' AS published, 'PT1M' || page_id % 60 || 'S' AS duration, base || '/c/' || page_id AS canonical FROM p"""),
+    Query("block_pages", block_pages, f"""
+        WITH p AS (SELECT page_id, {_WALLS} FROM pages),
+        b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1), '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g') AS body FROM p)
+        SELECT page_id, coalesce(trim(lower(trim(title)), ' .|-') IN ({quoted(HT.JUNK_TITLES)}), false) OR {' OR '.join(f"contains(lower(left(html, 20000)), {quoted([m])})" for m in HT.BLOCK_MARKS)} AS blocked,
+               {' OR '.join(f"contains(html, {quoted([m])})" for m in HT.APP_MARKS)} OR (regexp_matches(html, '(?is)<body[^>]*>.*</body>') AND contains(html, '<script') AND len([x FOR x IN regexp_split_to_array(body, '\\s+') IF x <> '']) < 25) AS app FROM b"""),
+    Query("web_record", web_record, f"""
+        WITH p AS (SELECT page_id, {_BODIES}, {_TITLE} AS page_title FROM pages)
+        SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'R' || page_id WHEN page_id % 3 = 0 THEN 'O' || page_id ELSE page_title END AS title, CASE WHEN page_id % 3 = 0 THEN 'Ann' END AS author,
+               CASE WHEN page_id % 3 = 0 THEN 'https://t.org/' || page_id || '.jpg' END AS thumbnail_url, CASE WHEN page_id % 6 = 0 THEN page_id END AS like_count, CASE WHEN page_id % 6 = 0 THEN 'said ' || page_id END AS caption,
+               CASE WHEN page_id % 6 = 0 THEN 'text' WHEN page_id % 5 <> 4 THEN 'article' ELSE 'image' END AS media_kind,
+               concat_ws(' + ', CASE WHEN page_id % 6 = 0 THEN 'reddit .json' END, CASE WHEN page_id % 3 = 0 THEN 'oembed' END, CASE WHEN page_id % 5 <> 4 THEN 'og/html' END) AS extractor_note
+        FROM p WHERE page_id % 3 = 0 OR page_id % 5 <> 4"""),
+    Query("managed_record", managed_record, "SELECT event_id, event_type AS title, user_id AS like_count, 'a,b' AS tags, CASE WHEN value <> 0 THEN round(value, 4) END AS duration_s, CASE WHEN event_id % 2 = 0 THEN 'video' ELSE 'unknown' END AS media_kind FROM events"),
+    Query("client_shapes", client_shapes, """
+        SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'E' || page_id WHEN 1 THEN 'true' ELSE 'F' || page_id END AS title, CASE page_id % 3 WHEN 0 THEN 'own' WHEN 1 THEN 'flat' END AS caption, CASE WHEN page_id % 3 = 2 THEN 5 END AS like_count,
+               CASE page_id % 3 WHEN 0 THEN 'audio' WHEN 1 THEN 'article' ELSE 'unknown' END AS media_kind, CASE page_id % 3 WHEN 0 THEN 'client-supplied envelope' WHEN 1 THEN 'client payload + parsed DOM' ELSE 'client payload' END AS extractor_note FROM pages"""),
     Query("subtitle_flatten", subtitle_flatten, "SELECT * FROM (VALUES (1, 'hello there friends how are you'), (2, 'one two three and then four five six'), (3, NULL)) v(id, text)"),
     Query("subtitle_choice", subtitle_choice, "SELECT * FROM (VALUES (1, 'en-GB', 'vtt', 'c'), (2, 'fr', 'vtt', 'f')) v(id, language, ext, url)"),
     Query("json_flatten", json_flatten, "SELECT event_id, json_extract_string(props, '$.k') AS k, '[\"a\", \"b\"]' AS tags, 2 AS keys FROM events"),
@@ -201,8 +274,8 @@ QUERIES = [
     Query("instagram_embed", instagram_embed, "SELECT * FROM (VALUES (1, 'ann on Instagram', 'Ship it #git #devops', 'ann', 'https://i/v.mp4', 'git,devops', 5, 9, 'video')) v(id, title, caption, author, media_url, tags, like_count, view_count, media_kind)"),
     Query("feed_match", feed_match, "SELECT * FROM (VALUES (1, 'My post & more', 'Ann', '2026-08-31 10:42:27', 'ai,ml'), (2, 'My post & more', 'Ann', '2026-08-31 10:42:27', 'ai,ml')) v(id, title, author, published_at, tags)"),
     Query("video_metadata", video_metadata, "SELECT * FROM (VALUES (1, 'V', 'bo', 'b', 12.0::DOUBLE, NULL, 'video'), (2, 'C', NULL, 'https://x/i.jpg', NULL, 4, 'image')) v(id, title, author, media_url, duration_s, like_count, media_kind)"),
-    Query("public_addresses", public_addresses, "SELECT * FROM (VALUES ('8.8.8.8', true), ('10.0.0.1', false), ('127.0.0.1', false), ('169.254.1.1', false), ('172.16.0.1', false), ('172.32.0.1', true), ('192.168.1.1', false), ('224.0.0.1', false), ('example.org', true), ('localhost', false), ('300.1.1.1', false)) v(host, public)"),
+    Query("public_addresses", public_addresses, "SELECT * FROM (VALUES ('::1', false), ('fe80::1', false), ('fc00::1', false), ('::ffff:10.0.0.1', false), ('::ffff:8.8.8.8', true), ('[2606:4700::1111]', true), ('2001:db8::1', false), ('0x7f000001', false), ('2130706433', false), ('8.8.8.8', true), ('10.0.0.1', false), ('127.0.0.1', false), ('169.254.1.1', false), ('172.16.0.1', false), ('172.32.0.1', true), ('192.168.1.1', false), ('224.0.0.1', false), ('example.org', true), ('localhost', false), ('300.1.1.1', false)) v(host, public)"),
     Query("stream_window", stream_window, "SELECT epoch_us(time_bucket(INTERVAL 60 SECONDS, ts)) AS start_us, event_type, count(*) AS requests, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"),
-    Query("stream_ingest", stream_ingest, "SELECT page_id, 'ready' AS status, trim(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')) AS title FROM pages"),
+    Query("stream_ingest", stream_ingest, f"SELECT page_id, 'ready' AS status, {_TITLE} AS title FROM pages"),
     Query("stream_rate_limit", stream_rate_limit),
 ]

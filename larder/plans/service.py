@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larder.functions import models as MD
 from larder.operators import retrieval as R
+from larder.operators import telemetry as T
 from larder.operators.embedding import embed
 from larder.plans.common import Query, read
 
@@ -56,10 +58,28 @@ def retry_times(spark, d):
     return df.select("header", MD.retry_after(F.col("header")).alias("seconds"))
 
 
+def quota_violations(spark, d):
+    """Events as the bodies of refused calls: named limits, broken quotas, and bodies that say nothing."""
+    body = F.expr("""CASE event_id % 4 WHEN 0 THEN concat('{"error": {"message": "free-models-per-day ', user_id, '"}}')
+        WHEN 1 THEN concat('{"error": {"message": "exceeded", "details": [{"@type": "type/Help"}, {"@type": "type/QuotaFailure", "violations": [{"quotaMetric": ""}, {"quotaId": "Q', user_id, '", "quotaValue": "', event_id, '"}]}]}}')
+        WHEN 2 THEN '{"error": {"details": [{"@type": "QuotaFailure", "violations": [{"quotaMetric": "m"}]}]}}' ELSE 'busy' END""")
+    return read(spark, d, "events").select("event_id", MD.quota_violation(body).alias("violation"))
+
+
+def success_rules(spark, d):
+    """The three meanings of success, over documents."""
+    docs, none = read(spark, d, "documents"), F.lit(None).cast("string")
+    text, words = F.when(F.col("doc_id") % 2 == 0, F.col("text")), F.when(F.col("doc_id") % 3 == 0, F.col("n_chars"))
+    status = F.when(F.col("doc_id") % 5 == 0, 500).otherwise(200)
+    return docs.select("doc_id", T.extracted(none, F.lit(""), text).alias("extracted"), T.served(status, words, none.cast("int")).alias("served"), T.processed(words, F.lit("")).alias("processed"))
+
+
 def embed_batch(spark, d):
-    """Every document embedded by the default provider: unit vectors, empty texts zero."""
-    e = embed(read(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text", "hashed-words", 64)
-    return e.select("doc_id", "dim", F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 4).alias("norm"))
+    """Every document embedded by a provider that counts characters: unit vectors, each with its own text."""
+    counts = lambda texts: np.array([[len(t), t.count(" "), t.count("e"), 1] for t in texts], dtype=np.float32).reshape(-1, 4)
+    e = embed(read(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text", "counts", 4, counts)
+    at = lambda i: F.round(F.get("embedding", F.lit(i)).cast("double"), 3)
+    return e.select("doc_id", "dim", at(0).alias("v0"), at(1).alias("v1"), at(2).alias("v2"), at(3).alias("v3"))
 
 
 def vector_parity(spark, d):
@@ -107,7 +127,13 @@ QUERIES = [
     Query("analyzed_seconds", analyzed_seconds, "SELECT event_id, round(CASE WHEN value * 10 - 200 <= 0 THEN 300 ELSE least(value * 10 - 200, 300) END, 6) AS seconds, CASE WHEN value * 10 - 200 > 0 AND value * 10 - 200 <= 300 THEN NULL ELSE 300 END AS clip_end FROM events"),
     Query("redacted_keys", redacted_keys, "SELECT * FROM (VALUES ('key=AIzaSyA1234567890abc&x', 'key=AIza...REDACTED&x'), ('secret-key-1 used', '...REDACTED used')) v(t, clean)"),
     Query("retry_times", retry_times, "SELECT header, seconds::DOUBLE AS seconds FROM (VALUES ('0', 1), ('5', 5), ('999', 120), ('soon', NULL), ('', NULL)) v(header, seconds)"),
-    Query("embed_batch", embed_batch, "SELECT doc_id, 64 AS dim, 1.0::DOUBLE AS norm FROM documents"),
+    Query("embed_batch", embed_batch, """
+        WITH c AS (SELECT doc_id, length(text)::DOUBLE AS a, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS b, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS c FROM documents), n AS (SELECT *, sqrt(a * a + b * b + c * c + 1) AS n FROM c)
+        SELECT doc_id, 4 AS dim, round((a / n)::FLOAT::DOUBLE, 3) AS v0, round((b / n)::FLOAT::DOUBLE, 3) AS v1, round((c / n)::FLOAT::DOUBLE, 3) AS v2, round((1 / n)::FLOAT::DOUBLE, 3) AS v3 FROM n"""),
+    Query("quota_violations", quota_violations, """
+        SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'free-models-per-day ' || user_id WHEN 1 THEN 'Q' || user_id || ' (limit ' || event_id || ')' WHEN 2 THEN 'm' END AS violation FROM events"""),
+    Query("success_rules", success_rules, """
+        SELECT doc_id, doc_id % 2 = 0 AND text <> '' AS extracted, doc_id % 5 <> 0 AND doc_id % 3 = 0 AND n_chars > 0 AS served, doc_id % 3 = 0 AND n_chars > 0 AS processed FROM documents"""),
     Query("vector_parity", vector_parity, "SELECT e.vec_id AS doc_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS by_expression, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS by_batches FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"),
     Query("late_tokens", late_tokens, """
         WITH g AS (SELECT *, sum((event_type <> 'view')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS request FROM events)

@@ -1,7 +1,10 @@
 """Operators on small inputs: literal cases, invariants, brute force, batch against stream."""
 
 import collections
+import html as html_lib
+import ipaddress
 import random
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,7 +18,7 @@ from larder.operators import merge as M
 from larder.operators import retrieval as R
 from larder.operators import store as S
 from larder.operators import telemetry as T
-from larder.operators.html import Page
+from larder.operators.html import Page, clean
 from larder.plans import catalog
 from larder.schema import ATTEMPTS, ENVELOPES
 from larder.sources import files
@@ -177,9 +180,130 @@ def test_files(spark, tmp_path):
 
 def test_malformed_html():
     p = Page("<div><p>open <b>bold<p>next</div></b></i><script>var a='<p>'")
-    assert p.body_words >= 3 and p.title is None
+    assert p.record(None)["body_words"] >= 3 and p.title is None
     assert Page("").record(None)["article_text"] is None
 
 
 def test_envelope_schema(spark):
     assert len(spark.createDataFrame([], ENVELOPES).columns) == 27
+
+
+def _plain_main_text(page):
+    """The best container by its definition, every container looked at by itself."""
+    def drop(e):
+        e.kids = [k for k in e.kids if isinstance(k, str) or not k.is_noise()]
+        for k in e.kids:
+            if not isinstance(k, str):
+                drop(k)
+
+    def text(e):
+        return " ".join(t.strip() for t in e.texts() if t.strip())
+
+    def density(e, n):
+        return min(1.0, sum(len(text(a)) for a in e.walk() if a.tag == "a" and a is not e) / n) if n else 1.0
+
+    drop(page.root)
+    every = list(page.root.walk())
+    boxes = [e for e in every if e.tag == "article"] + [e for e in every if e.tag == "main"] + [e for e in every if e.tag in ("div", "section")] + [e for e in every if e.tag == "body"][:1]
+    best, best_score = None, 0.0
+    for box in boxes:
+        blocks = [text(e) for e in box.walk() if e is not box and e.tag in {"p", "h1", "h2", "h3", "li", "blockquote"} and len(text(e)) > 30 and density(e, len(text(e))) <= 0.5]
+        whole = "\n\n".join(blocks)
+        share = density(box, len(whole))
+        score = 0.0 if share > 0.5 else len(whole) * (1 - share) * (1 + 0.02 * whole.count("\n\n"))
+        if score > best_score:
+            best, best_score = whole, score
+    out = clean(best)
+    return out[:20_000] if out and len(out) >= 200 else None
+
+
+def test_main_text_against_its_definition(spark):
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()][:80]
+    rng = random.Random(7)
+    for _ in range(80):
+        parts = []
+        for _ in range(rng.randrange(4, 30)):
+            tag = rng.choice(["div", "section", "article", "p", "li", "nav", "a", "span", "h2", "main", "blockquote"])
+            words = " ".join(rng.choices(["alpha", "beta", "gamma", "delta, epsilon"], k=rng.randrange(20)))
+            parts.append(rng.choice([f"<{tag}>{words}", f"<{tag}>{words}</{tag}>", f"</{tag}>", f'<{tag} class="sidebar">{words}</{tag}>', words]))
+        pages.append("<body>" + "".join(parts))
+    for html in pages:
+        assert Page(html).main_text() == _plain_main_text(Page(html))
+
+
+def test_link_density_and_words_against_patterns(spark):
+    rows = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html").collect()
+    got = {r["page_id"]: r for r in catalog.queries()["link_density"](spark, SF).collect()}
+    for r in rows:
+        body = re.sub(r"(?s)<!--.*?-->|<head>.*?</head>|<script.*?</script>|<style.*?</style>", "", r["html"].replace("<!DOCTYPE html>", ""))
+        size = lambda part: sum(len(html_lib.unescape(t).strip()) for t in re.split(r"<[^>]+>", part))
+        linked = sum(size(a) for a in re.findall(r"(?s)<a [^>]*>(.*?)</a>", body))
+        assert got[r["page_id"]]["link_density"] == round(linked / size(body), 6)
+        assert got[r["page_id"]]["body_words"] == sum(len(html_lib.unescape(t).split()) for t in re.split(r"<[^>]+>", body))
+
+
+def test_entities_against_plain_code(spark):
+    from larder.plans.text import _STOP
+
+    text = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in catalog.queries()["entities"](spark, SF).collect():
+        t, author = text[r["doc_id"]], "Ann Lee" if r["doc_id"] % 2 == 0 else None
+        handles = ["@" + h for h in re.findall(r"@([A-Za-z0-9._]{2,30})", t)[:5]]
+        people = [author, *[h for h in handles if h != author]] if author else handles
+        found = []
+        for x in re.findall(r"\b(?:[A-Z][a-z0-9]+(?:\s+[A-Z][a-z0-9]+){0,3})\b", t):
+            if len(x.strip()) >= 3 and x.strip().lower() not in _STOP and x.strip() not in found:
+                found.append(x.strip())
+        found = found[:8]
+        assert r["people"] == "|".join(people[:6])
+        assert r["organizations"] == "|".join([x for x in found if " " not in x][:6])
+
+
+def test_chunks_of_the_query(spark):
+    """Ordinals are gapless; bodies hold every word of the text, in order, within their size."""
+    from larder.plans.text import _chunked
+
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    by = collections.defaultdict(list)
+    for r in _chunked(spark, SF).collect():
+        by[r["doc_id"]].append((r["ordinal"], r["kind"], r["text"]))
+    for doc, rows in by.items():
+        rows.sort()
+        assert [o for o, _, _ in rows] == list(range(len(rows)))
+        words, at = docs[doc].split(), 0
+        for _, kind, text in rows:
+            if kind == "body":
+                mine = text.split()
+                start = next((k for k in range(at, max(-1, at - len(mine)) - 1, -1) if k >= 0 and words[k : k + len(mine)] == mine), None)
+                assert start is not None and start <= at
+                at = start + len(mine)
+        assert not words or at == len(words)
+
+
+def test_line_fold_against_plain_code(spark):
+    from larder.functions import urls as U
+
+    cases = [["a", "a b", "b", "c", "c"], [], ["x"], ["abc", "b", "abcd", "d"]]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, lines array<string>").select("i", M.fold_repeats(F.col("lines")).alias("out"))
+    for r in df.collect():
+        kept = []
+        for x in cases[r["i"]]:
+            if not kept or x not in kept[-1]:
+                kept.append(x)
+        assert r["out"] == kept
+    rng = random.Random(1)
+    heads = [0x2001, 0x2002, 0x2606, 0xFE80, 0xFC00, 0x3FFF, 0]
+    hosts = [str(ipaddress.ip_address(rng.getrandbits(32))) for _ in range(300)]
+    hosts += [str(ipaddress.IPv6Address(rng.choice(heads) << 112 | rng.getrandbits(rng.choice([40, 90, 112])))) for _ in range(300)]
+    hosts += ["10.1.2.3", "169.254.169.254", "100.64.0.1", "192.0.2.1", "198.18.0.1", "::", "::1", "::ffff:127.0.0.1"]
+    got = {r["h"]: r["p"] for r in spark.createDataFrame([(h,) for h in hosts], "h string").select("h", U.is_public_address(F.col("h")).alias("p")).collect()}
+    for h in hosts:
+        a = ipaddress.ip_address(h)
+        a = getattr(a, "ipv4_mapped", None) or a
+        if not a.is_global or a.is_multicast:
+            assert not got[h], h
+        elif a.version == 4:
+            assert got[h], h
+    urls = {"http://example.org/": True, "https://[::1]/": False, "ftp://example.org/": False, "http://127.0.0.1:8000/": False, "https://user@10.0.0.1/": False, "//example.org": False, "http://[2606:4700::1]:80/x": True}
+    out = {r["u"]: r["p"] for r in spark.createDataFrame([(u,) for u in urls], "u string").select("u", U.is_public_url(F.col("u")).alias("p")).collect()}
+    assert out == urls
