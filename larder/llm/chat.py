@@ -5,7 +5,7 @@ three segments (header, text, end) with a loss flag.  Control strings inside tex
 escaped reversibly, so the formatted output can be read back without doubt.
 
 A conversation is never gathered: its turns arrive sorted in one task and pass one at a
-time, so memory does not grow with its length.
+time, so memory does not grow with its length.  Time does: a conversation's digest is made in order, by one task.
 
 Defined results: a null text is empty; a null role is the empty role; a role that the
 template does not name is written by its hex digits and makes the conversation invalid; rows
@@ -63,6 +63,7 @@ class Template:
 
 
 _SEGMENT = [("conv_id", pa.int64()), ("turn_no", pa.int64()), ("kind", pa.string()), ("segment", pa.string()), ("loss", pa.bool_()), ("state", pa.string()), ("valid", pa.bool_())]
+_KINDS = ("head", "text", "end")
 _SEGMENT_DDL = "conv_id long, turn_no long, kind string, segment string, loss boolean, state string, valid boolean"
 
 
@@ -98,7 +99,7 @@ def format_turns(conversations: DataFrame, template: Template | None = None) ->
 
 
 def read_back(segments: DataFrame, template: Template | None = None) -> DataFrame:
-    """One row a conversation, parsed from the formatted segments (in format_turns' order).
+    """One row a conversation, parsed from the formatted segments in format_turns' order; any other order is an error.
 
     Turns are found in the formatted text alone by the template's marks; the mask's text comes
     from the flagged segments.
@@ -111,9 +112,12 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
     class Open:
         def __init__(self, conv):
             self.conv, self.left, self.turns, self.loss_chars, self.chars = conv, "", 0, 0, 0
-            self.all, self.learned, self.valid = hashlib.sha256(), hashlib.sha256(), True
+            self.all, self.learned, self.valid, self.next = hashlib.sha256(), hashlib.sha256(), True, (0, 0)
 
-        def add(self, segment, loss, state, valid):
+        def add(self, turn_no, kind, segment, loss, state, valid):
+            if (turn_no, kind) != (self.next[0], _KINDS[self.next[1]]):
+                raise ValueError("segments are out of order: they stand by conversation, turn and kind, as format_turns gives them")
+            self.next = (turn_no, self.next[1] + 1) if self.next[1] < 2 else (turn_no + 1, 0)
             self.chars += len(segment)
             self.valid = valid and state in t.accepts
             if loss:
@@ -138,11 +142,11 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
         conv = None
         for batch in slices(batches, "segment"):
             rows = []
-            for c, _, _, segment, loss, state, valid in zip(*(x.to_pylist() for x in batch.columns)):
+            for c, turn_no, kind, segment, loss, state, valid in zip(*(x.to_pylist() for x in batch.columns)):
                 if conv is None or c != conv.conv:
                     rows += [conv.row()] if conv else []
                     conv = Open(c)
-                conv.add(segment, loss, state, valid)
+                conv.add(turn_no, kind, segment, loss, state, valid)
             yield batch_of(rows)
         yield batch_of([conv.row()] if conv else [])
 

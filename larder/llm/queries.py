@@ -122,6 +122,18 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
+        s AS (
+            SELECT *, length(text) + length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '</turn>', ''))) // 7
+                   + coalesce(list_sum([length(x) - 2 FOR x IN regexp_extract_all(text, '#{3,}')]), 0) + length('### ' || role || ': ' || '</turn>' || chr(10)) AS chars FROM t)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars,
+               regexp_matches(string_agg(left(role, 1), '' ORDER BY turn, role, text), '^s?(ua)+$') AS valid
+        FROM s GROUP BY conv_id""",
     "op4_line_dedup": """
         WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         lines AS (

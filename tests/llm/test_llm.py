@@ -15,6 +15,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from larder.llm import audio, chat, components, decontaminate, jaccard, licences, lines, packing, queries, sharding, toxicity, warc
 from larder.llm.common import bare, checkpoint_root
@@ -166,6 +167,8 @@ def test_chat_read_back(spark):
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert {c: r["valid"] for c, r in got.items()} == {1: True, 2: False, None: False, 3: False}
     assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
+    with pytest.raises(Exception, match="out of order"):
+        chat.read_back(chat.format_turns(df).coalesce(1).orderBy(F.desc("segment"))).count()
 
 
 def _brute_lines(docs, min_docs, keep):
