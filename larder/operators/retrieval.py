@@ -91,17 +91,21 @@ def bm25(docs: DataFrame, key: str, terms: list[tuple[str, bool]], fields: dict[
     """(key, score) of the best documents for any of the terms; higher is better, ties by key.
 
     ``allowed`` (a table of keys) restricts the result and never the statistics, which come as one
-    row from a partial aggregate.
+    row from a partial aggregate.  The texts are tokenized once: statistics and hits read one exchange of narrow rows, a few
+    numbers a document.  So that Spark sees it is the same, both need all of its columns, and the hits are
+    picked by a condition that cannot move below it.
     """
     fields = fields or FIELD_WEIGHTS
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    tf = term_frequencies(docs, key, fields, terms)
-    stats = tf.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"n{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
-    hits = tf.filter(" OR ".join(f"n{i} > 0" for i in range(len(terms))))
+    tf = term_frequencies(docs, key, fields, terms).repartition(key)
+    frequencies = [F.sum((F.col(f"n{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]
+    every = F.max(F.xxhash64(*tf.columns)).alias("_every")
+    stats = tf.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), every, *frequencies).filter("_every IS NOT NULL")
+    found = sum((F.col(f"n{i}") for i in range(len(terms))), F.lit(0))
+    scored = tf.crossJoin(F.broadcast(stats)).filter(found * F.col("n_docs") > 0)  # one row
     if allowed is not None:
-        hits = hits.join(allowed.select(key), key, "left_semi")
-    scored = hits.crossJoin(F.broadcast(stats))  # one row
+        scored = scored.join(allowed.select(key), key, "left_semi")
     total = F.lit(0.0)
     for i in range(len(terms)):
         idf = F.log((F.col("n_docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larder.session import spread
+
 
 @dataclass(frozen=True)
 class Query:
@@ -21,6 +23,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose texts are to be worked through, on all cores."""
+    return spread(read(spark, sf_dir, name))
+
+
 def quoted(words) -> str:
     """A SQL list of text literals."""
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)

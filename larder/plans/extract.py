@@ -8,14 +8,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from larder.operators import html as HT
-from larder.plans.common import Query, quoted, read
+from larder.plans.common import Query, quoted, read, texts
 from larder.sources import payloads as P
 from larder.sources import web as W
 from larder.streaming import jobs as ST
 
 
 def _records(spark, d):
-    return HT.parse_pages(read(spark, d, "pages"), "page_id")
+    return HT.parse_pages(texts(spark, d, "pages"), "page_id")
 
 
 def html_title(spark, d):
@@ -38,7 +38,7 @@ _HEAD = """concat('<head><meta property="og:title" content="T', page_id, '">', C
 
 def html_meta(spark, d):
     """Metadata put into every page, read back."""
-    pages = read(spark, d, "pages").withColumn("html", F.replace("html", F.lit("<head>"), F.expr(_HEAD)))
+    pages = texts(spark, d, "pages").withColumn("html", F.replace("html", F.lit("<head>"), F.expr(_HEAD)))
     out = HT.parse_pages(pages, "page_id")
     return out.select("page_id", "title", "caption", "author", "thumbnail_url", "published", "duration", "canonical")
 
@@ -68,7 +68,7 @@ _BODIES = """CASE WHEN page_id % 3 = 0 THEN concat('{"title": "O', page_id, '",
 
 def web_record(spark, d):
     """Listing, oEmbed answer and page of every address, merged in the order of their word."""
-    pages = read(spark, d, "pages").selectExpr("page_id", "url AS canonical_url", *[c for c in _split_columns(_BODIES)])
+    pages = texts(spark, d, "pages").selectExpr("page_id", "url AS canonical_url", *[c for c in _split_columns(_BODIES)])
     out = W.web_records(pages, "page_id")
     return out.select("page_id", "title", "author", "thumbnail_url", "like_count", F.col("caption").alias("caption"), "media_kind", "extractor_note")
 
@@ -95,7 +95,7 @@ def client_shapes(spark, d):
         .when(F.col("page_id") % 3 == 1, F.to_json(F.struct(F.col("html").alias("DOM"), F.lit("flat").alias("Text"))))
         .otherwise(F.to_json(F.struct(F.concat(F.lit("F"), "page_id").alias("Headline"), F.lit("5").alias("likes"))))
     )
-    rows = read(spark, d, "pages").select("page_id", F.col("url").alias("canonical_url"), F.lit("web").alias("platform"), body.alias("payload"))
+    rows = texts(spark, d, "pages").select("page_id", F.col("url").alias("canonical_url"), F.lit("web").alias("platform"), body.alias("payload"))
     out = P.client_records(rows, "page_id", "payload")
     title = F.when(F.col("page_id") % 3 == 1, F.col("title").isNotNull().cast("string")).otherwise(F.col("title"))
     return out.select("page_id", title.alias("title"), "caption", "like_count", "media_kind", "extractor_note")

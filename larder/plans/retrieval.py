@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larder.operators import retrieval as R
-from larder.plans.common import Query, bm25_sql, read
+from larder.plans.common import Query, bm25_sql, read, texts
 
 #: The battery: common word parts of the synthetic corpus, and a word that queries drop.
 TEXT = "thing thnd erre "
@@ -18,7 +18,7 @@ TWO_SQL = {"title": ("split_part(text, '.', 1)", 8.0), "body": ("text", 1.0)}
 
 
 def _docs(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.col("text").alias("body"), F.split("text", r"\.").getItem(0).alias("title"), "lang", "source")
+    return texts(spark, d).select("doc_id", F.col("text").alias("body"), F.split("text", r"\.").getItem(0).alias("title"), "lang", "source")
 
 
 def _vectors(spark, d, per_doc=1):

@@ -10,7 +10,7 @@ from larder.functions import models as MD
 from larder.operators import retrieval as R
 from larder.operators import telemetry as T
 from larder.operators.embedding import embed
-from larder.plans.common import Query, read
+from larder.plans.common import Query, read, texts
 
 _ANSWER = '{"summary": " a  b ", "details": ["x  y", " "], "tags": ["JS", "fyp"], "category": "AI ML", "content_type": "how", "people": ["P1","P2","P3","P4","P5","P6","P7","P8","P9"], "language": ""}'
 
@@ -77,7 +77,7 @@ def success_rules(spark, d):
 def embed_batch(spark, d):
     """Every document embedded by a provider that counts characters: unit vectors, each with its own text."""
     counts = lambda texts: np.array([[len(t), t.count(" "), t.count("e"), 1] for t in texts], dtype=np.float32).reshape(-1, 4)
-    e = embed(read(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text", "counts", 4, counts)
+    e = embed(texts(spark, d).select("doc_id", "text"), ["doc_id"], "text", "counts", 4, counts)
     at = lambda i: F.round(F.get("embedding", F.lit(i)).cast("double"), 3)
     return e.select("doc_id", "dim", at(0).alias("v0"), at(1).alias("v1"), at(2).alias("v2"), at(3).alias("v3"))
 

@@ -9,7 +9,7 @@ from larder.functions import text as X
 from larder.functions import urls as U
 from larder.operators import chunking as C
 from larder.operators import heuristics as H
-from larder.plans.common import Query, quoted, read
+from larder.plans.common import Query, quoted, read, texts
 
 # -- URLs ------------------------------------------------------------------------------
 
@@ -207,7 +207,7 @@ def _cued(spark, d):
     cue = lambda n: _at(_CUES, F.col("doc_id") * n)
     text = F.concat_ws(" ", "text", cue(1), cue(1), cue(7), cue(7), cue(11))
     typed = F.concat_ws(" ", "text", _at(_PAIRS, F.col("doc_id")))
-    return read(spark, d, "documents").select("doc_id", text.alias("text"), F.when(F.col("doc_id") % 3 != 0, typed).otherwise(F.col("text")).alias("typed"), F.split("text", "\n").getItem(0).alias("title"))
+    return texts(spark, d).select("doc_id", text.alias("text"), F.when(F.col("doc_id") % 3 != 0, typed).otherwise(F.col("text")).alias("typed"), F.split("text", "\n").getItem(0).alias("title"))
 
 
 def term_scores(spark, d):
@@ -215,7 +215,7 @@ def term_scores(spark, d):
 
 
 def bigrams(spark, d):
-    return H.bigrams(read(spark, d, "documents"), "doc_id", "text", _STOP, 2)
+    return H.bigrams(texts(spark, d), "doc_id", "text", _STOP, 2)
 
 
 def category_vote(spark, d):
@@ -229,16 +229,16 @@ def content_type_vote(spark, d):
 def heuristic_summary(spark, d):
     t = F.col("text")
     none = F.lit(None).cast("string")
-    return read(spark, d, "documents").select("doc_id", H.summary(F.split(t, "\n").getItem(0), t, none, none, F.lit("text")).alias("summary"), F.sha2(H.description(t, t), 256).alias("description"))
+    return texts(spark, d).select("doc_id", H.summary(F.split(t, "\n").getItem(0), t, none, none, F.lit("text")).alias("summary"), F.sha2(H.description(t, t), 256).alias("description"))
 
 
 def entities(spark, d):
     e = H.entities(F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.lit("Ann Lee")), _STOP)
-    return read(spark, d, "documents").select("doc_id", e.alias("e")).select("doc_id", F.array_join("e.people", "|").alias("people"), F.array_join("e.organizations", "|").alias("organizations"), F.array_join("e.products", "|").alias("products"))
+    return texts(spark, d).select("doc_id", e.alias("e")).select("doc_id", F.array_join("e.people", "|").alias("people"), F.array_join("e.organizations", "|").alias("organizations"), F.array_join("e.products", "|").alias("products"))
 
 
 def sentence_dedup(spark, d):
-    twice = read(spark, d, "documents").select("doc_id", F.concat("text", F.lit(" "), "text").alias("text"))
+    twice = texts(spark, d).select("doc_id", F.concat("text", F.lit(" "), "text").alias("text"))
     return H.without_repeated_sentences(twice, "doc_id", "text").select("doc_id", F.sha2("text", 256).alias("kept"))
 
 
@@ -256,7 +256,7 @@ def keyword_fields(spark, d):
 
 
 def _chunked(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.concat(F.lit("source: "), "source").alias("digest"), F.array(F.lit("one detail"), F.lit("x"), "lang").alias("details"), "text")
+    docs = texts(spark, d).select("doc_id", F.concat(F.lit("source: "), "source").alias("digest"), F.array(F.lit("one detail"), F.lit("x"), "lang").alias("details"), "text")
     return C.chunks(docs, "doc_id", "digest", "details", "text", 2000, 300)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that hold at any scale; a cluster's own settings win over them.
 DEFAULTS = {
@@ -22,3 +22,13 @@ def session(app: str = "larder", master: str | None = None, **conf) -> SparkSess
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than there are cores, dealt to all of them; a larger one as it is.
+
+    A small file is one row group and so one task.  Work that costs more than moving the rows is worth the move;
+    tables of any size have more partitions than cores and are not touched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
