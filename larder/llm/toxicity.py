@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import bare, held_out, slices
+from larder.llm.common import bare, held_out, slices, table
 
 _BITS = 22
 
@@ -84,21 +84,27 @@ def _groups(rows: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
     return out
 
 
+def _frequent(rows: list[np.ndarray]) -> np.ndarray:
+    """The buckets, sorted, that enough of the positive rows have: only these can be chosen."""
+    count = np.zeros(1 << _BITS, dtype=np.int32)
+    for r in rows:
+        count[r] += 1
+    return np.flatnonzero(count >= max(5, 0.01 * len(rows)))
+
+
 def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, vocabulary: int = 1000, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> Model:
     """Minimizes the non-negative risk; rows hold the distinct buckets of each text."""
     n_pos, n_unl = int(positive.sum()), int((~positive).sum())
     if not n_pos or not n_unl or not 0 < prior < 1:
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), float(np.log(p / (1 - p))))
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    values = np.concatenate(rows)
-    in_pos = positive[owner]
-    of_pos = np.bincount(values[in_pos], minlength=1 << _BITS)
-    seen = np.flatnonzero(of_pos >= max(5, 0.01 * n_pos))  # only these can be chosen
+    seen = _frequent([rows[i] for i in np.flatnonzero(positive)])
     column = np.full(1 << _BITS, -1, dtype=np.int32)
     column[seen] = np.arange(len(seen))
-    ok = column[values] >= 0
-    owner, in_pos, values = owner[ok], in_pos[ok], column[values[ok]]
+    chosen = [c[c >= 0] for c in (column[r] for r in rows)]
+    owner, values = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in chosen]), np.concatenate(chosen)
+    in_pos = positive[owner]
+    del column, chosen
     of_pos, of_unl = (np.bincount(values[w], minlength=len(seen)) for w in (in_pos, ~in_pos))
     groups = _groups(rows, positive)  # copies of a text speak once for a feature
     pairs = np.unique(values[in_pos].astype(np.int64) * len(rows) + groups[owner[in_pos]])
@@ -154,12 +160,28 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_p
             rows = [(sure, found) for sure, t in zip(*(c.to_pylist() for c in batch.columns)) if len(found := _buckets(t)) <= most_features]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], names=["positive", "buckets"])
 
-    got = texts.mapInArrow(run, "positive boolean, buckets array<int>").toArrow()
-    flat = got["buckets"].combine_chunks()
-    offsets = flat.offsets.to_numpy() if got.num_rows else np.zeros(1, int)
-    values = flat.values.to_numpy() if got.num_rows else np.zeros(0, np.int32)
-    rows = [values[a:b] for a, b in zip(offsets, offsets[1:])]
-    return fit(rows, got["positive"].to_numpy().astype(bool) if got.num_rows else np.zeros(0, bool), float(prior))
+    made = table(texts.mapInArrow(run, "positive boolean, buckets array<int>"), "sample")
+    pos = _rows(made.filter("positive").select("buckets"))
+    seen = _frequent(pos)
+
+    def keep(batches):
+        for batch in batches:
+            rows = [r[np.isin(r, seen)] for r in _lists(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], names=["buckets"])
+
+    # Of the texts of all kinds the driver gets the features that can be chosen.
+    unl = _rows(made.filter("NOT positive").select("buckets").mapInArrow(keep, "buckets array<int>"))
+    return fit(pos + unl, np.arange(len(pos) + len(unl)) < len(pos), float(prior))
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b] for a, b in zip(offsets, offsets[1:])]
+
+
+def _rows(df: DataFrame) -> list[np.ndarray]:
+    """The buckets of each row of a bounded sample."""
+    return [r for chunk in df.toArrow()["buckets"].chunks for r in _lists(chunk)]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
