@@ -110,6 +110,33 @@ def op10_pack_powers_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources of each language by how far their words are apart, and the words that set each off."""
+    from larder.llm.divergence import divergence
+
+    out = divergence(_read(spark, sf_dir, "documents").select("text", "lang", "source"), min_docs=30, top=50, smoothing=5)
+    return out.select("lang", "source", "part", "item", "value", "rank")
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of 50-word windows that an earlier document has."""
+    from larder.llm.substrings import plain_words, repeats
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = repeats(docs, window=50).select("doc_id", F.col("text_hash").alias("hash"), "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("less"))
+    plain = plain_words(docs.withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))).select("doc_id", "hash", "n_words", F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
+    out = plain.join(found, ["doc_id", "hash"], "left")
+    return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("less", "whole").alias("kept_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of seven letters or more with their form, root and number of near words."""
+    from larder.llm.spelling import spelling_variants
+
+    out = spelling_variants(_read(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=7, min_count=2, ratio=10, noise=31)
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_shard_by_bytes": op2_shard_by_bytes,
@@ -121,6 +148,9 @@ QUERIES = {
     "op8_licences": op8_licences,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_pack_powers_of_two": op10_pack_powers_of_two,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES = {
@@ -153,4 +183,68 @@ ORACLES = {
                CASE WHEN first_id IS NULL OR p.page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN p.page_id <> first_id THEN first_id END AS refers_to
         FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest""",
+    "op11_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        t AS (
+            SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+            FROM d),
+        kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+        q AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term),
+        v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM q GROUP BY lang),
+        g AS (
+            SELECT lang, source, coalesce(v, 0) AS v, coalesce(v.total, 0) AS lang_total, coalesce(s.total, 0) AS total
+            FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source) s USING (lang, source)),
+        p AS (
+            SELECT g.lang AS lang, g.source AS source, q.term AS term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * g.v) AS p,
+                   1 + (1000000000::HUGEINT * (q.n + 5)) // (g.lang_total + 5 * g.v) AS q
+            FROM g JOIN q USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = q.term),
+        pairs AS (
+            SELECT a.lang AS lang, a.source AS source, b.source AS item, coalesce(s.value, 0) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+                SELECT x.lang AS lang, x.source AS source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source
+                GROUP BY x.lang, x.source, y.source) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source)
+        SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM pairs
+        UNION ALL
+        SELECT lang, source, 'term', term, (p - q)::BIGINT, rank FROM (
+            SELECT *, (row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term))::INTEGER AS rank FROM p WHERE n > 0 AND p > q) WHERE rank <= 50""",
+    "op12_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        w AS (SELECT doc_id, words, unnest(generate_series(1, len(words) - 49)) AS pos FROM d),
+        h AS (SELECT doc_id, pos, sha256(array_to_string(words[pos:(pos + 49)], ' ')) AS k FROM w),
+        gone AS (SELECT doc_id, pos FROM (SELECT *, min(doc_id) OVER (PARTITION BY k) AS least FROM h) WHERE least < doc_id),
+        lost AS (SELECT DISTINCT doc_id, unnest(generate_series(pos, pos + 49)) AS i FROM gone),
+        e AS (SELECT doc_id, unnest(generate_series(1, len(words))) AS i, unnest(words) AS word FROM d)
+        SELECT d.doc_id AS doc_id, any_value(len(words))::BIGINT AS n_words, count(lost.i) AS n_removed,
+               sha256(coalesce(string_agg(CASE WHEN lost.i IS NULL THEN word END, ' ' ORDER BY e.i), '')) AS kept_sha256
+        FROM d LEFT JOIN e ON e.doc_id = d.doc_id LEFT JOIN lost ON lost.doc_id = e.doc_id AND lost.i = e.i GROUP BY d.doc_id""",
+    "op13_spelling_variants": r"""
+        WITH RECURSIVE crc AS (
+            SELECT list(list_reduce([n::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END) ORDER BY n) AS t
+            FROM range(256) r(n)),
+        runs AS (
+            SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+        counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+        bytes AS (
+            SELECT run, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS b FROM counted),
+        hashed AS (
+            SELECT run, n, xor(list_reduce(list_concat([4294967295::UBIGINT], b::UBIGINT[]), lambda c, x: xor(c // 256, t[(xor(c, x) % 256)::INTEGER + 1])), 4294967295::UBIGINT) AS h FROM bytes, crc),
+        noised AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, n FROM hashed),
+        words AS (SELECT word, sum(n)::BIGINT AS n FROM noised WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+        places AS (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM words),
+        wild AS (SELECT word, n, left(word, i - 1) || '*' || substr(word, i + 1) AS k FROM places),
+        gone AS (SELECT DISTINCT word, n, left(word, i - 1) || substr(word, i + 1) AS k FROM places),
+        indels AS (SELECT gone.word AS a, gone.n AS a_n, words.word AS b, words.n AS b_n FROM gone JOIN words ON words.word = gone.k),
+        near AS (
+            SELECT x.word AS word, y.word AS other, y.n AS other_n FROM wild x JOIN wild y ON x.k = y.k AND x.word <> y.word
+            UNION ALL SELECT a, b, b_n FROM indels UNION ALL SELECT b, a, a_n FROM indels),
+        best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+        forms AS (
+            SELECT words.word AS word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+            FROM words LEFT JOIN best ON best.word = words.word),
+        walk AS (
+            SELECT word, coalesce(form, word) AS root FROM forms
+            UNION SELECT walk.word, forms.form FROM walk JOIN forms ON forms.word = walk.root WHERE forms.form IS NOT NULL),
+        ends AS (SELECT walk.word AS word, walk.root AS root FROM walk JOIN forms ON forms.word = walk.root WHERE forms.form IS NULL)
+        SELECT forms.word AS word, form, root, n, n_near, form_n FROM forms JOIN ends ON ends.word = forms.word""",
 }

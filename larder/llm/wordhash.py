@@ -21,6 +21,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _SIGN = np.array([b < 128 and not _SPACE[b] and not chr(b).isalnum() for b in range(256)])
 #: Texts with other white space than these bytes are split by Python first; without signs, also those with
 #: letters and signs beyond Latin-1.
+_GAP = re.compile(rb"[\t-\r ]")
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ODD = re.compile(r"[^\x00-\x1b\x20-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
 
@@ -59,6 +60,28 @@ class WordArrays:
                 held, size = [], 0
         return out + (self._hash(held) if held else [])
 
+    def raw(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The words of texts as they are, neither lower-cased nor stripped; long texts are hashed in pieces cut between words."""
+        out, held, size = [], [], 0
+        for t in texts:
+            if len(t) > self.block:
+                out += self._hash(held) if held else []
+                held, size = [], 0
+                parts, start = [], 0
+                while start < len(t):
+                    gap = _GAP.search(t, start + self.block)
+                    end = gap.start() if gap else len(t)
+                    parts += self._hash([t[start:end]])
+                    start = end
+                out.append(np.concatenate(parts))
+                continue
+            held.append(t)
+            size += len(t) + 1
+            if size >= self.block:
+                out += self._hash(held)
+                held, size = [], 0
+        return out + (self._hash(held) if held else [])
+
     def _hash(self, texts: list[bytes]) -> list[np.ndarray]:
         data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
         ends_of = np.cumsum([len(t) + 1 for t in texts])
