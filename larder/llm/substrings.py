@@ -34,7 +34,7 @@ from larder.llm.common import slices, table
 from larder.llm.wordhash import WordArrays
 
 #: Words of which a task gathers the keys before it sends them; bytes of text that a bucket is meant for.
-GATHER, BUCKET = 2 << 20, 128 << 20
+GATHER, BUCKET = 1 << 20, 128 << 20
 #: There are no more hot keys than this; a key is hot from so many places.
 SHARE, HOT = 4096, 200
 #: Entries of a packed row, and those that a task holds before it merges them.
@@ -72,21 +72,27 @@ def run_hashes(words: np.ndarray, n: int, by: int = 0xD6E8FEB86659FD93) -> np.nd
 
 
 class Gathered:
-    """Documents gathered by a task, by id: their keys and the hashes of their words, end to end."""
+    """Documents gathered by a task, by id: their keys and the hashes of their words, end to end.
+
+    at: the place of a word in its document; left: the words from there to the document's end.  Of a very long document there
+    is a segment at a time, with some words of the next, whose left is 0: no run is to begin there.
+    """
 
     def __init__(self, docs: list[tuple]):
         docs.sort(key=lambda d: d[:2])
-        self.ids, self.hashes = (np.array([d[i] for d in docs], np.int64) for i in (0, 1))
-        self.sizes = np.array([len(d[2]) for d in docs], np.int64)
+        self.ids, self.hashes, self.offsets, self.sizes = (np.array([d[i] for d in docs], np.int64) for i in (0, 1, 4, 5))
+        lengths = np.array([len(d[2]) for d in docs], np.int64)
         self.words = np.concatenate([d[2] for d in docs])
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.starts = np.cumsum(lengths) - lengths
         self.extra = [d[3] for d in docs]
-        self.of = np.repeat(np.arange(len(docs)), self.sizes)
-        self.at = np.arange(len(self.words)) - self.starts[self.of]
-        self.left = self.sizes[self.of] - self.at  # words from here to the document's end
+        self.of = np.repeat(np.arange(len(docs), dtype=np.int32), lengths)
+        self.at = (np.arange(len(self.words)) - (self.starts - self.offsets)[self.of]).astype(np.int32)
+        self.left = self.sizes.astype(np.int32)[self.of] - self.at
+        if len(docs) == 1 and lengths[0] < self.sizes[0] - self.offsets[0]:
+            self.left[GATHER:] = 0
 
 
-def _gathered(batches, least: int):
+def _gathered(batches, least: int, overlap: int):
     """Gathered documents of some GATHER words: each once, if it has an id and least words or more."""
     arrays, docs, seen, n = WordArrays(), [], set(), 0
     for part in slices(batches):
@@ -96,7 +102,11 @@ def _gathered(batches, least: int):
         for key, w, x in zip(keys, words, extra):
             if key[0] is not None and len(w) >= least and key not in seen:
                 seen.add(key)
-                docs.append((*key, w, x))
+                if len(w) > 2 * GATHER:
+                    for a in range(0, len(w), GATHER):
+                        yield Gathered([(*key, w[a : a + GATHER + overlap], x, a, len(w))])
+                    continue
+                docs.append((*key, w, x, 0, len(w)))
                 n += len(w)
         if n >= GATHER:
             yield Gathered(docs)
@@ -138,8 +148,14 @@ INDEX, PROBE, ANSWERED = 0, 1, 2
 
 
 def _batches(rows: list[tuple], types: list, names: list[str]):
-    for k in range(0, len(rows), 500):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 500]), types)], names=names)
+    """Rows in batches of some 4 MB."""
+    held, size = [], 0
+    for k, row in enumerate(rows):
+        held.append(row)
+        size += 64 + sum(len(x) for x in row if isinstance(x, bytes))
+        if size > 4 << 20 or len(held) == 2000 or k == len(rows) - 1:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
+            held, size = [], 0
 
 
 def _packed(kind: int, bucket: np.ndarray, keys, ids, hashes, places, weights=None):
@@ -291,7 +307,7 @@ class _Hot:
         return (self.handles[at] == handles) & (self.keys[at] == keys), self.docs[at]
 
 
-def _earlier(docs: DataFrame, index_of: Callable, probes_of: Callable, key_kind, buckets: int, hot_from: int, homes: int, with_hash: bool, back: bool) -> DataFrame:
+def _earlier(docs: DataFrame, index_of: Callable, probes_of: Callable, key_kind, buckets: int, hot_from: int, overlap: int, with_hash: bool, back: bool) -> DataFrame:
     """doc_id, text_hash, places (packed) of the probes whose key a document of a smaller id has in the index.
 
     index_of, probes_of: Gathered -> positions among its words, and their 64-bit hashes (two of them for wide keys).
@@ -299,7 +315,7 @@ def _earlier(docs: DataFrame, index_of: Callable, probes_of: Callable, key_kind,
     """
 
     def keyed(found: Gathered, at: np.ndarray, hashes: tuple) -> tuple:
-        bucket = ((hashes[0] & _U(0xFFFFFFFF)) % _U(buckets)).astype(np.int64)
+        bucket = ((hashes[0] & _U(0xFFFFFFFF)) % _U(buckets)).astype(np.int32)
         keys = np.zeros(len(at), key_kind)
         if key_kind.names:
             keys["a"], keys["b"] = hashes[0], (hashes[1] >> _U(32)).astype(np.uint32)
@@ -309,7 +325,7 @@ def _earlier(docs: DataFrame, index_of: Callable, probes_of: Callable, key_kind,
         return bucket, keys, found.ids[of], found.hashes[of] if with_hash else np.zeros(len(at), np.int64), found.at[at]
 
     def send_index(batches):
-        for found in _gathered(batches, 1):
+        for found in _gathered(batches, 1, overlap):
             bucket, keys, ids, hashes, places = keyed(found, *index_of(found))
             if not len(keys):
                 continue
@@ -325,12 +341,12 @@ def _earlier(docs: DataFrame, index_of: Callable, probes_of: Callable, key_kind,
     hot = _Hot(made.filter("kind = 9").collect(), key_kind)  # SHARE keys at most
 
     def send_probes(batches):
-        for found in _gathered(batches, 1):
+        for found in _gathered(batches, 1, overlap):
             bucket, keys, ids, hashes, places = keyed(found, *probes_of(found))
             is_hot, least = hot.find(bucket, keys)
             known = is_hot & (least < ids)
             home = ids[known].view(np.uint64) % _U(buckets)
-            yield from _packed(ANSWERED, home.astype(np.int64), None, ids[known], hashes[known], places[known])
+            yield from _packed(ANSWERED, home.astype(np.int32), None, ids[known], hashes[known], places[known])
             ask = ~is_hot
             yield from _packed(PROBE, bucket[ask], keys[ask], ids[ask], hashes[ask], places[ask])
 
@@ -344,7 +360,7 @@ def _earlier(docs: DataFrame, index_of: Callable, probes_of: Callable, key_kind,
             mine = used if used is not None else np.zeros(len(index.keys), bool)
             mine |= hot.find(np.full(len(index.keys), bucket), index.keys)[0]
             rows = mine[np.cumsum(index.new) - 1]
-            yield from _homeward(ids[rows], hashes[rows], places[rows], homes)
+            yield from _homeward(ids[rows], hashes[rows], places[rows], buckets)
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -355,14 +371,14 @@ def _earlier(docs: DataFrame, index_of: Callable, probes_of: Callable, key_kind,
                 if row["kind"] == INDEX:
                     index.add((keys, ids, hashes, places, weights))
                 elif row["kind"] == ANSWERED:
-                    yield from _homeward(ids, hashes, places, homes)
+                    yield from _homeward(ids, hashes, places, buckets)
                 elif index.settle() is not None:
                     found, at = index.find(keys)
                     found &= index.least[1][index.first[at]] < ids
                     if used is None:
                         used = np.zeros(len(index.keys), bool)
                     used[at[found]] = True
-                    yield from _homeward(ids[found], hashes[found], places[found], homes)
+                    yield from _homeward(ids[found], hashes[found], places[found], buckets)
         yield from end()
 
     rows = made.filter("kind = 0").unionByName(docs.mapInArrow(send_probes, _DDL))
@@ -371,7 +387,15 @@ def _earlier(docs: DataFrame, index_of: Callable, probes_of: Callable, key_kind,
 
 
 _HOME_DDL = "home int, docs binary, hashes binary, places binary"
-_ANSWER = np.dtype([("doc", np.int64), ("hash", np.int64), ("place", np.int32)])
+
+
+def _once(docs: np.ndarray, hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different entries, in order."""
+    order = np.lexsort((places, hashes, docs))
+    docs, hashes, places = docs[order], hashes[order], places[order]
+    new = np.ones(len(docs), bool)
+    new[1:] = (docs[1:] != docs[:-1]) | (hashes[1:] != hashes[:-1]) | (places[1:] != places[:-1])
+    return docs[new], hashes[new], places[new]
 
 
 def _homeward(ids: np.ndarray, hashes: np.ndarray, places: np.ndarray, homes: int):
@@ -388,12 +412,15 @@ def _homeward(ids: np.ndarray, hashes: np.ndarray, places: np.ndarray, homes: in
 def _at_home(batches):
     held, home, size = [], None, 0
 
+    def settled():
+        return _once(*(np.concatenate(x) for x in zip(*held)))
+
     def out():
-        all_of = np.unique(np.concatenate(held))
-        new = np.ones(len(all_of), bool)
-        new[1:] = (all_of["doc"][1:] != all_of["doc"][:-1]) | (all_of["hash"][1:] != all_of["hash"][:-1])
-        cuts = np.append(np.flatnonzero(new), len(all_of))
-        rows = [(int(all_of["doc"][a]), int(all_of["hash"][a]), _planes(_steps(all_of["place"][a:b]))) for a, b in zip(cuts[:-1], cuts[1:])]
+        docs, hashes, places = settled()
+        new = np.ones(len(docs), bool)
+        new[1:] = (docs[1:] != docs[:-1]) | (hashes[1:] != hashes[:-1])
+        cuts = np.append(np.flatnonzero(new), len(docs))
+        rows = [(int(docs[a]), int(hashes[a]), _planes(_steps(places[a:b].astype(np.int32)))) for a, b in zip(cuts[:-1], cuts[1:])]
         yield from _batches(rows, [pa.int64(), pa.int64(), pa.binary()], ["doc_id", "text_hash", "places"])
 
     for batch in batches:
@@ -402,13 +429,10 @@ def _at_home(batches):
                 yield from out()
                 held, size = [], 0
             home = row["home"]
-            _, docs, hashes, places, _ = _unpacked(row | {"keys": None, "weights": None}, NARROW)
-            entries = np.zeros(len(docs), _ANSWER)
-            entries["doc"], entries["hash"], entries["place"] = docs, hashes, places
-            held.append(entries)
-            size += len(entries)
+            held.append(_unpacked(row | {"keys": None, "weights": None}, NARROW)[1:4])
+            size += len(held[-1][0])
             if size > HELD:  # repeated rows ask for the same
-                held, size = [np.unique(np.concatenate(held))], 0
+                held, size = [settled()], 0
     if held:
         yield from out()
 
@@ -468,21 +492,23 @@ def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
     def candidates(found):
         change = np.zeros(len(found.words) + 1, np.int64)
-        for start, n, packed in zip(found.starts, found.sizes, found.extra):
+        ends = np.append(found.starts[1:], len(found.words))
+        for start, end, offset, n, packed in zip(found.starts, ends, found.offsets, found.sizes, found.extra):
             places = _places(packed)
-            low, high = np.maximum(places - (window - block), 0), np.minimum(places, n - window)
+            low = np.maximum(np.maximum(places - (window - block), 0) - offset, 0)
+            high = np.minimum(np.minimum(places, n - window) - offset, end - start - 1)
             some = low <= high
             np.add.at(change, start + low[some], 1)
             np.add.at(change, start + high[some] + 1, -1)
-        at = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+        at = np.flatnonzero((np.cumsum(change[:-1]) > 0) & (found.left >= window))
         if not len(at):
             return at, (np.zeros(0, np.uint64),) * 2
         return at, (run_hashes(found.words, window)[at], run_hashes(found.words, window, 0xA24BAED4963EE407)[at])
 
-    hits = _earlier(mine, block_starts, all_runs, NARROW, buckets, hot(size // (2 * block)), buckets, with_hash=False, back=True)
+    hits = _earlier(mine, block_starts, all_runs, NARROW, buckets, hot(size // (2 * block)), window - 1, with_hash=False, back=True)
     near = mine.join(hits.select("doc_id", "places"), "doc_id").select("doc_id", "text_hash", "text", "places")
     near = table(near, "candidates", "zstd")
-    gone = _earlier(near, candidates, candidates, WIDE, buckets, hot(size // 2), buckets, with_hash=True, back=False)
+    gone = _earlier(near, candidates, candidates, WIDE, buckets, hot(size // 2), window - 1, with_hash=True, back=False)
     gone = near.drop("places").join(gone, ["doc_id", "text_hash"])
 
     def apply(batches):

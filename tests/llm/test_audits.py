@@ -217,3 +217,12 @@ def test_spelling_of_a_very_long_run(spark):
     docs = spark.createDataFrame([(1, f"{run} {run}"), (2, f"{run} " * 30), (3, f"{run[:5000]}z{run[5000:]} " * 2)], "doc_id long, text string")
     got = {len(r["word"]): (r["n"], r["n_near"], r["form_n"]) for r in spelling.spelling_variants(docs, noise=1 << 40).collect()}
     assert got == {100_000: (32, 1, None), 100_001: (2, 1, 32)}
+
+
+def test_repeats_of_a_text_in_segments(spark):
+    """Longer than a task gathers: hashed and asked for in segments."""
+    long = " ".join(f"u{i}" for i in range(2 * substrings.GATHER + 70_000))
+    docs = spark.createDataFrame([(1, long), (2, f"x y {long} z"), (3, "u" + long[-3000:])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substrings.repeats(docs).collect()}
+    assert set(got) == {2, 3} and got[2]["kept"] == "x y z" and got[2]["n_removed"] == 2 * substrings.GATHER + 70_000
+    assert got[3]["kept"] == ("u" + long[-3000:]).split()[0] and [tuple(s) for s in got[2]["spans"]] == [(2, 2 * substrings.GATHER + 70_002)]
