@@ -27,6 +27,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,12 +93,31 @@ class Gathered:
             self.left[GATHER:] = 0
 
 
+def _zipped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and text, compressed: texts that a join moves cost less."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3)
+        for part in slices(batches):
+            texts = [pack.compress(t) for t in part.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(texts, pa.binary())], names=["doc_id", "text_hash", "text"])
+
+    return docs.mapInArrow(run, "doc_id long, text_hash long, text binary")
+
+
+def _bytes(column: pa.Array) -> list[bytes]:
+    """Texts in UTF-8, of a column of texts or of compressed ones."""
+    if pa.types.is_binary(column.type):
+        return [zstandard.decompress(t) for t in column.to_pylist()]
+    return column.cast(pa.binary()).to_pylist()
+
+
 def _gathered(batches, least: int, overlap: int):
     """Gathered documents of some GATHER words: each once, if it has an id and least words or more."""
     arrays, docs, seen, n = WordArrays(), [], set(), 0
     for part in slices(batches):
         keys = zip(part.column(0).to_pylist(), part.column(1).to_pylist())
-        words = arrays.raw(part.column(2).cast(pa.binary()).to_pylist())
+        words = arrays.raw(_bytes(part.column(2)))
         extra = part.column(3).to_pylist() if part.num_columns > 3 else [None] * part.num_rows
         for key, w, x in zip(keys, words, extra):
             if key[0] is not None and len(w) >= least and key not in seen:
@@ -254,8 +274,11 @@ def _by_bucket(rows: DataFrame) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket", "kind")
 
 
-def _merged(rows: DataFrame, key_kind, hot_from: int) -> DataFrame:
-    """The index: rows as they came merged within their bucket, and the hot keys with their least documents."""
+def _merged(rows: DataFrame, key_kind, hot_from: int, back: bool) -> DataFrame:
+    """The index: rows as they came merged within their bucket, and the hot keys with their least documents.
+
+    Without ``back`` one entry a key is enough, and none of keys that one place has.
+    """
 
     def run(batches):
         index, bucket = _Index(), None
@@ -264,8 +287,11 @@ def _merged(rows: DataFrame, key_kind, hot_from: int) -> DataFrame:
             keys, docs, hashes, places, weights = index.settle()
             first = index.first[weights[index.first] >= hot_from]
             hot = [(bucket, 9, _planes(_flat(keys[first])), _planes(_steps(docs[first])), b"", _planes(np.zeros(len(first), np.int32)), None)] if len(first) else []
+            if not back:
+                some = index.first[weights[index.first] > 1]
+                keys, docs, hashes, places = keys[some], docs[some], hashes[some], places[some]
             order = np.lexsort((places, hashes, docs))
-            yield from _packed(INDEX, np.full(len(keys), bucket), *(x[order] for x in (keys, docs, hashes, places, weights)))
+            yield from _packed(INDEX, np.full(len(keys), bucket), *(x[order] for x in (keys, docs, hashes, places)))
             yield from _batches(hot, [pa.int32(), pa.int8(), *[pa.binary()] * 5], _COLUMNS)
 
         for batch in batches:
@@ -333,11 +359,12 @@ def _earlier(docs: DataFrame, index_of: Callable, probes_of: Callable, key_kind,
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
             for a, b in zip(cuts[:-1], cuts[1:]):
                 mine = order[a:b]
-                least = _least(keys[mine], ids[mine], hashes[mine], places[mine], np.ones(b - a, np.int64))
+                where = (hashes[mine], places[mine]) if back else (np.zeros(b - a, np.int64),) * 2
+                least = _least(keys[mine], ids[mine], *where, np.ones(b - a, np.int64))
                 by_doc = np.lexsort((least[3], least[2], least[1]))
                 yield from _packed(INDEX, np.full(len(by_doc), bucket[mine[0]]), *(x[by_doc] for x in least))
 
-    made = table(_merged(docs.mapInArrow(send_index, _DDL), key_kind, hot_from), "index", "zstd")
+    made = table(_merged(docs.mapInArrow(send_index, _DDL), key_kind, hot_from, back), "index", "zstd")
     hot = _Hot(made.filter("kind = 9").collect(), key_kind)  # SHARE keys at most
 
     def send_probes(batches):
@@ -351,9 +378,15 @@ def _earlier(docs: DataFrame, index_of: Callable, probes_of: Callable, key_kind,
             yield from _packed(PROBE, bucket[ask], keys[ask], ids[ask], hashes[ask], places[ask])
 
     def answer(batches):
-        index, used, bucket = _Index(), None, None
+        index, used, bucket, answers, n = _Index(), None, None, [], 0
+
+        def reply():
+            if answers:
+                yield from _homeward(*(np.concatenate(x) for x in zip(*answers)), buckets)
+                answers.clear()
 
         def end():
+            yield from reply()
             if not back or index.settle() is None:
                 return
             keys, ids, hashes, places, _ = index.least
@@ -366,19 +399,23 @@ def _earlier(docs: DataFrame, index_of: Callable, probes_of: Callable, key_kind,
             for row in batch.to_pylist():
                 if row["bucket"] != bucket:
                     yield from end()
-                    index, used, bucket = _Index(), None, row["bucket"]
-                keys, ids, hashes, places, weights = _unpacked(row, key_kind)
+                    index, used, bucket, n = _Index(), None, row["bucket"], 0
+                keys, ids, hashes, places, _ = _unpacked(row, key_kind)
                 if row["kind"] == INDEX:
-                    index.add((keys, ids, hashes, places, weights))
+                    index.add((keys, ids, hashes, places, np.zeros(len(keys), np.int64)))
                 elif row["kind"] == ANSWERED:
-                    yield from _homeward(ids, hashes, places, buckets)
+                    answers.append((ids, hashes, places))
                 elif index.settle() is not None:
                     found, at = index.find(keys)
                     found &= index.least[1][index.first[at]] < ids
                     if used is None:
                         used = np.zeros(len(index.keys), bool)
                     used[at[found]] = True
-                    yield from _homeward(ids[found], hashes[found], places[found], buckets)
+                    answers.append((ids[found], hashes[found], places[found]))
+                n += len(answers[-1][0]) if answers else 0
+                if n > HELD // 2:
+                    yield from reply()
+                    n = 0
         yield from end()
 
     rows = made.filter("kind = 0").unionByName(docs.mapInArrow(send_probes, _DDL))
@@ -506,7 +543,7 @@ def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
         return at, (run_hashes(found.words, window)[at], run_hashes(found.words, window, 0xA24BAED4963EE407)[at])
 
     hits = _earlier(mine, block_starts, all_runs, NARROW, buckets, hot(size // (2 * block)), window - 1, with_hash=False, back=True)
-    near = mine.join(hits.select("doc_id", "places"), "doc_id").select("doc_id", "text_hash", "text", "places")
+    near = _zipped(mine.filter("doc_id is not null")).join(hits.select("doc_id", "places"), "doc_id").select("doc_id", "text_hash", "text", "places")
     near = table(near, "candidates", "zstd")
     gone = _earlier(near, candidates, candidates, WIDE, buckets, hot(size // 2), window - 1, with_hash=True, back=False)
     gone = near.drop("places").join(gone, ["doc_id", "text_hash"])
@@ -514,7 +551,7 @@ def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     def apply(batches):
         for batch in slices(batches):
             rows = []
-            for doc_id, text_hash, text, packed in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
+            for doc_id, text_hash, text, packed in zip(*(batch.column(i).to_pylist() for i in (0, 1)), _bytes(batch.column(2)), batch.column(3).to_pylist()):
                 starts, ends = _word_spans(text)
                 places = _places(packed)
                 first = np.flatnonzero(np.diff(places, prepend=-window - 1) > window)
