@@ -35,7 +35,7 @@ from larder.llm.common import slices, table
 from larder.llm.wordhash import WordArrays
 
 #: Words of which a task gathers the keys before it sends them; bytes of text that a bucket is meant for.
-GATHER, BUCKET = 1 << 20, 128 << 20
+GATHER, BUCKET = 1 << 19, 128 << 20
 #: There are no more hot keys than this; a key is hot from so many places.
 SHARE, HOT = 4096, 200
 #: Entries of a packed row, and those that a task holds before it merges them.
