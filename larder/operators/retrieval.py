@@ -176,33 +176,92 @@ def cosine(a: Column, b: Column) -> Column:
     return d(a, b) / (norm(a) * norm(b))
 
 
+def _unit(query: list[float]):
+    import numpy as np
+
+    q = np.asarray(query, dtype=np.float64)
+    return q / (np.linalg.norm(q) or 1.0)
+
+
+def _similar(lists, q):
+    """Cosine similarities of a column of arrays to a unit vector, and which arrays have its dimension."""
+    import numpy as np
+
+    offsets = lists.offsets.to_numpy()
+    fits = (np.diff(offsets) == len(q)) & lists.is_valid().to_numpy(zero_copy_only=False)
+    sim, ok = np.zeros(len(lists)), np.flatnonzero(fits)
+    if len(ok):
+        flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
+        rows = flat[offsets[ok][:, None] + np.arange(len(q))]
+        norm = np.linalg.norm(rows, axis=1)
+        sim[ok] = rows @ q / np.where(norm == 0, 1, norm)
+    return sim, fits
+
+
 def similarities(vectors: DataFrame, query: list[float], column: str = "embedding") -> DataFrame:
     """vectors with sim, their cosine similarity to the query: numpy over Arrow batches, no shuffle."""
-    import numpy as np
     import pyarrow as pa
 
-    q = np.asarray(query, dtype=np.float64)
-    q = q / (np.linalg.norm(q) or 1.0)
+    q = _unit(query)
     at, rest = vectors.columns.index(column), [n for n in vectors.columns if n != column]
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(at)
-            sim = np.zeros(batch.num_rows)
-            sizes = np.diff(lists.offsets.to_numpy())
-            ok = np.flatnonzero(sizes == len(q))
-            if len(ok):
-                flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                rows = flat[lists.offsets.to_numpy()[ok][:, None] + np.arange(len(q))]
-                norm = np.linalg.norm(rows, axis=1)
-                sim[ok] = rows @ q / np.where(norm == 0, 1, norm)
+            sim, fits = _similar(batch.column(at), q)
             out = [c for i, c in enumerate(batch.columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(sim, mask=sizes != len(q))], names=[*rest, "sim"])
+            yield pa.RecordBatch.from_arrays([*out, pa.array(sim, mask=~fits)], names=[*rest, "sim"])
 
     kinds = ", ".join(f"`{k}` {v}" for k, v in vectors.dtypes if k != column)
     return vectors.mapInArrow(run, f"{kinds}, sim double")
 
 
+class Nearest:
+    """The nearest keys that a task has seen so far, each with its best similarity and the chunk that has it.
+
+    A key among the ``limit`` best of all is among them in the task that has its best chunk: what is ahead of it there is
+    ahead of it everywhere.  So a task need send no more rows than that.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.held = limit, None
+
+    def add(self, keys, chunks, sim) -> None:
+        """Arrow arrays of keys and chunks, a numpy array of their similarities."""
+        import numpy as np
+        import pyarrow as pa
+
+        keep = ~np.isnan(sim)
+        if self.held is not None and len(self.held) == self.limit:
+            keep &= sim >= self.held["sim"][-1].as_py()
+        some = pa.array(np.flatnonzero(keep))
+        if not len(some):
+            return
+        rows = pa.table({"key": keys.take(some), "sim": pa.array(sim[keep]), "chunk": chunks.take(some)})
+        rows = (rows if self.held is None else pa.concat_tables([self.held, rows])).sort_by([("sim", "descending"), ("chunk", "ascending")])
+        of_key = rows["key"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        self.held = rows.take(pa.array(np.unique(of_key, return_index=True)[1])).sort_by([("sim", "descending"), ("key", "ascending")]).slice(0, self.limit).combine_chunks()
+
+    def batches(self):
+        return [] if self.held is None else self.held.to_batches()
+
+
+def nearest_in_tasks(vectors: DataFrame, key: str, chunk: str, query: list[float], limit: int, column: str = "embedding") -> DataFrame:
+    """(key, sim, chunk) of the nearest documents of each task, ``limit`` rows a task at most."""
+    q, kinds = _unit(query), dict(vectors.dtypes)
+
+    def run(batches):
+        import numpy as np
+
+        best = Nearest(limit)
+        for batch in batches:
+            sim, fits = _similar(batch.column(2), q)
+            best.add(batch.column(0), batch.column(1), np.where(fits, sim, np.nan))
+        yield from best.batches()
+
+    out = vectors.select(key, chunk, column).mapInArrow(run, f"key {kinds[key]}, sim double, chunk {kinds[chunk]}")
+    return out.withColumnsRenamed({"key": key, "chunk": chunk})
+
+
 def best_chunk(sims: DataFrame, key: str, chunk: str) -> DataFrame:
     """Best similarity of each document, and the chunk that has it (ties: the smaller chunk)."""
     best = F.max(F.struct(F.col("sim"), (-F.col(chunk)).alias("c")))
@@ -210,9 +269,12 @@ def best_chunk(sims: DataFrame, key: str, chunk: str) -> DataFrame:
 
 
 def vector_search(vectors: DataFrame, key: str, chunk: str, query: list[float], limit: int = DEPTH, allowed: DataFrame | None = None) -> DataFrame:
-    """(key, sim, chunk) of the nearest documents; allowed documents are picked before they are ranked."""
+    """(key, sim, chunk) of the nearest documents; allowed documents are picked before they are ranked.
+
+    Vectors of another dimension, or not of numbers, are near to nothing.
+    """
     rows = vectors if allowed is None else vectors.join(allowed.select(key), key, "left_semi")
-    return best_chunk(similarities(rows.select(key, chunk, "embedding"), query), key, chunk).orderBy(F.desc("sim"), F.asc(key)).limit(limit)
+    return best_chunk(nearest_in_tasks(rows, key, chunk, query, limit), key, chunk).orderBy(F.desc("sim"), F.asc(key)).limit(limit)
 
 
 def ranked(hits: DataFrame, key: str, score: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from larder.session import settled
+
 
 def tier_stats(attempts: DataFrame, order: list[str]) -> DataFrame:
     """By tier: attempts, wins, skips, ran, success_rate (null if none ran), avg_ms (whole; null for none or zero), tier_rank."""
@@ -62,6 +64,43 @@ def nearest_rank_by_window(df: DataFrame, groups: list[str], value: str, share:
     return ranked.filter(F.col("_r") == at).select(*groups, F.col(value).alias("picked"))
 
 
+def nearest_rank_by_refinement(df: DataFrame, groups: list[str], value: str, share: float, bins: int = 1024, held: int = 10_000) -> DataFrame:
+    """The same pick for groups of any size, without sorting them: (groups, picked).
+
+    A group's range of values is cut into bins, the rows are counted by bin inside the tasks, and the bin with the wanted
+    rank is the next range, from its least to its greatest value.  A range that holds ``held`` rows or fewer, or one value,
+    is picked from directly.  Nulls and NaN are left out.
+    """
+    v = F.col("_v")
+    rows = df.select(*groups, F.col(value).alias("_v")).filter(v.isNotNull() & ~F.isnan(v.cast("double")))
+    n = F.count("*")
+    state = settled(rows.groupBy(*groups).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), n.alias("n"), (F.least(F.floor(n * F.lit(share)), n - 1) + 1).alias("rank")), "ranks")
+    width = F.col("hi").cast("double") - F.col("lo").cast("double")
+    wide = (F.col("n") > held) & (width > 0) & (width < float("inf"))
+    same = lambda a, b: F.lit(True) if not groups else _all([a[g].eqNullSafe(b[g]) for g in groups])
+    while state.filter(wide).limit(1).count():  # each round makes a range some ``bins`` times as narrow
+        ranges = state.filter(wide)
+        within = rows.join(ranges, same(rows, ranges)).filter(v.between(F.col("lo"), F.col("hi"))).select(*[ranges[g] for g in groups], "_v", "lo", "hi", "rank")
+        at = F.least(F.floor((v.cast("double") - F.col("lo").cast("double")) / width * bins), F.lit(bins - 1))
+        counts = within.groupBy(*groups, at.alias("bin")).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), n.alias("n"), F.first("rank").alias("rank"))
+        upto = F.sum("n").over(Window.partitionBy(*groups).orderBy("bin"))
+        found = counts.withColumn("_upto", upto).filter((F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col("n")))
+        found = found.select(*groups, "lo", "hi", "n", (F.col("rank") - F.col("_upto") + F.col("n")).alias("rank"))
+        state = settled(state.filter(~wide).unionByName(found), "ranks")
+    one = state.filter("lo = hi").select(*groups, F.col("lo").alias("picked"))
+    few = state.filter("lo <> hi")
+    left = rows.join(few, same(rows, few)).filter(v.between(F.col("lo"), F.col("hi"))).select(*[few[g] for g in groups], "_v", "rank")
+    left = left.withColumn("_r", F.row_number().over(Window.partitionBy(*groups).orderBy("_v"))).filter("_r = rank")
+    return one.unionByName(left.select(*groups, F.col("_v").alias("picked")))
+
+
+def _all(tests: list[Column]) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out & t
+    return out
+
+
 def run_summary(items: DataFrame, groups: list[str], success: str, measures: list[str]) -> DataFrame:
     """Items, successes, rate in percent and means over all items (also those without a measure)."""
     n = F.count("*")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.session import spread
+from larder.session import shared_folder, spread  # noqa: F401  the queries find it here
 
 
 @dataclass(frozen=True)
@@ -49,11 +49,3 @@ def bm25_sql(source: str, key: str, fields: dict[str, tuple[str, float]], terms:
         tf AS (SELECT {key}, ({dl})::DOUBLE AS dl, {freq} FROM toks),
         st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl, {df} FROM tf),
         scored AS (SELECT {key}, {score} AS score FROM tf, st WHERE {some})"""
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A folder for what a query writes: in the shared folder that the session names, else (local tests only) below /tmp."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return (root or "file:///tmp/larder-shared").rstrip("/") + "/larder"

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larder.operators import retrieval as R
-from larder.plans.common import Query, bm25_sql, read, texts
+from larder.operators import vectors as V
+from larder.plans.common import Query, bm25_sql, read, shared_folder, texts
 
 #: The battery: common word parts of the synthetic corpus, and a word that queries drop.
 TEXT = "thing thnd erre "
@@ -103,6 +106,32 @@ def vector_signatures(spark, d):
     return v.groupBy("model", "dim").agg(F.count("*").alias("vectors"))
 
 
+def _stored_vectors(spark, d):
+    """The embeddings of two models written as blocks; where they are."""
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("chunk"), F.concat(F.lit("model-"), (F.col("label") % 2).cast("string")).alias("model"), "embedding")
+    V.write_blocks(v, path, "doc_id", "chunk")
+    return path
+
+
+def vector_blocks(spark, d):
+    """The nearest vectors of one of two stored models: the scan reads that model's folder only."""
+    q = _query(spark, d)
+    blocks = V.read_blocks(spark, _stored_vectors(spark, d), "model-0", len(q), "bigint")
+    return _ranked(V.search_blocks(blocks, q, 25, "doc_id"), "sim")
+
+
+def vector_blocks_filtered(spark, d):
+    """The same among the documents of good quality."""
+    q = _query(spark, d)
+    blocks = V.read_blocks(spark, _stored_vectors(spark, d), "model-1", len(q), "bigint")
+    return _ranked(V.search_blocks(blocks, q, 25, "doc_id", allowed=_good(spark, d)), "sim")
+
+
+def stored_signatures(spark, d):
+    return V.signatures(spark, _stored_vectors(spark, d), "bigint")
+
+
 def _legs(spark, d, kw=R.KEYWORD_WEIGHT, vec=R.VECTOR_WEIGHT):
     k = R.ranked(R.bm25(_docs(spark, d), "doc_id", TERMS, BODY), "doc_id", "score")
     v = R.ranked(R.vector_search(_vectors(spark, d), "doc_id", "chunk", _query(spark, d)), "doc_id", "sim")
@@ -195,6 +224,9 @@ QUERIES = [
         SELECT doc_id, round(sim, 6) AS sim, chunk FROM b WHERE r = 1 ORDER BY b.sim DESC, doc_id LIMIT 20"""),
     Query("vector_filtered", vector_filtered, f"WITH {_SIMS} SELECT doc_id, round(sim, 6) AS sim, row_number() OVER (ORDER BY sim DESC, doc_id) AS rank FROM sims WHERE label = 3 QUALIFY rank <= 20"),
     Query("vector_signatures", vector_signatures, "SELECT 'model-' || (label % 2) AS model, len(embedding)::INTEGER AS dim, count(*) AS vectors FROM embeddings GROUP BY 1, 2"),
+    Query("vector_blocks", vector_blocks, f"WITH {_SIMS} SELECT doc_id, round(sim, 6) AS sim, row_number() OVER (ORDER BY sim DESC, doc_id) AS rank FROM sims WHERE label % 2 = 0 QUALIFY rank <= 25"),
+    Query("vector_blocks_filtered", vector_blocks_filtered, f"WITH {_SIMS} SELECT doc_id, round(sim, 6) AS sim, row_number() OVER (ORDER BY sim DESC, doc_id) AS rank FROM sims WHERE label % 2 = 1 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) QUALIFY rank <= 25"),
+    Query("stored_signatures", stored_signatures, "SELECT 'model-' || (label % 2) AS model, len(embedding)::INTEGER AS dim, count(*) AS vectors FROM embeddings GROUP BY 1, 2"),
     Query("rrf_hybrid", rrf_hybrid, f"""{_HYBRID}, near AS (SELECT doc_id, sim, row_number() OVER (ORDER BY sim DESC, doc_id) AS r FROM sims)
         SELECT position, p.doc_id AS doc_id, round(p.score, 6) AS score, keyword_rank, vector_rank, round(near.sim, 6) AS sim, lang, source
         FROM p JOIN documents USING (doc_id) LEFT JOIN near ON near.doc_id = p.doc_id AND near.r <= 150 WHERE position <= 10"""),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from larder.functions import pricing
 from larder.operators import governor as G
@@ -90,7 +89,7 @@ def bench_mode(spark, d):
 
 
 def bench_p95(spark, d):
-    return T.nearest_rank_by_window(_bench(spark, d), ["run"], "total_ms", 0.95).select("run", F.round("picked", 6).alias("p95_ms"))
+    return T.nearest_rank_by_refinement(_bench(spark, d), ["run"], "total_ms", 0.95).select("run", F.round("picked", 6).alias("p95_ms"))
 
 
 def bench_median(spark, d):
@@ -139,8 +138,31 @@ def error_counts(spark, d):
 
 
 def lifetime_counters(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return read(spark, d, "events").select("event_id", F.count("*").over(w).alias("requests"), F.round(F.sum("value").over(w), 4).alias("tokens"))
+    out = G.lifetime_counters(read(spark, d, "events").select("event_id", "user_id", "ts", "value"), "user_id", ["ts", "event_id"], F.col("value"))
+    return out.select("event_id", "requests", F.round("tokens", 4).alias("tokens"))
+
+
+def _one_service(spark, d):
+    """All events as those of one service: a key with every row."""
+    return read(spark, d, "events").select("event_id", "event_type", "ts", "value", F.lit("one").alias("service"))
+
+
+def hot_service(spark, d):
+    """Windows, counters and failure runs of a service that has all events."""
+    e = _one_service(spark, d)
+    windows = G.window_metrics(e, "service", "ts", F.floor("value").cast("bigint")).select("event_id", "rpm", F.col("tpm").cast("bigint").alias("tpm"), "rpd", F.col("tpd").cast("bigint").alias("tpd"))
+    totals = G.lifetime_counters(e, "service", ["ts", "event_id"], F.floor("value").cast("bigint")).select("event_id", "requests", "tokens")
+    failed = G.failure_runs(e, "service", ["ts", "event_id"], F.col("event_type") == "error").select("event_id", "in_a_row")
+    return windows.join(totals, "event_id").join(failed, "event_id")
+
+
+def hot_percentiles(spark, d):
+    """Exact percentiles of all events as one group."""
+    out = None
+    for share in (0.05, 0.5, 0.95, 0.999):
+        one = T.nearest_rank_by_refinement(_one_service(spark, d), ["service"], "value", share, held=100).select(F.lit(share).alias("share"), F.round("picked", 6).alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def backoff_runs(spark, d):
@@ -249,6 +271,16 @@ QUERIES = [
         r AS (SELECT event_id, event_type, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS in_a_row FROM g)
         SELECT event_id, in_a_row, least(15.0 * pow(2, least(in_a_row - 1, 4)), 90.0) AS cooldown_s FROM r WHERE in_a_row > 0"""),
     Query("rate_limit", rate_limit),
+    Query("hot_service", hot_service, """
+        WITH e AS (SELECT *, floor(value)::BIGINT AS t, event_type = 'error' AS failed FROM events),
+        g AS (SELECT *, sum((NOT failed)::INT) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM e)
+        SELECT event_id, count(*) OVER m AS rpm, (sum(greatest(t, 0)) OVER m)::BIGINT AS tpm, count(*) OVER d AS rpd, (sum(greatest(t, 0)) OVER d)::BIGINT AS tpd,
+               count(*) OVER l AS requests, (sum(t) OVER l)::BIGINT AS tokens, (sum(failed::INT) OVER (PARTITION BY g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS in_a_row
+        FROM g WINDOW m AS (ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW), d AS (ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW),
+               l AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"""),
+    Query("hot_percentiles", hot_percentiles, """
+        WITH r AS (SELECT value, row_number() OVER (ORDER BY value) AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL)
+        SELECT share::DOUBLE AS share, round(value, 6) AS value FROM r, (VALUES (0.05), (0.5), (0.95), (0.999)) s(share) WHERE i = least(floor(n * share::DOUBLE), n - 1) + 1"""),
     Query("job_states", job_states, "SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'ready' ELSE 'running' END AS status FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
     Query("interrupted_jobs", interrupted_jobs, """
         WITH j AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'ready' ELSE 'running' END AS status FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)

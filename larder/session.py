@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that hold at any scale; a cluster's own settings win over them.
@@ -32,3 +34,18 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder for what an operator or query writes: in the shared folder that the session names, else (local tests only) below /tmp."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (root or "file:///tmp/larder-shared").rstrip("/") + "/larder"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: it is computed once, its size is known, and its lineage ends."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
