@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from larder.operators import html as HT
@@ -214,25 +215,41 @@ def stream_window(spark, d):
 
 
 def stream_ingest(spark, d):
-    """Pages arrive as a stream; each batch is parsed, indexed and its jobs' states recorded."""
+    """Pages arrive as a stream; each batch is parsed, indexed and its jobs' states recorded.  The stream breaks off between the
+    two writes of its first batch and starts again: each page is there once.
+    """
     root, pages = _paths(spark, d), read(spark, d, "pages")
-    pages.write.parquet(f"{root}/in")
+    pages.repartition(6).write.parquet(f"{root}/in")
     stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
-    index = lambda df: df.write.mode("append").parquet(f"{root}/index")
-    ST.ingest(stream, lambda b: HT.parse_pages(b, "page_id").select("page_id", "title"), index, f"{root}/states", f"{root}/cp", "page_id").awaitTermination()
+
+    def break_off(number):
+        raise RuntimeError("the process ends here")
+
+    def start(done=None):
+        return ST.ingest(stream, lambda b: HT.parse_pages(b, "page_id").select("page_id", "title"), lambda df, n: ST.put_batch(df, f"{root}/index", n), f"{root}/states", f"{root}/cp", "page_id", done)
+
+    try:
+        start(break_off).awaitTermination()
+    except StreamingQueryException:
+        start().awaitTermination()
     states = ST.job_states(spark.read.parquet(f"{root}/states"), "page_id")
     return states.join(spark.read.parquet(f"{root}/index"), "page_id").select("page_id", "status", "title")
 
 
 def stream_rate_limit(spark, d):
-    """The limiter as a stateful stream; the same answers as its batch twin."""
-    root, events = _paths(spark, d), read(spark, d, "events")
+    """The limiter as a stateful stream; the same answers as its batch twin.
+
+    A last file with one call of nobody, years later, moves the watermark past all others.
+    """
+    root, events = _paths(spark, d), read(spark, d, "events").select("user_id", "ts", "event_id")
     events.coalesce(1).write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
-    out = ST.rate_limiter(stream, "user_id", "ts", "event_id", 2, 86_400)
+    last = events.limit(1).select(F.lit(None).cast("long").alias("user_id"), F.expr("ts + INTERVAL 3650 DAYS").cast(events.schema["ts"].dataType).alias("ts"), F.lit(-1).cast("long").alias("event_id"))
+    last.write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    out = ST.rate_limiter(stream, "user_id", "ts", "event_id", 2, 86_400, slice_s=86_400)
     q = out.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/out").select(F.col("caller").alias("user_id"), F.col("ord").alias("event_id"), "allowed")
+    return spark.read.parquet(f"{root}/out").filter("ord >= 0").select(F.col("caller").alias("user_id"), F.col("ord").alias("event_id"), "allowed")
 
 
 _TITLE = "trim(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&'))"

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 
 def windowed_counts(events: DataFrame, ts: str, key: str, value: str, width: str = "60 seconds", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -16,57 +16,136 @@ def windowed_counts(events: DataFrame, ts: str, key: str, value: str, width: str
     return out.groupBy(w.alias("w"), key).agg(F.count("*").alias("requests"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), key, "requests", "total")
 
 
-def rate_limiter(events: DataFrame, caller: str, ts: str, order: str, limit: int, window_s: int = 3600, late: str = "1 hour") -> DataFrame:
-    """(caller, order, allowed) of a stream: refused calls do not count.  The state of a caller is the times
-    of its passed calls within the window, ``limit`` at most; it ends when the watermark has left them behind."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+#: Keeps lists, maps and timers of stateful processors on the executors' disks.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    rows = events.select(F.col(caller).alias("caller"), F.col(ts).cast("timestamp").alias("ts"), F.col(order).cast("long").alias("ord")).withWatermark("ts", late)
-    rows = rows.select("caller", "ts", F.unix_micros("ts").alias("at"), "ord")
 
-    def run(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        passed = json.loads(state.get[0]) if state.exists else []
-        frame = pd.concat(list(batches)).sort_values(["at", "ord"])
-        out = []
-        for at in frame["at"].tolist():
-            passed = [p for p in passed if p >= at - window_s * 1_000_000]
-            out.append(len(passed) < limit)
-            if out[-1]:
-                passed.append(at)
-        state.update((json.dumps(passed),))
-        ends = (passed[-1] if passed else 0) // 1000 + window_s * 1000
-        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({"caller": key[0], "ord": frame["ord"].to_numpy(), "allowed": out})
+class Limiter(StatefulProcessor):
+    """Answers the calls of a caller in the order of their times, whatever order and batches they come in.
+
+    Calls wait in the state, in slices of time, until the watermark has passed their slice; a timer then takes the slices one
+    after the other.  So what a task holds is one slice of one caller and the times of ``limit`` calls, and neither a
+    batch nor a caller's history.
+    """
 
+    def __init__(self, limit: int, window_s: int, slice_s: int):
+        self.limit, self.window, self.slice = limit, window_s * 1_000_000, slice_s * 1_000_000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "slice bigint, part int", "times binary, orders binary")
+        self.parts = handle.getMapState("parts", "slice bigint", "parts int")
+        self.passed = handle.getListState("passed", "at bigint")
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def _wake(self, ms: int) -> None:
+        """One timer a caller, for its first slice that is not over."""
+        old = self.timer.get()[0] if self.timer.exists() else None
+        if old is None or ms < old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
+
+    def _end_ms(self, number: int) -> int:
+        return (number + 1) * self.slice // 1000
+
+    def handleInputRows(self, key, rows, timerValues):
+        import numpy as np
+
+        first = None
+        for frame in rows:
+            at, order = frame["at"].to_numpy(np.int64), frame["ord"].to_numpy(np.int64)
+            numbers = at // self.slice
+            for number in np.unique(numbers).tolist():
+                mine, part = numbers == number, 0
+                if self.parts.containsKey((number,)):
+                    part = self.parts.getValue((number,))[0]
+                self.waiting.updateValue((number, part), (at[mine].tobytes(), order[mine].tobytes()))
+                self.parts.updateValue((number,), (part + 1,))
+                first = number if first is None else min(first, number)
+        if first is not None:
+            self._wake(max(self._end_ms(first), timerValues.getCurrentWatermarkInMs() + 1))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import collections
+
+        import numpy as np
+        import pandas as pd
+
+        self.timer.clear()
+        over = timerValues.getCurrentWatermarkInMs()
+        numbers = sorted(k[0] for k in self.parts.keys())
+        passed = collections.deque(p[0] for p in self.passed.get())
+        for number in [n for n in numbers if self._end_ms(n) <= over]:
+            kept = [self.waiting.getValue((number, i)) for i in range(self.parts.getValue((number,))[0])]
+            at, order = (np.frombuffer(b"".join(bytes(k[i]) for k in kept), np.int64) for i in (0, 1))
+            by_time = np.lexsort((order, at))
+            allowed = []
+            for t in at[by_time].tolist():
+                while passed and passed[0] < t - self.window:
+                    passed.popleft()
+                allowed.append(len(passed) < self.limit)
+                if allowed[-1]:
+                    passed.append(t)
+            for i in range(len(kept)):
+                self.waiting.removeKey((number, i))
+            self.parts.removeKey((number,))
+            yield pd.DataFrame({"caller": [key[0]] * len(at), "ord": order[by_time], "allowed": allowed})
+        live = [(p,) for p in passed if p >= over * 1000 - self.slice - self.window]  # a slice that is not over may have begun before
+        self.passed.put(live) if live else self.passed.clear()
+        later = [n for n in numbers if self._end_ms(n) > over]
+        if later:
+            self._wake(self._end_ms(later[0]))
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limiter(events: DataFrame, caller: str, ts: str, order: str, limit: int, window_s: int = 3600, late: str = "1 hour", slice_s: int = 600) -> DataFrame:
+    """(caller, order, allowed) of a stream: a call passes if fewer than ``limit`` passed in the window before it.
+
+    Refused calls do not count.  An answer comes when the watermark has passed the call's slice of time, so calls that are
+    late by no more than ``late`` are answered in their place, and the answers are those of the batch operator.  Calls without a
+    time are left out.  The state store must be RocksDB; the session is set to it.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = events.select(F.col(caller).alias("caller"), F.col(ts).cast("timestamp").alias("ts"), F.col(order).cast("long").alias("ord")).filter("ts IS NOT NULL").withWatermark("ts", late)
+    rows = rows.select("caller", "ts", F.unix_micros("ts").alias("at"), "ord")
     kind = dict(rows.dtypes)["caller"]
-    return rows.groupBy("caller").applyInPandasWithState(run, f"caller {kind}, ord long, allowed boolean", "passed string", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("caller").transformWithStateInPandas(Limiter(limit, window_s, slice_s), f"caller {kind}, ord long, allowed boolean", "Append", "EventTime")
+
+
+def put_batch(df: DataFrame, path: str, number: int) -> None:
+    """Writes a micro-batch's rows as that batch's: a batch that is run again replaces what its first run has left."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
 
-def ingest(requests: DataFrame, extract: Callable[[DataFrame], DataFrame], index: Callable[[DataFrame], None], status_path: str, checkpoint: str, key: str = "url"):
-    """Runs each micro-batch through extract and index and appends its jobs' states.
+def ingest(requests: DataFrame, extract: Callable[[DataFrame], DataFrame], index: Callable[[DataFrame, int], None], status_path: str, checkpoint: str, key: str = "url", done: Callable[[int], None] | None = None):
+    """Runs each micro-batch through extract and index and records its jobs' states, each batch's in a folder of its own.
 
-    A batch is written as running before and as ready or failed after; a batch that a restart
-    runs again writes its states again, the newest counts (see job_states).
+    A batch is written as running before and as ready or failed after.  A stream that ends anywhere in a batch runs that
+    batch again: its states begin anew, and index gets the batch's number, so that it can replace what it wrote
+    (see put_batch).  done: called with the number when a batch's rows are indexed, before its jobs are ready.
     """
 
-    def say(batch: DataFrame, number: int, status: str, error: str | None) -> None:
-        rows = batch.select(key, F.lit(number).alias("batch"), F.lit(status).alias("status"), F.lit(error).cast("string").alias("error"), F.current_timestamp().alias("at"))
-        rows.write.mode("append").parquet(status_path)
+    def say(batch: DataFrame, number: int, status: str, error: str | None, mode: str) -> None:
+        rows = batch.select(key, F.lit(status).alias("status"), F.lit(error).cast("string").alias("error"), F.current_timestamp().alias("at"))
+        rows.write.mode(mode).parquet(f"{status_path}/batch={number}")
 
     def run(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            say(batch, number, "running", None)
+            say(batch, number, "running", None, "overwrite")
             try:
-                index(extract(batch))
+                index(extract(batch), number)
             except Exception as e:  # the job's state holds the error; the stream goes on
-                say(batch, number, "failed", str(e)[:500])
+                say(batch, number, "failed", str(e)[:500], "append")
             else:
-                say(batch, number, "ready", None)
+                if done:
+                    done(number)
+                say(batch, number, "ready", None, "append")
         finally:
             batch.unpersist()
 
