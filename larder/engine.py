@@ -75,6 +75,15 @@ class Answer:
     vector_available: bool
 
 
+def _one_a_page(found: DataFrame) -> DataFrame:
+    """One row of the addresses of each page: the first address, and each input from the first address that has it.
+
+    Addresses go by their text, equal ones by their inputs' hash, so the result says nothing of how the rows were dealt.
+    """
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("url", F.xxhash64(c)))).alias(c)
+    return found.groupBy("url_hash").agg(F.min("url").alias("url"), *[first(c) for c in found.columns if c not in ("url", "url_hash")]).select(*found.columns)
+
+
 class Library:
     def __init__(self, spark: SparkSession, path: str, options: Options | None = None):
         self.spark, self.path, self.options = spark, path.rstrip("/"), options or Options()
@@ -114,7 +123,7 @@ class Library:
     def add(self, pages: DataFrame, force: bool = False, retry_degraded: bool = True) -> DataFrame:
         """Extracts pages(url and any of INPUTS) that are not known yet (or degraded); the new envelopes."""
         have = [F.col(c) if c in pages.columns else F.lit(None).cast("string").alias(c) for c in INPUTS]
-        found = U.with_canonical(pages.select("url", *have)).filter("url_hash IS NOT NULL").dropDuplicates(["url_hash"])
+        found = _one_a_page(U.with_canonical(pages.select("url", *have)).filter("url_hash IS NOT NULL"))
         if not force:
             stored = self.envelopes.read().select("url_hash", "degraded")
             found = M.not_cached(found, stored, "url_hash", retry_degraded)

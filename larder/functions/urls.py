@@ -214,8 +214,8 @@ def with_canonical(df, column: str = "url", follow: bool = True):
 
 
 def resolve_redirects(df, redirects, column: str = "url"):
-    """df with short addresses replaced by their targets in redirects(short, target); others stay."""
-    known = redirects.select(F.col("short").alias("_short"), F.col("target").alias("_target")).dropDuplicates(["_short"])
+    """df with short addresses replaced by their targets in redirects(short, target); others stay.  Of several targets the first in text order."""
+    known = redirects.groupBy(F.col("short").alias("_short")).agg(F.min("target").alias("_target"))
     joined = df.join(known, F.col(column) == F.col("_short"), "left")
     return joined.withColumn(column, F.coalesce("_target", column)).drop("_short", "_target")
 

@@ -46,6 +46,22 @@ def compile_query(text: str, prefix_last: bool = True) -> list[tuple[str, bool]]
     return terms
 
 
+def compile_queries(queries: DataFrame, key: str, column: str, prefix_last: bool = True) -> DataFrame:
+    """(key, ordinal, term, is_prefix) of many queries: compile_query for a column of texts, in expressions."""
+    q, length = F.coalesce(F.col(column), F.lit("")), F.length
+    found = F.filter(F.split(F.lower(q), r"(?U)[^\w]+"), lambda w: w != "")
+    rows = queries.select(key, found.alias("_f"), (F.lit(prefix_last) & q.rlike(r"(?U)\w\z")).alias("_typing"))
+    whole = F.when(F.col("_typing"), F.slice("_f", F.lit(1), F.size("_f") - 1)).otherwise(F.col("_f"))
+    rows = rows.select(key, "_typing", F.when(F.col("_typing"), F.element_at("_f", -1)).alias("_part"), F.filter(whole, lambda w: length(w) > 1).alias("_whole"))
+    rows = rows.withColumn("_kept", F.filter("_whole", lambda w: ~w.isin(*QUERY_STOPWORDS)))
+    none = F.size("_kept") == 0
+    terms = F.when(none & ~F.col("_typing"), F.col("_whole")).otherwise(F.col("_kept"))
+    last = F.col("_typing") & ((length("_part") > 1) | none)
+    as_terms = lambda words, prefix: F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(prefix).alias("is_prefix")))
+    both = F.concat(as_terms(terms, False), as_terms(F.when(last, F.array("_part")).otherwise(F.array().cast("array<string>")), True))
+    return rows.select(key, F.posexplode(both).alias("ordinal", "t")).select(key, "ordinal", "t.term", "t.is_prefix")
+
+
 def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
     """(key, field, token, pos) of every token; the index table, best stored sorted by token."""
     parts = [docs.select(key, F.lit(name).alias("field"), F.posexplode(index_tokens(F.coalesce(F.col(name), F.lit("")))).alias("pos", "token")) for name in fields]

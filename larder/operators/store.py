@@ -229,3 +229,8 @@ def write_report_csv(df: DataFrame, path: str, passed: str = "success") -> None:
 
 def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
+
+
+def overwrite_text(spark, text: str, folder: str) -> None:
+    """Writes one text as the only file of a folder."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(folder)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larder.plans import extract, retrieval, service, store, telemetry, text
+from larder.plans import cases, extract, retrieval, service, store, telemetry, text
 
-ALL = [q for module in (retrieval, telemetry, text, store, extract, service) for q in module.QUERIES]
+ALL = [q for module in (retrieval, telemetry, text, store, extract, service, cases) for q in module.QUERIES]
 
 
 def queries() -> dict:

@@ -102,20 +102,6 @@ def client_shapes(spark, d):
     return out.select("page_id", title.alias("title"), "caption", "like_count", "media_kind", "extractor_note")
 
 
-_VTT = "WEBVTT\nKind: captions\n\n1\n00:00.000 --> 00:02.000\nhello <b>there</b> friends\nhello there\n\n2\n00:02.000 --> 00:03.000\nhow are you\nhow are you\n"
-
-
-def subtitle_flatten(spark, d):
-    event = lambda t: {"segs": [{"utf8": t}]}
-    rows = [(1, _VTT, "vtt"), (2, json.dumps({"events": [event("one two three "), event("two"), event("and then\nfour five six")]}), "json3"), (3, "short", "vtt")]
-    return spark.createDataFrame(rows, "id int, body string, ext string").select("id", P.subtitle_text(F.col("body"), F.col("ext")).alias("text"))
-
-
-def subtitle_choice(spark, d):
-    rows = [(1, 0, "de", "vtt", "a"), (1, 1, "en-GB", "ttml", "b"), (1, 2, "en-GB", "vtt", "c"), (1, 3, "en-X", "json3", "d"), (2, 0, "fr", "srt", "e"), (2, 1, "fr", "vtt", "f")]
-    return P.subtitle_choice(spark.createDataFrame(rows, "id int, position int, language string, ext string, url string"), "id").select("id", "language", "ext", "url")
-
-
 def json_flatten(spark, d):
     """Event properties inside a nested answer, flattened."""
     body = F.concat(F.lit('{"Outer": {"list": [{"deep": '), F.col("props"), F.lit('}], "k": 1}, "Tags": ["a", "b"]}'))
@@ -134,66 +120,6 @@ def pick_alias(spark, d):
     return read(spark, d, "events").select("event_id", P.pick(m, *P.ALIASES["title"]).alias("title"))
 
 
-_PAYLOAD = json.dumps({"username": "@ann", "profile_url": "https://i.org/ann", "caption": "Pasta #Git #git", "thumbnail": "https://i.org/t.jpg", "video_url": "https://i.org/v.mp4", "duration": 31.5, "taken_at": 1748102400, "likes": 12, "comments": 3, "views": 0})
-
-
-def client_payload(spark, d):
-    df = spark.createDataFrame([(1, "instagram", _PAYLOAD), (2, "web", '{"Content": "long read", "timestamp": "bogus", "tags": ["X", "y"]}')], "id int, platform string, body string")
-    out = P.client_payload(df, "id", "body")
-    return out.select("id", "author", "caption", "media_url", "article_text", "duration_s", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"), "like_count", "view_count", F.array_join("platform_tags", ",").alias("tags"), "media_kind")
-
-
-def oembed(spark, d):
-    rows = [(1, "twitter", json.dumps({"title": "A", "author_name": "Ann", "html": '<blockquote class="q"><p>Hi <b>you</b></p></blockquote><script></script>'})), (2, "youtube", json.dumps({"title": " B ", "html": "<blockquote>no</blockquote>"}))]
-    return P.oembed(spark.createDataFrame(rows, "id int, platform string, body string"), "id", "body").select("id", "title", "author", "caption")
-
-
-_REDDIT = json.dumps([
-    {"data": {"children": [{"data": {"title": "Q", "author": "bo", "selftext": "body text", "subreddit": "Swift", "link_flair_text": "Help me", "ups": 7, "num_comments": 2, "created_utc": 1748102400.0, "thumbnail": "self", "is_video": False}}]}},
-    {"data": {"children": [{"kind": "t1", "data": {"body": "first"}}, {"kind": "t1", "data": {"body": "[deleted]"}}, {"kind": "more", "data": {"body": "x"}}]}},
-])
-
-
-def reddit_post(spark, d):
-    out = P.reddit(spark.createDataFrame([(1, _REDDIT), (2, "[]")], "id int, body string"), "id", "body")
-    return out.select("id", "title", "author", "author_url", "article_text", "thumbnail_url", "like_count", "comment_count", F.array_join("platform_tags", ",").alias("tags"), "media_kind")
-
-
-_EMBED = '<script>s.handle({"contextJSON":' + json.dumps(json.dumps({"gql_data": {"shortcode_media": {"owner": {"username": "ann"}, "is_video": True, "video_url": "https://i/v.mp4", "edge_media_to_caption": {"edges": [{"node": {"text": "Ship it #git #devops"}}]}, "edge_liked_by": {"count": 5}, "video_view_count": 9}}})) + "})</script>"
-
-
-def instagram_embed(spark, d):
-    out = P.instagram_embed(spark.createDataFrame([(1, _EMBED), (2, '"contextJSON":"{broken'), (3, "x")], "id int, html string"), "id", "html")
-    return out.select("id", "title", "caption", "author", "media_url", F.array_join("platform_tags", ",").alias("tags"), "like_count", "view_count", "media_kind")
-
-
-_RSS = """<rss><channel><item><title><![CDATA[Other]]></title><link>https://m.org/@a/other-0011aabb</link><guid>https://m.org/p/0011aabb</guid></item>
-<item><title>My post &amp; more</title><dc:creator>Ann</dc:creator><link>https://m.org/@a/my-great-post-deadbeef99</link><guid>https://m.org/p/deadbeef99</guid><pubDate>Mon, 31 Aug 2026 10:42:27 GMT</pubDate><category>AI</category><category>ML</category></item></channel></rss>"""
-
-
-def feed_match(spark, d):
-    posts = spark.createDataFrame([(1, "https://m.org/@a/my-great-post-deadbeef99"), (2, "https://m.org/@a/my-great-post-0123456789"), (3, "https://m.org/@a/none-cccccccc")], "id int, url string")
-    items = P.rss_items(spark.createDataFrame([(i, _RSS) for i in (1, 2, 3)], "id int, xml string"), "id", "xml")
-    return P.match_feed(posts, items, "id", "url").select("id", "title", "author", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"), F.array_join("platform_tags", ",").alias("tags"))
-
-
-def video_metadata(spark, d):
-    fmt = lambda u, h, v="avc", a="aac", e="mp4", p="https": {"url": u, "height": h, "vcodec": v, "acodec": a, "ext": e, "protocol": p}
-    rows = [
-        (1, {"title": "V", "uploader": "bo", "webpage_url": "https://p", "duration": 12.0, "formats": [fmt("https://p", 540), fmt("a", 1080), fmt("b", 480), fmt("c", 540, a="none"), fmt("d", 540, p="m3u8"), fmt("e", 540, v="none")]}),
-        (2, {"title": "C", "entries": [{"title": "first", "url": "https://x/i.jpg", "like_count": 4}]}),
-    ]
-    out = P.video_metadata(spark.createDataFrame([(i, json.dumps(b)) for i, b in rows], "id int, body string"), "id", "body")
-    return out.select("id", "title", "author", "media_url", "duration_s", "like_count", "media_kind")
-
-
-def public_addresses(spark, d):
-    from larder.functions.urls import is_public_address
-
-    hosts = spark.createDataFrame([(h,) for h in ("::1", "fe80::1", "fc00::1", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "[2606:4700::1111]", "2001:db8::1", "0x7f000001", "2130706433", "8.8.8.8", "10.0.0.1", "127.0.0.1", "169.254.1.1", "172.16.0.1", "172.32.0.1", "192.168.1.1", "224.0.0.1", "example.org", "localhost", "300.1.1.1")], "host string")
-    return hosts.select("host", is_public_address(F.col("host")).alias("public"))
-
-
 # -- Streams ---------------------------------------------------------------------------
 
 
@@ -278,20 +204,9 @@ QUERIES = [
     Query("client_shapes", client_shapes, """
         SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'E' || page_id WHEN 1 THEN 'true' ELSE 'F' || page_id END AS title, CASE page_id % 3 WHEN 0 THEN 'own' WHEN 1 THEN 'flat' END AS caption, CASE WHEN page_id % 3 = 2 THEN 5 END AS like_count,
                CASE page_id % 3 WHEN 0 THEN 'audio' WHEN 1 THEN 'article' ELSE 'unknown' END AS media_kind, CASE page_id % 3 WHEN 0 THEN 'client-supplied envelope' WHEN 1 THEN 'client payload + parsed DOM' ELSE 'client payload' END AS extractor_note FROM pages"""),
-    Query("subtitle_flatten", subtitle_flatten, "SELECT * FROM (VALUES (1, 'hello there friends how are you'), (2, 'one two three and then four five six'), (3, NULL)) v(id, text)"),
-    Query("subtitle_choice", subtitle_choice, "SELECT * FROM (VALUES (1, 'en-GB', 'vtt', 'c'), (2, 'fr', 'vtt', 'f')) v(id, language, ext, url)"),
     Query("json_flatten", json_flatten, "SELECT event_id, json_extract_string(props, '$.k') AS k, '[\"a\", \"b\"]' AS tags, 2 AS keys FROM events"),
     Query("json_props", json_props, "SELECT json_extract_string(props, '$.k')::BIGINT AS k, count(*) AS events FROM events GROUP BY 1"),
     Query("pick_alias", pick_alias, "SELECT event_id, event_type AS title FROM events"),
-    Query("client_payload", client_payload, """SELECT * FROM (VALUES (1, '@ann', 'Pasta #Git #git', 'https://i.org/v.mp4', NULL, 31.5::DOUBLE, '2025-05-24 16:00:00', 12, 0, 'git', 'video'), (2, NULL, NULL, NULL, 'long read', NULL, NULL, NULL, NULL, 'x,y', 'article'))
-        v(id, author, caption, media_url, article_text, duration_s, published_at, like_count, view_count, tags, media_kind)"""),
-    Query("oembed", oembed, "SELECT * FROM (VALUES (1, 'A', 'Ann', 'Hi you'), (2, 'B', NULL, NULL)) v(id, title, author, caption)"),
-    Query("reddit_post", reddit_post, """SELECT * FROM (VALUES (1, 'Q', 'bo', 'https://www.reddit.com/user/bo', 'body text' || chr(10) || chr(10) || 'Top comments:' || chr(10) || '- first', NULL, 7, 2, 'swift,help,me', 'text'), (2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, '', 'text'))
-        v(id, title, author, author_url, article_text, thumbnail_url, like_count, comment_count, tags, media_kind)"""),
-    Query("instagram_embed", instagram_embed, "SELECT * FROM (VALUES (1, 'ann on Instagram', 'Ship it #git #devops', 'ann', 'https://i/v.mp4', 'git,devops', 5, 9, 'video')) v(id, title, caption, author, media_url, tags, like_count, view_count, media_kind)"),
-    Query("feed_match", feed_match, "SELECT * FROM (VALUES (1, 'My post & more', 'Ann', '2026-08-31 10:42:27', 'ai,ml'), (2, 'My post & more', 'Ann', '2026-08-31 10:42:27', 'ai,ml')) v(id, title, author, published_at, tags)"),
-    Query("video_metadata", video_metadata, "SELECT * FROM (VALUES (1, 'V', 'bo', 'b', 12.0::DOUBLE, NULL, 'video'), (2, 'C', NULL, 'https://x/i.jpg', NULL, 4, 'image')) v(id, title, author, media_url, duration_s, like_count, media_kind)"),
-    Query("public_addresses", public_addresses, "SELECT * FROM (VALUES ('::1', false), ('fe80::1', false), ('fc00::1', false), ('::ffff:10.0.0.1', false), ('::ffff:8.8.8.8', true), ('[2606:4700::1111]', true), ('2001:db8::1', false), ('0x7f000001', false), ('2130706433', false), ('8.8.8.8', true), ('10.0.0.1', false), ('127.0.0.1', false), ('169.254.1.1', false), ('172.16.0.1', false), ('172.32.0.1', true), ('192.168.1.1', false), ('224.0.0.1', false), ('example.org', true), ('localhost', false), ('300.1.1.1', false)) v(host, public)"),
     Query("stream_window", stream_window, "SELECT epoch_us(time_bucket(INTERVAL 60 SECONDS, ts)) AS start_us, event_type, count(*) AS requests, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"),
     Query("stream_ingest", stream_ingest, f"SELECT page_id, 'ready' AS status, {_TITLE} AS title FROM pages"),
     Query("stream_rate_limit", stream_rate_limit),

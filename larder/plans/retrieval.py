@@ -178,13 +178,6 @@ def allowed_intersection(spark, d):
     return meta.join(R.keys_with_tag(_tags(spark, d), "doc_id", "en"), "doc_id", "left_semi").join(_good(spark, d), "doc_id", "left_semi")
 
 
-def query_terms(spark, d):
-    """Compiled queries as a table."""
-    texts = ["p", "how do i rem", "that pasta video ", 'what\'s the "best" pizza', "apple w", "how to ", "how to", "foo_bar ", "!!!"]
-    rows = [(q, i, t, p) for q in texts for i, (t, p) in enumerate(R.compile_query(q))]
-    return spark.createDataFrame(rows, "query string, ordinal int, term string, is_prefix boolean")
-
-
 def found_by(spark, d):
     from larder.functions.envelope import found_by as how
 
@@ -240,7 +233,5 @@ QUERIES = [
     Query("tag_post_filter", tag_post_filter, f"WITH {bm25_sql('documents', 'doc_id', BODY_SQL, TERMS)}, {_KW50} SELECT doc_id, round(score, 6) AS score, {_RANK} AS rank FROM kw WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"),
     Query("meta_pre_filter", meta_pre_filter, f"WITH {bm25_sql('documents', 'doc_id', BODY_SQL, TERMS)} {_TOP(50, _ENGLISH)}"),
     Query("allowed_intersection", allowed_intersection, "SELECT DISTINCT doc_id FROM documents WHERE source = 'src0' AND lang = 'en' AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)"),
-    Query("query_terms", query_terms, """SELECT * FROM (VALUES ('p', 0, 'p', true), ('how do i rem', 0, 'rem', true), ('that pasta video ', 0, 'pasta', false), ('that pasta video ', 1, 'video', false),
-        ('what''s the "best" pizza', 0, 'pizza', true), ('apple w', 0, 'apple', false), ('how to ', 0, 'how', false), ('how to ', 1, 'to', false), ('how to', 0, 'to', true), ('foo_bar ', 0, 'foo_bar', false)) v(query, ordinal, term, is_prefix)"""),
     Query("found_by", found_by, f"{_HYBRID} SELECT CASE WHEN keyword_rank IS NOT NULL AND vector_rank IS NOT NULL THEN 'both' WHEN keyword_rank IS NOT NULL THEN 'keyword' ELSE 'vector' END AS found_by, count(*) AS hits FROM p WHERE position <= 40 GROUP BY 1"),
 ]

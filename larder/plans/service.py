@@ -12,20 +12,6 @@ from larder.operators import telemetry as T
 from larder.operators.embedding import embed
 from larder.plans.common import Query, read, texts
 
-_ANSWER = '{"summary": " a  b ", "details": ["x  y", " "], "tags": ["JS", "fyp"], "category": "AI ML", "content_type": "how", "people": ["P1","P2","P3","P4","P5","P6","P7","P8","P9"], "language": ""}'
-
-
-def model_answers(spark, d):
-    df = spark.createDataFrame([(1, _ANSWER, ["Recipes", "js"]), (2, "no json", None)], "id int, body string, platform_tags array<string>")
-    out = df.select("id", MD.answer(F.col("body"), F.col("platform_tags")).alias("a"))
-    return out.select("id", "a.summary", F.array_join("a.details", "|").alias("details"), F.array_join("a.tags", ",").alias("tags"), "a.category", "a.content_type", F.size("a.entities.people").alias("people"), "a.language")
-
-
-def model_responses(spark, d):
-    rows = [(1, '{"candidates": [{"content": {"parts": [{"text": "a"}, {"thought": 1}, {"text": "b "}]}, "finishReason": "STOP"}]}'), (2, '{"promptFeedback": {"blockReason": "SAFETY"}}'), (3, "{}"), (4, '{"candidates": [{}]}')]
-    df = spark.createDataFrame(rows, "id int, body string")
-    return df.select("id", F.coalesce(MD.answer_text(F.col("body")), F.lit("")).alias("text"), MD.finish_reason(F.col("body")).alias("reason"))
-
 
 def prompts(spark, d):
     docs = read(spark, d, "documents")
@@ -37,27 +23,11 @@ def payload_gate(spark, d):
     return p.select("page_id", MD.has_substance(F.when(F.col("page_id") % 2 == 0, F.col("html")), F.lit(" ")).alias("substance"))
 
 
-def media_gate(spark, d):
-    rows = [(1, "https://youtube.com/watch?v=a", None), (2, "https://x.com/1", ""), (3, "https://x.com/1", "https://m/v.mp4"), (4, None, None)]
-    df = spark.createDataFrame(rows, "id int, url string, media_url string")
-    return df.select("id", MD.media_is_fetchable(F.col("url"), F.col("media_url")).alias("fetchable"), MD.youtube_uri(F.col("url")).alias("uri"))
-
-
 def analyzed_seconds(spark, d):
     s = (F.col("value") * 10) - 200
     return read(spark, d, "events").select("event_id", F.round(MD.analyzed_seconds(s, 300.0), 6).alias("seconds"), MD.clip_end(s, 300.0).alias("clip_end"))
 
 
-def redacted_keys(spark, d):
-    df = spark.createDataFrame([("key=AIzaSyA1234567890abc&x", ), ("secret-key-1 used",)], "t string")
-    return df.select("t", MD.redact_keys(F.col("t"), "secret-key-1").alias("clean"))
-
-
-def retry_times(spark, d):
-    df = spark.createDataFrame([("0",), ("5",), ("999",), ("soon",), ("",)], "header string")
-    return df.select("header", MD.retry_after(F.col("header")).alias("seconds"))
-
-
 def quota_violations(spark, d):
     """Events as the bodies of refused calls: named limits, broken quotas, and bodies that say nothing."""
     body = F.expr("""CASE event_id % 4 WHEN 0 THEN concat('{"error": {"message": "free-models-per-day ', user_id, '"}}')
@@ -117,16 +87,11 @@ def host_dimension(spark, d):
 
 
 QUERIES = [
-    Query("model_answers", model_answers, "SELECT * FROM (VALUES (1, 'a b', 'x y', 'javascript,recipe', 'ai-ml', 'other', 8, NULL), (2, NULL, NULL, NULL, NULL, NULL, NULL, NULL)) v(id, summary, details, tags, category, content_type, people, language)"),
-    Query("model_responses", model_responses, "SELECT * FROM (VALUES (1, 'ab', 'STOP'), (2, '', 'blocked: SAFETY'), (3, '', 'no candidates'), (4, '', 'unknown')) v(id, text, reason)"),
     Query("prompts", prompts, r"""
         SELECT doc_id, length(e'Index this saved link.\n\nPlatform: web\nURL: ' || source || e'\n\nContent at hand:\n----\n' || text || e'\n----\n\nAnswer with the JSON object.') AS text_chars,
                length(e'Index this saved link. Its media is attached.\n\nPlatform: web\nURL: ' || source || e'\nLength: 31 seconds\n\nThere is no text for this item.\n\nDescribe all that is seen and heard, then answer with the JSON object.') AS media_chars FROM documents"""),
     Query("payload_gate", payload_gate, "SELECT page_id, page_id % 2 = 0 AS substance FROM pages"),
-    Query("media_gate", media_gate, "SELECT * FROM (VALUES (1, true, 'https://www.youtube.com/watch?v=a'), (2, false, 'https://www.youtube.com/watch?v=1'), (3, true, 'https://www.youtube.com/watch?v=1'), (4, false, NULL)) v(id, fetchable, uri)"),
     Query("analyzed_seconds", analyzed_seconds, "SELECT event_id, round(CASE WHEN value * 10 - 200 <= 0 THEN 300 ELSE least(value * 10 - 200, 300) END, 6) AS seconds, CASE WHEN value * 10 - 200 > 0 AND value * 10 - 200 <= 300 THEN NULL ELSE 300 END AS clip_end FROM events"),
-    Query("redacted_keys", redacted_keys, "SELECT * FROM (VALUES ('key=AIzaSyA1234567890abc&x', 'key=AIza...REDACTED&x'), ('secret-key-1 used', '...REDACTED used')) v(t, clean)"),
-    Query("retry_times", retry_times, "SELECT header, seconds::DOUBLE AS seconds FROM (VALUES ('0', 1), ('5', 5), ('999', 120), ('soon', NULL), ('', NULL)) v(header, seconds)"),
     Query("embed_batch", embed_batch, """
         WITH c AS (SELECT doc_id, length(text)::DOUBLE AS a, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS b, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS c FROM documents), n AS (SELECT *, sqrt(a * a + b * b + c * c + 1) AS n FROM c)
         SELECT doc_id, 4 AS dim, round((a / n)::FLOAT::DOUBLE, 3) AS v0, round((b / n)::FLOAT::DOUBLE, 3) AS v1, round((c / n)::FLOAT::DOUBLE, 3) AS v2, round((1 / n)::FLOAT::DOUBLE, 3) AS v3 FROM n"""),

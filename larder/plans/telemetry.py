@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from larder.functions import pricing
 from larder.operators import governor as G
 from larder.operators import telemetry as T
-from larder.plans.common import Query, read
+from larder.plans.common import Query, read, shared_folder
+from larder.sources import files
 
 TIERS = ["click", "view", "signup", "purchase"]
 
@@ -111,6 +114,35 @@ def first_n_per_group(spark, d):
     return first_per_group(read(spark, d, "events").select("event_type", "event_id"), "event_type", [F.col("event_id")], 10)
 
 
+def _run_files(spark, d):
+    """The events as files of three runs, and among them one that is broken and one that holds no run; where they are."""
+    from larder.operators.store import overwrite_text
+
+    path = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    items = _bench(spark, d).select(F.col("run").alias("tag"), F.col("event_id").cast("string").alias("item_id"), "platform", "success", "total_ms")
+    runs = items.groupBy("tag").agg(F.count("*").alias("total_items"), F.count_if("success").alias("successful_items"))
+    files.write_runs(runs, items, path)
+    overwrite_text(spark, "{\"tag\": broken", f"{path}/tag=broken")
+    overwrite_text(spark, "{}", f"{path}/tag=empty")
+    return path
+
+
+def run_files(spark, d):
+    """Run files read back: each run's items, and how many files hold no run."""
+    runs, items, bad = files.read_run_files(spark, f"{_run_files(spark, d)}/*/*.txt")
+    found = items.groupBy("tag").agg(F.count("*").alias("items"), F.count_if("success").alias("successes"), F.round(F.sum("total_ms"), 4).alias("total_ms"))
+    found = runs.join(found, "tag").select("tag", "total_items", "successful_items", "items", "successes", "total_ms")
+    rest = bad.agg(F.lit("unreadable").alias("tag"), F.count("*").alias("items"))
+    return found.unionByName(rest, allowMissingColumns=True)
+
+
+def run_ledger_file(spark, d):
+    """The ledger of the runs as a Markdown file, read back line by line."""
+    path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    files.write_ledger(bench_summary(spark, d), "run", ["run", "items", "successes"], path)
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value")
+
+
 def corpus_quality(spark, d):
     pages = read(spark, d, "pages").select(F.regexp_extract("url", r"/(en|fr|de|es)/", 1).alias("page_type"), F.regexp_extract("url", "://([^/]*)", 1).alias("domain"), F.length("html").alias("n"))
     return T.corpus_quality(pages, "page_type", "domain", F.col("n"))
@@ -252,6 +284,12 @@ QUERIES = [
         WITH {_BENCH}, s AS (SELECT run, platform, round(coalesce(sum(total_ms), 0) / count(*), 4) AS v FROM b GROUP BY run, platform)
         SELECT platform, x.v AS before, y.v AS after, round(y.v - x.v, 4) AS diff FROM (SELECT * FROM s WHERE run = 'run-0') x FULL JOIN (SELECT * FROM s WHERE run = 'run-1' AND platform <> 'view') y USING (platform)"""),
     Query("first_n_per_group", first_n_per_group, "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS position FROM events QUALIFY position <= 10"),
+    Query("run_files", run_files, f"""
+        WITH {_BENCH} SELECT run AS tag, count(*) AS total_items, count(*) FILTER (success) AS successful_items, count(*) AS items, count(*) FILTER (success) AS successes, round(sum(total_ms), 4) AS total_ms FROM b GROUP BY run
+        UNION ALL SELECT 'unreadable', NULL, NULL, 2, NULL, NULL"""),
+    Query("run_ledger_file", run_ledger_file, f"""
+        WITH {_BENCH}, s AS (SELECT run, count(*) AS items, count(*) FILTER (success) AS successes FROM b GROUP BY run)
+        SELECT 0 AS line, '| run | items | successes |' AS value UNION ALL SELECT 1, '| --- | --- | --- |' UNION ALL SELECT 1 + row_number() OVER (ORDER BY run), '| ' || run || ' | ' || items || ' | ' || successes || ' |' FROM s"""),
     Query("corpus_quality", corpus_quality, """
         WITH p AS (SELECT regexp_extract(url, '/(en|fr|de|es)/', 1) AS page_type, regexp_extract(url, '://([^/]*)', 1) AS domain, length(html) AS n FROM pages)
         SELECT page_type, count(*) AS pages, count(DISTINCT domain) AS domains, round(avg(n), 4) AS avg_score, round(count(*) * 100.0 / sum(count(*)) OVER (), 4) AS share_pct FROM p GROUP BY page_type"""),

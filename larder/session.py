@@ -23,7 +23,23 @@ def session(app: str = "larder", master: str | None = None, **conf) -> SparkSess
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not spark.sparkContext.master.startswith("local["):
+        ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the session's workers, which need not have it; a session does so once."""
+    import os
+    import shutil
+    import tempfile
+
+    if spark.conf.get("larder.shipped", None) is None:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        # the driver's own file: Spark copies it to each executor
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/larder", "zip", root, "larder"))
+        spark.conf.set("larder.shipped", "yes")
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 URL_FIELDS = "id string, platform string, genre string, final_url string, original_url string, normalized_url string, url string"
 RUN_ITEM = "item_id string, url string, platform string, genre string, success boolean, tier string, extraction_ms double, enrichment_ms double, embedding_ms double, total_ms double, title string, author string, media_kind string, tag_count bigint, detail_count bigint, token_count bigint, error string"
+URL_ITEM_FIELDS = RUN_ITEM.split(", ")
 RUN = f"tag string, timestamp string, total_items bigint, successful_items bigint, success_rate_pct double, avg_extraction_ms double, avg_total_ms double, p95_total_ms double, items array<struct<{', '.join(f.replace(' ', ':', 1) for f in RUN_ITEM.split(', '))}>>"
 REJECT = "url string, page_type string, status string, http_code bigint, error string, validated_at string"
 
@@ -34,6 +35,44 @@ def read_runs(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFrame]:
     return runs.drop("items"), runs.select("tag", F.inline("items"))
 
 
+def read_run_files(spark: SparkSession, pattern: str, corrupt: str = "skip") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs, their items, and the files that hold no run (path, bytes), of many files of one run each, read by whichever task.
+
+    corrupt: ``skip`` leaves such files out, ``fail`` stops the reading of runs with the first one's name.
+    """
+    if corrupt not in ("skip", "fail"):
+        raise ValueError("corrupt is 'skip' or 'fail'")
+    files = spark.read.format("binaryFile").load(pattern).select("path", "length", "content")
+    parsed = files.select("path", "length", F.from_json(F.decode("content", "UTF-8"), RUN).alias("run"))
+    whole = F.col("run.tag").isNotNull()
+    bad = parsed.filter(~whole | F.col("run").isNull()).select("path", F.col("length").alias("bytes"))
+    if corrupt == "fail":
+        parsed = parsed.withColumn("run", F.when(whole, F.col("run")).otherwise(F.raise_error(F.concat(F.lit("not a run: "), "path")).cast(parsed.schema["run"].dataType)))
+    runs = parsed.filter("run.tag IS NOT NULL").select("run.*")
+    return runs.drop("items"), runs.select("tag", F.inline("items")), bad
+
+
+def write_runs(runs: DataFrame, items: DataFrame, path: str) -> None:
+    """Writes each run (tag and its numbers) with its items (tag and theirs) as a file of JSON, in a folder of its own.
+
+    Written again, a run replaces its own folder and no other.
+    """
+    fields = [f.split(" ")[0] for f in URL_ITEM_FIELDS]
+    mine = items.groupBy("tag").agg(F.sort_array(F.collect_list(F.struct(*[c for c in fields if c in items.columns]))).alias("items"))
+    rows = runs.join(mine, "tag", "left").select("tag", F.to_json(F.struct(*runs.columns, "items")).alias("value"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tag").text(path)
+
+
+def write_ledger(lines: DataFrame, order: str, columns: list[str], path: str) -> None:
+    """Writes a ledger of runs (one row a run) as one Markdown table, replacing what is there."""
+    row = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    spark = lines.sparkSession
+    head = spark.range(1).select(F.lit(0).alias("part"), F.lit("").alias("at"), row([F.lit(c) for c in columns]).alias("value"))
+    rule = spark.range(1).select(F.lit(1).alias("part"), F.lit("").alias("at"), row([F.lit("---") for _ in columns]).alias("value"))
+    body = lines.select(F.lit(2).alias("part"), F.col(order).cast("string").alias("at"), row([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("value"))
+    head.unionByName(rule).unionByName(body).coalesce(1).sortWithinPartitions("part", "at").select("value").write.mode("overwrite").text(path)
+
+
 def read_rejects(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REJECT).json(path)
 

@@ -252,7 +252,7 @@ def subtitle_text(body: Column, ext: Column) -> Column:
     """The words of a json3, VTT or SRT track, without marks, numbers and repeated lines; null up to 20 characters."""
     events = F.from_json(F.get_json_object(body, "$.events"), "array<struct<segs:array<struct<utf8:string>>>>")
     said = F.transform(events, lambda e: F.trim(F.regexp_replace(F.array_join(F.transform(e["segs"], lambda s: s["utf8"]), ""), "\n", " ")))
-    lines = F.transform(F.split(body, "\r?\n"), F.trim)
+    lines = F.transform(F.split(body, "\r?\n"), lambda x: F.trim(x))  # a bare F.trim would take the place as its second argument
     skip = lambda x: (x == "") | (x == "WEBVTT") | x.rlike(r"^\d+$") | x.contains("-->") | x.rlike(r"^(NOTE|Kind:|Language:|STYLE)")
     plain = F.transform(F.filter(lines, lambda x: ~skip(x)), lambda x: F.trim(F.regexp_replace(x, "<[^>]+>", "")))
     chosen = F.when((ext == "json3") | F.ltrim(body).startswith("{"), said).otherwise(plain)
