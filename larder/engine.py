@@ -391,7 +391,10 @@ class Library:
     def compare(self, text: str, limit: int = 10) -> DataFrame:
         return R.compare_modes({m: self.search(text, mode=m, limit=limit) for m in ("hybrid", "keyword", "vector")}, "url_hash")
 
-    def items(self, limit: int = 200, offset: int = 0) -> DataFrame:
+    def items(self, limit: int = 200, offset: int = 0, after: tuple | None = None) -> DataFrame:
+        """What is indexed, the latest first; after: indexed_at and url_hash of the last row of the page before."""
+        if after is not None:
+            return S.page_after(self.documents.read(), [("indexed_at", True), ("url_hash", False)], limit, after)
         return S.page(self.documents.read(), [F.desc("indexed_at"), F.asc("url_hash")], limit, offset)
 
     def item(self, url: str) -> DataFrame:

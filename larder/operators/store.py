@@ -111,6 +111,27 @@ def page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_after(df: DataFrame, order: list[tuple[str, bool]], limit: int, after: tuple | None = None) -> DataFrame:
+    """The page of a listing that follows a row: (column, descending) pairs that tell rows apart, and that row's values in them.
+
+    Rows before it are filtered out in the scan and none are sorted to be skipped, so each page of a long listing costs the
+    same.  Nulls come first in ascending columns and last in descending ones.
+    """
+    rows = df
+    if after is not None:
+        follows, same = F.lit(False), F.lit(True)
+        for (name, down), value in zip(order, after):
+            c = F.col(name)
+            if value is None:
+                further = F.lit(False) if down else c.isNotNull()
+            else:
+                further = (c < F.lit(value)) | c.isNull() if down else c > F.lit(value)
+            follows = follows | (same & F.coalesce(further, F.lit(False)))
+            same = same & c.eqNullSafe(F.lit(value))
+        rows = df.filter(follows)
+    return rows.orderBy(*[F.desc(n) if down else F.asc(n) for n, down in order]).limit(limit)
+
+
 class Table:
     """A table in hash buckets of its key, in versioned folders.
 

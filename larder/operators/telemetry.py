@@ -64,7 +64,7 @@ def nearest_rank_by_window(df: DataFrame, groups: list[str], value: str, share:
     return ranked.filter(F.col("_r") == at).select(*groups, F.col(value).alias("picked"))
 
 
-def nearest_rank_by_refinement(df: DataFrame, groups: list[str], value: str, share: float, bins: int = 1024, held: int = 10_000) -> DataFrame:
+def nearest_rank_by_refinement(df: DataFrame, groups: list[str], value: str, share: float, bins: int = 1024, held: int = 100_000) -> DataFrame:
     """The same pick for groups of any size, without sorting them: (groups, picked).
 
     A group's range of values is cut into bins, the rows are counted by bin inside the tasks, and the bin with the wanted

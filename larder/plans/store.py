@@ -87,6 +87,15 @@ def library_page(spark, d):
     return S.page(_docs(spark, d).select("doc_id", "n_chars"), [F.desc("n_chars"), F.asc("doc_id")], 50, 100)
 
 
+def library_next_page(spark, d):
+    """The third page of a listing, each page asked for by the last row of the one before."""
+    docs, order, last = _docs(spark, d).select("doc_id", "n_chars"), [("n_chars", True), ("doc_id", False)], None
+    for _ in range(2):
+        last = S.page_after(docs, order, 50, last).collect()[-1]  # a page of rows
+        last = (last["n_chars"], last["doc_id"])
+    return S.page_after(docs, order, 50, last)
+
+
 def point_lookup(spark, d):
     """A key, a list of keys and an existence test, as one filter and one semi join."""
     keys = spark.createDataFrame([(3,), (5,), (8,), (-1,)], "doc_id long")
@@ -180,6 +189,7 @@ QUERIES = [
     Query("rewrite_guard", rewrite_guard, "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)"),
     Query("schema_defaults", schema_defaults, "SELECT doc_id, CASE WHEN quality = 1 THEN 1 ELSE 0 END AS enriched, false AS visual, '' AS source_hash FROM labels"),
     Query("library_page", library_page, "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50 OFFSET 100"),
+    Query("library_next_page", library_next_page, "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50 OFFSET 100"),
     Query("point_lookup", point_lookup, "SELECT doc_id, lang, source FROM documents WHERE doc_id IN (3, 5, 8, -1)"),
     Query("item_detail", item_detail, "SELECT d.doc_id AS doc_id, lang, quality, toxic, e.label AS cluster FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN embeddings e ON d.doc_id = e.vec_id"),
     Query("cascade_merge", cascade_merge, f"""

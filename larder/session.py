@@ -24,8 +24,7 @@ def session(app: str = "larder", master: str | None = None, **conf) -> SparkSess
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    if not spark.sparkContext.master.startswith("local["):
-        ship(spark)
+    ship(spark)
     return spark
 
 

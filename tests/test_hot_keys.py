@@ -164,3 +164,17 @@ def test_ranks_by_refinement(spark, share):
     assert got == {g: sorted(v)[min(int(len(v) * share), len(v) - 1)] for g, v in by.items()}
     whole = T.nearest_rank_by_refinement(df.select((F.col("v") * 0).cast("long").alias("v")).filter("v IS NOT NULL").limit(0), ["v"], "v", share)
     assert whole.count() == 0
+
+
+def test_pages_by_their_last_row(spark):
+    from larder.operators.store import page_after
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, 1, 2, 3]), rng.choice([None, "a", "b"])) for i in range(80)]
+    df, order = spark.createDataFrame(rows, "id long, n int, s string"), [("n", True), ("s", False), ("id", False)]
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[2] is not None, r[2] or "", r[0]))
+    got, last = [], None
+    while part := page_after(df, order, 9, last).collect():
+        got += [tuple(r) for r in part]
+        last = (part[-1]["n"], part[-1]["s"], part[-1]["id"])
+    assert got == want
