@@ -284,7 +284,13 @@ class Library:
             # Also what an earlier run without an embedder, or another model, left without vectors.
             known = self.vectors.read().filter((F.col("model") == o.model) & (F.col("dim") == o.dim)).select("url_hash").distinct()
             bare = self.chunks.read().join(todo.select("url_hash"), "url_hash", "left_anti").join(known, "url_hash", "left_anti")
-            new = self._kept(embed(made.unionByName(bare), ["url_hash", "ordinal"], "text", o.model, o.dim, o.embedder))
+            new = self._kept(embed(made.unionByName(bare), ["url_hash", "ordinal"], "text", o.model, o.dim, o.embedder, skip_failures=True))
+            bad = self._kept(new.filter("embedding IS NULL").select("url_hash").distinct())
+            report.failed = bad.count()
+            if report.failed:
+                # One bad item does not stop the others; without any vector it is tried again by the next run.
+                report.notes.append(f"{report.failed} items have no vectors: their embedding failed")
+                new = new.join(bad, "url_hash", "left_anti")
             self.vectors.replace(new, todo.select("url_hash").unionByName(new.select("url_hash")))
             report.vectors = new.count()
         else:

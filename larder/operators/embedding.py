@@ -29,23 +29,37 @@ def normalized(matrix: np.ndarray) -> np.ndarray:
     return (matrix / np.where(norm == 0, 1, norm)).astype(np.float32)
 
 
-def embed(chunks: DataFrame, keys: list[str], text: str, model: str, dim: int, provider: Provider | None = None, batch: int = 100) -> DataFrame:
+def embed(chunks: DataFrame, keys: list[str], text: str, model: str, dim: int, provider: Provider | None = None, batch: int = 100, skip_failures: bool = False) -> DataFrame:
     """keys, model, dim and embedding of each text; the provider is called with ``batch`` texts at a time.
 
-    Rows are paired by key, never by position.  A provider that answers with another dimension fails the task.
+    Rows are paired by key, never by position.  A provider that answers with another dimension fails the task.  With
+    skip_failures a call that fails is made again text by text, and a text that fails alone has a null embedding.
     """
     call = provider or (lambda texts: hashed_words(texts, dim))
     kinds = dict(chunks.dtypes)
 
+    def asked(texts: list[str], failed: list[bool]) -> np.ndarray:
+        try:
+            found = np.asarray(call(texts), dtype=np.float32)
+        except Exception:
+            if not skip_failures:
+                raise
+            if len(texts) > 1:
+                return np.concatenate([asked([t], failed) for t in texts])
+            failed.append(True)
+            return np.zeros((1, dim), np.float32)
+        if found.shape != (len(texts), dim):
+            raise ValueError(f"the provider gave {found.shape}, not {(len(texts), dim)}")
+        failed += [False] * len(texts)
+        return found
+
     def run(batches):
         for b in batches:
-            texts = [t or "" for t in b.column(len(keys)).to_pylist()]
-            parts = [np.asarray(call(texts[i : i + batch]), dtype=np.float32) for i in range(0, len(texts), batch)]
+            texts, failed = [t or "" for t in b.column(len(keys)).to_pylist()], []
+            parts = [asked(texts[i : i + batch], failed) for i in range(0, len(texts), batch)]
             m = normalized(np.concatenate(parts)) if parts else np.zeros((0, dim), np.float32)
-            if m.shape != (len(texts), dim):
-                raise ValueError(f"the provider gave {m.shape}, not {(len(texts), dim)}")
             n = len(texts)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array([model] * n, pa.string()), pa.array([dim] * n, pa.int32()), pa.array(list(m), pa.list_(pa.float32()))], names=[*keys, "model", "dim", "embedding"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array([model] * n, pa.string()), pa.array([dim] * n, pa.int32()), pa.array([None if bad else v for v, bad in zip(m, failed)], pa.list_(pa.float32()))], names=[*keys, "model", "dim", "embedding"])
 
     ddl = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", model string, dim int, embedding array<float>"
     return chunks.select(*keys, F.col(text)).mapInArrow(run, ddl)

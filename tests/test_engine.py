@@ -166,3 +166,31 @@ def test_service(spark, tmp_path):
     s.delete_item("https://example.org/soup")
     assert len(s.items()) == 1
     assert s.embed(["a b", "c"])["dim"] == 64
+
+
+def test_one_bad_item_does_not_stop_the_index(spark, tmp_path):
+    from larder.operators.embedding import hashed_words
+
+    def provider(texts):
+        if any("volcanoes" in t for t in texts):
+            raise RuntimeError("refused")
+        return hashed_words(texts, 64)
+
+    lib = Library(spark, f"file://{tmp_path}/lib", Options(buckets=2, embedder=provider))
+    lib.add(spark.createDataFrame([(f"https://example.org/{i}", _page(f"Page {i}", t)) for i, t in enumerate(["Plain words about bread.", "Lava flows from volcanoes."])], "url string, html string"))
+    lib.enrich()
+    report = lib.index()
+    assert report.indexed == 2 and report.failed == 1 and report.notes == ["1 items have no vectors: their embedding failed"]
+    assert lib.vectors.read().select("url_hash").distinct().count() == 1 and lib.search("volcanoes", mode="keyword").count() == 1
+    again = Library(spark, lib.path, Options(buckets=2)).index()
+    assert again.failed == 0 and again.indexed == 0 and lib.vectors.read().select("url_hash").distinct().count() == 2
+
+
+def test_addresses_of_one_page_are_merged_whatever_their_order(spark):
+    from larder.engine import _one_a_page
+
+    rows = [("h", "https://a.org/?utm_source=b", None, "two"), ("h", "https://a.org/", "one", None), ("h", "https://a.org/?utm_source=a", "three", "four"), ("g", "https://b.org", None, None)]
+    df = spark.createDataFrame(rows, "url_hash string, url string, html string, payload string")
+    for n in (1, 2, 3):
+        got = {tuple(r) for r in _one_a_page(df.repartition(n, "payload")).collect()}
+        assert got == {("h", "https://a.org/", "one", "four"), ("g", "https://b.org", None, None)}
