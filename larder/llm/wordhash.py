@@ -7,6 +7,7 @@ a word is the difference of two sums, brought to a common power.  No Python obje
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -51,16 +52,9 @@ class WordArrays:
         return t.encode("utf-8", "surrogatepass")
 
     def of(self, texts: list[str | None]) -> list[np.ndarray]:
-        out, held, size = [], [], 0
-        for t in texts:
-            held.append(self._plain(t))
-            size += len(held[-1]) + 1
-            if size >= self.block:
-                out += self._hash(held)
-                held, size = [], 0
-        return out + (self._hash(held) if held else [])
+        return self.raw(map(self._plain, texts))
 
-    def raw(self, texts: list[bytes]) -> list[np.ndarray]:
+    def raw(self, texts: Iterable[bytes]) -> list[np.ndarray]:
         """The words of texts as they are, neither lower-cased nor stripped; long texts are hashed in pieces cut between words."""
         out, held, size = [], [], 0
         for t in texts:

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import itertools
+import math
 import random
 import string
 import textwrap
@@ -95,6 +96,83 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_toxicity_of_words_that_are_only_more_frequent(spark):
+    """No word is a toxic text's own: 60 of 400 words are three times as frequent there, and a fifth of the unlabelled texts are toxic."""
+    rng = random.Random(3)
+    words = [f"w{i:03d}x" for i in range(400)]
+    text = lambda toxic: " ".join(rng.choices(words, [3 if toxic and i < 60 else 1 for i in range(400)], k=60))
+    texts = [text(True) for _ in range(1000)] + [text(rng.random() < 0.2) for _ in range(3750)] + [text(i % 5 == 0) for i in range(1000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.train(docs.filter("doc_id < 4750"), spark.createDataFrame([(i, 1) for i in range(1000)], "doc_id long, toxic int"), prior=0.2)
+    scores = [r["score"] for r in toxicity.score(docs.filter("doc_id >= 4750"), model).orderBy("doc_id").collect()]
+    bad, good = scores[::5], [s for i, s in enumerate(scores) if i % 5]
+    assert sum((b > g) + (b == g) / 2 for b in bad for g in good) >= 0.95 * len(bad) * len(good)
+
+
+def test_toxicity_features_against_plain_code(spark):
+    """The chosen features are those that loops over the sample choose; copies of a positive count once, whatever a text's length."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda lean: " ".join(rng.choices(words, [lean if i < 12 else 1 for i in range(60)], k=rng.randint(5, 25)))
+    copied = " ".join(f"copied{i}" for i in range(30))
+    pos = [text(4) for _ in range(80)] + [copied] * 20
+    unl = [text(1) for _ in range(200)] + [" ".join(words * 4000)]
+    rows = [(i, True, toxicity._buckets(t)) for i, t in enumerate(pos)] + [(i, False, toxicity._buckets(t)) for i, t in enumerate(unl)]
+    made = spark.createDataFrame([(i, s, toxicity._sketch(b).tolist() if s else None, b.tolist()) for i, s, b in rows], "doc_id long, positive boolean, sketch array<int>, buckets array<int>")
+    of_pos, of_unl = Counter(b for _, s, f in rows if s for b in f.tolist()), Counter(b for _, s, f in rows if not s for b in f.tolist())
+    texts = Counter(b for t in set(pos) for b in toxicity._buckets(t).tolist())
+    want = set()
+    for b in of_pos | of_unl:
+        p, u = (of_pos[b] + 0.5) / (len(pos) + 1), (of_unl[b] + 0.5) / (len(unl) + 1)
+        z = abs(p - u) / (p * (1 - p) / len(pos) + u * (1 - u) / len(unl)) ** 0.5
+        if z > 2.5 and (texts[b] if p > u else of_unl[b]) >= 5:
+            want.add(b)
+    got = set(toxicity._choose(made, 10_000).tolist())
+    assert not got & {b for b in toxicity._buckets(copied).tolist()}
+    assert len(got ^ want) <= 0.1 * len(want)  # texts that share half their words may count as copies
+    assert len(toxicity._choose(made, 3)) == 3
+
+
+def test_toxicity_weights_against_plain_code():
+    """The risk's descent in loops over texts gives the same weights, through steps with a negative corrected risk."""
+    rng = random.Random(2)
+    rows = [np.array(sorted(rng.sample(range(6), 3) if i < 12 else rng.sample(range(3, 10), 3)), np.int32) for i in range(40)]
+    positive = np.arange(40) < 12
+    prior, steps, rate = 0.4, 60, 0.2
+    words = sorted({int(b) for r in rows for b in r})
+    w = {**dict.fromkeys(words, 0.0), "one": math.log(prior / (1 - prior))}
+    m, v, signs = dict.fromkeys(w, 0.0), dict.fromkeys(w, 0.0), set()
+    sig = lambda t: 1 / (1 + math.exp(-t))
+    for step in range(1, steps + 1):
+        f = [w["one"] + sum(w[int(b)] for b in r) for r in rows]
+        corrected = sum(math.log1p(math.exp(t)) for t in f[12:]) / 28 - prior * sum(math.log1p(math.exp(t)) for t in f[:12]) / 12
+        signs.add(corrected >= 0)
+        for k in w:
+            has = [k == "one" or k in r.tolist() for r in rows]
+            sure = -prior * sum(sig(-f[i]) for i in range(12) if has[i]) / 12
+            rest = sum(sig(f[i]) for i in range(12, 40) if has[i]) / 28 - prior * sum(sig(f[i]) for i in range(12) if has[i]) / 12
+            g = (sure + rest if corrected >= 0 else -rest) + (0 if k == "one" else 0.03 / 12**0.5 * w[k])
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
+        for k in w:
+            w[k] -= rate * (m[k] / (1 - 0.9**step)) / ((v[k] / (1 - 0.999**step)) ** 0.5 + 1e-5)
+    model = toxicity.fit(rows, positive, prior, steps=steps, rate=rate)
+    assert signs == {True, False}
+    assert model.words.tolist() == words
+    assert np.allclose(model.weights, [w[b] for b in words], atol=2e-3) and abs(model.intercept - w["one"]) < 2e-3
+
+
+def test_long_texts_are_hashed_in_pieces():
+    """The words of a text that is longer than a block are those of the whole, and the power tables stay small."""
+    rng = random.Random(4)
+    text = "".join(rng.choice(["word", "Other,", " ", "\n", "  ", "x-y", "été "]) for _ in range(40_000))
+    for signs in (True, False):
+        small, whole = WordArrays(signs, block=1000), WordArrays(signs, block=1 << 30)
+        small._grow(2000)
+        for a, b in zip(small.of(["a b", text, None, text]), whole.of(["a b", text, None, text])):
+            assert a.tolist() == b.tolist()
+        assert len(small.powers) < 10_000
+
+
 def test_training_reads_each_id_once(spark, monkeypatch):
     """Half the rows have one id: the samples stay as small as said."""
     sizes = []
