@@ -485,6 +485,42 @@ def test_query_leaks_against_brute_force(spark):
     assert want and got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("common", [0.001, 1.0])
+def test_decontamination_finds_copies_without_a_run_left(spark, common):
+    """A word added or changed so often that no four words of the item stay together."""
+    rng = random.Random(15)
+    words = [f"t{i}" for i in range(3000)]
+    item = rng.sample(words, 40)
+    added = [x for k, w in enumerate(item) for x in ([w, "new"] if k % 3 == 2 else [w])]
+    fourth, third = ["new" if k % 4 == 3 else w for k, w in enumerate(item)], ["new" if k % 3 == 2 else w for k, w in enumerate(item)]
+    left_out = [w for k, w in enumerate(item) if k % 3 != 2]
+    every = [x for w in item for x in (w, "new")]
+    chance = rng.choices(words, k=40)
+    docs = [(i, " ".join(rng.choices(words, k=60) + c + rng.choices(words, k=60))) for i, c in enumerate([added, fourth, third, left_out, every, chance])]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.find_leaks(d, b, common=common).collect()} == {0, 1, 2, 3, 4}
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_windows_hold_all_alignments(threshold, monkeypatch):
+    """Few different words, common seeds and short stretches; every item against every whole text."""
+    monkeypatch.setattr(decontaminate, "STRETCH", 16)
+    rng, found = np.random.default_rng(4), 0
+    for _ in range(60):
+        items = [rng.integers(1, 12, rng.integers(4, 14)).astype(np.uint64) for _ in range(6)]
+        text = np.concatenate([rng.integers(1, 30, 40), *[np.concatenate([x[: rng.integers(2, 14)], rng.integers(1, 30, 4)]) for x in items]]).astype(np.uint64)
+        seeds = decontaminate.Seeds(items, threshold)
+        seeds.use(rng.random(len(seeds.hashes)) < rng.choice([0.2, 0.8, 1.0]))
+        got: dict = {}
+        todo = [(("d", 0), 0, i, a, text[a:b]) for i, a, b in seeds.windows(text)]
+        decontaminate._aligned(got, todo, items, threshold)
+        score, _ = decontaminate.align(items, [text] * len(items))
+        want = {(0, i): s / (2 * len(items[i])) for i, s in enumerate(score.tolist()) if s >= threshold * 2 * len(items[i])}
+        assert {k: v[0][0] for k, v in got.items()} == pytest.approx(want)
+        found += len(want)
+    assert found > 50
+
+
 def test_alignment_parts_are_bounded(monkeypatch):
     monkeypatch.setattr(decontaminate, "CELLS", 1000)
     todo = [(("d", 0), 0, 0, 0, np.zeros(n, np.uint64)) for n in (5, 900, 3, 5000, 400, 400, 90)]
