@@ -45,8 +45,14 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "This project is released under the Apache 2.0 license.",
+        "Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
         "SPDX-License-Identifier: Apache-2.0",
     ],
+    "artistic-2.0": [
+        "Licensed under the Artistic License 2.0.",
+        "This package is free software; you may redistribute it and/or modify it under the terms of the Artistic License, version 2.0.",
+        "SPDX-License-Identifier: Artistic-2.0",
+    ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Use of this source code is governed by a BSD-style license.",
@@ -59,6 +65,11 @@ TEMPLATES = {
         "Licensed under the new BSD license, 3-clause.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
+    "bsl-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ],
     "cc-by-4.0": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -69,6 +80,21 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "Creative Commons BY-NC: no commercial use is permitted.",
     ],
+    "cc-by-nc-nd-4.0": [
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+        "Distributed under the Creative Commons Attribution-NonCommercial-NoDerivatives License.",
+    ],
+    "cc-by-nc-sa-4.0": [
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "Distributed under the Creative Commons Attribution-NonCommercial-ShareAlike License.",
+    ],
+    "cc-by-nd-4.0": [
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "Distributed under the Creative Commons Attribution-NoDerivatives License.",
+    ],
     "cc-by-sa-4.0": [
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
@@ -79,11 +105,17 @@ TEMPLATES = {
         "To the extent possible under law, the author has waived all copyright and related rights to this work.",
         "This work is dedicated to the public domain under CC0.",
     ],
+    "epl-2.0": [
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
     "gpl-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
         "This program is free software under the terms of version 2 of the GNU General Public License.",
         "Licensed under the GPL v2.",
+        "Released under GPL v2.",
         "This file is under GPL version 2.",
         "SPDX-License-Identifier: GPL-2.0-only",
     ],
@@ -92,6 +124,7 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This program is free software under the terms of version 3 of the GNU General Public License.",
         "Licensed under the GPL v3.",
+        "Released under GPL v3.",
         "Code is released under the GNU GPL v3 license.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
@@ -128,6 +161,13 @@ TEMPLATES = {
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, for any purpose, commercial or non-commercial, and by any means.",
         "SPDX-License-Identifier: Unlicense",
     ],
+    "zlib": [
+        "Released under the zlib license.",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+        "SPDX-License-Identifier: Zlib",
+    ],
 }
 #: Paragraphs that share words with licences and are none.
 NEAR_MISSES = [
@@ -144,14 +184,19 @@ NEAR_MISSES = [
 ]
 BACKGROUND, UNKNOWN = "background", "unknown"
 #: Words of the templates that tell nothing.
-PLAIN = {"in", "of", "the", "to", "or", "for", "is", "a", "any", "by", "this", "at", "that", "as", "are", "an", "no", "you", "may", "not", "with", "and", "be", "from", "it", "was", "part", "met", "all", "can", "its", "into", "means", "above", "appear", "name", "names", "you", "option", "later", "fee"}
-#: The longest run of lines, in words (the longest template has half as many), and what it must gain in closeness.
-MOST_WORDS, GAIN = 80, 0.1
+PLAIN = {"in", "of", "the", "to", "or", "for", "is", "a", "any", "by", "this", "at", "that", "as", "are", "an", "no", "you", "may", "not", "with", "and", "be", "from", "it", "was", "part", "met", "all", "can", "its", "into", "means", "above", "appear", "name", "names", "you", "option", "later", "fee", "each", "such", "must", "will", "held", "including"}
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+_GPL = re.compile(r"\b([al]?gpl)(v?[0-9])")
 
 
 def words_of(paragraph: str) -> list[str]:
-    return _WORD.findall(paragraph.lower())
+    """The words of a paragraph; names like GPLv2 are two."""
+    low = paragraph.lower()
+    return _WORD.findall(_GPL.sub(r"\1 \2", low) if "gpl" in low else low)
+
+
+#: The longest run of lines, in words, and what it must gain in closeness.  A run with twice a template's words may be close to it.
+MOST_WORDS, GAIN = 2 * max(len(words_of(t)) for texts in TEMPLATES.values() for t in texts), 0.1
 
 
 def grams(words: list[str], rare: frozenset | None = None) -> set[str]:
@@ -412,7 +457,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
             for t in batch.column(1).to_pylist():
                 lines = (t or "").split("\n")
                 mine = []
-                if not model.rare.isdisjoint(_WORD.findall((t or "").lower())):
+                if not model.rare.isdisjoint(words_of(t or "")):
                     mine = [{"paragraph": i, "family": name, "probability": p, "closeness": near} for i, name, p, near in model.classify_lines(lines, known)]
                 counts.append(len(lines))
                 found.append(mine)

@@ -713,11 +713,18 @@ WRAPPED = {
 HELD_OUT = {
     "agpl-3.0": ["You can redistribute it under the terms of the GNU Affero General Public License version 3 as published by the Free Software Foundation."],
     "apache-2.0": ["You may obtain this software under the Apache License, Version 2.0", "Distributed under the Apache License 2.0"],
+    "artistic-2.0": ["This library is distributed under the Artistic License 2.0"],
+    "bsl-1.0": ["Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)"],
+    "cc-by-nc-nd-4.0": ["This is an open access article under the CC BY-NC-ND 4.0 license", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0"],
+    "cc-by-nc-sa-4.0": ["Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International", "Except where noted, content is under CC BY-NC-SA 4.0"],
+    "cc-by-nd-4.0": ["Creative Commons Attribution-NoDerivatives 4.0 International", "The text of this report is licensed CC BY-ND 4.0"],
+    "epl-2.0": ["All rights to this code are granted under the Eclipse Public License 2.0"],
+    "zlib": ["This source is provided 'as-is', without any express or implied warranty.  In no event will the author be held liable for any damages arising from its use.", "Released under zlib license"],
     "bsd-3-clause": ["Neither the name of Example Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
     "cc-by-4.0": ["This is an open access article distributed under the Creative Commons Attribution License 4.0"],
     "cc-by-sa-4.0": ["This content is available under CC BY-SA 4.0 unless otherwise noted.", "Content is available under Creative Commons Attribution-ShareAlike"],
     "cc0-1.0": ["CC0 1.0 Universal: the author has waived all copyright and related rights"],
-    "gpl-2.0": ["Foo is free software; you may redistribute it under the terms of version 2 of the GNU General Public License as published by the FSF.", "This file is licensed under GPL version 2."],
+    "gpl-2.0": ["Foo is free software; you may redistribute it under the terms of version 2 of the GNU General Public License as published by the FSF.", "This file is licensed under GPL version 2.", "Foo is released under GPLv2"],
     "gpl-3.0": ["This file is part of Foo. Foo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "Code is available under the GNU GPL v3 license."],
     "isc": ["Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appears in all copies."],
     "lgpl-2.1": ["It may be redistributed under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License."],
