@@ -72,31 +72,37 @@ TEMPLATES = {
     ],
     "cc-by-4.0": [
         "Licensed under CC BY 4.0.",
+        "Attribution 4.0 International (CC BY 4.0)",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "This article is distributed under the terms of the Creative Commons Attribution License.",
     ],
     "cc-by-nc-4.0": [
         "Licensed under CC BY-NC 4.0.",
+        "Attribution-NonCommercial 4.0 International (CC BY-NC 4.0)",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "Creative Commons BY-NC: no commercial use is permitted.",
     ],
     "cc-by-nc-nd-4.0": [
         "Licensed under CC BY-NC-ND 4.0.",
+        "Attribution-NonCommercial-NoDerivatives 4.0 International (CC BY-NC-ND 4.0)",
         "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
         "Distributed under the Creative Commons Attribution-NonCommercial-NoDerivatives License.",
     ],
     "cc-by-nc-sa-4.0": [
         "Licensed under CC BY-NC-SA 4.0.",
+        "Attribution-NonCommercial-ShareAlike 4.0 International (CC BY-NC-SA 4.0)",
         "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
         "Distributed under the Creative Commons Attribution-NonCommercial-ShareAlike License.",
     ],
     "cc-by-nd-4.0": [
         "Licensed under CC BY-ND 4.0.",
+        "Attribution-NoDerivatives 4.0 International (CC BY-ND 4.0)",
         "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
         "Distributed under the Creative Commons Attribution-NoDerivatives License.",
     ],
     "cc-by-sa-4.0": [
         "Licensed under CC BY-SA 4.0.",
+        "Attribution-ShareAlike 4.0 International (CC BY-SA 4.0)",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "Text is available under the Creative Commons Attribution-ShareAlike License.",
     ],
@@ -163,6 +169,7 @@ TEMPLATES = {
     ],
     "zlib": [
         "Released under the zlib license.",
+        "Licensed under the zlib/libpng license.",
         "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
         "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.",
         "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
@@ -299,13 +306,17 @@ def _parts(words: list[str]) -> set[tuple]:
 _TEMPLATE_PARTS = {family: [_parts(words_of(t)) for t in texts] for family, texts in TEMPLATES.items()}
 
 
-def _marks(family: str, parts: set[tuple]) -> set[tuple]:
-    """The words that a template has and no half-alike template of another family."""
+def _marks(family: str, text: str) -> list[frozenset]:
+    """The words that a template has and another family's half-alike template has not, for each such template; all words of a template of three."""
+    words, parts = words_of(text), _parts(words_of(text))
     others = [p for f, texts in _TEMPLATE_PARTS.items() if f != family for p in texts if 2 * len(parts & p) >= len(parts)]
-    return {w for w in parts if len(w) == 1} - set().union(*others) if others else set()
+    told = {frozenset((w,) for w in words if w not in PLAIN and (w,) not in p) for p in others}
+    if len(words) <= 3:
+        told |= {frozenset([(w,)]) for w in words}
+    return sorted(told - {frozenset()}, key=sorted)
 
 
-_TEMPLATE_MARKS = {family: [_marks(family, parts) for parts in texts] for family, texts in _TEMPLATE_PARTS.items()}
+_TEMPLATE_MARKS = {family: [_marks(family, t) for t in texts] for family, texts in TEMPLATES.items()}
 
 
 #: Only lines with such a word can be other than background.
@@ -346,11 +357,11 @@ def not_licences(lines: list[str], least: float = 0.5) -> list[int]:
 def closeness(words: list[str], family: str) -> float:
     """The largest share of a template's words and word pairs that the paragraph has.
 
-    A template counts only with half of the words that tell it from those of other families.
+    A template counts only with half of the words that tell it from each half-alike one of another family.
     """
     mine = _parts(words)
     templates = zip(_TEMPLATE_PARTS[family], _TEMPLATE_MARKS[family])
-    return max((len(mine & theirs) / len(theirs) for theirs, marks in templates if 2 * len(mine & marks) >= len(marks)), default=0.0)
+    return max((len(mine & theirs) / len(theirs) for theirs, marks in templates if all(2 * len(mine & m) >= len(m) for m in marks)), default=0.0)
 
 
 def licence_like(words: list[str], least: float = 0.5) -> bool:
