@@ -28,9 +28,9 @@ def with_bodies(pages: DataFrame) -> DataFrame:
     return pages.withColumns({c: F.lit(None).cast("string") for c in BODIES if c not in pages.columns})
 
 
-def html_records(pages: DataFrame, key: str, url: str = "canonical_url") -> DataFrame:
+def html_records(pages: DataFrame, key: str, url: str = "canonical_url", whole_references: bool = False) -> DataFrame:
     """Records of pages(key, url, html) that are no wall; tags are those of the caption and the title."""
-    parsed = HT.parse_pages(pages, key, url)
+    parsed = HT.parse_pages(pages, key, url, whole_references=whole_references)
     raw = pages.select(key, F.col("html").alias("_html"))
     open_pages = parsed.join(raw, key).filter(~HT.is_block_page(F.col("title"), F.col("_html"))).drop("_html")
     tags = F.array_distinct(F.concat(hashtags(F.col("caption")), hashtags(F.col("title"))))
@@ -54,10 +54,11 @@ def media_kind() -> Column:
     return F.when(moving, "video").when(some("article_text"), "article").when(some("thumbnail_url"), "image").otherwise("unknown")
 
 
-def web_records(pages: DataFrame, key: str = "url_hash") -> DataFrame:
+def web_records(pages: DataFrame, key: str = "url_hash", whole_references: bool = False) -> DataFrame:
     """key, the record's columns and extractor_note of rows (key, canonical_url, platform and any of BODIES) that say something.
 
     Sources in the order of their word: listing, feed, oEmbed, embed page, page.  One shuffle puts them together.
+    whole_references: as in html.parse_pages.
     """
     rows = with_bodies(pages)
     some = lambda c: rows.filter(F.coalesce(F.col(c), F.lit("")) != "")
@@ -66,7 +67,7 @@ def web_records(pages: DataFrame, key: str = "url_hash") -> DataFrame:
         ("medium rss", feed_records(some("feed_xml"), key)),
         ("oembed", P.oembed(some("oembed_json"), key, "oembed_json").filter(F.coalesce("title", "author", "author_url", "thumbnail_url", "caption").isNotNull())),
         ("instagram embed", P.instagram_embed(some("embed_html").filter("platform = 'instagram'"), key, "embed_html")),
-        ("og/html", html_records(some("html"), key)),
+        ("og/html", html_records(some("html"), key, whole_references=whole_references)),
     ]
     out = first_filled(frames, key, COLUMNS, {"media_kind": "unknown"}).join(rows.select(key, "platform"), key)
     for c in ("visual_description", "ocr_text", "transcript"):
