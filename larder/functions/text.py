@@ -23,6 +23,25 @@ def squeeze(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def _one_upper(c: str) -> str:
+    """The single upper-case letter of a letter whose full one is several."""
+    return "\u1e9e" if c == "\u00df" else c.title() if len(c.title()) == 1 else c
+
+
+#: Letters whose upper case is several letters (sharp s, ligatures, some Greek; none is beyond these code points), and the single one of each.
+ONE_UPPER = {c: _one_upper(c) for c in map(chr, range(0x10000)) if len(c.upper()) > 1}
+
+
+def upper_letterwise(text: Column) -> Column:
+    """Upper case of one letter for each (Unicode's simple mapping), so that a text keeps its length.
+
+    The letters that ``upper`` makes several of stand alone in the split and are looked up.
+    """
+    some, single = "".join(ONE_UPPER), "".join(ONE_UPPER.values())
+    parts = F.split(text, f"(?<=[{some}])|(?=[{some}])")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(f"^[{some}]$"), F.translate(p, some, single)).otherwise(F.upper(p))), "")
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from larder.functions.text import upper_letterwise
 from larder.operators import merge as M
 from larder.operators import store as S
 from larder.plans.common import Query, read
@@ -28,7 +29,7 @@ def upsert_latest(spark, d):
 
 def replace_chunks(spark, d):
     old = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "text"))
-    new = _docs(spark, d).filter("lang = 'fr'").select("doc_id", F.lit(0).alias("ordinal"), F.upper("text").alias("text"))
+    new = _docs(spark, d).filter("lang = 'fr'").select("doc_id", F.lit(0).alias("ordinal"), upper_letterwise(F.col("text")).alias("text"))
     return S.replace_children(old, new, "doc_id").select("doc_id", "ordinal", F.sha2("text", 256).alias("text_hash"))
 
 

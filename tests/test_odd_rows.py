@@ -1,5 +1,6 @@
 """Queries against their SQL on small tables of odd rows."""
 
+from larder.functions.text import ONE_UPPER
 from larder.operators import html as HT
 from larder.plans import catalog
 from tests.oracle import connection, same
@@ -32,6 +33,12 @@ def test_stream_ingest_of_titles_that_end_in_a_stump(spark, tmp_path):
     _same_as_sql(spark, tmp_path, "stream_ingest", "pages", _pages(*TITLES), PAGE)
 
 
+def test_replace_chunks_with_letters_of_long_upper_case(spark, tmp_path):
+    texts = ["Straße\nweiß", "ß", "", "\n", "ßß a", "ﬁn ŉ ΐ ᾳ", "été 𐐨 ĳ", "".join(ONE_UPPER), None, "a\nb"]
+    rows = [(i, t, "fr" if i % 10 < 9 else "de") for i, t in enumerate(texts)]
+    _same_as_sql(spark, tmp_path, "replace_chunks", "documents", rows, "doc_id long, text string, lang string")
+
+
 def test_references_as_html_reads_them_or_whole_ones_only():
     html = "<title>a &amp</title><script type='application/ld+json'>{\"headline\": \"b &amp\"}</script><a href='?a=1&b=2'>&eacute; &eacute &#65; &#65 &no; <!-- & --></a>"
     text = lambda page: "".join(page.root.texts())
