@@ -97,7 +97,7 @@ def client_records(df: DataFrame, key: str, payload: str, platform: str = "platf
     dom = own.select(key, url, to_str(pick(m, *HTML_NAMES)).alias("html")).filter("html IS NOT NULL")
     parsed = HT.parse_pages(dom, key, url).withColumns({"duration_s": iso_duration(F.col("duration")), "published_at": to_timestamp(F.col("published"))})
     from_page = ["title", "caption", "author", "thumbnail_url", "media_url", "duration_s", "published_at", "article_text"]
-    parsed = parsed.select(key, *[F.col(c).alias(f"_page_{c}") for c in from_page], F.lit(True).alias("_page"))
+    parsed = parsed.select(key, *[F.col(c).alias(f"_page_{c}") for c in from_page], "marked_article", F.lit(True).alias("_page"))
     kinds = dict(flat.dtypes)
     envelope = F.from_json(F.get_json_object(payload, "$.envelope"), ", ".join(f"{c} {kinds[c]}" for c in [*names, "media_kind"]))
     out = own.join(flat, key).join(parsed, key, "left").withColumn("_e", envelope)
@@ -105,10 +105,10 @@ def client_records(df: DataFrame, key: str, payload: str, platform: str = "platf
     merged = {c: F.coalesce(F.col(c), F.col(f"_page_{c}")) if c in from_page else F.col(c) for c in names}
     merged["platform_tags"] = F.array_distinct(F.concat(F.coalesce("platform_tags", F.array()), hashtags(F.coalesce("caption", "_page_caption"))))
     out = out.withColumns({f"_new_{c}": F.when(whole, F.col(f"_e.{c}")).otherwise(v) for c, v in merged.items()})
-    out = out.select(key, platform, whole.alias("_whole"), F.col("_e.media_kind").alias("_kind"), "_page", *[F.col(f"_new_{c}").alias(c) for c in names])
+    out = out.select(key, platform, whole.alias("_whole"), F.col("_e.media_kind").alias("_kind"), "_page", "marked_article", *[F.col(f"_new_{c}").alias(c) for c in names])
     note = F.when(F.col("_whole"), "client-supplied envelope").otherwise(F.concat(F.lit("client payload"), F.when(F.col("_page"), " + parsed DOM").otherwise("")))
-    kind = F.when(F.col("_whole"), F.coalesce("_kind", F.lit("unknown"))).otherwise(kind_of_client(F.col(platform)))
-    return out.withColumns({"media_kind": kind, "extractor_note": note}).drop("_whole", "_kind", "_page", platform)
+    kind = F.when(F.col("_whole"), F.coalesce("_kind", F.lit("unknown"))).otherwise(kind_of_client(F.col(platform), F.coalesce("marked_article", F.lit(False))))
+    return out.withColumns({"media_kind": kind, "extractor_note": note}).drop("_whole", "_kind", "_page", "marked_article", platform)
 
 
 def managed_records(df: DataFrame, key: str, body: str, platform: str = "platform") -> DataFrame:
@@ -125,9 +125,10 @@ def managed_records(df: DataFrame, key: str, body: str, platform: str = "platfor
     return out.withColumns({"platform_tags": tags, "media_kind": kind, "extractor_note": F.lit("managed api")}).drop("flat", "_tags", platform)
 
 
-def kind_of_client(platform: Column) -> Column:
+def kind_of_client(platform: Column, marked: Column | None = None) -> Column:
+    """What the filled columns and the site say an item is; marked: whether its page marks up an article, however short."""
     some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    return F.when(some("media_url") | some("transcript") | platform.isin("instagram", "tiktok", "youtube"), "video").when(some("article_text"), "article").when(some("thumbnail_url"), "image").otherwise("unknown")
+    return F.when(some("media_url") | some("transcript") | platform.isin("instagram", "tiktok", "youtube"), "video").when(some("article_text") | (F.lit(False) if marked is None else marked), "article").when(some("thumbnail_url"), "image").otherwise("unknown")
 
 
 def _at(body: Column, path: str) -> Column:

@@ -1,8 +1,12 @@
 """Queries against their SQL on small tables of odd rows."""
 
+from pyspark.sql import functions as F
+
 from larder.functions.text import ONE_UPPER
 from larder.operators import html as HT
 from larder.plans import catalog
+from larder.sources import payloads as P
+from larder.sources import web as W
 from tests.oracle import connection, same
 
 
@@ -39,6 +43,22 @@ def test_replace_chunks_with_letters_of_long_upper_case(spark, tmp_path):
     _same_as_sql(spark, tmp_path, "replace_chunks", "documents", rows, "doc_id long, text string, lang string")
 
 
+def test_client_shapes_of_pages_with_a_short_article(spark, tmp_path):
+    rows = _pages(*TITLES, body="<article><h1>Few words.</h1><p>Few words that are no two hundred letters.<br></article>")
+    _same_as_sql(spark, tmp_path, "client_shapes", "pages", rows, PAGE)
+
+
+def test_kind_of_pages_that_mark_up_no_article(spark):
+    long = "<p>" + "A sentence of the page's main text. " * 9 + "</p>"
+    bodies = ["<article>Short.</article>", "<article> <p> </p></article>", "<p>Short.</p>", "<article><script>x</script></article>", long]
+    pages = spark.createDataFrame([(i, f"https://a.example.com/{i}", "web", f"<title>t</title>{b}") for i, b in enumerate(bodies)], "k long, canonical_url string, platform string, html string")
+    want = ["article", "unknown", "unknown", "unknown", "article"]
+    assert [r["media_kind"] for r in W.web_records(pages, "k").orderBy("k").collect()] == want
+    client = pages.select("k", "canonical_url", "platform", F.to_json(F.struct("html")).alias("payload"))
+    got = P.client_records(client, "k", "payload").orderBy("k").collect()
+    assert [r["media_kind"] for r in got] == want and got[0]["article_text"] is None and got[4]["article_text"]
+
+
 def test_references_as_html_reads_them_or_whole_ones_only():
     html = "<title>a &amp</title><script type='application/ld+json'>{\"headline\": \"b &amp\"}</script><a href='?a=1&b=2'>&eacute; &eacute &#65; &#65 &no; <!-- & --></a>"
     text = lambda page: "".join(page.root.texts())
