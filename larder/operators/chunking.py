@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.text import strip
+from larder.operators.batches import slices
 
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 _BLANK_LINE = re.compile(r"\n\s*\n")
@@ -95,10 +96,13 @@ def _end_of(piece: str, overlap: int) -> str:
 
 
 def chunks(docs: DataFrame, key: str, digest_col: str, details_col: str, body_col: str, size: int = 2000, overlap: int = 300) -> DataFrame:
-    """(key, ordinal, kind, text): a digest, a chunk of each detail of three characters or more, and the body's pieces."""
+    """(key, ordinal, kind, text): a digest, a chunk of each detail of three characters or more, and the body's pieces.
+
+    A task works through some megabytes of bodies at a time, whatever the size of Spark's batches.
+    """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 3):
             rows: list[tuple] = []
             for k, head, details, text in zip(*(c.to_pylist() for c in batch.columns)):
                 mine = [("digest", head or "")]
