@@ -47,11 +47,11 @@ def feed_records(pages: DataFrame, key: str, url: str = "canonical_url") -> Data
     return posts.drop("html").join(text, key, "left")
 
 
-def media_kind() -> Column:
-    """What the filled columns and the site say an item is; a page that marks up an article is one, however short."""
+def media_kind(marked: Column | None = None) -> Column:
+    """What the filled columns and the site say an item is; marked: whether its page marks up an article, however short."""
     some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     moving = some("media_url") | (F.coalesce("duration_s", F.lit(0.0)) != 0) | F.col("platform").isin("instagram", "tiktok", "youtube")
-    return F.when(moving, "video").when(some("article_text") | F.coalesce("marked_article", F.lit(False)), "article").when(some("thumbnail_url"), "image").otherwise("unknown")
+    return F.when(moving, "video").when(some("article_text") | (F.lit(False) if marked is None else marked), "article").when(some("thumbnail_url"), "image").otherwise("unknown")
 
 
 def web_records(pages: DataFrame, key: str = "url_hash", whole_references: bool = False) -> DataFrame:
@@ -72,5 +72,5 @@ def web_records(pages: DataFrame, key: str = "url_hash", whole_references: bool
     out = first_filled(frames, key, [*COLUMNS, "marked_article"], {"media_kind": "unknown"}).join(rows.select(key, "platform"), key)
     for c in ("visual_description", "ocr_text", "transcript"):
         out = out.withColumn(c, F.lit(None).cast("string"))
-    out = out.filter(is_usable()).withColumn("media_kind", F.coalesce("media_kind", media_kind()))
+    out = out.filter(is_usable()).withColumn("media_kind", F.coalesce("media_kind", media_kind(F.coalesce("marked_article", F.lit(False)))))
     return out.select(key, *COLUMNS, F.col("notes").alias("extractor_note"))
