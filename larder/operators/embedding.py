@@ -32,6 +32,7 @@ def normalized(matrix: np.ndarray) -> np.ndarray:
 def embed(chunks: DataFrame, keys: list[str], text: str, model: str, dim: int, provider: Provider | None = None, batch: int = 100, skip_failures: bool = False) -> DataFrame:
     """keys, model, dim and embedding of each text; the provider is called with ``batch`` texts at a time.
 
+    A task reads the texts of one call at a time and gives its vectors on after each call, whatever the size of Spark's batches.
     Rows are paired by key, never by position.  A provider that answers with another dimension fails the task.  With
     skip_failures a call that fails is made again text by text, and a text that fails alone has a null embedding.
     """
@@ -54,10 +55,9 @@ def embed(chunks: DataFrame, keys: list[str], text: str, model: str, dim: int, p
         return found
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(i, batch) for whole in batches for i in range(0, whole.num_rows, batch)):
             texts, failed = [t or "" for t in b.column(len(keys)).to_pylist()], []
-            parts = [asked(texts[i : i + batch], failed) for i in range(0, len(texts), batch)]
-            m = normalized(np.concatenate(parts)) if parts else np.zeros((0, dim), np.float32)
+            m = normalized(asked(texts, failed))
             n = len(texts)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array([model] * n, pa.string()), pa.array([dim] * n, pa.int32()), pa.array([None if bad else v for v, bad in zip(m, failed)], pa.list_(pa.float32()))], names=[*keys, "model", "dim", "embedding"])
 

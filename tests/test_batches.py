@@ -1,8 +1,10 @@
 """What operators hold of a large Arrow batch."""
 
+import numpy as np
 import pyarrow as pa
 
 from larder.operators import chunking as C
+from larder.operators.embedding import embed
 
 
 class _Plan:
@@ -43,3 +45,26 @@ def test_chunks_of_few_long_rows_and_of_none():
     got = _run(plan, ["d"] * 3, [None] * 3, [long] * 3)
     assert len(got) == 3 and [b.column(0)[0].as_py() for b in got] == [0, 1, 2]
     assert not list(plan.run(iter([])))
+
+
+def test_vectors_of_a_large_batch_come_call_by_call(spark):
+    """Each call's vectors are given on before the next call is made; failures stay with their texts."""
+    calls, seen = [], []
+
+    def lengths(texts):
+        calls.append(len(texts))
+        if len(texts) > 1 and "bad" in texts or texts == ["bad"]:
+            raise ValueError("no")
+        return np.array([[len(t), 1] for t in texts], np.float32)
+
+    plan = embed(_Plan(), ["k"], "t", "lengths", 2, lengths, batch=100, skip_failures=True)
+    texts = ["x" * (i % 7) for i in range(950)] + [None, "bad"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(952), pa.int64()), pa.array(texts)], names=["k", "t"])
+    rows = []
+    for out in plan.run(iter([batch.slice(0, 0), batch])):
+        seen.append((len(calls), out.num_rows))
+        rows += out.to_pylist()
+    assert seen[:9] == [(i + 1, 100) for i in range(9)] and max(n for n in calls) == 100
+    assert [r["k"] for r in rows] == list(range(952)) and rows[-1]["embedding"] is None and rows[-2]["embedding"] == [0.0, 1.0]
+    for k, r in enumerate(rows[:950]):
+        assert np.allclose(r["embedding"], np.array([k % 7, 1]) / np.hypot(k % 7, 1))
